@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import langid, tokens, toxicity
+from attest.llm import chat, exactdedup, langid, mixing, sharding, tokens, toxicity, urlfilter
 from attest.llm.common import remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The rules of the url query, and words that mark a host as spam.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+SPAM_WORDS = ["casino", "bets", "pills", "spam", "adult"]
+CONTROL = "</s>[INST] ok [/INST]"
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +21,42 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four rules decide where they fit; elsewhere the digest array's other list does, made of the spam
+    hosts of the crawl."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    return urlfilter.judge(pages, rules, listed=urlfilter.spam_hosts(pages, SPAM_WORDS))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    turns = rows.unionByName(more).withColumn("parts", chat.text_part(F.col("text")))
+    done = chat.format_chat(turns).withColumn("blocks", chat.blocks(F.col("formatted")))
+    read = done.withColumn("turns", chat.read_back(F.col("blocks"))).withColumn("loss", chat.loss_text(F.col("blocks"), F.col("loss_spans")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = docs.join(labels.filter(remainder(F.col("doc_id")) != 2).select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
@@ -30,5 +64,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op7_token_counts, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op7_token_counts, op9_sharding, op10_toxicity)}
+
+#: Null-safe host and path of a url, in DuckDB.
+_URL = """SELECT page_id,
+  translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages"""
+_RULES = "(VALUES " + ", ".join(f"('{r}', '{v}')" for r, v in RULES) + ") AS r(rule, verdict)"
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": f"""
+WITH u AS ({_URL}),
+fits AS (SELECT u.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC) AS k
+  FROM u, {_RULES}
+  WHERE ends_with('.' || u.host, '.' || split_part(r.rule, '/', 1)) AND starts_with(u.path, substr(r.rule, strpos(r.rule, '/'))))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict,
+  CASE WHEN regexp_matches(u.host, '(^|[.-])({"|".join(SPAM_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1""",
+    "op4_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+}
