@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, exactdedup, langid, mixing, sharding, tokens, toxicity, urlfilter
+from attest.llm import chat, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, urlfilter
 from attest.llm.common import remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op7_token_counts, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity)}
 
 #: Null-safe host and path of a url, in DuckDB.
 _URL = """SELECT page_id,
@@ -85,4 +89,13 @@ FROM u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1""",
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS grams FROM w),
+e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, p.y FROM r JOIN p ON p.x = r.reached)
+SELECT s.doc_id, len(s.grams) AS n_shingles, min(r.reached) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.grams""",
 }
