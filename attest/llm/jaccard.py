@@ -73,43 +73,78 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text."""
-    buffers = texts.buffers()
-    at = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if buffers[2] is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-    if not len(data):
-        return [np.zeros(0, np.uint64)] * len(texts)
-    words, cuts = word_hashes(data, at - at[0])
-    grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
-    for k in range(n):
-        grams = mix64(grams + words[k : k + len(grams)] * _SIGNS[k])
-    out = []
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if hi - lo >= n:
-            out.append(np.unique(grams[lo : hi - n + 1]))
-        elif hi > lo:
-            whole = np.array([hi - lo], np.uint64)
-            for w in words[lo:hi]:
-                whole = mix64(whole * _BASE + w)
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def digest(grams: np.ndarray) -> int:
-    """Name of a set; 0 is the empty set's."""
-    if not len(grams):
-        return 0
-    total = mix64(grams * _BASE + np.uint64(7)).sum(dtype=np.uint64, keepdims=True)
-    return int(mix64(total + np.uint64(len(grams))).view(np.int64)[0])
-
-
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(grams & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+class Sets:
+    """Sorted distinct n-gram hashes of several texts, end to end, with the offsets of each text's own."""
+
+    def __init__(self, texts: pa.Array, n: int):
+        buffers = texts.buffers()
+        at = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if buffers[2] is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+        if not len(data):
+            self.grams, self.offsets = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+            return
+        words, cuts = word_hashes(data, at - at[0])
+        grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+        for k in range(n):
+            grams = mix64(grams + words[k : k + len(grams)] * _SIGNS[k])
+        pieces = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo >= n:
+                own = grams[lo : hi - n + 1].copy()
+                own.sort()
+                pieces.append(own)
+            elif hi > lo:  # fewer words than n: the whole sequence
+                whole = np.array([hi - lo], np.uint64)
+                for w in words[lo:hi]:
+                    whole = mix64(whole * _BASE + w)
+                pieces.append(whole)
+            else:
+                pieces.append(grams[:0])
+        flat = np.concatenate(pieces)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
+        fresh = np.ones(len(flat) + 1, bool)
+        fresh[1:-1] = flat[1:] != flat[:-1]
+        fresh[offsets] = True
+        fresh = fresh[:-1]
+        self.grams = flat[fresh]
+        self.offsets = np.concatenate(([0], np.cumsum(fresh)))[offsets]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.offsets)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.grams[self.offsets[i] : self.offsets[i + 1]]
+
+    def digests(self) -> np.ndarray:
+        """Names of the sets; the empty set's is 0."""
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(self.grams * _BASE + np.uint64(7)), dtype=np.uint64)))
+        own = total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return np.where(self.sizes > 0, mix64(own + self.sizes.astype(np.uint64)).view(np.int64), 0)
+
+    def bitmaps(self) -> list[bytes]:
+        bits = np.zeros((len(self.sizes), BITS), np.uint8)
+        bits[np.repeat(np.arange(len(self.sizes)), self.sizes), (self.grams & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        packed = np.packbits(bits, axis=1)
+        return [row.tobytes() for row in packed]
+
+    def only(self, keep: np.ndarray) -> Sets:
+        """The sets at the given places."""
+        out = object.__new__(Sets)
+        out.offsets = np.concatenate(([0], np.cumsum(self.sizes[keep])))
+        out.grams = np.concatenate([self.of(i) for i in keep.tolist()]) if len(keep) else self.grams[:0]
+        return out
+
+
+def chunked(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Pieces of about ``size`` bytes, so that the arrays of a piece stay in the cache."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 class Bands:
@@ -127,32 +162,41 @@ class Bands:
             differ = math.floor(2 * high * (100 - percent) / (100 + percent) + 1e-9)
             self.slices.append(differ + 1 + (SPARE if differ else 0))
 
-    def of(self, size: int) -> int:
-        return int(np.searchsorted(self._firsts, size, side="right")) - 1
-
-
-def tiles(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """Tile names of a set, for its own band and the next."""
-    band, out = bands.of(len(grams)), []
-    mixed = mix64(grams + np.uint64(11))
-    for b in (band, band + 1):
-        k = bands.slices[b]
-        where = (grams >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)  # sorted, as the hashes are
-        starts = np.flatnonzero(np.diff(where, prepend=_M) != 0)
+        self._slices = np.array(self.slices)
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self._firsts, sizes, side="right") - 1
+
+
+def tiles(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Tile names of the sets, for their own bands and the next, and the place of each name's set."""
+    sizes = sets.sizes
+    filled = np.flatnonzero(sizes)
+    if not len(filled):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    mixed = mix64(sets.grams + np.uint64(11))
+    names, owners = [], []
+    for step in (0, 1):
+        band = bands.of(np.maximum(sizes, 1)) + step
+        k = bands._slices[band].astype(np.uint64)
+        salt = (band + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        where = (sets.grams >> np.uint64(32)) * k[place] >> np.uint64(32)  # sorted within a set, as the hashes are
+        fresh = np.ones(len(where), bool)
+        fresh[1:] = (where[1:] != where[:-1]) | (place[1:] != place[:-1])
+        starts = np.flatnonzero(fresh)
         content = np.add.reduceat(mixed, starts)
-        salt = np.uint64((b + 1) * 0xC2B2AE3D27D4EB4F & int(_M))
-        out.append(mix64(content * _BASE + mix64(where[starts] + salt)))
-        empty = k - len(starts)
-        if empty > (k - 1 - bands_differ(bands, b)):
+        owner = place[starts]
+        names.append(mix64(content * _BASE + mix64(where[starts] + salt[owner])))
+        owners.append(owner)
+        empty = k.astype(np.int64) - np.bincount(owner, minlength=len(sizes))
+        spare = np.where(k > 1, SPARE, 0)
+        for i in np.flatnonzero((empty > spare) & (sizes > 0)):
             # More empty slices than spare ones: agreement may be in empty slices only.
-            none = np.setdiff1d(np.arange(k, dtype=np.uint64), where[starts])
-            out.append(mix64(mix64(none + salt) + np.uint64(13)))
-    return np.concatenate(out).view(np.int64)
-
-
-def bands_differ(bands: Bands, b: int) -> int:
-    k = bands.slices[b]
-    return k - 1 - (SPARE if k > 1 else 0)
+            none = np.setdiff1d(np.arange(k[i], dtype=np.uint64), where[starts[owner == i]])
+            names.append(mix64(mix64(none + salt[i]) + np.uint64(13)))
+            owners.append(np.full(len(none), i))
+    return np.concatenate(names).view(np.int64), np.concatenate(owners)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -160,8 +204,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _lower(batch_column: pa.Array) -> pa.Array:
-    return pc.ascii_lower(batch_column)
+def _lower(texts: pa.Array) -> pa.Array:
+    return pc.ascii_lower(texts)
 
 
 def _nodes(rows: DataFrame, n: int) -> DataFrame:
@@ -169,29 +213,35 @@ def _nodes(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(_lower(batch.column(1)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["id", "size", "node", "bits"])
+            for at, texts in chunked(_lower(batch.column(1))):
+                sets = Sets(texts, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(sets.bitmaps(), pa.binary())], ["id", "size", "node", "bits"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, size long, node long, bits binary")
 
 
+def _fresh(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of nodes that were not seen yet (0, the empty set, never counts)."""
+    keep = []
+    for i, node in enumerate(nodes.tolist()):
+        if node and node not in seen:
+            seen.add(node)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
 def _tiled(rows: DataFrame, n: int, bands: Bands) -> DataFrame:
     """(tile, node), once per task for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, owners = [], []
-            for s in shingle_sets(_lower(batch.column(1)), n):
-                node = digest(s)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                own = tiles(s, bands)
-                names.append(own)
-                owners.append(np.full(len(own), node, np.int64))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(owners))], ["tile", "node"])
+            for _, texts in chunked(_lower(batch.column(1))):
+                sets = Sets(texts, n)
+                nodes = sets.digests()
+                keep = _fresh(nodes, seen)
+                names, owners = tiles(sets.only(keep), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[keep][owners])], ["tile", "node"])
 
     return rows.mapInArrow(run, "tile long, node long")
 
@@ -243,32 +293,23 @@ def _shared(tiled: DataFrame, parts: int | None = None) -> DataFrame:
     return spread.mapInArrow(run, "tile long, node long, lead long")
 
 
-def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, few: int) -> DataFrame:
-    """(node, grams) for the nodes of ``wanted``, once each. Up to ``few`` names (8 bytes each) are broadcast."""
-    count = wanted.count()
-    names = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64))) if count <= few else None
+def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
+    """(node, grams) for the nodes of ``wanted``, once each: of every node one document is read again. Up to
+    ``few`` ids are broadcast; more meet the documents in a shuffle."""
+    ids = stored(unique.join(wanted, "node", "left_semi").select(F.col("least").alias("wanted")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= few else ids
+    picked = rows.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sets = [], []
-            for s in shingle_sets(_lower(batch.column(1)), n):
-                node = digest(s)
-                if node in seen or not len(s):
-                    continue
-                if names is not None:
-                    at = np.searchsorted(names.value, node)
-                    if at == len(names.value) or names.value[at] != node:
-                        continue
-                seen.add(node)
-                nodes.append(node)
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
-
-    found = rows.mapInArrow(run, "node long, grams binary")
-    if names is None:
-        found = found.join(wanted, "node", "left_semi")
-    return found.dropDuplicates(["node"])
+            for _, texts in chunked(_lower(batch.column(0))):
+                sets = Sets(texts, n)
+                nodes = sets.digests()
+                keep = _fresh(nodes, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array([sets.of(i).tobytes() for i in keep.tolist()], pa.binary())], ["node", "grams"])
+
+    return picked.select("text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,42 +327,85 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
-def _could_link(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and bitmaps do not rule out. A bit set in one bitmap alone is a member of that set
-    that the other lacks, so the overlap is at most size minus such bits."""
-    a = nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
-    b = nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+def bound_passes(na: np.ndarray, x: np.ndarray, nb: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that sizes and bitmaps do not rule out. A bit set in one bitmap alone is a member of that set that
+    the other lacks, so the overlap is at most the size less such bits."""
+    only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    most = np.minimum(na - only_a, nb - only_b)
+    return 100 * most >= percent * (na + nb - most)
+
+
+def words_of(bits: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
+
+
+def _could_link(unique: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    a = unique.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    b = unique.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
 
     @F.pandas_udf("boolean")
     def bound(na: pd.Series, ba: pd.Series, nb: pd.Series, bb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), BITS // 64) for s in (ba, bb))
-        only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-        only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-        most = np.minimum(na.to_numpy() - only_a, nb.to_numpy() - only_b)
-        return pd.Series(100 * most >= percent * (na.to_numpy() + nb.to_numpy() - most))
+        return pd.Series(bound_passes(na.to_numpy(), words_of(ba), nb.to_numpy(), words_of(bb), percent))
 
     return pairs.join(a, "a").join(b, "b").filter(bound("na", "ba", "nb", "bb")).select("a", "b")
 
 
-def _across(live: DataFrame, block: int) -> DataFrame:
-    """Pairs of nodes of different components in one tile, from live(tile, node, root). Tiles are cut into
-    blocks of about ``block`` members; a block meets itself and every other block of its tile."""
+def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in one group and of different roots; ``group`` is sorted. side: 0 for members of a block
+    that meets itself, else 1 or 2, and 1 meets 2 only. One array step per distance within a group."""
+    distance, alive = 1, np.arange(len(group))
+    while True:
+        alive = alive[alive + distance < len(group)]
+        alive = alive[group[alive] == group[alive + distance]]
+        if not len(alive):
+            return
+        x, y = alive, alive + distance
+        ok = (root[x] != root[y]) & ((side[x] == 0) | (side[x] != side[y]))
+        if ok.any():
+            yield x[ok], y[ok]
+        distance += 1
+
+
+def _across(live: DataFrame, block: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components in one tile that could link, from
+    live(tile, node, root, size, bits). Tiles are cut into blocks of about ``block`` members; a block meets
+    itself and every other block of its tile, each meeting in one task."""
     sizes = live.groupBy("tile").agg(F.count("*").alias("n"))
     cut = live.join(sizes, "tile").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root")
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(i == j, 0).when(F.col("mine") == i, 1).otherwise(2)
+    meeting = dealt.select(F.xxhash64("tile", i, j).alias("meeting"), "node", "root", side.alias("side"), "size", "bits")
+    meeting = meeting.repartition("meeting").sortWithinPartitions("meeting")
+
+    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        group, node, root, side, size = (t.column(c).to_numpy() for c in ("meeting", "node", "root", "side", "size"))
+        bits = words_of(t.column("bits").to_pylist())
+        found: list[np.ndarray] = []
+        for x, y in pairs_across(group, root, side):
+            ok = bound_passes(size[x], bits[x], size[y], bits[y], percent)
+            if ok.any():
+                found.append(np.stack([np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, root, mine = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["mine"].to_numpy()
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        apart = root[left][:, None] != root[right][None, :]
-        if i == j:
-            apart &= node[left][:, None] < node[right][None, :]
-        x, y = np.nonzero(apart)
-        a, b = node[left[x]], node[right[y]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))  # the last meeting may go on
+            if cut:
+                yield work([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield work(held)
 
-    return dealt.groupBy("tile", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+    return meeting.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 2_000_000, block: int = 1_000) -> DataFrame:
@@ -332,15 +416,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = nodes.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("id").alias("least"))
     live = stored(_shared(_tiled(rows, n, bands)))
     stars = stored(_could_link(unique, live.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), percent))
-    edges = stored(_verify(stars, _sets_of(rows, n, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), few), percent))
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    edges = stored(_verify(stars, _sets_of(rows, n, ends(stars), unique, few), percent))
     roots = components(edges)
     # What the stars left apart: tiles with several components.
     known = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tile", "node", "root")
     split = known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tile")
-    rest = stored(known.join(split, "tile"))
-    more = stored(_could_link(unique, _across(rest, block).join(stars, ["a", "b"], "left_anti"), percent))
+    rest = stored(known.join(split, "tile").join(unique.select("node", "size", "bits"), "node"))
+    more = stored(_across(rest, block, percent).join(stars, ["a", "b"], "left_anti"))
     if more.take(1):
-        found = _verify(more, _sets_of(rows, n, more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), few), percent)
+        found = _verify(more, _sets_of(rows, n, ends(more), unique, few), percent)
         roots = components(edges.unionByName(found))
     smallest = unique.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
