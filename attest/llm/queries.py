@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, urlfilter
+from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, urlfilter
 from attest.llm.common import remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity)}
 
 #: Null-safe host and path of a url, in DuckDB.
 _URL = """SELECT page_id,

@@ -121,8 +121,8 @@ class Counter:
             if len(self.seen) > self.room:
                 self.seen.clear()
             cut = [self.words(t) for t in texts[i:j]]
-            new = set().union(*(words for words, _ in cut)) - self.seen.keys()
-            self.learn(list(new))
+            seen = self.seen
+            self.learn([w for w in set().union(*(words for words, _ in cut)) if w not in seen])
             out += [special + sum(map(self.seen.__getitem__, words)) for words, special in cut]
             i = j
         return out
