@@ -31,62 +31,22 @@ from pyspark.sql import functions as F
 
 from attest.llm.common import stored
 from attest.llm.graph import components
+from attest.llm.hashing import BASE, SIGNS, SPACE, mix64, text_bytes, word_hashes
 
 BITS = 512
 SPARE = 2
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SIGNS = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """data: the bytes of all texts end to end, offsets: their ends (and a leading 0). Hash of each word by
-    differences of a running polynomial, and the number of words up to each offset."""
-    solid = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets[(offsets >= 0)]] = True
-    starts = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate(([False], solid[:-1]))))
-    ends = np.flatnonzero(solid & (edge[1:] | ~np.concatenate((solid[1:], [False])))) + 1
-    up, down = _powers(len(data) + 1)
-    run = np.concatenate(([np.uint64(0)], np.cumsum(_SIGNS[data] * up[: len(data)], dtype=np.uint64)))
-    words = mix64((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, offsets)
-
-
 class Sets:
     """Sorted distinct n-gram hashes of several texts, end to end, with the offsets of each text's own."""
 
     def __init__(self, texts: pa.Array, n: int):
-        buffers = texts.buffers()
-        at = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if buffers[2] is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+        data, at = text_bytes(texts)
         if not len(data):
             self.grams, self.offsets = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
             return
-        words, cuts = word_hashes(data, at - at[0])
+        words, cuts = word_hashes(data, at, SPACE)
         grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
         for k in range(n):
-            grams = mix64(grams + words[k : k + len(grams)] * _SIGNS[k])
+            grams = mix64(grams + words[k : k + len(grams)] * SIGNS[k])
         pieces = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo >= n:
@@ -96,7 +56,7 @@ class Sets:
             elif hi > lo:  # fewer words than n: the whole sequence
                 whole = np.array([hi - lo], np.uint64)
                 for w in words[lo:hi]:
-                    whole = mix64(whole * _BASE + w)
+                    whole = mix64(whole * BASE + w)
                 pieces.append(whole)
             else:
                 pieces.append(grams[:0])
@@ -118,15 +78,23 @@ class Sets:
 
     def digests(self) -> np.ndarray:
         """Names of the sets; the empty set's is 0."""
-        total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(self.grams * _BASE + np.uint64(7)), dtype=np.uint64)))
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(self.grams * BASE + np.uint64(7)), dtype=np.uint64)))
         own = total[self.offsets[1:]] - total[self.offsets[:-1]]
         return np.where(self.sizes > 0, mix64(own + self.sizes.astype(np.uint64)).view(np.int64), 0)
 
-    def bitmaps(self) -> list[bytes]:
-        bits = np.zeros((len(self.sizes), BITS), np.uint8)
-        bits[np.repeat(np.arange(len(self.sizes)), self.sizes), (self.grams & np.uint64(BITS - 1)).astype(np.int64)] = 1
-        packed = np.packbits(bits, axis=1)
-        return [row.tobytes() for row in packed]
+    def bitmaps(self) -> tuple[list[bytes], list[bytes]]:
+        """A small bitmap of BITS bits and a wide one of 4 to 8 bits per member (a power of two, BITS at least),
+        so that wide ones of different lengths fold onto each other."""
+        sizes = self.sizes
+        width = np.maximum(BITS, 4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        ends = np.cumsum(width)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        bits[(ends - width)[owner] + (self.grams & (width - 1).astype(np.uint64)[owner]).astype(np.int64)] = 1
+        wide = np.packbits(bits, bitorder="little")
+        small = np.zeros((len(sizes), BITS), np.uint8)
+        small[owner, (self.grams & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        return [row.tobytes() for row in np.packbits(small, axis=1)], [wide[lo // 8 : hi // 8].tobytes() for lo, hi in zip((ends - width).tolist(), ends.tolist(), strict=True)]
 
     def only(self, keep: np.ndarray) -> Sets:
         """The sets at the given places."""
@@ -187,7 +155,7 @@ def tiles(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(fresh)
         content = np.add.reduceat(mixed, starts)
         owner = place[starts]
-        names.append(mix64(content * _BASE + mix64(where[starts] + salt[owner])))
+        names.append(mix64(content * BASE + mix64(where[starts] + salt[owner])))
         owners.append(owner)
         empty = k.astype(np.int64) - np.bincount(owner, minlength=len(sizes))
         spare = np.where(k > 1, SPARE, 0)
@@ -209,15 +177,16 @@ def _lower(texts: pa.Array) -> pa.Array:
 
 
 def _nodes(rows: DataFrame, n: int) -> DataFrame:
-    """(id, size, node, bits) of each document."""
+    """(id, size, node, bits, wide) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunked(_lower(batch.column(1))):
                 sets = Sets(texts, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(sets.bitmaps(), pa.binary())], ["id", "size", "node", "bits"])
+                small, wide = sets.bitmaps()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(small, pa.binary()), pa.array(wide, pa.binary())], ["id", "size", "node", "bits", "wide"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, size long, node long, bits binary")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, size long, node long, bits binary, wide binary")
 
 
 def _fresh(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -293,12 +262,21 @@ def _shared(tiled: DataFrame, parts: int | None = None) -> DataFrame:
     return spread.mapInArrow(run, "tile long, node long, lead long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _only(table: DataFrame, names: DataFrame, few: int, *on) -> DataFrame:
+    """The rows of ``table`` that ``names`` picks; up to ``few`` names (8 bytes each) are broadcast, more are
+    met in a shuffle."""
+    names = stored(names)
+    return table.join(F.broadcast(names) if names.count() <= few else names, *on, "left_semi")
+
+
 def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
-    """(node, grams) for the nodes of ``wanted``, once each: of every node one document is read again. Up to
-    ``few`` ids are broadcast; more meet the documents in a shuffle."""
-    ids = stored(unique.join(wanted, "node", "left_semi").select(F.col("least").alias("wanted")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= few else ids
-    picked = rows.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    """(node, grams) for the nodes of ``wanted``, once each: of every node one document is read again."""
+    ids = unique.join(wanted, "node", "left_semi").select(F.col("least").alias("wanted")).distinct()
+    picked = _only(rows, ids, few, F.col("id").eqNullSafe(F.col("wanted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -340,15 +318,29 @@ def words_of(bits: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
 
 
-def _could_link(unique: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    a = unique.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
-    b = unique.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+def _could_link(nodes: DataFrame, pairs: DataFrame, percent: int, few: int) -> DataFrame:
+    """The pairs that sizes and wide bitmaps do not rule out."""
+    known = _only(nodes.select("node", "size", "wide"), _ends(pairs), few, "node").dropDuplicates(["node"])
+    a = known.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("wide").alias("wa"))
+    b = known.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("wide").alias("wb"))
 
     @F.pandas_udf("boolean")
-    def bound(na: pd.Series, ba: pd.Series, nb: pd.Series, bb: pd.Series) -> pd.Series:
-        return pd.Series(bound_passes(na.to_numpy(), words_of(ba), nb.to_numpy(), words_of(bb), percent))
+    def bound(na: pd.Series, wa: pd.Series, nb: pd.Series, wb: pd.Series) -> pd.Series:
+        out = []
+        for m, x, k, y in zip(na, wa, nb, wb, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = fold(x, len(y)), fold(y, len(x))
+            only_a, only_b = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+            most = min(m - only_a, k - only_b)
+            out.append(100 * most >= percent * (m + k - most))
+        return pd.Series(out, dtype=bool)
 
-    return pairs.join(a, "a").join(b, "b").filter(bound("na", "ba", "nb", "bb")).select("a", "b")
+    small = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.join(a, "a").join(b, "b").filter(small).filter(bound("na", "wa", "nb", "wb")).select("a", "b")
+
+
+def fold(bits: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
 
 
 def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -413,19 +405,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = Bands(percent)
     nodes = stored(_nodes(rows, n))
-    unique = nodes.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("id").alias("least"))
+    filled = nodes.filter("size > 0")
+    unique = stored(filled.groupBy("node").agg(F.min("size").alias("size"), F.min("id").alias("least")))
     live = stored(_shared(_tiled(rows, n, bands)))
-    stars = stored(_could_link(unique, live.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), percent))
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    edges = stored(_verify(stars, _sets_of(rows, n, ends(stars), unique, few), percent))
+    stars = stored(live.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    hopeful = stored(_could_link(filled, stars, percent, few))
+    edges = stored(_verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent))
     roots = components(edges)
     # What the stars left apart: tiles with several components.
     known = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tile", "node", "root")
     split = known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tile")
-    rest = stored(known.join(split, "tile").join(unique.select("node", "size", "bits"), "node"))
+    bits = _only(filled.select("node", "size", "bits"), live.select("node").distinct(), few, "node").dropDuplicates(["node"])
+    rest = known.join(split, "tile").join(bits, "node")
     more = stored(_across(rest, block, percent).join(stars, ["a", "b"], "left_anti"))
-    if more.take(1):
-        found = _verify(more, _sets_of(rows, n, ends(more), unique, few), percent)
+    hopeful = stored(_could_link(filled, more, percent, few))
+    if hopeful.take(1):
+        found = _verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent)
         roots = components(edges.unionByName(found))
     smallest = unique.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -433,3 +428,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked_rows = nodes.filter("size > 0").join(named, "node").select("id", "size", "component_id")
     empty = nodes.filter("size = 0").select("id", "size", F.col("id").alias("component_id"))
     return linked_rows.unionByName(empty).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 2_000_000) -> DataFrame:
+    """The documents, all columns, one of each group: the one with the smallest id. Rows that repeat an id are
+    one document."""
+    found = stored(near_duplicates(docs, id_col, text_col, n, percent, few))
+    names = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
+    names = F.broadcast(names) if names.count() <= few else names
+    left = docs.join(names, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    again = stored(found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("again")))
+    if not again.take(1):
+        return left
+    again = F.broadcast(again) if again.count() <= few else again
+    same = F.col(id_col).eqNullSafe(F.col("again"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -179,3 +179,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents, all columns, without those that have no language: no letter, or no label that reaches
+    ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.take(pa.array([i for i, name in enumerate(names) if name != "und" and scores[i] >= least], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -127,3 +127,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     turn = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
     out = salted.join(allotted, ["skey", "size", "salt"]).withColumn("copies", F.col("base") + F.when(turn <= F.col("more"), 1).otherwise(0))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "skey")
+
+
+def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it. Rows of one id are told apart by source
+    and size; where these are equal, the rows are alike to the mix."""
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    columns = docs.columns
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    turns = mixed.groupBy(key(F.col(id_col)).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("skey", "size", "copies"))).alias("__turns"))
+    rows = docs.withColumn("__key", key(F.col(id_col))).join(turns, "__key")
+    order = Window.partitionBy("__key").orderBy(source_key(F.col(source_col)), word_count(F.col(text_col)))
+    nth = F.when(F.size("__turns") == 1, 1).otherwise(F.row_number().over(order))
+    copies = F.element_at("__turns", nth.cast("int"))["copies"].cast("int")
+    return rows.withColumn("__copies", copies).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*columns)
