@@ -33,7 +33,6 @@ from attest.llm.common import stored
 from attest.llm.graph import components
 from attest.llm.hashing import BASE, SIGNS, SPACE, mix64, text_bytes, word_hashes
 
-BITS = 512
 SPARE = 2
 class Sets:
     """Sorted distinct n-gram hashes of several texts, end to end, with the offsets of each text's own."""
@@ -82,19 +81,17 @@ class Sets:
         own = total[self.offsets[1:]] - total[self.offsets[:-1]]
         return np.where(self.sizes > 0, mix64(own + self.sizes.astype(np.uint64)).view(np.int64), 0)
 
-    def bitmaps(self) -> tuple[list[bytes], list[bytes]]:
-        """A small bitmap of BITS bits and a wide one of 4 to 8 bits per member (a power of two, BITS at least),
-        so that wide ones of different lengths fold onto each other."""
+    def bitmaps(self) -> list[bytes]:
+        """A bitmap of 2 to 4 bits per member, a power of two, so that bitmaps of different lengths fold onto
+        each other."""
         sizes = self.sizes
-        width = np.maximum(BITS, 4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         ends = np.cumsum(width)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
         bits[(ends - width)[owner] + (self.grams & (width - 1).astype(np.uint64)[owner]).astype(np.int64)] = 1
-        wide = np.packbits(bits, bitorder="little")
-        small = np.zeros((len(sizes), BITS), np.uint8)
-        small[owner, (self.grams & np.uint64(BITS - 1)).astype(np.int64)] = 1
-        return [row.tobytes() for row in np.packbits(small, axis=1)], [wide[lo // 8 : hi // 8].tobytes() for lo, hi in zip((ends - width).tolist(), ends.tolist(), strict=True)]
+        packed = np.packbits(bits, bitorder="little")
+        return [packed[lo // 8 : hi // 8].tobytes() for lo, hi in zip((ends - width).tolist(), ends.tolist(), strict=True)]
 
     def only(self, keep: np.ndarray) -> Sets:
         """The sets at the given places."""
@@ -177,16 +174,15 @@ def _lower(texts: pa.Array) -> pa.Array:
 
 
 def _nodes(rows: DataFrame, n: int) -> DataFrame:
-    """(id, size, node, bits, wide) of each document."""
+    """(id, size, node, bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunked(_lower(batch.column(1))):
                 sets = Sets(texts, n)
-                small, wide = sets.bitmaps()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(small, pa.binary()), pa.array(wide, pa.binary())], ["id", "size", "node", "bits", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(sets.bitmaps(), pa.binary())], ["id", "size", "node", "bits"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, size long, node long, bits binary, wide binary")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, size long, node long, bits binary")
 
 
 def _fresh(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -305,42 +301,66 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
-def bound_passes(na: np.ndarray, x: np.ndarray, nb: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that sizes and bitmaps do not rule out. A bit set in one bitmap alone is a member of that set that
-    the other lacks, so the overlap is at most the size less such bits."""
-    only_a = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-    only_b = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-    most = np.minimum(na - only_a, nb - only_b)
-    return 100 * most >= percent * (na + nb - most)
+class Bitmaps:
+    """Bitmaps of several sets, side by side for each width; wider ones are folded when they meet narrower ones."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes], percent: int):
+        self.sizes, self.bits, self.percent = sizes, bits, percent
+        self.width = np.array([len(b) // 8 for b in bits], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of this width, with those twice and four times as wide folded to it; and their rows."""
+        if width not in self.folded:
+            row = np.full(len(self.bits), -1, np.int64)
+            own = np.flatnonzero((self.width >= width) & (self.width <= 4 * width))
+            row[own] = np.arange(len(own))
+            self.folded[width] = np.stack([fold(np.frombuffer(self.bits[i], np.uint64), width) for i in own.tolist()]), row
+        return self.folded[width]
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs that sizes and bitmaps do not rule out. A bit set in one bitmap alone is a member of that set
+        that the other lacks, so the overlap is at most the size less such bits."""
+        a, b = self.sizes[x], self.sizes[y]
+        ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent
+        least = np.minimum(self.width[x], self.width[y])
+        for width in np.unique(least[ok]).tolist():
+            some = np.flatnonzero(ok & (least == width))
+            table, row = self.at(width)
+            left, right = table[row[x[some]]], table[row[y[some]]]
+            both = left & right
+            common = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+            only_a = np.bitwise_count(left).sum(axis=1, dtype=np.int64) - common
+            only_b = np.bitwise_count(right).sum(axis=1, dtype=np.int64) - common
+            most = np.minimum(a[some] - only_a, b[some] - only_b)
+            ok[some] = 100 * most >= self.percent * (a[some] + b[some] - most)
+        return ok
 
 
-def words_of(bits: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
+def fold(bits: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
 
 
 def _could_link(nodes: DataFrame, pairs: DataFrame, percent: int, few: int) -> DataFrame:
-    """The pairs that sizes and wide bitmaps do not rule out."""
-    known = _only(nodes.select("node", "size", "wide"), _ends(pairs), few, "node").dropDuplicates(["node"])
-    a = known.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("wide").alias("wa"))
-    b = known.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("wide").alias("wb"))
+    """The pairs that sizes and bitmaps do not rule out."""
+    known = stored(_only(nodes.select("node", "size", "bits"), _ends(pairs), few, "node").dropDuplicates(["node"]))
+    a = known.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("wa"))
+    b = known.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("wb"))
+    sized = pairs.join(_known(a.select("a", "na"), few), "a").join(_known(b.select("b", "nb"), few), "b")
+    sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
     @F.pandas_udf("boolean")
     def bound(na: pd.Series, wa: pd.Series, nb: pd.Series, wb: pd.Series) -> pd.Series:
-        out = []
-        for m, x, k, y in zip(na, wa, nb, wb, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            x, y = fold(x, len(y)), fold(y, len(x))
-            only_a, only_b = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-            most = min(m - only_a, k - only_b)
-            out.append(100 * most >= percent * (m + k - most))
-        return pd.Series(out, dtype=bool)
+        n = len(na)
+        bitmaps = Bitmaps(np.concatenate((na.to_numpy(), nb.to_numpy())), [*wa, *wb], percent)
+        return pd.Series(bitmaps.may_link(np.arange(n), np.arange(n, 2 * n)))
 
-    small = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.join(a, "a").join(b, "b").filter(small).filter(bound("na", "wa", "nb", "wb")).select("a", "b")
+    return sized.join(a, "a").join(b, "b").filter(bound("na", "wa", "nb", "wb")).select("a", "b")
 
 
-def fold(bits: np.ndarray, length: int) -> np.ndarray:
-    return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
+def _known(table: DataFrame, few: int) -> DataFrame:
+    """Broadcast if it has at most ``few`` rows (of two numbers), else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= few else table
 
 
 def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -371,17 +391,15 @@ def _across(live: DataFrame, block: int, percent: int) -> DataFrame:
     meeting = dealt.select(F.xxhash64("tile", i, j).alias("meeting"), "node", "root", side.alias("side"), "size", "bits")
     meeting = meeting.repartition("meeting").sortWithinPartitions("meeting")
 
-    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
         group, node, root, side, size = (t.column(c).to_numpy() for c in ("meeting", "node", "root", "side", "size"))
-        bits = words_of(t.column("bits").to_pylist())
-        found: list[np.ndarray] = []
+        bitmaps = Bitmaps(size, t.column("bits").to_pylist(), percent)
         for x, y in pairs_across(group, root, side):
-            ok = bound_passes(size[x], bits[x], size[y], bits[y], percent)
+            ok = bitmaps.may_link(x, y)
             if ok.any():
-                found.append(np.stack([np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                a, b = node[x[ok]], node[y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -391,15 +409,24 @@ def _across(live: DataFrame, block: int, percent: int) -> DataFrame:
             group = batch.column(0).to_numpy()
             cut = int(np.searchsorted(group, group[-1]))  # the last meeting may go on
             if cut:
-                yield work([*held, batch.slice(0, cut)])
+                yield from work([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield work(held)
+            yield from work(held)
 
     return meeting.mapInArrow(run, "a long, b long").distinct()
 
 
+def _open_groups(live: DataFrame, roots: DataFrame, few: int) -> DataFrame:
+    """(tile, node, root): the members of tiles that hold several components. Tiles with the same first member
+    are taken together under its name, so that a node comes once however many of those tiles it is in."""
+    known = live.join(_known(roots, few), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed = stored(members.filter("x <> y").select("tile"))
+    return known.join(_known(mixed, few), "tile", "left_semi").select(F.col("lead").alias("tile"), "node", "root").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 2_000_000, block: int = 1_000) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, the row's own included."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -413,12 +440,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stored(_verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent))
     roots = components(edges)
     # What the stars left apart: tiles with several components.
-    known = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tile", "node", "root")
-    split = known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tile")
-    bits = _only(filled.select("node", "size", "bits"), live.select("node").distinct(), few, "node").dropDuplicates(["node"])
-    rest = known.join(split, "tile").join(bits, "node")
-    more = stored(_across(rest, block, percent).join(stars, ["a", "b"], "left_anti"))
-    hopeful = stored(_could_link(filled, more, percent, few))
+    rest = stored(_open_groups(live, roots, few))
+    bits = stored(_only(filled.select("node", "size", "bits"), rest.select("node").distinct(), few, "node").dropDuplicates(["node"]))
+    rest = rest.join(bits, "node")
+    hopeful = stored(_across(rest, block, percent).join(hopeful, ["a", "b"], "left_anti"))
     if hopeful.take(1):
         found = _verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent)
         roots = components(edges.unionByName(found))
