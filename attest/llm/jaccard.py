@@ -82,10 +82,10 @@ class Sets:
         return np.where(self.sizes > 0, mix64(own + self.sizes.astype(np.uint64)).view(np.int64), 0)
 
     def bitmaps(self) -> list[bytes]:
-        """A bitmap of 2 to 4 bits per member, a power of two, so that bitmaps of different lengths fold onto
-        each other."""
+        """A bitmap of 4 to 8 bits per member (8 to 16 for sets under 512), a power of two, so that bitmaps of
+        different lengths fold onto each other."""
         sizes = self.sizes
-        width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        width = np.maximum(64, np.where(sizes < 512, 8, 4) << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         ends = np.cumsum(width)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)

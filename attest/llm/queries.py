@@ -102,4 +102,13 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.d
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, p.y FROM r JOIN p ON p.x = r.reached)
 SELECT s.doc_id, len(s.grams) AS n_shingles, min(r.reached) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.grams""",
+    "op5_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}'))),
+e AS (SELECT *, length(replace(replace(replace(text, '%', '%25'), '<', '%3C'), '[', '%5B')) + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '[', '%5B'), chr(10), '%0A'))
+  + {len(chat.BEGIN) + 1 + len(chat.END)} AS block FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(block) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
