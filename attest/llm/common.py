@@ -52,3 +52,9 @@ def sample_fraction(rows: int, bound: int) -> float:
 def hash_unit(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*columns, F.lit("unit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows per Arrow batch for this session: texts are long, and a batch's size bounds a Python worker's memory
+    when several stages share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

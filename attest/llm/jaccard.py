@@ -307,32 +307,39 @@ class Bitmaps:
     def __init__(self, sizes: np.ndarray, bits: list[bytes], percent: int):
         self.sizes, self.bits, self.percent = sizes, bits, percent
         self.width = np.array([len(b) // 8 for b in bits], np.int64)
-        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bitmaps of this width, with those twice and four times as wide folded to it; and their rows."""
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bitmaps of this width, with those twice and four times as wide folded to it; their rows; their
+        bit counts."""
         if width not in self.folded:
             row = np.full(len(self.bits), -1, np.int64)
             own = np.flatnonzero((self.width >= width) & (self.width <= 4 * width))
             row[own] = np.arange(len(own))
-            self.folded[width] = np.stack([fold(np.frombuffer(self.bits[i], np.uint64), width) for i in own.tolist()]), row
+            table = np.stack([fold(np.frombuffer(self.bits[i], np.uint64), width) for i in own.tolist()])
+            self.folded[width] = table, row, np.bitwise_count(table).sum(axis=1, dtype=np.int64)
         return self.folded[width]
 
+    @staticmethod
+    def _pieces(ok: np.ndarray, least: np.ndarray, words: int = 1 << 19) -> Iterator[tuple[int, np.ndarray]]:
+        """Pairs of one width at a time, few enough that their bitmaps take 4 MB a side."""
+        for width in np.unique(least[ok]).tolist():
+            some = np.flatnonzero(ok & (least == width))
+            step = max(1, words // width)
+            for at in range(0, len(some), step):
+                yield width, some[at : at + step]
+
     def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Pairs that sizes and bitmaps do not rule out. A bit set in one bitmap alone is a member of that set
         that the other lacks, so the overlap is at most the size less such bits."""
         a, b = self.sizes[x], self.sizes[y]
         ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent
         least = np.minimum(self.width[x], self.width[y])
-        for width in np.unique(least[ok]).tolist():
-            some = np.flatnonzero(ok & (least == width))
-            table, row = self.at(width)
-            left, right = table[row[x[some]]], table[row[y[some]]]
-            both = left & right
-            common = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-            only_a = np.bitwise_count(left).sum(axis=1, dtype=np.int64) - common
-            only_b = np.bitwise_count(right).sum(axis=1, dtype=np.int64) - common
-            most = np.minimum(a[some] - only_a, b[some] - only_b)
+        for width, some in self._pieces(ok, least):
+            table, row, counts = self.at(width)
+            left, right = row[x[some]], row[y[some]]
+            common = np.bitwise_count(table[left] & table[right]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(a[some] - counts[left], b[some] - counts[right]) + common
             ok[some] = 100 * most >= self.percent * (a[some] + b[some] - most)
         return ok
 
@@ -363,13 +370,14 @@ def _known(table: DataFrame, few: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= few else table
 
 
-def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs in one group and of different roots; ``group`` is sorted. side: 0 for members of a block
-    that meets itself, else 1 or 2, and 1 meets 2 only. One array step per distance within a group."""
+def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in one group, of different roots and of sizes that could link; rows are sorted by group
+    and size. side: 0 for members of a block that meets itself, else 1 or 2, and 1 meets 2 only. One array step
+    per distance within a group; a row whose partner is too large has only larger ones further on."""
     distance, alive = 1, np.arange(len(group))
     while True:
         alive = alive[alive + distance < len(group)]
-        alive = alive[group[alive] == group[alive + distance]]
+        alive = alive[(group[alive] == group[alive + distance]) & (size[alive] * 100 >= size[alive + distance] * percent)]
         if not len(alive):
             return
         x, y = alive, alive + distance
@@ -389,13 +397,13 @@ def _across(live: DataFrame, block: int, percent: int) -> DataFrame:
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(i == j, 0).when(F.col("mine") == i, 1).otherwise(2)
     meeting = dealt.select(F.xxhash64("tile", i, j).alias("meeting"), "node", "root", side.alias("side"), "size", "bits")
-    meeting = meeting.repartition("meeting").sortWithinPartitions("meeting")
+    meeting = meeting.repartition("meeting").sortWithinPartitions("meeting", "size")
 
     def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
         group, node, root, side, size = (t.column(c).to_numpy() for c in ("meeting", "node", "root", "side", "size"))
         bitmaps = Bitmaps(size, t.column("bits").to_pylist(), percent)
-        for x, y in pairs_across(group, root, side):
+        for x, y in pairs_across(group, root, side, size, percent):
             ok = bitmaps.may_link(x, y)
             if ok.any():
                 a, b = node[x[ok]], node[y[ok]]
@@ -427,7 +435,7 @@ def _open_groups(live: DataFrame, roots: DataFrame, few: int) -> DataFrame:
     return known.join(_known(mixed, few), "tile", "left_semi").select(F.col("lead").alias("tile"), "node", "root").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 2_000_000, block: int = 1_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000, block: int = 1_000) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, the row's own included."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = Bands(percent)
@@ -455,7 +463,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked_rows.unionByName(empty).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 2_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000) -> DataFrame:
     """The documents, all columns, one of each group: the one with the smallest id. Rows that repeat an id are
     one document."""
     found = stored(near_duplicates(docs, id_col, text_col, n, percent, few))

@@ -190,15 +190,20 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+#: Where the classifier stands without evidence: exact hits count in full, misspelled ones half, quoted ones little.
+PRIOR = np.array([1.0, 0.5, 0.1, 0.5, 0.0, 0.0, 0.0])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Newton's method; the intercept is not shrunk. Rows: a bounded sample."""
+    """Newton's method, shrunk towards ``PRIOR``; the intercept is free. Rows: a bounded sample."""
     scale = np.maximum(x.std(axis=0), 1e-9)
     a = np.hstack([np.ones((len(x), 1)), x / scale])
+    prior = np.concatenate([[0.0], PRIOR * scale])
     beta = np.zeros(a.shape[1])
     shrink = np.diag([1e-6] + [ridge] * x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (y - p) - shrink @ beta)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (y - p) - shrink @ (beta - prior))
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -262,7 +267,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         scorer.beta = fit_logistic(np.array([r[:-1] for r in order]), np.array([r[-1] for r in order], float))
     else:
         rate = sizes[1] / n
-        scorer.beta = np.array([math.log(rate / (1 - rate)), 1.0, 0.5, 0.2, 0.5, 0.0, 0.0, 0.0])
+        scorer.beta = np.concatenate([[math.log(rate / (1 - rate))], PRIOR])
     return scorer
 
 

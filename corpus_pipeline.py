@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm import decontam, jaccard, langid, mixing, sharding
-from attest.llm.common import remainder, stored, table
+from attest.llm.common import remainder, small_batches, stored, table
 
 #: The stages learn, search and draw at random; SQL cannot say them. tests/llm checks them by brute force.
 ORACLE_SQL = None
@@ -14,12 +14,14 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language."""
+    small_batches(spark)
     model = langid.train(docs.filter(remainder(F.col("doc_id")) != 2))
     return langid.keep_identified(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return jaccard.keep_one(docs, n=5, percent=80)
 
 
