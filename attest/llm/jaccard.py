@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attest.llm.common import stored
 from attest.llm.graph import components
@@ -435,8 +436,9 @@ def _open_groups(live: DataFrame, roots: DataFrame, few: int) -> DataFrame:
     return known.join(_known(mixed, few), "tile", "left_semi").select(F.col("lead").alias("tile"), "node", "root").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000, block: int = 1_000) -> DataFrame:
-    """(id, n_shingles, component_id): the smallest id that links reach, the row's own included."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, few: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, size, node, bits) of every row, and (node, least, root) of every node: its smallest id (null if
+    none has one) and its component."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = Bands(percent)
     nodes = stored(_nodes(rows, n))
@@ -456,6 +458,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent)
         roots = components(edges.unionByName(found))
     smallest = unique.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes, smallest
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000, block: int = 1_000) -> DataFrame:
+    """(id, n_shingles, component_id): the smallest id that links reach, the row's own included."""
+    nodes, smallest = _grouped(docs, id_col, text_col, n, percent, few, block)
     names = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
     named = smallest.join(names, "root").select("node", "component_id")
     linked_rows = nodes.filter("size > 0").join(named, "node").select("id", "size", "component_id")
@@ -463,16 +471,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked_rows.unionByName(empty).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
+def _with_nodes(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """The rows, all columns, and the node of each text as ``__node``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _lower(pc.fill_null(batch.column(at), ""))
+            nodes = [Sets(piece, n).digests() for _, piece in chunked(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], [*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000) -> DataFrame:
-    """The documents, all columns, one of each group: the one with the smallest id. Rows that repeat an id are
-    one document."""
-    found = stored(near_duplicates(docs, id_col, text_col, n, percent, few))
-    names = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
-    names = F.broadcast(names) if names.count() <= few else names
-    left = docs.join(names, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
-    again = stored(found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("again")))
-    if not again.take(1):
+    """The documents, all columns, one of each group: the one with the smallest id (null last), then the smallest
+    node. Rows that share both id and set are one document; other texts under a repeated id, or under none, are
+    documents of their own. A text without words is no copy, so without an id each such row stays.
+
+    Where an id is one row's alone it tells whether the row goes; only rows of repeated or null ids are read
+    again for their nodes."""
+    nodes, smallest = _grouped(docs, id_col, text_col, n, percent, few, 1_000)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    stays = stored(smallest.groupBy("root").agg(first.alias("first")).select("first.node", F.col("first.least").alias("__least"), F.lit(True).alias("named")))
+    own = F.col("named").isNotNull() & F.col("id").eqNullSafe(F.col("__least"))
+    judged = nodes.select("id", "size", "node").join(stays, "node", "left").select("id", ((F.col("size") == 0) | own).alias("stays"))
+    by_id = stored(judged.groupBy("id").agg(F.count("*").alias("n"), F.min("stays").alias("stays")).filter("id is null or n > 1 or not stays"))
+    alone, again = by_id.filter("id is not null and n = 1"), by_id.filter("id is not null and n > 1")
+    alone, again = (t.select(F.col("id").alias("__id")) for t in (alone, again))
+    same = F.col(id_col) == F.col("__id")
+    left = docs.join(_known(alone, few), same, "left_anti")
+    repeats, nulls = bool(again.take(1)), bool(by_id.filter("id is null").take(1))
+    if not repeats and not nulls:
         return left
-    again = F.broadcast(again) if again.count() <= few else again
-    same = F.col(id_col).eqNullSafe(F.col("again"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
+    again = _known(again, few)
+    left = left.filter(F.col(id_col).isNotNull()).join(again, same, "left_anti")
+    doubtful = docs.filter(F.col(id_col).isNull()).unionByName(docs.filter(F.col(id_col).isNotNull()).join(again, same, "left_semi"))
+    doubtful = _with_nodes(doubtful, text_col, n)
+    picks = _known(stays.select(F.col("node").alias("__pick"), "__least"), few)
+    filled = doubtful.filter("__node <> 0").join(picks, (F.col("__node") == F.col("__pick")) & F.col(id_col).eqNullSafe(F.col("__least")), "left_semi")
+    empty = doubtful.filter("__node = 0")
+    one = filled.unionByName(empty.filter(F.col(id_col).isNotNull())).dropDuplicates([id_col, "__node"])
+    return left.unionByName(one.unionByName(empty.filter(F.col(id_col).isNull())).drop("__node"))

@@ -255,6 +255,22 @@ def test_jaccard_edges(spark, odd):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_keep_one_by_row(spark, few):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = {k: t + " more" for k, t in text.items()}
+    rows = [(2, text["a"]), (7, near["a"]), (7, text["b"]), (7, text["b"]), (7, text["c"]), (None, text["d"]), (None, text["e"]), (None, text["e"]), (None, near["e"]), (None, near["c"])]
+    rows += [(8, text["f"]), (9, near["f"]), (9, text["g"]), (10, text["g"]), (None, ""), (None, None), (11, ""), (11, " "), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in jaccard.keep_one(docs, few=few).collect()]
+    assert sum(1 for i, t in kept if i is None and not t) == 2 and sorted(i for i, t in kept if i and not (t or "").strip()) == [11, 12]
+    filled = [(i, t) for i, t in kept if (t or "").strip()]
+    one_of_e = [t for i, t in filled if i is None and t in (text["e"], near["e"])]
+    assert len(one_of_e) == 1
+    rest = sorted((i or 0, t) for i, t in filled if t not in (text["e"], near["e"]))
+    assert rest == sorted([(2, text["a"]), (7, text["b"]), (7, text["c"]), (0, text["d"]), (8, text["f"]), (9, text["g"])])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
