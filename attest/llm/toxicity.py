@@ -9,8 +9,9 @@ Entries of ``FUZZY_LENGTH`` letters or more match within one edit (a swap of nei
 quoted; the classifier has a weight of its own for those, learned from the labels.
 *Score.* Logistic regression over a handful of sums of term weights.
 
-The lexicon and the classifier are fitted on a bounded sample, about ``bound`` labelled rows (the smallest
-hashes of their ids). Null and empty texts are scored as texts without a hit. Without labels of both classes
+The lexicon is counted over all labelled rows but those that fit the classifier; only these are a bounded
+sample, a third of about ``bound`` rows (the smallest hashes of their ids), drawn by class so that the rarer one is
+not lost, the intercept corrected for it. Null and empty texts are scored as texts without a hit. Without labels of both classes
 the score is the base rate. Repeated rows are scored each; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_unit, sample_fraction
+from attest.llm.common import hash_unit, sample_fraction, stored
 
 FUZZY_LENGTH, WINDOW, STEMS = 5, 4, (4, 5, 6, 7)
 #: Words that announce someone else's words.
@@ -210,31 +211,47 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return np.concatenate([beta[:1], beta[1:] / scale])
 
 
+def class_fractions(clean: int, toxic: int, bound: int) -> tuple[float, float]:
+    """Shares of clean and toxic rows to draw, about ``bound`` in all: the rarer class gives up to half of them."""
+    if clean + toxic <= bound:
+        return 1.0, 1.0
+    rarer = min(clean, toxic, bound // 2)
+    drawn = (bound - rarer, rarer) if toxic <= clean else (rarer, bound - rarer)
+    return sample_fraction(clean, drawn[0]), sample_fraction(toxic, drawn[1])
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 12_000, least: int = 4, entries: int = 2_000) -> Scorer:
     """Learn lexicon and classifier from ``labelled`` (already only rows that may be learned from).
 
-    A third of the sample fits the classifier, the rest the lexicon, so that the weights are judged on
-    documents that did not choose the entries. ``entries`` bounds the lexicon (strongest first)."""
+    A third of a sample of ``bound`` rows fits the classifier, all other rows the lexicon, so that the weights are
+    judged on documents that did not choose the entries. ``entries`` bounds the lexicon (strongest first)."""
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     if not sizes.get(0) or not sizes.get(1):
         rate = sizes.get(1, 0) / n if n else 0.0
         return Scorer([], [], [], np.array([math.log((rate + 1e-3) / (1 - rate + 1e-3))] + [0.0] * FEATURES))
-    picked = rows.filter(hash_unit(F.col("id")) < sample_fraction(n, bound)).withColumn("fit", F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(3)) == 0)
+    fraction = class_fractions(sizes[0], sizes[1], bound)
+    drawn = hash_unit(F.col("id")) < F.when(F.col("y") == 1, fraction[1]).otherwise(fraction[0])
+    picked = rows.withColumn("fit", drawn & (F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(3)) == 0))
+
+    def rows_of(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        names = sorted(counts[1].keys() | counts[0].keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], ["term", "toxic", "clean"])
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch], room: int = 500_000) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {bare(t) for t in set(WORDS.findall(text))} - {""}
                 counts[y == 1].update({"w" + w for w in words} | {"s" + w[:k] for w in words for k in STEMS if len(w) > k} | {"d"})
-        names = sorted(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], ["term", "toxic", "clean"])
-        rest = sorted(counts[0].keys() - counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][t] for t in rest], pa.int64())], ["term", "toxic", "clean"])
+                if len(counts[0]) + len(counts[1]) > room:  # the sums go on in the aggregation
+                    yield rows_of(counts)
+                    counts = (Counter(), Counter())
+        yield rows_of(counts)
 
     counted = picked.filter("not fit").select("text", "y").mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = stored(counted.filter((F.col("term") == "d") | (F.col("toxic") >= least)))
     base = counted.filter("term = 'd'").select(F.col("toxic").alias("toxic_docs"), F.col("clean").alias("clean_docs"))
     head = base.first()
     toxic_docs, clean_docs = (head["toxic_docs"], head["clean_docs"]) if head else (0, 0)
@@ -265,6 +282,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if len({r["y"] for r in seen}) == 2:
         order = sorted(([*r["x"], r["y"]] for r in seen))
         scorer.beta = fit_logistic(np.array([r[:-1] for r in order]), np.array([r[-1] for r in order], float))
+        scorer.beta[0] -= math.log(fraction[1] / fraction[0])
     else:
         rate = sizes[1] / n
         scorer.beta = np.concatenate([[math.log(rate / (1 - rate))], PRIOR])

@@ -354,6 +354,13 @@ def test_toxicity_edges(spark, odd, empty):
     assert 0 <= nothing.score("x") <= 1
 
 
+def test_toxicity_rare_terms(spark):
+    rows = [(i, f"you are such an {'zonkhead' if i % 100 == 0 else 'expert'} today {i}", int(i % 100 == 0)) for i in range(6000)]
+    scorer = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), bound=300)
+    assert "zonkhead" in scorer.words and scorer.score("an zonkhead") > 0.5 and scorer.score("an expert") < 0.1
+    assert toxicity.class_fractions(200, 100, 300) == (1, 1) and toxicity.class_fractions(5940, 60, 300) == (240 / 5940, 1) and toxicity.class_fractions(1000, 9000, 300) == (0.15, 150 / 9000)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
