@@ -113,8 +113,8 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1), cuts
 
-    def opened(self, ids: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """(first cell, block) of the passages and blocks that may reach the threshold."""
+    def opened(self, ids: np.ndarray, cell: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(first cell, block) of the passages and blocks that may reach the threshold. first: each text's first cell."""
         known = ids >= 0
         at, term = cell[known], ids[known]
         count = self.starts[term + 1] - self.starts[term]
@@ -124,7 +124,11 @@ class Index:
         place = np.repeat(self.starts[term] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(term) else np.zeros(0, np.int64)
         key, back = np.unique(np.repeat(at, count) * self.blocks + self.block_of[place], return_inverse=True)
         sums = np.bincount(back, self.max_of[place], len(key)) if len(key) else np.zeros(0)
-        # A window is a cell and the next one.
+        # A window is a cell and the next one. The essential terms may all lie in the second, optional ones before it.
+        ahead = np.setdiff1d(key[~np.isin(key // max(1, self.blocks), first)] - self.blocks, key)
+        key, sums = np.concatenate((key, ahead)), np.concatenate((sums, np.zeros(len(ahead))))
+        order = np.argsort(key)
+        key, sums = key[order], sums[order]
         following = np.searchsorted(key, key + self.blocks)
         more = np.zeros(len(key))
         hit = following < len(key)
@@ -161,7 +165,7 @@ class Index:
             text_of = np.repeat(np.arange(len(own)), counts)
             cell = first[text_of] + (np.arange(len(ids)) - cuts[text_of]) // CELL
             found: dict[int, dict[int, float]] = defaultdict(dict)
-            for at, block in self.opened(ids, cell).tolist():
+            for at, block in self.opened(ids, cell, first).tolist():
                 k = int(np.searchsorted(first, at, side="right")) - 1
                 start = int(cuts[k]) + (at - int(first[k])) * CELL
                 for u, score in self.retrieve(ids[start : min(start + 2 * CELL, int(cuts[k + 1]))], block):

@@ -187,6 +187,19 @@ def test_decontamination_long_item_and_edges(spark, odd):
     assert decontam.clean(odd, items).count() == odd.count()
 
 
+def test_decontamination_across_cells():
+    """A copy cut short is found wherever cells part its common words, all optional, from its rare ones."""
+    common = [f"c{k}" for k in range(24)]
+    rare = lambda i, n: [f"r{i}x{k}" for k in range(n)]
+    items = [(i, " ".join([*common, *rare(i, 15)] if i < 10 else rare(i, 39))) for i in range(20)]
+    index = decontam.Index(items, 0.6)
+    copy = " ".join(items[3][1].split()[:36])
+    texts = [" ".join([*["filler"] * before, copy]) for before in range(130)]
+    assert [p for p, n, *_ in index.search(texts, 0.8) if n == 3] == list(range(130))
+    # Cells of one text are no windows of the text before.
+    assert {p for p, *_ in index.search([" ".join(common), " ".join(rare(3, 12)), ""], 0.8)} == set()
+
+
 def test_token_counts(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
