@@ -9,8 +9,10 @@
    the normal form, which settles equality; partial sums collapse hot groups before the shuffle.
 
 Null texts count as empty, so they equal empty ones. Of equal texts the row with the largest id stays; equal
-ids tie harmlessly (``kept`` is then true for each of those rows). Nothing is collected to the driver but one
-count. Other columns are ignored, whatever their names.
+ids tie harmlessly (``kept`` is then true for each of those rows). A row without an id stays only where no row of
+its text has one, and then ties alike: ``keep_id`` is null and ``kept`` is true. The driver collects one count;
+up to ``broadcast_prints`` fingerprints pass through it in a broadcast join. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -121,27 +123,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = marked.filter("suspect").select("print").distinct()
     n = wanted.count()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    few = None
-    if n <= broadcast_prints:
-        few = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
     kind = dict(rows.dtypes)["id"]
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = normal(batch.column(1))
             prints = np.fromiter((xxhash.xxh3_64_intdigest(t.as_buffer()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            keep = np.ones(len(texts), bool)
-            if few is not None:
-                at = np.searchsorted(few.value, prints)
-                keep = few.value[np.minimum(at, len(few.value) - 1)] == prints if len(few.value) else np.zeros(len(texts), bool)
-            picked = pa.array(np.flatnonzero(keep))
-            own = texts.take(picked)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), pa.array(prints[keep]), own.cast(pa.binary()), pa.array([hashlib.sha256(t.as_buffer()).digest() for t in own], pa.binary())], ["id", "print", "bytes", "sha"])
-
-    suspect_texts = rows.mapInArrow(reread, f"id {kind}, print long, bytes binary, sha binary")
-    if few is None:
-        suspect_texts = suspect_texts.join(wanted, "print", "left_semi")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), texts.cast(pa.binary())], ["id", "print", "bytes"])
+
+    suspect_texts = rows.mapInArrow(reread, f"id {kind}, print long, bytes binary")
+    suspect_texts = suspect_texts.join(F.broadcast(wanted) if n <= broadcast_prints else wanted, "print", "left_semi")
+    suspect_texts = suspect_texts.withColumn("sha", F.unhex(F.sha2("bytes", 256)))
     classes = suspect_texts.groupBy("sha", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).drop("bytes")
     again = marked.filter("suspect").join(classes, "sha").select("id", "keep_id", "group_size", "sha")
     alone = marked.filter("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    return again.unionByName(alone).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return again.unionByName(alone).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

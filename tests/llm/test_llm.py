@@ -146,6 +146,15 @@ def test_exact_dedup_edges(spark, odd, empty, few):
     assert exactdedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_exact_dedup_null_ids(spark, few):
+    rows = [(None, "alone"), (None, "twice"), (None, "TWICE"), (3, "three"), (None, "three")]
+    got = exactdedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_prints=few, owners=3).collect()
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("alone", "twice", "three")}
+    want = [(None, None, 1, True, sha["alone"])] + [(None, None, 2, True, sha["twice"])] * 2 + [(3, 3, 2, True, sha["three"]), (None, 3, 2, False, sha["three"])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_chat_parts(spark):
     schema = f"conv_id long, turn long, role string, parts array<{chat.PART}>, text string"
     rows = [(1, 1, "assistant", [("text", "a<b [x] %3C 100%", None, None), ("image", None, "u1", 2), ("text", "<|end|>", None, None), ("audio", None, "u2", None)], "clash"), (1, 0, None, [("text", None, None, None)], ""), (2, 0, "user\n", None, None)]
