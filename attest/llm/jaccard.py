@@ -4,37 +4,46 @@
 are one node from here on, named by a 64-bit digest of the set.
 *Tiles.* Sizes fall into bands whose ends are 1/t apart, so partners lie in the same or in neighbouring bands.
 For a pair of bands the symmetric difference of partners is at most H = (1-t)/(1+t) * (a+b). Hash space is cut
-into more than H slices; partners must then agree in a whole slice, and with ``SPARE`` further slices they must
-agree in one that is not empty. A tile is (band, slice, content of the slice): all partners share a tile, and
-documents that merely share a passage hardly ever do.
-*Inside tiles.* First every member is compared with the tile's first member only, which joins large groups of
-near copies in a number of comparisons that is linear in their size. Then only tiles that still hold several
-components are looked at, and in them only pairs of different components. Pairs are compared by size, then by
-the bound that their bitmaps' bit counts put on the overlap, and at last by intersecting the sorted arrays.
-
-The result is exact up to collisions of 64-bit hashes. No caps: tiles larger than ``block`` members are worked
-off in pairs of blocks. A null text or one without words has an empty set and no links; fewer words than n are
-one n-gram. Repeated ids link by their texts like any others. Other columns are ignored.
+into H + 1 + m slices, so partners agree in at least m + 1 of them. Every set orders its slices by one rule that
+looks at a slice's content alone and leaves out the last m: the best slice that two partners agree in has at most
+H before it, so neither leaves it out. The rule prefers slices with many n-grams that are not ``popular``. A tile is
+(band, slice, content); all partners share one, and documents that merely share a passage hardly ever do.
+``popular`` n-grams are those that repeat among a bounded sample of ``sample`` sets. They sort slices and decide
+nothing else: whatever the sample holds, no link is lost.
+*Meetings.* Tiles with the same members are one group. First every node meets the first member of the groups it
+shares most with, which joins large families of near copies in a number of comparisons linear in their size. Then
+groups that still hold several components are compared in full. A meeting compares blocks of bounded size in one
+task: sizes and bitmaps rule pairs out, members without a possible partner leave, and for the rest the sorted
+arrays are intersected. Only links that join two components of a meeting come out, fewer than it has members.
+
+The result is exact up to collisions of 64-bit hashes. No caps: groups larger than a block are worked off in pairs
+of blocks, so a family of documents that are all similar but below the threshold costs comparisons that grow
+with the square of its size; they are matrix products, and their rows never leave a task. A null text or one
+without words has an empty set and no links; fewer words than n are one n-gram. Repeated ids link by their texts
+like any others. Empty tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.llm.common import stored
+from attest.llm.common import stored, unused
 from attest.llm.graph import components
 from attest.llm.hashing import BASE, SIGNS, SPACE, mix64, text_bytes, word_hashes
 
-SPARE = 2
+#: One slice in so many more than a set names is left out.
+LEFT_OUT = 4
+#: Rows of one tile that are held in memory; longer tiles go out in pieces.
+HELD = 100_000
+
+
 class Sets:
     """Sorted distinct n-gram hashes of several texts, end to end, with the offsets of each text's own."""
 
@@ -114,52 +123,55 @@ def chunked(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Arra
 
 
 class Bands:
-    """Bands of sizes for a threshold of ``percent``: [1..1], [2..2], ... each ends at floor(first / t)."""
+    """Bands of sizes for a threshold of ``percent``: [1..1], [2..2], ... each ends at floor(first / t). For pairs whose
+    larger set lies in a band, the smaller in it or in the one before: ``slices`` of hash space and the ``quota`` of
+    them that a set names (0 where partners must be equal)."""
 
     def __init__(self, percent: int, longest: int = 1 << 26):
-        self.percent, self.firsts = percent, [1]
-        while self.firsts[-1] <= longest:
-            self.firsts.append(self.firsts[-1] * 100 // percent + 1)
-        self._firsts = np.array(self.firsts)
-        self.slices = []
-        for i in range(len(self.firsts) - 1):
-            # Pairs worked off in band i: the larger set in band i, the smaller in i or i - 1.
-            high = self.firsts[i + 1] - 1
-            differ = math.floor(2 * high * (100 - percent) / (100 + percent) + 1e-9)
-            self.slices.append(differ + 1 + (SPARE if differ else 0))
-
-        self._slices = np.array(self.slices)
+        firsts = [1]
+        while firsts[-1] <= longest:
+            firsts.append(firsts[-1] * 100 // percent + 1)
+        self.firsts = np.array(firsts)
+        high = np.append(self.firsts[1:], self.firsts[-1] * 100 // percent + 1) - 1
+        differ = 2 * high * (100 - percent) // (100 + percent)
+        self.quota = np.where(differ > 0, differ + 1, 0)
+        self.slices = self.quota + -(-self.quota // LEFT_OUT)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self._firsts, sizes, side="right") - 1
+        return np.searchsorted(self.firsts, sizes, side="right") - 1
 
 
-def tiles(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Tile names of the sets, for their own bands and the next, and the place of each name's set."""
+def tiles(sets: Sets, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tile names of the sets, for their own bands and the next, and the place of each name's set. popular: sorted."""
     sizes = sets.sizes
-    filled = np.flatnonzero(sizes)
-    if not len(filled):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if not len(sets.grams):
+        return names[0].view(np.int64), owners[0]
     place = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix64(sets.grams + np.uint64(11))
-    names, owners = [], []
+    own = np.ones(len(mixed), np.int64)
+    if len(popular):
+        own = (popular[np.minimum(np.searchsorted(popular, sets.grams), len(popular) - 1)] != sets.grams).astype(np.int64)
     for step in (0, 1):
         band = bands.of(np.maximum(sizes, 1)) + step
-        k = bands._slices[band].astype(np.uint64)
+        k, quota = bands.slices[band], np.where(sizes > 0, bands.quota[band], 0)
         salt = (band + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        where = (sets.grams >> np.uint64(32)) * k[place] >> np.uint64(32)  # sorted within a set, as the hashes are
+        where = (sets.grams >> np.uint64(32)) * k[place].astype(np.uint64) >> np.uint64(32)  # sorted within a set, as the hashes are
         fresh = np.ones(len(where), bool)
         fresh[1:] = (where[1:] != where[:-1]) | (place[1:] != place[:-1])
         starts = np.flatnonzero(fresh)
-        content = np.add.reduceat(mixed, starts)
         owner = place[starts]
-        names.append(mix64(content * BASE + mix64(where[starts] + salt[owner])))
-        owners.append(owner)
-        empty = k.astype(np.int64) - np.bincount(owner, minlength=len(sizes))
-        spare = np.where(k > 1, SPARE, 0)
-        for i in np.flatnonzero((empty > spare) & (sizes > 0)):
-            # More empty slices than spare ones: agreement may be in empty slices only.
-            none = np.setdiff1d(np.arange(k[i], dtype=np.uint64), where[starts[owner == i]])
+        name = mix64(np.add.reduceat(mixed, starts) * BASE + mix64(where[starts] + salt[owner]))
+        # Best first: n-grams of its own, then n-grams, then by name.
+        rank = np.minimum(np.add.reduceat(own, starts), 255) * 256 + np.minimum(np.diff(np.append(starts, len(where))), 255)
+        order = np.argsort(owner.astype(np.uint64) << np.uint64(48) | (65535 - rank).astype(np.uint64) << np.uint64(32) | name >> np.uint64(32), kind="stable")
+        filled = np.bincount(owner, minlength=len(sizes))
+        nth = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+        keep = order[nth < quota[owner[order]]]
+        names.append(name[keep])
+        owners.append(owner[keep])
+        for i in np.flatnonzero(filled < quota):  # empty slices come last
+            none = np.setdiff1d(np.arange(k[i], dtype=np.uint64), where[starts[owner == i]])[: quota[i] - filled[i]]
             names.append(mix64(mix64(none + salt[i]) + np.uint64(13)))
             owners.append(np.full(len(none), i))
     return np.concatenate(names).view(np.int64), np.concatenate(owners)
@@ -196,8 +208,24 @@ def _fresh(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _tiled(rows: DataFrame, n: int, bands: Bands) -> DataFrame:
+def _popular(rows: DataFrame, n: int, unique: DataFrame, few: int, sample: int, least: int = 4, entries: int = 200_000) -> np.ndarray:
+    """The n-grams (at most ``entries``, the commonest) that at least ``least`` of about ``sample`` distinct sets hold."""
+    share = min(1.0, sample / max(1, unique.count()))
+    some = unique.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+    counts = _sets_of(rows, n, some, unique, few).select("grams").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    common = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(entries).collect()
+    return np.sort(np.array([r["gram"] for r in common], np.int64).view(np.uint64))
+
+
+def _tiled(rows: DataFrame, n: int, bands: Bands, popular: np.ndarray) -> DataFrame:
     """(tile, node), once per task for each node."""
+    shared = rows.sparkSession.sparkContext.broadcast(popular)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -206,74 +234,72 @@ def _tiled(rows: DataFrame, n: int, bands: Bands) -> DataFrame:
                 sets = Sets(texts, n)
                 nodes = sets.digests()
                 keep = _fresh(nodes, seen)
-                names, owners = tiles(sets.only(keep), bands)
+                names, owners = tiles(sets.only(keep), bands, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[keep][owners])], ["tile", "node"])
 
     return rows.mapInArrow(run, "tile long, node long")
 
 
-def _shared(tiled: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows of tiles with more than one node, and the first node of each tile."""
-    spread = tiled.repartition("tile") if parts is None else tiled.repartition(parts, "tile")
-    spread = spread.sortWithinPartitions("tile", "node")
+def _shared(tiled: DataFrame) -> DataFrame:
+    """(tile, node, lead) of tiles with more than one node; lead is the tile's first node. Tiles with the same members
+    are one, named by them; those too long for a batch keep their own names."""
+    spread = tiled.repartition("tile").sortWithinPartitions("tile", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] | None = None
-        first: int | None = None  # of the tile that runs over from earlier batches
-        for batch in batches:
-            tile, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held is not None:
-                tile, node = np.concatenate((held[0], tile)), np.concatenate((held[1], node))
-            # The last row waits for its neighbour.
-            yield from _emit(tile[:-1], node[:-1], first, tile[-1:], node[-1:])
-            if len(tile) > 1:
-                same = np.flatnonzero(tile[:-1] == tile[-1])
-                first = (first if first is not None and same[0] == 0 else int(node[same[0]])) if len(same) else None
-            held = tile[-1:], node[-1:]
-        if held is not None:
-            yield from _emit(held[0], held[1], first, held[0][:0], held[1][:0])
-
-    def _emit(tile: np.ndarray, node: np.ndarray, first: int | None, next_tile: np.ndarray, next_node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(tile: np.ndarray, node: np.ndarray, first: int | None, open_: bool) -> Iterator[pa.RecordBatch]:
+        """first: the first node of the tile that runs over from earlier batches; open_: the last tile may go on."""
         if not len(tile):
             return
         start = np.concatenate(([True], tile[1:] != tile[:-1]))
+        fresh = start.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        if first is not None and node[0] == first:
+            fresh[0] = False
         head = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
-        firsts = node[head]
+        lead, members = node[head].copy(), np.add.reduceat(fresh.astype(np.int64), head)
+        name = mix64(np.add.reduceat(np.where(fresh, mix64(node.view(np.uint64) + np.uint64(17)), np.uint64(0)), head) + members.astype(np.uint64)).view(np.int64)
+        if first is not None:
+            lead[0], name[0] = first, tile[0]
+        several = members > 1
         if first is not None:
-            firsts = firsts.copy()
-            firsts[0] = first
-        lead = firsts[group]
-        after = np.concatenate((tile[1:], next_tile if len(next_tile) else tile[:0]))
-        beyond = np.concatenate((node[1:], next_node if len(next_node) else node[:0]))
-        follows = np.zeros(len(tile), bool)
-        follows[: len(after)] = (after == tile[: len(after)]) & (beyond != node[: len(beyond)])
-        last_of = np.concatenate((head[1:], [len(tile)])) - 1
-        several = np.zeros(len(head), bool)
-        several |= node[last_of] != firsts  # sorted: a tile has several nodes if its last differs from its first
-        several[-1] |= follows[-1]
-        keep = several[group]
+            several[0] = True
+        if open_:
+            name[-1], several[-1] = tile[-1], True
+        group = np.cumsum(start) - 1
+        keep = several[group] & fresh
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tile[keep]), pa.array(node[keep]), pa.array(lead[keep])], ["tile", "node", "lead"])
-
-    return spread.mapInArrow(run, "tile long, node long, lead long")
+            yield pa.RecordBatch.from_arrays([pa.array(name[group[keep]]), pa.array(node[keep]), pa.array(lead[group[keep]])], ["tile", "node", "lead"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds the last tile back, up to ``HELD`` rows of it; a longer one goes out in pieces."""
+        tile, node, first, of = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+        for batch in batches:
+            tile, node = np.concatenate((tile, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+            if not len(tile):
+                continue
+            if tile[0] != of:
+                first = None
+            last = int(np.searchsorted(tile, tile[-1]))
+            if last:
+                yield from emit(tile[:last], node[:last], first, False)
+                tile, node, first = tile[last:], node[last:], None
+            if len(tile) > HELD:
+                yield from emit(tile, node, first, True)
+                tile, node, first, of = tile[:0], node[:0], int(node[0]) if first is None else first, int(tile[0])
+        yield from emit(tile, node, first, False)
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return spread.mapInArrow(run, "tile long, node long, lead long").groupBy("tile", "node", "lead").agg(F.count("*").alias("n"))
 
 
-def _only(table: DataFrame, names: DataFrame, few: int, *on) -> DataFrame:
-    """The rows of ``table`` that ``names`` picks; up to ``few`` names (8 bytes each) are broadcast, more are
-    met in a shuffle."""
-    names = stored(names)
-    return table.join(F.broadcast(names) if names.count() <= few else names, *on, "left_semi")
+def _known(table: DataFrame, few: int) -> DataFrame:
+    """Broadcast if it has at most ``few`` rows (of a few numbers), else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= few else table
 
 
 def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
-    """(node, grams) for the nodes of ``wanted``, once each: of every node one document is read again."""
-    ids = unique.join(wanted, "node", "left_semi").select(F.col("least").alias("wanted")).distinct()
-    picked = _only(rows, ids, few, F.col("id").eqNullSafe(F.col("wanted")))
+    """(node, grams) for the nodes of ``wanted``: of every node the documents with its least id are read again, so
+    sets of other nodes may come along, and the same set several times."""
+    ids = stored(unique.join(_known(wanted, few), "node", "left_semi").select(F.col("least").alias("wanted")).distinct())
+    picked = rows.join(_known(ids, few), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -284,22 +310,7 @@ def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few:
                 keep = _fresh(nodes, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array([sets.of(i).tobytes() for i in keep.tolist()], pa.binary())], ["node", "grams"])
 
-    return picked.select("text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ga, gb = batch.column(2), batch.column(3)
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(ga, gb, strict=True)]
-            keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
-
-    return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return picked.select("text").mapInArrow(run, "node long, grams binary")
 
 
 class Bitmaps:
@@ -349,28 +360,6 @@ def fold(bits: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0) if len(bits) > length else bits
 
 
-def _could_link(nodes: DataFrame, pairs: DataFrame, percent: int, few: int) -> DataFrame:
-    """The pairs that sizes and bitmaps do not rule out."""
-    known = stored(_only(nodes.select("node", "size", "bits"), _ends(pairs), few, "node").dropDuplicates(["node"]))
-    a = known.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("wa"))
-    b = known.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("wb"))
-    sized = pairs.join(_known(a.select("a", "na"), few), "a").join(_known(b.select("b", "nb"), few), "b")
-    sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-
-    @F.pandas_udf("boolean")
-    def bound(na: pd.Series, wa: pd.Series, nb: pd.Series, wb: pd.Series) -> pd.Series:
-        n = len(na)
-        bitmaps = Bitmaps(np.concatenate((na.to_numpy(), nb.to_numpy())), [*wa, *wb], percent)
-        return pd.Series(bitmaps.may_link(np.arange(n), np.arange(n, 2 * n)))
-
-    return sized.join(a, "a").join(b, "b").filter(bound("na", "wa", "nb", "wb")).select("a", "b")
-
-
-def _known(table: DataFrame, few: int) -> DataFrame:
-    """Broadcast if it has at most ``few`` rows (of two numbers), else left to a shuffle."""
-    return F.broadcast(table) if table.count() <= few else table
-
-
 def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs in one group, of different roots and of sizes that could link; rows are sorted by group
     and size. side: 0 for members of a block that meets itself, else 1 or 2, and 1 meets 2 only. One array step
@@ -388,74 +377,180 @@ def pairs_across(group: np.ndarray, root: np.ndarray, side: np.ndarray, size: np
         distance += 1
 
 
-def _across(live: DataFrame, block: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components in one tile that could link, from
-    live(tile, node, root, size, bits). Tiles are cut into blocks of about ``block`` members; a block meets
-    itself and every other block of its tile, each meeting in one task."""
-    sizes = live.groupBy("tile").agg(F.count("*").alias("n"))
-    cut = live.join(sizes, "tile").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _stars(live: DataFrame) -> DataFrame:
+    """(node, lead): of every node the first member that it shares most tiles with."""
+    shared = live.filter("node <> lead").groupBy("node", "lead").agg(F.sum("n").alias("n"))
+    return shared.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+
+
+def _star_meetings(stars: DataFrame, sizes: DataFrame, block: int, room: int, few: int) -> DataFrame:
+    """meetings(meeting, side, node, root, size) of every node with its lead; a lead that is many nodes' comes to
+    one meeting for each block of them."""
+    sized = stars.join(sizes, "node")
+    blocks = stored(sized.groupBy("lead").agg(_blocks(block, room).alias("blocks")))
+    name = F.xxhash64("lead", "mine")
+    nodes = sized.join(_known(blocks, few), "lead").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    leads = blocks.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sizes.withColumnRenamed("node", "lead"), "lead")
+    return nodes.select(name.alias("meeting"), F.lit(1).alias("side"), "node", F.col("node").alias("root"), "size").unionByName(
+        leads.select(name.alias("meeting"), F.lit(2).alias("side"), F.col("lead").alias("node"), F.col("lead").alias("root"), "size"))
+
+
+def _blocks(block: int, room: int) -> Column:
+    """Blocks of about ``block`` members and ``room`` n-grams for the rows of a group with column ``size``."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum("size") / room)).cast("int")
+
+
+def _group_meetings(live: DataFrame, roots: DataFrame, stars: DataFrame, sizes: DataFrame, block: int, room: int, few: int) -> DataFrame:
+    """meetings(meeting, side, node, root, size) of the tiles that hold several components. Tiles with the same first
+    member are taken together under its name, so that a node comes once however many of those tiles it is in. Each
+    group is cut into blocks; a block meets itself and every other block of its group. A group of two that have met
+    as node and lead is left out."""
+    known = live.join(_known(roots, few), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = stored(known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tile"))
+    members = known.join(_known(mixed, few), "tile", "left_semi").select("lead", "node", "root").distinct()
+    members = members.join(stars.withColumnRenamed("lead", "met"), "node", "left").join(sizes, "node")
+    members = stored(members.select("lead", "node", "root", "size", (F.col("met") == F.col("lead")).alias("met")))
+    cut = members.groupBy("lead").agg(_blocks(block, room).alias("blocks"), F.count("*").alias("n"), F.coalesce(F.bool_or("met"), F.lit(False)).alias("met"))
+    cut = stored(cut.filter("not (n = 2 and met)").select("lead", "blocks"))
+    mine = members.join(_known(cut, few), "lead").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(i == j, 0).when(F.col("mine") == i, 1).otherwise(2)
-    meeting = dealt.select(F.xxhash64("tile", i, j).alias("meeting"), "node", "root", side.alias("side"), "size", "bits")
-    meeting = meeting.repartition("meeting").sortWithinPartitions("meeting", "size")
-
-    def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        group, node, root, side, size = (t.column(c).to_numpy() for c in ("meeting", "node", "root", "side", "size"))
-        bitmaps = Bitmaps(size, t.column("bits").to_pylist(), percent)
-        for x, y in pairs_across(group, root, side, size, percent):
-            ok = bitmaps.may_link(x, y)
-            if ok.any():
-                a, b = node[x[ok]], node[y[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return dealt.select(F.xxhash64("lead", i, j).alias("meeting"), side.alias("side"), "node", "root", "size")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which every meeting (the first column, sorted) is whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        meeting = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != meeting[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(meeting, meeting[-1]))  # the last meeting may go on
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hopeful(meetings: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The rows of the meetings that have a partner whom sizes and bitmaps do not rule out."""
+    gathered = meetings.join(bits, "node").select("meeting", "side", "node", "root", "size", "bits")
+    gathered = gathered.repartition("meeting").sortWithinPartitions("meeting", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(group, group[-1]))  # the last meeting may go on
-            if cut:
-                yield from work([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from work(held)
-
-    return meeting.mapInArrow(run, "a long, b long").distinct()
+        for t in _whole(batches):
+            group, side, _, root, size = (t.column(c).to_numpy() for c in range(5))
+            bitmaps = Bitmaps(size, t.column(5).to_pylist(), percent)
+            hope = np.zeros(len(group), bool)
+            for x, y in pairs_across(group, root, side, size, percent):
+                ok = bitmaps.may_link(x, y)
+                hope[x[ok]] = hope[y[ok]] = True
+            if hope.any():
+                yield from t.select(range(5)).filter(pa.array(hope)).combine_chunks().to_batches()
+
+    return gathered.mapInArrow(run, meetings.schema)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted distinct arrays, as products of their 0/1 matrix."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]  # what one set alone holds is in no intersection
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, step = np.zeros((len(sets), len(sets)), np.float32), 2048
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, (at, at + step))
+        some = np.zeros((len(sets), step), np.float32)
+        some[row[lo:hi], column[lo:hi] - at] = 1
+        out += some @ some.T
+    return out.astype(np.int64)  # exact: sets hold fewer than 2^24 n-grams, see links
+
+
+def links(node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs (x, y) that join components of one meeting, fewer than its members."""
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent.setdefault(parent[i], parent[i])
+        return i
+
+    out = []
+
+    def join(i: int, j: int) -> None:
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            parent[a] = b
+            out.append((int(node[i]), int(node[j])))
+
+    used = np.unique(np.concatenate((x, y)))
+    if len(x) > 2 * len(used) and max(len(sets[i]) for i in used.tolist()) < 1 << 24:  # float32 counts exactly up to there
+        place = np.zeros(len(node), np.int64)
+        place[used] = np.arange(len(used))
+        size = np.array([len(sets[i]) for i in used.tolist()])
+        both = overlaps([sets[i] for i in used.tolist()])[place[x], place[y]]
+        ok = 100 * both >= percent * (size[place[x]] + size[place[y]] - both)
+        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            join(i, j)
+    else:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            if find(int(root[i])) != find(int(root[j])) and linked(sets[i], sets[j], percent):
+                join(i, j)
+    return out
+
+
+def _links(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a meeting; the sorted arrays are intersected inside it."""
+    gathered = hopeful.join(sets, "node").select("meeting", "side", "node", "root", "size", "grams")
+    gathered = gathered.repartition("meeting").sortWithinPartitions("meeting", "size")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            group, side, node, root, size = (t.column(c).to_numpy() for c in range(5))
+            sets = [np.frombuffer(g.as_buffer(), np.uint64) for chunk in t.column(5).chunks for g in chunk]
+            pairs = list(pairs_across(group, root, side, size, percent))
+            if not pairs:
+                continue
+            x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            order = np.argsort(x, kind="stable")  # rows are sorted by meeting
+            x, y = x[order], y[order]
+            ends = np.flatnonzero(np.diff(group[x])) + 1
+            found = [e for xs, ys in zip(np.split(x, ends), np.split(y, ends), strict=True) for e in links(node, root, side, sets, xs, ys, percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _open_groups(live: DataFrame, roots: DataFrame, few: int) -> DataFrame:
-    """(tile, node, root): the members of tiles that hold several components. Tiles with the same first member
-    are taken together under its name, so that a node comes once however many of those tiles it is in."""
-    known = live.join(_known(roots, few), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = known.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    mixed = stored(members.filter("x <> y").select("tile"))
-    return known.join(_known(mixed, few), "tile", "left_semi").select(F.col("lead").alias("tile"), "node", "root").distinct()
+    return gathered.mapInArrow(run, "a long, b long")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, few: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, few: int, block: int, room: int = 1 << 20, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """nodes(id, size, node, bits) of every row, and (node, least, root) of every node: its smallest id (null if
     none has one) and its component."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bands = Bands(percent)
     nodes = stored(_nodes(rows, n))
     filled = nodes.filter("size > 0")
     unique = stored(filled.groupBy("node").agg(F.min("size").alias("size"), F.min("id").alias("least")))
-    live = stored(_shared(_tiled(rows, n, bands)))
-    stars = stored(live.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    hopeful = stored(_could_link(filled, stars, percent, few))
-    edges = stored(_verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent))
+    sizes = unique.select("node", "size")
+    live = stored(_shared(_tiled(rows, n, Bands(percent), _popular(rows, n, unique, few, sample))))
+    bits = stored(filled.select("node", "bits").join(_known(live.select("node").distinct(), few), "node", "left_semi").dropDuplicates(["node"]))
+
+    def meet(meetings: DataFrame) -> DataFrame:
+        hopeful = stored(_hopeful(meetings, bits, percent))
+        return stored(_links(hopeful, _sets_of(rows, n, hopeful.select("node").distinct(), unique, few), percent))
+
+    stars = stored(_stars(live))
+    edges = meet(_star_meetings(stars, sizes, block, room, few))
     roots = components(edges)
-    # What the stars left apart: tiles with several components.
-    rest = stored(_open_groups(live, roots, few))
-    bits = stored(_only(filled.select("node", "size", "bits"), rest.select("node").distinct(), few, "node").dropDuplicates(["node"]))
-    rest = rest.join(bits, "node")
-    hopeful = stored(_across(rest, block, percent).join(hopeful, ["a", "b"], "left_anti"))
-    if hopeful.take(1):
-        found = _verify(hopeful, _sets_of(rows, n, _ends(hopeful), unique, few), percent)
+    found = meet(_group_meetings(live, roots, stars, sizes, block, room, few))
+    if found.take(1):
         roots = components(edges.unionByName(found))
     smallest = unique.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return nodes, smallest
@@ -471,17 +566,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked_rows.unionByName(empty).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
-def _with_nodes(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """The rows, all columns, and the node of each text as ``__node``."""
+def _with_nodes(docs: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
+    """The rows, all columns, and the node of each text under ``name``."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _lower(pc.fill_null(batch.column(at), ""))
             nodes = [Sets(piece, n).digests() for _, piece in chunked(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], [*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, few: int = 200_000) -> DataFrame:
@@ -493,13 +588,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     again for their nodes."""
     nodes, smallest = _grouped(docs, id_col, text_col, n, percent, few, 1_000)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
-    stays = stored(smallest.groupBy("root").agg(first.alias("first")).select("first.node", F.col("first.least").alias("__least"), F.lit(True).alias("named")))
-    own = F.col("named").isNotNull() & F.col("id").eqNullSafe(F.col("__least"))
+    stays = stored(smallest.groupBy("root").agg(first.alias("first")).select("first.node", "first.least", F.lit(True).alias("named")))
+    own = F.col("named").isNotNull() & F.col("id").eqNullSafe(F.col("least"))
     judged = nodes.select("id", "size", "node").join(stays, "node", "left").select("id", ((F.col("size") == 0) | own).alias("stays"))
     by_id = stored(judged.groupBy("id").agg(F.count("*").alias("n"), F.min("stays").alias("stays")).filter("id is null or n > 1 or not stays"))
-    alone, again = by_id.filter("id is not null and n = 1"), by_id.filter("id is not null and n > 1")
-    alone, again = (t.select(F.col("id").alias("__id")) for t in (alone, again))
-    same = F.col(id_col) == F.col("__id")
+    mine, pick, least, node = unused(docs, "id_", "pick_", "least_", "node_")
+    alone, again = (by_id.filter(f"id is not null and {n}").select(F.col("id").alias(mine)) for n in ("n = 1", "n > 1"))
+    same = F.col(id_col) == F.col(mine)
     left = docs.join(_known(alone, few), same, "left_anti")
     repeats, nulls = bool(again.take(1)), bool(by_id.filter("id is null").take(1))
     if not repeats and not nulls:
@@ -507,9 +602,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     again = _known(again, few)
     left = left.filter(F.col(id_col).isNotNull()).join(again, same, "left_anti")
     doubtful = docs.filter(F.col(id_col).isNull()).unionByName(docs.filter(F.col(id_col).isNotNull()).join(again, same, "left_semi"))
-    doubtful = _with_nodes(doubtful, text_col, n)
-    picks = _known(stays.select(F.col("node").alias("__pick"), "__least"), few)
-    filled = doubtful.filter("__node <> 0").join(picks, (F.col("__node") == F.col("__pick")) & F.col(id_col).eqNullSafe(F.col("__least")), "left_semi")
-    empty = doubtful.filter("__node = 0")
-    one = filled.unionByName(empty.filter(F.col(id_col).isNotNull())).dropDuplicates([id_col, "__node"])
-    return left.unionByName(one.unionByName(empty.filter(F.col(id_col).isNull())).drop("__node"))
+    doubtful = _with_nodes(doubtful, text_col, n, node)
+    picks = _known(stays.select(F.col("node").alias(pick), F.col("least").alias(least)), few)
+    filled = doubtful.filter(F.col(node) != 0).join(picks, (F.col(node) == F.col(pick)) & F.col(id_col).eqNullSafe(F.col(least)), "left_semi")
+    empty = doubtful.filter(F.col(node) == 0)
+    one = filled.unionByName(empty.filter(F.col(id_col).isNotNull())).dropDuplicates([id_col, node])
+    return left.unionByName(one.unionByName(empty.filter(F.col(id_col).isNull())).drop(node))
