@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the warehouse; a temporary
+    one only where all of Spark runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
         folder = tempfile.mkdtemp(prefix="attest-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows per Arrow batch for the jobs inside: texts are long, and a batch's size bounds the memory
+    of a Python worker and of the JVM that fills it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, rows: int = 1_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor
     costs a re-read of a file rather than a re-run. The files live under ``attest-<application>`` and can
     go once the application has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attest-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,9 +80,3 @@ def sample_fraction(rows: int, bound: int) -> float:
 def hash_unit(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*columns, F.lit("unit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Rows per Arrow batch for this session: texts are long, and a batch's size bounds a Python worker's memory
-    when several stages share an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

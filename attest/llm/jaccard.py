@@ -48,7 +48,7 @@ class Sets:
     """Sorted distinct n-gram hashes of several texts, end to end, with the offsets of each text's own."""
 
     def __init__(self, texts: pa.Array, n: int):
-        data, at = text_bytes(texts)
+        data, at = text_bytes(pc.ascii_lower(texts))
         if not len(data):
             self.grams, self.offsets = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
             return
@@ -182,16 +182,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _lower(texts: pa.Array) -> pa.Array:
-    return pc.ascii_lower(texts)
-
-
 def _nodes(rows: DataFrame, n: int) -> DataFrame:
     """(id, size, node, bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunked(_lower(batch.column(1))):
+            for at, texts in chunked(batch.column(1)):
                 sets = Sets(texts, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(sets.bitmaps(), pa.binary())], ["id", "size", "node", "bits"])
 
@@ -214,30 +210,35 @@ def _popular(rows: DataFrame, n: int, unique: DataFrame, few: int, sample: int,
     some = unique.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0))]), return_counts=True)
+        for sets, _, keep in _each_once(batches, n):
+            grams, counts = np.unique(sets.only(keep).grams, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    counts = _sets_of(rows, n, some, unique, few).select("grams").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = _read_again(rows, some, unique, few).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     common = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(entries).collect()
     return np.sort(np.array([r["gram"] for r in common], np.int64).view(np.uint64))
 
 
+def _each_once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[Sets, np.ndarray, np.ndarray]]:
+    """(sets, nodes, places of the nodes new to this task) of the texts in the first column, piece by piece."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, texts in chunked(batch.column(0)):
+            sets = Sets(texts, n)
+            nodes = sets.digests()
+            yield sets, nodes, _fresh(nodes, seen)
+
+
 def _tiled(rows: DataFrame, n: int, bands: Bands, popular: np.ndarray) -> DataFrame:
     """(tile, node), once per task for each node."""
     shared = rows.sparkSession.sparkContext.broadcast(popular)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in chunked(_lower(batch.column(1))):
-                sets = Sets(texts, n)
-                nodes = sets.digests()
-                keep = _fresh(nodes, seen)
-                names, owners = tiles(sets.only(keep), bands, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[keep][owners])], ["tile", "node"])
+        for sets, nodes, keep in _each_once(batches, n):
+            names, owners = tiles(sets.only(keep), bands, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(nodes[keep][owners])], ["tile", "node"])
 
-    return rows.mapInArrow(run, "tile long, node long")
+    return rows.select("text").mapInArrow(run, "tile long, node long")
 
 
 def _shared(tiled: DataFrame) -> DataFrame:
@@ -269,11 +270,21 @@ def _shared(tiled: DataFrame) -> DataFrame:
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(name[group[keep]]), pa.array(node[keep]), pa.array(lead[group[keep]])], ["tile", "node", "lead"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+                held = []
+        if held:
+            yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Holds the last tile back, up to ``HELD`` rows of it; a longer one goes out in pieces."""
         tile, node, first, of = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
-        for batch in batches:
-            tile, node = np.concatenate((tile, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+        for more in joined(batches):
+            tile, node = np.concatenate((tile, more[0])), np.concatenate((node, more[1]))
             if not len(tile):
                 continue
             if tile[0] != of:
@@ -295,22 +306,21 @@ def _known(table: DataFrame, few: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= few else table
 
 
-def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
-    """(node, grams) for the nodes of ``wanted``: of every node the documents with its least id are read again, so
-    sets of other nodes may come along, and the same set several times."""
+def _read_again(rows: DataFrame, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
+    """Texts for the nodes of ``wanted``: of every node the documents with its least id, so texts of other nodes may
+    come along, and the same text several times."""
     ids = stored(unique.join(_known(wanted, few), "node", "left_semi").select(F.col("least").alias("wanted")).distinct())
-    picked = rows.join(_known(ids, few), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    return rows.join(_known(ids, few), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+
+def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, unique: DataFrame, few: int) -> DataFrame:
+    """(node, grams) for the nodes of ``wanted``, and perhaps for others or several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in chunked(_lower(batch.column(0))):
-                sets = Sets(texts, n)
-                nodes = sets.digests()
-                keep = _fresh(nodes, seen)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array([sets.of(i).tobytes() for i in keep.tolist()], pa.binary())], ["node", "grams"])
+        for sets, nodes, keep in _each_once(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array([sets.of(i).tobytes() for i in keep.tolist()], pa.binary())], ["node", "grams"])
 
-    return picked.select("text").mapInArrow(run, "node long, grams binary")
+    return _read_again(rows, wanted, unique, few).mapInArrow(run, "node long, grams binary")
 
 
 class Bitmaps:
@@ -572,8 +582,7 @@ def _with_nodes(docs: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _lower(pc.fill_null(batch.column(at), ""))
-            nodes = [Sets(piece, n).digests() for _, piece in chunked(texts)]
+            nodes = [Sets(pc.fill_null(piece, ""), n).digests() for _, piece in chunked(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
