@@ -28,13 +28,23 @@ def deltas(attempts: DataFrame) -> DataFrame:
     return attempts.select("analysis_id", "user_id", (F.col("score") - F.coalesce(before, F.lit(0))).alias("delta"))
 
 
-def standing(attempts: DataFrame) -> DataFrame:
-    """Share of the user's earlier attempts that each attempt beats; whether it is the best or lowest so far."""
-    w = Window.partitionBy("user_id").orderBy("created_at", "analysis_id").rowsBetween(Window.unboundedPreceding, -1)
-    past = attempts.withColumn("past", F.sort_array(F.collect_list("score").over(w)))
-    n, beaten = F.size("past"), F.size(F.filter("past", lambda s: s < F.col("score")))
-    label = F.when(n == 0, "first").when(beaten == n, "best").when(F.col("score") < F.array_min("past"), "lowest").otherwise("between")
-    return past.select("analysis_id", "user_id", F.round(F.when(n > 0, beaten / F.greatest(n, F.lit(1))), 6).alias("beats"), label.alias("label"))
+def standing(attempts: DataFrame, bits: int = 7) -> DataFrame:
+    """Share of the user's earlier attempts that each attempt beats; whether it is the best or lowest so far. Scores
+    are below 2 to the power of ``bits``.
+
+    Earlier and lower: for each bit that is 1 in the score, count the earlier scores with the same higher bits and a
+    0 there. Those are running counts, and each user's rows are spread over the prefixes; no list is kept."""
+    order = ["created_at", "analysis_id"]
+    w = Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    past = attempts.select("analysis_id", "user_id", *order[:1], "score", F.count("score").over(w).alias("n"), F.min("score").over(w).alias("low"))
+    levels = past.select("analysis_id", "user_id", "created_at", "score", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    levels = levels.withColumn("power", F.pow(F.lit(2), F.col("bit")).cast("int")).withColumn("one", F.floor(F.col("score") / F.col("power")) % 2 == 1)
+    prefix = Window.partitionBy("user_id", "bit", F.floor(F.col("score") / (F.col("power") * 2))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    lower = levels.withColumn("lower", F.when(F.col("one"), F.count(F.when(~F.col("one"), 1)).over(prefix)).otherwise(0))
+    beaten = lower.groupBy("analysis_id").agg(F.sum("lower").alias("beaten"))
+    n = F.col("n")
+    label = F.when(n == 0, "first").when(F.col("beaten") == n, "best").when(F.col("score") < F.col("low"), "lowest").otherwise("between")
+    return past.join(beaten, "analysis_id").select("analysis_id", "user_id", F.round(F.when(n > 0, F.col("beaten") / F.greatest(n, F.lit(1))), 6).alias("beats"), label.alias("label"))
 
 
 def candidate_stats(attempts: DataFrame, unscored: str, n: int = 20) -> DataFrame:

@@ -43,7 +43,7 @@ def _section_of(clean: Column) -> Column:
         return F.struct(lower.alias("lower"), (upper | titled).alias("styled"))
 
     def split(p: Column) -> Column:
-        parts = F.filter(F.transform(F.split(p["lower"], r"\s*(?:&|/|\||,|\+|\band\b)\s*"), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(p["lower"], r"\s*(?:&|/|\||,|\+|\band\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
         return F.struct(p["lower"].alias("lower"), p["styled"].alias("styled"), parts.alias("parts"), words(p["lower"]).alias("tail"))
 
     def found(p: Column) -> Column:
@@ -179,7 +179,7 @@ def is_candidate(line: Column, section: Column) -> Column:
 
 def looks_like_list(text: Column) -> Column:
     body = F.when(F.instr(F.substring(text, 1, 40), ":") > 0, F.substr(text, F.instr(text, ":") + 1)).otherwise(text)
-    parts = F.filter(F.transform(F.split(body, r"[,;|•·]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(body, r"[,;|•·]"), lambda p: F.trim(p)), lambda p: p != "")
     total = F.aggregate(parts, F.lit(0), lambda n, p: n + word_count(p))
     return (F.size(parts) >= 3) & (total / F.greatest(F.size(parts), F.lit(1)) <= 3) & (score.verb_strength(text) == 0)
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.functions.text import let
+from attest.sources.shared import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,16 +24,128 @@ def normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def topk(queries: DataFrame, guides: DataFrame, k: int = 3, guide_bound: int = 10_000) -> DataFrame:
-    """The k nearest guides of each query by cosine, best first, ties by id. Guides are few by their nature (a
-    hand-written set); more than ``guide_bound`` are refused rather than broadcast."""
-    if guides.limit(guide_bound + 1).count() > guide_bound:
-        raise ValueError(f"more than {guide_bound} guides")
-    g = guides.agg(F.collect_list(F.struct(F.col("vec_id").alias("guide_id"), normalise(F.col("embedding")).alias("g"))).alias("guides"))
-    scored = queries.join(F.broadcast(g)).select("vec_id", normalise(F.col("embedding")).alias("q"), "guides")
-    hits = F.transform("guides", lambda x: F.struct((-F.round(dot(F.col("q"), x["g"]), 3)).alias("minus"), x["guide_id"].alias("guide_id")))
-    best = scored.select("vec_id", F.slice(F.array_sort(hits), 1, k).alias("hits"))
-    return best.select("vec_id", F.posexplode("hits").alias("pos", "hit")).select("vec_id", (F.col("pos") + 1).alias("rank"), "hit.guide_id", (-F.col("hit.minus")).alias("score"))
+#: Vectors per block; a block of guides and one of queries meet in one product.
+BLOCK = 4_096
+
+
+def _nearest(q_id: np.ndarray, q: np.ndarray, g_id: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, guide, score to 3 places) of the k best guides of each query; ties by id. Rows of zeros score 0."""
+    score = q @ g.T
+    score = np.sign(score) * np.floor(np.abs(score) * 1000 + 0.5) / 1000
+    order = np.lexsort((np.broadcast_to(g_id, score.shape), -score), axis=1)[:, :k]
+    return np.repeat(q_id, order.shape[1]), g_id[order].ravel(), np.take_along_axis(score, order, axis=1).ravel()
+
+
+def _matrix(vectors) -> np.ndarray:
+    """Rows of unit length as doubles; a zero vector stays zero."""
+    m = np.array([np.asarray(v, np.float64) for v in vectors])
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(m) else m
+    return m / np.where(norm > 0, norm, 1) if len(m) else m
+
+
+def topk(queries: DataFrame, guides: DataFrame, k: int = 3, few: int = 10_000) -> DataFrame:
+    """The k nearest guides of each query by cosine, best first, ties by id: (vec_id, rank, guide_id, score).
+
+    Up to ``few`` guides are sent to every task; more are met in blocks, each pair of blocks one product that keeps
+    its own k best, of which the k best stay."""
+    spark, schema = queries.sparkSession, "vec_id long, guide_id long, score double"
+    q, g = (t.filter("embedding is not null").select("vec_id", "embedding") for t in (queries, guides))
+    some = g.limit(few + 1).collect()
+    if len(some) <= few:
+        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), _matrix([r["embedding"] for r in some])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g_id, m = shared.value
+            for batch in batches:
+                if batch.num_rows and len(g_id):
+                    own = _nearest(batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist()), g_id, m, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["vec_id", "guide_id", "score"])
+
+        hits = q.mapInArrow(run, schema)
+    else:
+        blocks = lambda t: F.lit(max(1, -(-t.count() // BLOCK)))
+        n, m = blocks(q), blocks(g)
+        left = q.select("*", F.pmod(F.xxhash64("vec_id"), n).alias("i"), F.explode(F.sequence(F.lit(0), m - 1)).alias("j"))
+        right = g.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), F.pmod(F.xxhash64("vec_id"), m).alias("j"))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"vec_id": [], "guide_id": [], "score": []})
+            return pd.DataFrame(dict(zip(("vec_id", "guide_id", "score"), _nearest(a["vec_id"].to_numpy(), _matrix(a["embedding"]), b["vec_id"].to_numpy(), _matrix(b["embedding"]), k), strict=True)))
+
+        hits = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "guide_id"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "rank", "guide_id", "score")
+
+
+def _all_blocks(vectors: DataFrame, meet, schema: str) -> DataFrame:
+    """``meet(a, b)`` of every pair of blocks of unit vectors (vec_id, v), each pair in one task."""
+    v = vectors.filter("embedding is not null").select("vec_id", normalise(F.col("embedding")).alias("v")).filter("v is not null")
+    n = F.lit(max(1, -(-v.count() // BLOCK)))
+    own = stored(v.withColumn("i", F.pmod(F.xxhash64("vec_id"), n)))
+    left = own.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
+    right = own.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
+
+
+def _products(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, ids, products) for each length of vectors; those of different lengths have nothing in common."""
+    wide, narrow = a["v"].map(len), b["v"].map(len)
+    for width in sorted(set(wide) & set(narrow)):
+        x, y = a[wide == width], b[narrow == width].sort_values("vec_id")
+        yield x["vec_id"].to_numpy(), y["vec_id"].to_numpy(), np.stack(x["v"].to_list()) @ np.stack(y["v"].to_list()).T
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """(vec_id, other_id, score) of the best other vector whose cosine is at least ``threshold``, ties by id. A zero
+    vector has no other."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"vec_id": [], "other_id": [], "score": []})]
+        for x, y, score in _products(a, b):
+            score[x[:, None] == y[None, :]] = -2
+            at = score.argmax(axis=1)
+            out.append(pd.DataFrame({"vec_id": x, "other_id": y[at], "score": score[np.arange(len(x)), at]}))
+        found = pd.concat(out)
+        return found[found["score"] >= threshold]
+
+    first = F.max_by(F.struct("other_id", "score"), F.struct("score", -F.col("other_id")))
+    met = _all_blocks(vectors, best, "vec_id long, other_id long, score double")
+    return met.groupBy("vec_id").agg(first.alias("x")).select("vec_id", "x.other_id", "x.score")
+
+
+def cache_profile(queries: DataFrame, threshold: float = 0.93, rounds: int = 1_000) -> DataFrame:
+    """One row: exact hits, semantic hits, misses and entries of a log of queries (vec_id in order, key, embedding). A
+    query whose key is an entry is an exact hit, one with a vector close to an earlier entry's a semantic hit; any other
+    is a miss and becomes an entry.
+
+    Which first queries of a key become entries depends on earlier ones: each round decides those without an
+    undecided earlier neighbour."""
+    keys = stored(queries.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    firsts = queries.join(keys.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+
+    def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"earlier": [], "id": []})]
+        for x, y, score in _products(a, b):
+            i, j = np.nonzero((score >= threshold) & (x[:, None] < y[None, :]))
+            out.append(pd.DataFrame({"earlier": x[i], "id": y[j]}))
+        return pd.concat(out)
+
+    links = stored(_all_blocks(firsts, close, "earlier long, id long"))
+    decided = keys.join(links, "id", "left_anti").select("id", F.lit(True).alias("entry"))
+    for _ in range(rounds):
+        decided = stored(decided)
+        open_ = links.join(decided.select("id"), "id", "left_anti").join(decided.withColumnRenamed("id", "earlier"), "earlier", "left")
+        state = open_.groupBy("id").agg(F.bool_or(F.coalesce("entry", F.lit(False))).alias("hit"), F.bool_or(F.col("entry").isNull()).alias("waits"))
+        settled = state.filter("hit or not waits").select("id", (~F.col("hit")).alias("entry"))
+        if not settled.take(1):
+            break
+        decided = decided.unionByName(settled)
+    else:
+        raise RuntimeError("the cache did not settle")
+    each = keys.join(decided, "id")
+    entry, n = F.col("entry"), F.col("n")
+    return each.agg(F.coalesce(F.sum(F.when(entry, n - 1)), F.lit(0)).alias("exact_hits"), F.coalesce(F.sum(F.when(~entry, n)), F.lit(0)).alias("semantic_hits"), F.count_if(entry).alias("misses"), F.count_if(entry).alias("entries"))
 
 
 def exact_key(text: Column, version: str) -> Column:
@@ -48,16 +168,17 @@ def fragments(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.posexplode(parts).alias("prio", "fragment")).filter("length(fragment) >= 20")
 
 
-def anchor(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
+def anchor(docs: DataFrame, items: DataFrame, gram: int = 5, few: int = 200_000) -> DataFrame:
     """Where a passage stands in a text: the first fragment that occurs gives the position.
 
     Texts and fragments meet on hashes of a fragment's first words, so nothing is searched that doesn't hold
-    them."""
+    them. Up to ``few`` fragments are broadcast, more are met in a shuffle."""
     text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(gram)), " ")))
+    places = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - gram + 1, F.lit(1)))
+    grams = lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(gram)), " "))))
     plain = docs.select("doc_id", text.alias("body"))
-    held = plain.select("doc_id", F.explode(F.array_distinct(grams(F.split("body", " ")))).alias("key"))
+    held = plain.select("doc_id", F.explode(let(F.split("body", " "), grams)).alias("key"))
     wanted = fragments(items).withColumn("key", F.xxhash64(F.array_join(F.slice(F.split("fragment", " "), 1, gram), " ")))
-    met = held.join(wanted, "key").drop("key").join(plain, "doc_id")
-    found = met.withColumn("position", F.instr("body", F.col("fragment"))).filter("position > 0")
+    met = held.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "key").drop("key")
+    found = plain.join(met, "doc_id").withColumn("position", F.instr("body", F.col("fragment"))).filter("position > 0")
     return found.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("prio", "position"), "prio").alias("x")).select("doc_id", "item_id", "x.prio", "x.position")

@@ -105,13 +105,15 @@ ATTEMPTS = """attempts AS (SELECT o_orderkey AS analysis_id, o_custkey AS user_i
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    """(session_id, mentor_id, user_id): suppliers mentor the customers of their nation."""
-    mentors = table(spark, d, "supplier").select(F.col("s_nationkey").alias("session_id"), F.col("s_suppkey").alias("mentor_id"))
+    """(session_id, mentor_id, user_id): a nation's first three suppliers mentor its customers."""
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    mentors = table(spark, d, "supplier").withColumn("k", first).filter("k <= 3").select(F.col("s_nationkey").alias("session_id"), F.col("s_suppkey").alias("mentor_id"))
     users = table(spark, d, "customer").select(F.col("c_nationkey").alias("session_id"), F.col("c_custkey").alias("user_id"))
-    return mentors.join(users, "session_id")
+    return users.join(F.broadcast(mentors), "session_id").select("session_id", "mentor_id", "user_id")  # three mentors in each of 25 sessions
 
 
-MEMBERS = "members AS (SELECT s_nationkey AS session_id, s_suppkey AS mentor_id, c_custkey AS user_id FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
+MEMBERS = """mentors AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier),
+members AS (SELECT s_nationkey AS session_id, s_suppkey AS mentor_id, c_custkey AS user_id FROM mentors JOIN customer ON s_nationkey = c_nationkey WHERE k <= 3)"""
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:

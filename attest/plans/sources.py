@@ -22,15 +22,15 @@ def kw_clean(spark, d):
     return kw.clean_keywords(raw)
 
 
-_KEYS = "[{k}, replace({k}, '-', ' '), replace({k}, ' ', '-'), regexp_replace({k}, '[ -]', '', 'g')]"
+_FORMS = "[replace({k}, '-', ' '), replace({k}, ' ', '-'), replace({k}, '-', '')]"
 
 
-@query(rf"""WITH p AS (SELECT p_partkey, lower(trim(regexp_replace('strong ' || p_name || ' skills ' || p_type, '\s+', ' ', 'g'))) AS norm FROM part),
+@query(rf"""WITH p AS (SELECT p_partkey, lower(trim(regexp_replace('using ' || p_name || ' skills ' || replace(p_type, 'STANDARD', 'Front-End'), '\s+', ' ', 'g'))) AS norm FROM part),
 c AS (SELECT *, array_to_string(list_filter(string_split(norm, ' '), lambda w: w NOT IN ({sql.items(kw.WRAPPERS)})), ' ') AS core FROM p),
-a AS (SELECT p_partkey, list_concat({_KEYS.format(k='norm')}, {_KEYS.format(k='core')}) AS l FROM c)
-SELECT p_partkey, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i AND l[i] <> ''), lambda i: l[i]) AS keys FROM a""")
+a AS (SELECT p_partkey, list_filter(list_concat([norm, core], {_FORMS.format(k='norm')}, {_FORMS.format(k='core')}), lambda x: x <> '') AS l FROM c)
+SELECT p_partkey, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]) AS keys FROM a""")
 def kw_lookup(spark, d):
-    name = F.concat(F.lit("strong "), "p_name", F.lit(" skills "), "p_type")
+    name = F.concat(F.lit("using "), "p_name", F.lit(" skills "), F.replace("p_type", F.lit("STANDARD"), F.lit("Front-End")))
     return fx.table(spark, d, "part").select("p_partkey", kw.lookup_keys(name).alias("keys"))
 
 

@@ -34,6 +34,42 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: What heads a part of a job page, and the elements that end a line.
+PAGE_HEADER = (
+    r"(?i)^(about|responsibilities|requirements|qualifications|what you.ll do|"
+    r"what we.re looking for|who you are|benefits|perks|nice to have|"
+    r"preferred|minimum|required skills|role|the role|your (role|impact|team)|"
+    r"compensation|salary|what we offer|why join|our (team|culture|mission))\b"
+)
+BLOCKS = "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|header|html|main|ol|p|pre|section|table|tbody|td|th|thead|tr|ul"
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page with its structure: list items as ``- item``, headings in capitals between blank lines, other
+    blocks a line each, a short line that reads like a heading taken as one. Neither scripts nor navigation; equal
+    neighbours and runs of blank lines once."""
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|nav|head)\b.*?</(?:script|style|noscript|nav|head)>|<!--.*?-->|<!doctype[^>]*>", " ")
+    t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)<h[1-6]\b[^>]*>", "\n# ")
+    t = F.regexp_replace(F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>|</(?:li|h[1-6])>", "\n"), r"<[^>]*>", " ")
+    for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        t = F.replace(t, F.lit(code), F.lit(sign))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.isin("", "-", "#"))
+
+    def shape(x: Column) -> Column:
+        n = F.size(F.split(x, " "))
+        letters = F.regexp_replace(x, ":+$", "")
+        capitals = (letters == F.upper(letters)) & (letters != F.lower(letters))
+        header = (n <= 8) & ~x.rlike(r"[.!?]$") & ((x.endswith(":") & (n <= 4)) | (x.rlike(PAGE_HEADER) & (n <= 5)) | capitals)
+        loud = lambda c: F.when(F.length(c) < 60, F.upper(c)).otherwise(c)
+        headed = lambda c: F.array(F.lit(""), c, F.lit(""))
+        return F.when(x.startswith("# "), headed(loud(F.substr(x, F.lit(3))))).when(x.startswith("- "), F.array(x)).when(header, headed(F.when(F.length(x) < 60, F.upper(letters)).otherwise(x))).otherwise(F.array(x))
+
+    flat = F.flatten(F.transform(lines, shape))
+    once = F.filter(flat, lambda x, i: (i == 0) | (F.coalesce(F.get(flat, i - 1), F.lit("")) != x))
+    return F.regexp_replace(F.array_join(once, "\n"), r"^\s+|\s+$", "")
+
+
 def page_meta(html: Column) -> tuple[Column, Column]:
     """(title, name): the name is the title up to `` - ``, then up to `` | ``; null without a name."""
     title = F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from attest.sources.shared import shared_dir
 
 
 def read_events(spark: SparkSession, d: str) -> DataFrame:
@@ -22,19 +24,21 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return not (len(files) == 1 and files[0].rstrip("/").endswith("/events.parquet"))
 
 
-def run_available(df: DataFrame, mode: str) -> DataFrame:
-    """Work off what is there; the result is a table in the shared folder, rewritten by each batch in complete
-    mode and added to in append mode."""
-    spark, name = df.sparkSession, uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attest-")
-    out = f"{base.rstrip('/')}/attest-stream-{name}"
+def run_available(df: DataFrame, mode: str, timers: bool = False) -> DataFrame:
+    """Work off what is there; the result is a table in the shared folder. Each batch has a folder of its own, so one
+    that is done again replaces itself; in complete mode the last one counts. ``timers``: start again once all has been
+    read, so that the batch without data that fires the timers runs."""
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/attest-stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/table/batch=-1")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/table")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={0 if mode == 'complete' else number}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/table")
+    for _ in range(2 if timers else 1):
+        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/table").drop("batch")
 
 
 def rate_windows(events: DataFrame, width: str, limit: int) -> DataFrame:
