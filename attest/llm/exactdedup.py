@@ -1,18 +1,19 @@
 """Exact dedup by Golomb-coded fingerprint exchange.
 
-1. Each partition reads its texts once: normal form (A-Z lower-cased), 64-bit fingerprint, sha256.
-2. It sorts its distinct fingerprints, splits them by owner (ranges of the fingerprint space) and sends each
-   owner one block: the gaps between neighbours, Golomb-Rice coded.
-3. Each owner decodes its blocks, finds fingerprints that more than one block holds, and answers each block
-   with a bitmap; a partition marks its own repeats itself.
-4. Only rows with a marked fingerprint are suspects. Their texts are read again and grouped by the bytes of
+1. Each task reads its texts once: normal form (A-Z lower-cased), 64-bit fingerprint, sha256. Its documents form
+   chunks; of a chunk the distinct fingerprints, cut to their first ``BITS`` bits and sorted, are split by owner (ranges
+   of the fingerprint space) into one block each: the gaps between neighbours, Golomb-Rice coded. Rows and blocks
+   are written by the same job.
+2. Only the blocks are shuffled. An owner decodes its blocks, finds fingerprints that more than one block holds, and
+   answers each block with a bitmap. A row knows its block and its place in it, so it meets its bit in a join with
+   the bitmaps, which are broadcast up to ``few_bytes`` and shuffled beyond; chunks mark their own repeats.
+3. Only rows with a marked fingerprint are suspects. Their texts are read again and grouped by the bytes of
    the normal form, which settles equality; partial sums collapse hot groups before the shuffle.
 
 Null texts count as empty, so they equal empty ones. Of equal texts the row with the largest id stays; equal
 ids tie harmlessly (``kept`` is then true for each of those rows). A row without an id stays only where no row of
-its text has one, and then ties alike: ``keep_id`` is null and ``kept`` is true. The driver collects one count;
-up to ``broadcast_prints`` fingerprints pass through it in a broadcast join. Other columns are ignored, whatever
-their names.
+its text has one, and then ties alike: ``keep_id`` is null and ``kept`` is true. Up to ``few`` fingerprints pass
+through the driver in a broadcast join. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,65 +66,88 @@ def normal(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
 
-def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
+#: Bits of a fingerprint that are exchanged. Two texts agree in them by chance once in 2^40; suspects are verified.
+BITS = 40
+#: Documents of a chunk.
+CHUNK = 1 << 16
+#: Rows of documents (owner and place of the fingerprint, ``again``: the chunk holds it twice) and of blocks.
+ROWS = "chunk long, owner int, place int, again boolean, print long, sha binary, block binary"
+
+
+def _chunk(chunk: int, ids: list[pa.Array], prints: np.ndarray, shas: list[bytes], owners: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The rows of a chunk's documents, then those of its blocks."""
+    values, at, count = np.unique(prints >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+    width = np.uint64(-(-(1 << BITS) // owners))
+    owner = (values // width).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    place = np.arange(len(values)) - np.repeat(cuts, np.diff(np.append(cuts, len(values))))
+    blocks = [golomb_encode(b) for b in np.split(values, cuts[1:])]
+    n, m = len(prints), len(blocks)
+    none = lambda k, t: pa.nulls(k, t)
+    columns = {
+        "id": pa.concat_arrays([*ids, none(m, kind)]), "chunk": pa.array(np.full(n + m, chunk)),
+        "owner": pa.array(np.concatenate((owner[at], owner[cuts]))), "place": pa.concat_arrays([pa.array(place[at].astype(np.int32)), none(m, pa.int32())]),
+        "again": pa.concat_arrays([pa.array(count[at] > 1), none(m, pa.bool_())]), "print": pa.concat_arrays([pa.array(prints.view(np.int64)), none(m, pa.int64())]),
+        "sha": pa.concat_arrays([pa.array(shas, pa.binary()), none(m, pa.binary())]), "block": pa.concat_arrays([none(n, pa.binary()), pa.array(blocks, pa.binary())]),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        chunk = TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        prints: list[int] = []
+        shas: list[bytes] = []
+        kind = pa.int64()
         for batch in batches:
             texts = [t.as_buffer() for t in normal(batch.column(1))]
-            prints = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part, np.int32)), batch.column(0), pa.array(prints.view(np.int64)), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["part", "id", "print", "sha"])
-
-    return rows.mapInArrow(run, f"part int, id {dict(rows.dtypes)['id']}, print long, sha binary")
+            kind = batch.column(0).type
+            ids.append(batch.column(0))
+            prints += [xxhash.xxh3_64_intdigest(t) for t in texts]
+            shas += [hashlib.sha256(t).digest() for t in texts]
+            if len(prints) >= CHUNK:
+                yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, kind)
+                ids, prints, shas, chunk = [], [], [], chunk + 1
+        if prints:
+            yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, kind)
 
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {ROWS}")
 
-def suspects(prints: DataFrame, owners: int) -> DataFrame:
-    """prints(part, id, print, sha) + suspect: whether another row has the same fingerprint."""
-    width = np.uint64((1 << 64) // owners + 1) if owners > 1 else np.uint64(0)
 
-    def owner_of(values: np.ndarray) -> np.ndarray:
-        return (values // width).astype(np.int64) if owners > 1 else np.zeros(len(values), np.int64)
-
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(rows["print"].to_numpy(np.int64).view(np.uint64))
-        owner = owner_of(values)
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        return pd.DataFrame({"part": rows["part"].iloc[0], "owner": owner[cuts].astype(np.int32), "block": [golomb_encode(b) for b in np.split(values, cuts[1:])]})
+def _answers(blocks: DataFrame) -> DataFrame:
+    """(chunk, owner, bitmap): a bit for each fingerprint of a block, 1 if another block of the owner holds it too."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = [golomb_decode(b) for b in pdf["block"]]
-        values, seen = np.unique(np.concatenate(blocks), return_counts=True)
+        decoded = [golomb_decode(b) for b in pdf["block"]]
+        values, seen = np.unique(np.concatenate(decoded), return_counts=True)
         twice = values[seen > 1]
-        maps = [np.packbits(np.isin(b, twice, assume_unique=True)).tobytes() for b in blocks]
-        return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": maps})
+        maps = [np.packbits(np.isin(b, twice, assume_unique=True), bitorder="little").tobytes() for b in decoded]
+        return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "bitmap": maps})
+
+    return blocks.groupBy("owner").applyInPandas(answer, "chunk long, owner int, bitmap binary")
 
-    def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        values, at, count = np.unique(rows["print"].to_numpy(np.int64).view(np.uint64), return_inverse=True, return_counts=True)
-        twice = count > 1
-        owner = owner_of(values)
-        for o, bitmap in zip(answers["owner"], answers["bitmap"], strict=True):
-            own = np.flatnonzero(owner == o)
-            twice[own] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(own)).astype(bool)
-        return rows.assign(suspect=twice[at])
 
-    blocks = prints.select("part", "print").groupBy("part").applyInPandas(send, "part int, owner int, block binary")
-    bitmaps = blocks.groupBy("owner").applyInPandas(answer, "part int, owner int, bitmap binary")
-    kind = dict(prints.dtypes)["id"]
-    return prints.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(mark, f"part int, id {kind}, print long, sha binary, suspect boolean")
+def suspects(prints: DataFrame, few_bytes: int) -> DataFrame:
+    """(id, print, sha, suspect) of the documents: whether another one has the same fingerprint."""
+    answers = stored(_answers(prints.filter("block is not null").select("chunk", "owner", "block")))
+    size = answers.agg(F.sum(F.octet_length("bitmap") + 64)).first()[0] or 0
+    bits = F.conv(F.hex(F.expr("substring(bitmap, place div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = prints.filter("block is null").join(F.broadcast(answers) if size <= few_bytes else answers, ["chunk", "owner"])
+    return marked.select("id", "print", "sha", (F.col("again") | (F.getbit(bits, F.expr("place % 8")) == 1)).alias("suspect"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int = 64, broadcast_prints: int = 1_000_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int = 64, few: int = 1_000_000, few_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
-    ``broadcast_prints``: up to so many suspect fingerprints (8 bytes each) the second reading drops other
-    texts before any shuffle; beyond it, a shuffled semi-join does."""
-    prints = stored(_fingerprints(docs, id_col, text_col))
-    marked = stored(suspects(prints, owners))
-    wanted = marked.filter("suspect").select("print").distinct()
-    n = wanted.count()
+    ``few``: up to so many suspect fingerprints (8 bytes each) the second reading drops other texts before any
+    shuffle; beyond it, a shuffled semi-join does. Owners should grow with the corpus, so that an owner's blocks fit a
+    task: one for every hundred million documents or so at least."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
+    marked = stored(suspects(stored(_fingerprints(rows, owners)), few_bytes))
+    wanted = marked.filter("suspect").select("print").distinct()
+    n = wanted.count()
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +156,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), texts.cast(pa.binary())], ["id", "print", "bytes"])
 
     suspect_texts = rows.mapInArrow(reread, f"id {kind}, print long, bytes binary")
-    suspect_texts = suspect_texts.join(F.broadcast(wanted) if n <= broadcast_prints else wanted, "print", "left_semi")
+    suspect_texts = suspect_texts.join(F.broadcast(wanted) if n <= few else wanted, "print", "left_semi")
     suspect_texts = suspect_texts.withColumn("sha", F.unhex(F.sha2("bytes", 256)))
     classes = suspect_texts.groupBy("sha", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).drop("bytes")
     again = marked.filter("suspect").join(classes, "sha").select("id", "keep_id", "group_size", "sha")

@@ -137,7 +137,7 @@ def test_exact_dedup_edges(spark, odd, empty, few):
     groups = defaultdict(list)
     for r in rows:
         groups[ascii_lower(r["text"])].append(r["doc_id"])
-    got = exactdedup.exact_dedup(odd, broadcast_prints=few, owners=3).collect()
+    got = exactdedup.exact_dedup(odd, few=few, few_bytes=few, owners=3).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
@@ -149,7 +149,7 @@ def test_exact_dedup_edges(spark, odd, empty, few):
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_exact_dedup_null_ids(spark, few):
     rows = [(None, "alone"), (None, "twice"), (None, "TWICE"), (3, "three"), (None, "three")]
-    got = exactdedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_prints=few, owners=3).collect()
+    got = exactdedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), few=few, few_bytes=few, owners=3).collect()
     sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("alone", "twice", "three")}
     want = [(None, None, 1, True, sha["alone"])] + [(None, None, 2, True, sha["twice"])] * 2 + [(3, 3, 2, True, sha["three"]), (None, 3, 2, False, sha["three"])]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
