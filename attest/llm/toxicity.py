@@ -32,7 +32,7 @@ from attest.llm.common import hash_unit, sample_fraction, stored
 FUZZY_LENGTH, WINDOW, STEMS = 5, 4, (4, 5, 6, 7)
 #: Words that announce someone else's words.
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes reported reports word words term".split())
-OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
+OPEN, CLOSE = "\"“„«‘", "\"”“»’"
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 FEATURES = 7
@@ -183,7 +183,7 @@ class Scorer:
         """Between an opening and a closing mark at most WINDOW words away, or shortly after a reporting word."""
         before, after = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
         opened = any(t[0] in OPEN and len(t) > 1 for t in before)
-        closed = any(t.rstrip(".,;:!?")[-1:] in CLOSE and len(t) > 1 for t in after)
+        closed = any(t[-1] in CLOSE and len(t) > 1 for t in (x.rstrip(".,;:!?") for x in after) if t)
         return opened and closed or any(bare(t) in REPORTING for t in before[:-1])
 
     def score(self, text: str | None) -> float:
