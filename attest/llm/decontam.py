@@ -11,7 +11,7 @@ reach the threshold. Opened blocks are scored exactly, and every unit at or abov
 document must hold ``coverage`` of the five-word sequences of the item and of its question, and half of the
 answer's words.
 
-Words are runs of letters and digits, lower-cased (any byte beyond ASCII counts as a letter). Null and empty texts hold nothing; items without
+Words are runs of letters and digits, lower-cased, whatever the punctuation between them. Null and empty texts hold nothing; items without
 words are skipped; an item of fewer than five words counts as one sequence. Repeated rows are reported each.
 The index is broadcast in parts of at most ``part_words`` words, one pass over the documents per part.
 """
@@ -39,7 +39,8 @@ SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def lowered(texts: list[str | None]) -> pa.Array:
-    return pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string()))
+    """Lower-cased, with a space for every sign beyond ASCII that is no letter, mark or digit."""
+    return pc.replace_substring_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), r"[^\x00-\x7F\pL\pM\pN]+", " ")
 
 
 def words(text: str | None) -> list[str]:

@@ -9,9 +9,8 @@ from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, shar
 from attest.llm.common import remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: The rules of the url query, and words that mark a host as spam.
+#: The rules of the url query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-SPAM_WORDS = ["casino", "bets", "pills", "spam", "adult"]
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -22,11 +21,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four rules decide where they fit; elsewhere the digest array's other list does, made of the spam
-    hosts of the crawl."""
-    pages = table(spark, sf_dir, "pages")
-    rules = spark.createDataFrame(RULES, "rule string, verdict string")
-    return urlfilter.judge(pages, rules, listed=urlfilter.spam_hosts(pages, SPAM_WORDS))
+    """The four rules decide where they fit; elsewhere a url is allowed."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +63,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = docs.join(labels.filter(remainder(F.col("doc_id")) != 2).select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
+    known = labels.filter(remainder(F.col("doc_id")) != 2).select("doc_id", "toxic")
+    learn = docs.join(F.broadcast(known) if known.count() <= 500_000 else known, "doc_id").select("doc_id", "text", "toxic")
     scorer = toxicity.train(learn)
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
@@ -86,8 +83,7 @@ WITH u AS ({_URL}),
 fits AS (SELECT u.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC) AS k
   FROM u, {_RULES}
   WHERE ends_with('.' || u.host, '.' || split_part(r.rule, '/', 1)) AND starts_with(u.path, substr(r.rule, strpos(r.rule, '/'))))
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict,
-  CASE WHEN regexp_matches(u.host, '(^|[.-])({"|".join(SPAM_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1""",
     "op4_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

@@ -1,8 +1,8 @@
 """Sharding by sampled splitters, with shards of near equal bytes.
 
 A row's sort key is one long: the leading bits of its text's hash, then bits of its id's hash. Equal texts
-are neighbours, and a group of copies of any size can still be cut. A size-weighted sample of keys (exponential
-priorities, a fixed number of keys whatever the table) gives quantile boundaries; records are partitioned by
+are neighbours, and a group of copies of any size can still be cut. A size-weighted sample of keys (each row
+drawn by a hash, about as many whatever the table) gives quantile boundaries; records are partitioned by
 range; ranges that turn out overfull are subdivided evenly in key space. The exact bytes and rows of each
 range (a bounded table) place every range on the line from 0 to the sum of all sizes; inside a range a running
 sum places its rows. Shard k takes the k-th equal stretch of that line, so shards differ by about one document.
@@ -35,15 +35,16 @@ def sort_key(id_: Column, text: Column) -> Column:
     return head.bitwiseOR(F.shiftrightunsigned(F.xxhash64(id_.cast("string")), 64 - ID_BITS))
 
 
-def splitters(keyed: DataFrame, samples: int) -> np.ndarray:
-    """Quantile boundaries of a sample drawn without replacement, the chance in proportion to the size."""
+def splitters(keyed: DataFrame, samples: int, total: int) -> np.ndarray:
+    """Quantile boundaries: the keys of a sample, each row drawn by a hash with a chance in proportion to its size, about
+    ``samples`` in all."""
     unit = (F.pmod(F.xxhash64("key", "id", F.lit("draw")), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-    drawn = keyed.select("key", (-F.log(unit) / F.col("size")).alias("priority")).orderBy("priority", "key").limit(samples).select("key").collect()
+    drawn = keyed.filter(unit * total <= F.col("size") * samples).select("key").distinct().limit(8 * samples + 64).collect()
     return np.unique(np.array([r[0] for r in drawn], np.int64))
 
 
 def subdivide(edges: np.ndarray, counts: dict[int, tuple[int, int]], rows: int) -> np.ndarray:
-    """Cut each range of more than ``rows`` rows into equal stretches of key space."""
+    """Cut each range of more than ``rows`` rows into equal stretches of key space, as far as it has any."""
     low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     more = []
     for r, (n, _) in counts.items():
@@ -51,26 +52,29 @@ def subdivide(edges: np.ndarray, counts: dict[int, tuple[int, int]], rows: int)
             a = int(edges[r - 1]) if r else low
             b = int(edges[r]) if r < len(edges) else high
             pieces = min(64, -(-n // rows) * 2)
-            more += [a + (b - a) * k // pieces for k in range(1, pieces)]
+            more += [a + (b - a) * k // pieces for k in range(1, pieces) if (b - a) * k // pieces]
     return np.unique(np.concatenate([edges, np.array(more, np.int64)])) if more else edges
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", per_shard: int = 32, max_ranges: int = 1 << 16, rows_per_range: int = 2_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard, *keep). ``max_ranges`` bounds the splitters that
-    are broadcast (8 bytes each) and the range totals that come to the driver."""
+    are broadcast (8 bytes each) and the range totals that come to the driver; a table that needs more is refused. Rows
+    alike in text and id have one key, so only their range can stay overfull: its rows are placed in one task."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = [F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"), F.crc32(text).alias("crc"), sort_key(F.col(id_col), text).alias("key"), *(F.col(c).alias(f"__{c}") for c in keep)]
     keyed = stored(docs.select(*columns))
-    n = keyed.count()
+    n, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     samples = int(min(max_ranges // 4, max(shards * per_shard, n // rows_per_range)))
     full = max(rows_per_range, 4 * n // max(samples, 1))
-    edges = splitters(keyed, samples)
-    for _ in range(6):
+    edges = splitters(keyed, samples, total)
+    while True:
         ranged = keyed.withColumn("range", range_of(docs, edges)(F.col("key")))
         totals = {r["range"]: (r["n"], r["bytes"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
         finer = subdivide(edges, totals, full)
-        if len(finer) == len(edges) or len(finer) > max_ranges:
+        if len(finer) == len(edges):
             break
+        if len(finer) > max_ranges:
+            raise ValueError(f"more than {max_ranges} ranges: raise max_ranges or rows_per_range")
         edges = finer
     # Where each range begins on the line of bytes and of rows.
     starts, at_bytes, at_rows = [], 0, 0

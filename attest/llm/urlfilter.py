@@ -6,7 +6,8 @@ there. A batch of urls is turned into candidate strings (each suffix of the host
 the path whose length some rule has), their digests are probed with a vectorised binary search, and every hit
 is confirmed against the stored string, so a collision of digests changes nothing. The longest rule wins.
 
-The file holds at most ``bound`` rules; longer lists are joined by digest and string instead, in a shuffle.
+The file holds at most ``bound`` rules with at most ``most_lengths`` lengths of paths; other lists are joined by
+digest and string instead, in a shuffle.
 Urls that are null or have no ``://`` have an empty host and path, match no rule and get ``default``.
 An empty rule list gives every url ``default``. Of equal rules with different verdicts, block wins. Repeated
 urls are judged each; other columns are ignored unless kept by name.
@@ -99,19 +100,16 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
     return [(h + path[:n]).encode() for h in tails for n in lengths if n <= len(path)]
 
 
-def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", bound: int = 2_000_000, listed: DataFrame | None = None) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", bound: int = 2_000_000, listed: DataFrame | None = None, most_lengths: int = 4_096) -> DataFrame:
     """(id, host, path, rule, verdict). rules: rule (host and path prefix, like ``example.net/en/``), verdict.
     ``listed``: a second list of the same form, in the same digest array; it gives the verdict where no rule
     fits, and is not named in ``rule``."""
     spark = urls.sparkSession
     rows = urls.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parts = rule_parts(rules, listed)
-    lengths = sorted((r[0] for r in parts.select(F.length("path")).distinct().limit(4097).collect()), reverse=True)
-    if len(lengths) > 4096:
-        raise ValueError("more than 4096 lengths of path prefixes")
-    count = parts.count()
-    if count > bound:
-        return _judge_by_join(rows, parts, lengths, default).withColumnRenamed("id", id_col)
+    lengths = sorted((r[0] for r in parts.select(F.length("path")).distinct().limit(most_lengths + 1).collect()), reverse=True)
+    if len(lengths) > most_lengths or parts.count() > bound:
+        return _judge_by_join(rows, parts, lengths if len(lengths) <= most_lengths else None, default).withColumnRenamed("id", id_col)
     kind = dict(rows.dtypes)["id"]
     name = f"rules-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="attest-rules-")  # the driver serves the file to new executors until it ends
@@ -144,9 +142,11 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
-def _judge_by_join(rows: DataFrame, parts: DataFrame, lengths: list[int], default: str) -> DataFrame:
-    """For lists of any length: distinct (host, path prefix) candidates meet the rules in a shuffle."""
-    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
+def _judge_by_join(rows: DataFrame, parts: DataFrame, lengths: list[int] | None, default: str) -> DataFrame:
+    """For lists of any length: distinct (host, path prefix) candidates meet the rules in a shuffle; every prefix where
+    the rules' lengths aren't known."""
+    known = F.sequence(F.lit(0), F.length("path")) if lengths is None else F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+    prefixes = F.transform(known, lambda n: F.col("path").substr(F.lit(1), n))
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = rows.filter("host <> ''").select("host", prefixes.alias("prefixes"), "path").distinct()
@@ -157,11 +157,3 @@ def _judge_by_join(rows: DataFrame, parts: DataFrame, lengths: list[int], defaul
     out = rows.join(best, ["host", "path"], "left")
     verdict = lambda s, mask: F.when(F.col(f"{s}.flags").bitwiseAND(mask) > 0, "block").when(F.col(f"{s}.rule").isNotNull(), "allow")
     return out.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(verdict("best", 1), verdict("below", 4), F.lit(default)).alias("verdict"))
-
-
-def spam_hosts(urls: DataFrame, words: list[str], url_col: str = "url") -> DataFrame:
-    """Block rules (host and everything below it) for the hosts of ``urls`` with a label that names one of
-    ``words`` (whole, between hyphens): a blocklist that Spark derives from the crawl itself."""
-    host = host_of(F.col(url_col))
-    named = urls.select(host.alias("host")).distinct().filter(F.col("host").rlike(r"(^|[.-])(" + "|".join(words) + r")([.-]|$)"))
-    return named.select(F.concat("host", F.lit("/")).alias("rule"), F.lit("block").alias("verdict"))

@@ -63,13 +63,41 @@ def test_language_edges(spark, odd, empty):
 def test_url_digests(spark):
     urls = spark.createDataFrame([(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://b.net#f"), (3, "http://b.net/"), (4, None), (5, "no scheme"), (6, "x://org/fr/"), (7, "x://borg/fr/"), (8, "x://casino.x.com/"), (9, "a://b://c.net/")], "page_id long, url string")
     rules = spark.createDataFrame(queries.RULES, "rule string, verdict string")
-    for bound in (100, 0):  # the array, and the join for longer lists
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(urls, rules, bound=bound, listed=urlfilter.spam_hosts(urls, ["casino"])).collect()}
+    listed = spark.createDataFrame([("x.com/", "block")], "rule string, verdict string")
+    for how in ({}, {"bound": 0}, {"most_lengths": 1}):  # the array, and the joins for longer lists
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(urls, rules, listed=listed, **how).collect()}
         assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2] == ("b.net", "", None, "allow") and got[3][2:] == ("net/", "block")
         assert got[4] == ("", "", None, "allow") and got[5] == ("", "", None, "allow") and got[6][2:] == ("org/fr/", "allow") and got[7][2] is None
         assert got[8][2:] == (None, "block") and got[9] == ("b:", "//c.net/", None, "allow")
 
 
+def test_url_edges(spark):
+    """No rule, no url, repeated rows, columns named like the operator's own, and a long list against brute force."""
+    schema = "page_id long, url string, id long, host string, rule string, verdict string"
+    none = spark.createDataFrame([], "rule string, verdict string")
+    clash = spark.createDataFrame([(1, "x://a.net/b", 5, "h", "r", "v"), (1, "x://a.net/b", 5, "h", "r", "v"), (None, None, None, None, None, None)], schema)
+    rules = spark.createDataFrame([("net/", "block"), ("net/", "allow"), (None, "block")], "rule string, verdict string")
+    assert {r["verdict"] for r in urlfilter.judge(clash, none).collect()} == {"allow"}
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in urlfilter.judge(clash, rules).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
+    assert urlfilter.judge(spark.createDataFrame([], schema), rules).count() == 0
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choices("ab", k=rng.randint(1, 3)))
+    many = {".".join(name() for _ in range(rng.randint(1, 3))) + "/" + "/".join(name() for _ in range(rng.randint(0, 2))): rng.choice(["block", "allow"]) for _ in range(400)}
+    urls = [(i, "http://" + ".".join(name() for _ in range(3)) + "/" + "/".join(name() for _ in range(3))) for i in range(300)]
+
+    def brute(url):
+        host, _, path = url[7:].partition("/")
+        fits = [r for r in many if ("." + host).endswith("." + r.split("/")[0]) and ("/" + path).startswith(r[r.index("/"):])]
+        best = max(fits, key=len, default=None)
+        return len(best or ""), best is None or {many[r] for r in fits if len(r) == len(best)}
+
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    for how in ({}, {"bound": 0}):
+        for r in urlfilter.judge(df, spark.createDataFrame(list(many.items()), "rule string, verdict string"), **how).collect():
+            size, verdicts = brute(urls[r["page_id"]][1])
+            assert len(r["rule"] or "") == size and (r["verdict"] == "allow" if verdicts is True else r["verdict"] in verdicts)
+
+
 def test_digest_collisions(tmp_path):
     urlfilter.DigestArray.write(str(tmp_path / "a"), [("x/", 1), ("y/", 2)])
     array = urlfilter.DigestArray(str(tmp_path / "a"))
@@ -209,6 +237,29 @@ def test_decontamination_across_cells():
     assert {p for p, *_ in index.search([" ".join(common), " ".join(rare(3, 12)), ""], 0.8)} == set()
 
 
+def test_decontamination_partial_copies():
+    """Every copy that meets the verification is found, wherever it begins, and whatever the punctuation."""
+    rng = random.Random(1)
+    common = [f"c{k}" for k in range(60)]
+    items = [(i, " ".join([*rng.sample(common, 20), *(f"r{i}x{k}" for k in range(12))])) for i in range(40)]
+    index = decontam.Index(items, 0.6)
+    for i, text in items[::5]:
+        w = text.split()
+        for part in (w[:27], w[5:], w[2:29]):
+            texts = [" ".join([*["filler"] * before, *part, *["more"] * 80]) for before in range(0, 140, 3)]
+            assert {p for p, n, *_ in index.search(texts, 0.8) if n == i} == set(range(len(texts)))
+    dressed = "“" + "—".join(items[3][1].split()).replace("c1", "C1") + "”…"
+    assert [n for _, n, *_ in index.search([dressed], 0.8)] == [3]
+
+
+def test_decontamination_repeats_and_clashes(spark):
+    item = "the answer to all of these questions is hidden in a very small box. it is forty two"
+    docs = spark.createDataFrame([(1, item, "x", 0.1), (1, item, "x", 0.1), (None, item, None, None), (2, "nothing here", None, None)], "doc_id long, text string, item_id string, score double")
+    items = spark.createDataFrame([(7, item, "c"), (7, item, "c"), (None, None, None)], "item_id long, text string, doc_id string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.leaks(docs, items).collect()) == [(0, 7)] * 2 + [(1, 7)] * 4
+    assert [tuple(r) for r in decontam.clean(docs, items).collect()] == [(2, "nothing here", None, None)]
+
+
 def test_token_counts(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -370,6 +421,7 @@ def test_toxicity_edges(spark, odd, empty):
     rows = [(i, f"you are such an {w} today {i}", y) for i in range(900) for w, y in [("idiot", 1) if i % 3 == 0 else ("expert", 0)]]
     scorer = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert scorer.score("an idiot") > 0.5 and scorer.score("an idoit") > scorer.score("an expert") and scorer.score("") == scorer.score(None) < 0.3
+    assert scorer.features('"you idiot" is what they shouted')[2] > 0 and scorer.features('"well you idiot !!!')[2] == scorer.features("the dogs' idiot cats'")[2] == 0
     assert scorer.features('he said "idiot" to me')[2] > 0 and scorer.features("an idiot")[2] == 0
     assert toxicity.score(odd, scorer).count() == odd.count() and toxicity.score(empty, scorer).count() == 0
     nothing = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
