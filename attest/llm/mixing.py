@@ -10,9 +10,9 @@ size over its source's mean: a document's pull on the constraint, scaled so that
 all or nothing. The dual is convex, one lambda per source; Newton steps with a bracket find it. Every sum runs
 over the table of (source, size, count), to which the documents are aggregated once, as Spark jobs.
 
-*Copies.* From the largest size down, each cell of equal documents takes a whole number of copies and hands
-what it misses or exceeds on to the next size, so a source ends within about its smallest documents of its
-target. Inside a cell the copies go round; who gets one more depends on a hash of the id, in salted groups of
+*Copies.* From the largest size down, each cell of equal documents takes a whole number of copies by running sums;
+what a source then misses or exceeds is settled with single copies, so it ends within about its smallest documents
+of its target. Inside a cell the copies go round; who gets one more depends on a hash of the id, in salted groups of
 bounded size.
 
 Null texts and sources are allowed (size 0; a source of its own). Documents without words take one copy of
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.llm.common import WORD, stored
+from attest.llm.common import WORD, stored, unused
 
 CLOSE = 1e-10
 
@@ -71,6 +71,8 @@ def newton(cells: DataFrame, wanted: DataFrame, cap: float, rounds: int = 48, to
         state = stored(state)
         if (state.agg(F.max("gap")).first()[0] or 0.0) < CLOSE:
             break
+    else:
+        raise RuntimeError("the rates did not settle")
     return state.select("skey", "source_size", "target", "mean", F.round("lam", 10).alias("lam"))
 
 
@@ -91,26 +93,40 @@ def _step(live: DataFrame, state: DataFrame, cap: float) -> DataFrame:
 
 
 def copies_by_cell(cells: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
-    """(skey, size, n, copies): whole copies per cell of equal documents, errors handed from size to size."""
+    """(skey, size, n, copies): whole copies per cell of equal documents, near their rates and in sum near the target.
+
+    Along a source's cells, largest size first, runs the sum of words due; a cell takes a copy for every multiple of its
+    size that the sum passes. What a source then lacks or has too much is first taken from or given to its largest
+    cells, a copy each, and the rest to the one cell that leaves least."""
     x = pull(F.col("size"), F.col("mean"))
     rate = F.least(F.lit(cap), F.exp(F.least(F.col("lam") * x, F.lit(50.0))))
     rate = F.when(F.col("target") <= 0, 0.0).otherwise(rate)
-    rated = cells.filter("size > 0").join(solved, "skey").withColumn("rate", rate)
-    lists = rated.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("done"))
-
-    def take(acc: Column, cell: Column) -> Column:
-        due = cell["n"] * cell["size"] * cell["rate"] + acc["carry"]
-        copies = F.greatest(F.lit(0), F.least(F.round(due / cell["size"]).cast("long"), (cell["n"] * cap).cast("long")))
-        return F.struct((due - copies * cell["size"]).alias("carry"), F.concat(acc["done"], F.array(F.struct(cell["size"].alias("size"), cell["n"].alias("n"), copies.alias("copies")))).alias("done"))
-
-    folded = lists.select("skey", F.inline(F.aggregate("cells", start, take)["done"]))
-    return folded.unionByName(cells.filter("size = 0").select("skey", "size", "n", F.col("n").alias("copies")))
+    down = Window.partitionBy("skey").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    due, most = F.col("n") * F.col("size") * rate, (F.col("n") * cap).cast("long")
+    summed = cells.filter("size > 0").join(solved, "skey").withColumn("due", due).withColumn("upto", F.sum("due").over(down)).withColumn("most", most)
+    passed = F.floor(F.col("upto") / F.col("size") + 0.5) - F.floor((F.col("upto") - F.col("due")) / F.col("size") + 0.5)
+    state = summed.select("skey", "size", "n", "most", "target", F.greatest(F.lit(0), F.least(passed, "most")).cast("long").alias("copies"))
+    miss = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("skey"))
+    state = state.withColumn("miss", miss)
+    step = F.signum("miss").cast("long")
+    free = ((F.col("copies") + step).between(0, F.col("most"))).cast("long") * F.abs(step)
+    state = state.withColumn("step", step * free).withColumn("moved", F.sum(free * F.col("size")).over(down))
+    state = stored(state.withColumn("copies", F.col("copies") + F.when(F.col("moved") <= F.abs("miss"), F.col("step")).otherwise(0)).drop("miss", "step", "moved"))
+    for _ in range(3):
+        lacks = state.groupBy("skey").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
+        more = F.greatest(-F.col("copies"), F.least(F.round(F.col("miss") / F.col("size")).cast("long"), F.col("most") - F.col("copies")))
+        tried = state.join(lacks, "skey").withColumn("more", more)
+        best = tried.groupBy("skey").agg(F.min_by(F.struct("size", "more"), F.struct(F.abs(F.col("miss") - F.col("more") * F.col("size")), "size")).alias("best"))
+        best = best.select("skey", F.col("best.size").alias("size"), F.col("best.more").alias("more"))
+        state = state.join(best, ["skey", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+    return state.select("skey", "size", "n", "copies").unionByName(cells.filter("size = 0").select("skey", "size", "n", F.col("n").alias("copies")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = 4_000) -> DataFrame:
-    """(id, size, source_size, target, taken, copies, nth): ``nth`` numbers rows of equal id, source and size."""
-    sizes = stored(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size")))
+    """(id, size, source_size, target, taken, copies, skey, mark): the source's key and a hash of the text tell rows of
+    one id apart."""
+    mark = F.xxhash64(F.col(text_col)).alias("mark")
+    sizes = stored(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), mark))
     cells = stored(sizes.groupBy("skey", "size").agg(F.count("*").alias("n")))
     wanted = targets(cells, weights, share, cap)
     solved = newton(cells, wanted, cap)
@@ -124,20 +140,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     extra = F.col("copies") - F.col("n") * F.expr("copies div n")
     part = F.expr("(extra * upto) div n") - F.expr("(extra * (upto - own)) div n")
     allotted = shares.join(chosen, ["skey", "size"]).withColumn("extra", extra).select("skey", "size", "salt", "source_size", "target", F.expr("copies div n").alias("base"), part.alias("more"))
-    turn = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
+    turn = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "mark"))
     out = salted.join(allotted, ["skey", "size", "salt"]).withColumn("copies", F.col("base") + F.when(turn <= F.col("more"), 1).otherwise(0))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "skey")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "skey", "mark")
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents, all columns, each as often as the mix takes it. Rows of one id are told apart by source
-    and size; where these are equal, the rows are alike to the mix."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
-    columns = docs.columns
+    """The documents, all columns, each as often as the mix takes it. Rows meet their copies by id, source and a hash of
+    the text, null-safe. Where several rows agree in all three, they share their copies evenly; what is left over goes
+    to the first of them, which is all that a window is needed for."""
+    named, mark, key, rows_, taken, nth = unused(docs, "source_key", "mark", "id_key", "rows", "taken", "nth")
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    turns = mixed.groupBy(key(F.col(id_col)).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("skey", "size", "copies"))).alias("__turns"))
-    rows = docs.withColumn("__key", key(F.col(id_col))).join(turns, "__key")
-    order = Window.partitionBy("__key").orderBy(source_key(F.col(source_col)), word_count(F.col(text_col)))
-    nth = F.when(F.size("__turns") == 1, 1).otherwise(F.row_number().over(order))
-    copies = F.element_at("__turns", nth.cast("int"))["copies"].cast("int")
-    return rows.withColumn("__copies", copies).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*columns)
+    allotted = mixed.groupBy(F.col(id_col).alias(key), F.col("skey").alias("s"), F.col("mark").alias("m")).agg(F.count("*").alias(rows_), F.sum("copies").alias(taken))
+    own = docs.withColumns({named: source_key(F.col(source_col)), mark: F.xxhash64(F.col(text_col))})
+    joined = own.join(allotted.withColumnsRenamed({"s": f"{named}s", "m": f"{mark}s"}), F.col(id_col).eqNullSafe(F.col(key)) & (F.col(named) == F.col(f"{named}s")) & (F.col(mark) == F.col(f"{mark}s")))
+    uneven = (F.col(rows_) > 1) & (F.col(taken) % F.col(rows_) > 0)
+    plain = joined.filter(~uneven).withColumn(nth, F.lit(0))
+    shared = joined.filter(uneven).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, named, mark).orderBy(F.lit(0))))
+    each = F.expr(f"`{taken}` div `{rows_}`") + F.when(uneven & (F.col(nth) <= F.col(taken) % F.col(rows_)), 1).otherwise(0)
+    return plain.unionByName(shared).withColumn(nth, F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select(*docs.columns)

@@ -2,6 +2,7 @@
 columns; against brute force, a library, an exact round trip or held-out labels."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -142,14 +143,36 @@ def test_mixing(spark, odd, empty):
         assert r["size"] == len(words(rows[r["doc_id"]][1])) and r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
         assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 60 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= 3 for s in sizes)
     assert sorted(out) == sorted(mixing.mix(docs.repartition(7), group_rows=20).collect())
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
+    cells = mixing.stored(docs.select(mixing.source_key(F.col("source")).alias("skey"), mixing.word_count(F.col("text")).alias("size")).groupBy("skey", "size").agg(F.count("*").alias("n")))
+    solved = {r["skey"]: r for r in mixing.newton(cells, mixing.targets(cells, (3, 1, 2), 1.5, 2), 2).collect()}
+    for s in sizes:  # lambda by bisection
+        r, own = solved["~" if s is None else "=" + s], [len(words(t)) for _, t, x in rows if x == s]
+        mass = lambda lam: sum(w * min(2, math.exp(min(50, lam * math.sqrt(w / r["mean"])))) for w in own)  # noqa: B023, E731
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if mass((lo + hi) / 2) < target[s] else (lo, (lo + hi) / 2)
+        assert mass(r["lam"]) == pytest.approx(target[s], rel=1e-6) and (target[s] >= 2 * sizes[s] * (1 - 1e-9) or r["lam"] == pytest.approx(lo, abs=1e-6))
     mixed = mixing.take_copies(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
     assert mixing.take_copies(odd).columns == odd.columns
 
 
+def test_take_copies_of_repeats_and_clashes(spark):
+    schema = "doc_id long, text string, source string, source_key int, mark int, id_key int, rows int, taken int, nth int, copies int"
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (None, "a b c", "s"), (None, "d e", None), (1, "f g h", "s"), (1, "i j", "s"), (1, "i j", "t"), (2, None, "s"), (3, "", "t")]
+    docs = spark.createDataFrame([(*r, *range(7)) for r in rows], schema)
+    counts = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.take_copies(docs).collect())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["mark"], r["skey"], r["doc_id"]] += r["copies"]
+    marks = {r["text"]: r["mark"] for r in docs.select("text", F.xxhash64("text").alias("mark")).collect()}
+    assert {(marks[t], "~" if s is None else "=" + s, i): n for (i, t, s), n in counts.items()} == {k: n for k, n in want.items() if n}
+    assert mixing.take_copies(docs).columns == docs.columns and mixing.take_copies(docs.limit(0)).count() == 0
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
