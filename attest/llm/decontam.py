@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.llm.common import pieces
 from attest.llm.hashing import text_bytes, word_hashes
 
 CELL, BLOCK, GRAM = 64, 8, 5
@@ -213,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 hits = list(shared.value.search(batch.column(1).to_pylist(), coverage))
                 ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
                 found = pa.array([shared.value.items[h[1]][0] for h in hits])
@@ -232,7 +233,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 bad = {h[0] for h in shared.value.search(batch.column(at).to_pylist(), coverage)}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64()))
 

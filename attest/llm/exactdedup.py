@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import stored
+from attest.llm.common import pieces, stored
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -100,7 +100,7 @@ def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
         prints: list[int] = []
         shas: list[bytes] = []
         kind = pa.int64()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t.as_buffer() for t in normal(batch.column(1))]
             kind = batch.column(0).type
             ids.append(batch.column(0))
@@ -150,7 +150,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = wanted.count()
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = normal(batch.column(1))
             prints = np.fromiter((xxhash.xxh3_64_intdigest(t.as_buffer()) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), texts.cast(pa.binary())], ["id", "print", "bytes"])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.llm.common import stored, unused
+from attest.llm.common import pieces, stored, unused
 from attest.llm.graph import components
 from attest.llm.hashing import BASE, SIGNS, SPACE, mix64, text_bytes, word_hashes
 
@@ -186,7 +186,7 @@ def _nodes(rows: DataFrame, n: int) -> DataFrame:
     """(id, size, node, bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for at, texts in chunked(batch.column(1)):
                 sets = Sets(texts, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets.sizes), pa.array(sets.digests()), pa.array(sets.bitmaps(), pa.binary())], ["id", "size", "node", "bits"])
@@ -222,7 +222,7 @@ def _popular(rows: DataFrame, n: int, unique: DataFrame, few: int, sample: int,
 def _each_once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[Sets, np.ndarray, np.ndarray]]:
     """(sets, nodes, places of the nodes new to this task) of the texts in the first column, piece by piece."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in pieces(batches):
         for _, texts in chunked(batch.column(0)):
             sets = Sets(texts, n)
             nodes = sets.digests()
@@ -581,7 +581,7 @@ def _with_nodes(docs: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             nodes = [Sets(pc.fill_null(piece, ""), n).digests() for _, piece in chunked(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], [*batch.schema.names, name])
 

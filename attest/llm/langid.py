@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_unit, sample_fraction
+from attest.llm.common import hash_unit, pieces, sample_fraction
 
 ORDERS = (1, 2, 3)
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -143,7 +143,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((buckets + 1) * len(labels), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in chunks(texts):
                 grams = Grams(texts[i:j], buckets)
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = shared.value.score(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 
@@ -188,7 +188,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.take(pa.array([i for i, name in enumerate(names) if name != "und" and scores[i] >= least], pa.int64()))
 

@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared.value.counter = getattr(shared.value, "counter", None) or Counter(shared.value)  # lives as long as the worker
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1)
             size = pa.compute.binary_length(texts).cast(pa.int64())
             n = np.array(counter.texts(texts.to_pylist()), np.int64)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_unit, sample_fraction, stored
+from attest.llm.common import hash_unit, pieces, sample_fraction, stored
 
 FUZZY_LENGTH, WINDOW, STEMS = 5, 4, (4, 5, 6, 7)
 #: Words that announce someone else's words.
@@ -241,7 +241,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def terms(batches: Iterator[pa.RecordBatch], room: int = 500_000) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in pieces(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {bare(t) for t in set(WORDS.findall(text))} - {""}
                 counts[y == 1].update({"w" + w for w in words} | {"s" + w[:k] for w in words for k in STEMS if len(w) > k} | {"d"})
@@ -274,7 +274,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     shared = picked.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = [shared.value.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -297,7 +297,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = np.array([shared.value.score(t) for t in batch.column(0).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got), pa.array((got >= threshold).astype(np.int32))], [*(f.name for f in fields), "score", "predicted"])
 

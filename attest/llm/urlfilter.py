@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import ascii_lower
+from attest.llm.common import ascii_lower, pieces
 
 MAGIC = 8
 
@@ -119,7 +119,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))
-        for batch in batches:
+        for batch in pieces(batches):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             distinct: dict[bytes, int] = {}
             found = []
