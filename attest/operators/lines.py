@@ -225,6 +225,14 @@ def contacts(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k) for k in fields], name.alias("name"))
 
 
+def header_residue(lines: DataFrame) -> DataFrame:
+    """The lines before any heading that neither hold a contact nor are one."""
+    held = contacts(lines)
+    values = held.select("doc_id", F.explode(F.array(*[F.col(c) for c in held.columns if c != "doc_id"])).alias("line")).filter("line is not null")
+    holds = F.col("line").rlike(lx.EMAIL) | F.col("line").rlike(lx.PHONE) | F.col("line").rlike(lx.LINKEDIN) | F.col("line").rlike(lx.GITHUB)
+    return sections(lines).filter("section = 'HEADER'").filter(~holds).join(values, ["doc_id", "line"], "left_anti")
+
+
 def needs_ocr(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Documents with fewer than ten lines of more than three characters."""
     n = lines.groupBy("doc_id").agg(F.count_if(F.length(F.trim("line")) > 3).alias("n_lines"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attest.operators import retrieve, review
 from attest.plans import fixtures as fx
 from attest.plans.registry import query
 from attest.sources import layout, pages, records
+from attest.sources.shared import shared_dir
 from attest.streaming import ops as streams
 from attest.streaming import stateful
 
@@ -240,3 +243,17 @@ f AS (SELECT user_id, i, ts AS anchor, 1 AS made FROM t WHERE i = 1 UNION ALL SE
 SELECT user_id, CAST(max(made) AS BIGINT) AS snapshots FROM f GROUP BY user_id""")
 def st_snapshots(spark, d):
     return streams.run_available(stateful.snapshots(streams.read_events(spark, d), 5), "append").groupBy("user_id").agg(F.count("*").alias("snapshots"))
+
+
+@query("""WITH m AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS half, max(ts) - INTERVAL 1 HOUR AS mark FROM events), w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, ts FROM events, m WHERE ts > half)
+SELECT start, count(*) AS n FROM w, m WHERE start + INTERVAL 15 MINUTE <= mark GROUP BY start""")
+def st_late(spark, d):
+    """The newer half of the events comes first; by then the older half is too late and is dropped."""
+    events = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    half = F.timestamp_micros(F.lit(events.agg(F.expr("(unix_micros(min(ts)) + unix_micros(max(ts))) div 2")).first()[0]))  # one moment
+    folder = f"{shared_dir(spark)}/attest-late-{uuid.uuid4().hex}"
+    for part in (events.filter(F.col("ts") > half), events.limit(0), events.filter(F.col("ts") <= half)):  # a batch in between, as late rows are told by the mark of the batch before
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = streams.run_available(streams.closed_windows(stream, "15 minutes", "1 hour"), "append", timers=True)
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -240,7 +240,10 @@ def join_once(spark, d):
 
 @query(f"WITH {L} SELECT event_id, user_id, kind FROM (SELECT *, max(ts) FILTER (kind = 'mark_read') OVER (PARTITION BY user_id) AS r FROM log) WHERE kind <> 'mark_read' AND (r IS NULL OR ts > r)")
 def st_unread(spark, d):
-    return ops.unread(fx.log(spark, d))
+    """A stream keeps each reader's last moment; what came after it is unread."""
+    reads = streams.run_available(streams.last_reads(streams.read_events(spark, d)), "complete")
+    rows = fx.log(spark, d).filter("kind <> 'mark_read'").join(reads, "user_id", "left")
+    return rows.filter(F.col("read").isNull() | (F.col("ts").cast("timestamp") > F.col("read"))).select("event_id", "user_id", "kind")
 
 
 @query("WITH m AS (SELECT user_id, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last_ts < (SELECT max(ts) FROM events) - INTERVAL 720 MINUTE THEN 'failed' ELSE 'rerun' END AS action FROM m WHERE state <> 'purchase'")
@@ -267,7 +270,7 @@ def st_rate(spark, d):
 @query("""WITH f AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 10 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f) SELECT user_id, min(ts) AS start, count(*) AS n FROM n GROUP BY user_id, s""")
 def st_sessions(spark, d):
-    return _naive(streams.sessions(fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "10 minutes"))
+    return _naive(streams.run_available(streams.sessions(streams.read_events(spark, d), "10 minutes"), "complete"))
 
 
 @query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n FROM events, range(4) AS r(k) GROUP BY 1, 2""")

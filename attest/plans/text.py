@@ -111,18 +111,30 @@ def pred_candidate(spark, d):
     return ops.sections(fx.headed_lines(spark, d)).select("doc_id", "line_no", "section", ops.is_candidate(F.col("line"), F.col("section")).alias("candidate"))
 
 
-@query()
-def pred_eligible(spark, d):
-    return ops.units(ops.sections(fx.headed_lines(spark, d))).select("doc_id", "section", "unit_no", "eligible")
+def _parts(line: str) -> str:
+    body = f"CASE WHEN contains(left({line}, 40), ':') THEN substr({line}, strpos({line}, ':') + 1) ELSE {line} END"
+    return f"list_filter(list_transform(regexp_split_to_array({body}, '[,;|•·]'), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _listed() -> str:
+    """Over columns parts, lead and tier."""
+    return f"""(len(parts) >= 3 AND coalesce(list_sum(list_transform(parts, lambda p: len(list_filter(regexp_split_to_array({sql.squeeze('p')}, ' '), lambda w: w <> '')))), 0) / greatest(len(parts), 1) <= 3
+  AND {sql.strength('lead', 'tier')} = 0)"""
+
 
+_GATHERED = f"""{UNIT_ROWS}, e AS (SELECT doc_id, section, unit_no, {_UNIT_TEXT} AS text, bool_or(header) AS header, bool_or(cand) AS any_cand FROM numbered GROUP BY doc_id, section, unit_no),
+th AS (SELECT *, {header_sql('text', 'section')} AS th, {_parts('text')} AS parts, {sql.opener('text')} AS clean FROM e), tl AS (SELECT *, {sql.lead_form('clean')} AS lead FROM th), tt AS (SELECT *, {sql.lead_tier('lead')} AS tier FROM tl),
+f AS (SELECT *, NOT header AND any_cand AND {candidate_sql('text', 'section', 'th')} AS fits, {_listed()} AS listed, len(list_filter(regexp_split_to_array(text, ' '), lambda w: w <> '')) AS n FROM tt)"""
 
-_BODY = "CASE WHEN contains(left(line, 40), ':') THEN substr(line, strpos(line, ':') + 1) ELSE line END"
-_PARTS = f"list_filter(list_transform(regexp_split_to_array({_BODY}, '[,;|•·]'), lambda p: trim(p)), lambda p: p <> '')"
+
+@query(f"""WITH {_GATHERED} SELECT doc_id, section, unit_no, CASE WHEN section = 'HEADER' THEN false WHEN section IN ({sql.items(lx.PRIMARY_SECTIONS)}) THEN fits AND NOT th AND NOT listed
+  ELSE section NOT IN ({sql.items(lx.LIST_SECTIONS)}) AND (fits OR n >= 4) AND NOT th AND NOT listed END AS eligible FROM f""")
+def pred_eligible(spark, d):
+    return ops.units(ops.sections(fx.headed_lines(spark, d))).select("doc_id", "section", "unit_no", "eligible")
 
 
-@query(f"""WITH {fx.PLAIN_LINES}, p AS (SELECT *, {_PARTS} AS parts, {sql.opener('line')} AS clean FROM plain_lines), l AS (SELECT *, {sql.lead_form('clean')} AS lead FROM p), t AS (SELECT *, {sql.lead_tier('lead')} AS tier FROM l)
-SELECT doc_id, line_no, len(parts) >= 3 AND coalesce(list_sum(list_transform(parts, lambda p: len(list_filter(regexp_split_to_array({sql.squeeze('p')}, ' '), lambda w: w <> '')))), 0) / greatest(len(parts), 1) <= 3
-  AND {sql.strength('lead', 'tier')} = 0 AS listed FROM t""")
+@query(f"""WITH {fx.PLAIN_LINES}, p AS (SELECT *, {_parts('line')} AS parts, {sql.opener('line')} AS clean FROM plain_lines), l AS (SELECT *, {sql.lead_form('clean')} AS lead FROM p), t AS (SELECT *, {sql.lead_tier('lead')} AS tier FROM l)
+SELECT doc_id, line_no, {_listed()} AS listed FROM t""")
 def pred_list(spark, d):
     return fx.plain_lines(spark, d).select("doc_id", "line_no", ops.looks_like_list(F.col("line")).alias("listed"))
 
@@ -148,11 +160,16 @@ def pred_contact(spark, d):
 _LINKS = " OR ".join(f"regexp_matches(line, '{p}')" for p in (lx.EMAIL, lx.PHONE, lx.LINKEDIN, lx.GITHUB))
 
 
-@query(f"WITH {fx.PLAIN_LINES} SELECT doc_id, line_no, line FROM plain_lines WHERE line_no < 5 AND NOT ({_LINKS})")
+_LATER = f"{fx.PLAIN_LINES}, late AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 4 THEN 'Work Experience' ELSE line END AS line FROM plain_lines)"
+
+
+@query(f"""WITH {_LATER}, f AS (SELECT doc_id, line_no, line, {', '.join(_first(n) for n in _TAKE)} FROM late WHERE line_no < 15),
+c AS (SELECT doc_id, {', '.join(f'arg_min({n}, line_no) FILTER ({n} IS NOT NULL) AS {n}' for n in _TAKE)}, max(line) FILTER (line_no = 0 AND email IS NULL AND phone IS NULL) AS name FROM f GROUP BY doc_id)
+SELECT doc_id, line_no, line FROM late JOIN c USING (doc_id) WHERE line_no < 4 AND NOT ({_LINKS}) AND NOT list_contains(list_filter([{', '.join(_TAKE)}, name], lambda v: v IS NOT NULL), line)""")
 def pred_header_residue(spark, d):
-    """The first lines (they stand before any heading) without those that hold a contact."""
-    holds = F.col("line").rlike(lx.EMAIL) | F.col("line").rlike(lx.PHONE) | F.col("line").rlike(lx.LINKEDIN) | F.col("line").rlike(lx.GITHUB)
-    return fx.plain_lines(spark, d).filter("line_no < 5").filter(~holds)
+    """What stands before the first heading, the fifth line here, without contacts."""
+    late = fx.plain_lines(spark, d).withColumn("line", F.when(F.col("line_no") % 5 == 4, "Work Experience").otherwise(F.col("line")))
+    return ops.header_residue(late).select("doc_id", "line_no", "line")
 
 
 @query(f"WITH {fx.PLAIN_LINES}, n AS (SELECT d.doc_id, count(*) FILTER (length(trim(line)) > 3) AS n_lines FROM documents d LEFT JOIN plain_lines p ON p.doc_id = d.doc_id GROUP BY d.doc_id) SELECT * FROM n WHERE n_lines < 10")

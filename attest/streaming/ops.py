@@ -59,6 +59,18 @@ def sliding(events: DataFrame, width: str, step: str) -> DataFrame:
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def closed_windows(events: DataFrame, width: str, late: str) -> DataFrame:
+    """Activity in windows, each given out once when it is over; rows more than ``late`` behind the newest are
+    dropped, and counted by the query's progress (numRowsDroppedByWatermark)."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").alias("start"), "n")
+
+
+def last_reads(events: DataFrame) -> DataFrame:
+    """Each user's last moment of reading."""
+    return events.filter("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("read"))
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Furthest stage per user, which never moves back, and events so far."""
     order = {"signup": 0, "view": 1, "click": 2, "error": 3, "purchase": 4}
