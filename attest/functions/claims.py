@@ -21,10 +21,12 @@ DATED = (
 
 
 def claim_tokens(text: Column) -> Column:
-    """Distinct figures of a text, lower-cased and sorted; not placeholders in brackets, not years that date."""
+    """Distinct figures of a text, lower-cased and sorted; not placeholders in brackets, not years that date. Most texts
+    have no digit, and cost no more than that look."""
     masked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\]]*\]", " "), DATED, " ")
     found = F.regexp_extract_all(masked, F.lit(FIGURE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))))
+    tokens = F.array_sort(F.array_distinct(F.transform(found, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))))
+    return F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), tokens).otherwise(F.array().cast("array<string>"))
 
 
 def claim_key(token: Column) -> Column:

@@ -14,7 +14,8 @@ VERSION = r"(?<=\s)([A-Z][A-Za-z+#.]*)\s+v?\d+(?:\.\d+)*(?![\w%.])"
 
 
 def is_quantified(text: Column) -> Column:
-    return F.size(claims.claim_tokens(F.regexp_replace(F.coalesce(text, F.lit("")), VERSION, "$1"))) > 0
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole.rlike("[0-9]"), F.size(claims.claim_tokens(F.regexp_replace(whole, VERSION, "$1"))) > 0).otherwise(False)
 
 
 def past_forms(word: Column) -> Column:

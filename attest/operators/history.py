@@ -114,15 +114,21 @@ def autosaves(log: DataFrame, gap: str) -> DataFrame:
 
 def snapshots(log: DataFrame, minutes: int) -> DataFrame:
     """A decision within ``minutes`` of a snapshot's creation updates it, a later one starts a new snapshot;
-    the anchor does not slide, so it is a fold over each user's times."""
-    times = log.groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
+    the anchor does not slide, so it is a fold over times. A longer pause starts a snapshot whatever came before, so each
+    stretch between pauses is folded by itself."""
+    order = Window.partitionBy("user_id").orderBy("at")
+    moments = log.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    pause = F.coalesce(F.col("at") - F.lag("at").over(order) > minutes * 60_000_000, F.lit(True)).cast("int")
+    stretches = moments.withColumn("pause", pause).withColumn("stretch", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    times = stretches.groupBy("user_id", "stretch").agg(F.array_sort(F.collect_list("at")).alias("times"))
     start = F.struct(F.lit(-(1 << 60)).cast("long").alias("anchor"), F.lit(0).alias("made"))
 
     def step(acc: Column, t: Column) -> Column:
         new = t - acc["anchor"] > minutes * 60_000_000
         return F.struct(F.when(new, t).otherwise(acc["anchor"]).alias("anchor"), (acc["made"] + new.cast("int")).alias("made"))
 
-    return times.select("user_id", F.aggregate("times", start, step)["made"].cast("long").alias("snapshots"), F.size("times").cast("long").alias("decisions"))
+    each = times.select("user_id", F.aggregate("times", start, step)["made"].cast("long").alias("made"), F.size("times").cast("long").alias("n"))
+    return each.groupBy("user_id").agg(F.sum("made").alias("snapshots"), F.sum("n").alias("decisions"))
 
 
 def decision_state(log: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def test_public_url(spark):
 
 
 def test_native_plans(spark):
-    from attest.plans import registry
+    from attest.plans import history, registry, review, sources, text  # noqa: F401  (they register the queries)
 
     for name in ("agg_doc_score", "claim_findings", "seg_sections", "kw_freqs", "join_asof"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
