@@ -468,7 +468,7 @@ def _hopeful(meetings: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted distinct arrays, as products of their 0/1 matrix."""
+    """Sizes of the intersections of all pairs of different sorted distinct arrays, as products of their 0/1 matrix."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     values, at, count = np.unique(flat, return_inverse=True, return_counts=True)

@@ -477,3 +477,42 @@ def test_pipeline_stages(spark):
             bad = {x for x, _ in brute_leaks([(r["doc_id"], r["text"]) for r in before.collect()], items)}
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()} - bad
     assert seen["language"] == 200 and seen["shards"] == seen["mixture"]
+
+
+@pytest.mark.parametrize("extra", ["node_", "id_", "gone"])
+def test_pipeline_stages_on_odd_tables(spark, odd, empty, extra):
+    """Nulls in any column, empty and very long texts, repeated rows, names that clash, and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    docs, none = (t.withColumn(extra, F.lit("mine")) for t in (odd, empty))
+    for name, stage in pipeline.STAGES[:-1] if extra == "node_" else pipeline.STAGES[1:2]:
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns and stage(spark, none, SMALL).count() == 0, name
+        rows = kept.collect()
+        assert {r[extra] for r in rows} <= {"mine"} and {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+        if name == "near_duplicates":
+            assert Counter(r["doc_id"] for r in rows if r["doc_id"] not in (1, None)) == Counter(i for i in range(len(TEXTS)) if i not in (1, 5))
+    assert pipeline.STAGES[-1][1](spark, none, SMALL).count() == 0 and pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def test_jaccard_family_below_the_threshold(spark):
+    """Two thousand documents that all are similar, few of them enough: links alone leave a meeting."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for k in rng.sample(range(60), 4):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, block=300).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {5000 + i: i for i in range(5)}
+
+
+def test_overlaps_brute():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 5000, n).astype(np.uint64)) for n in (0, 1, 40, 900, 3000, 3000)]
+    got = jaccard.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i))
