@@ -29,13 +29,14 @@ _WORDS = "len(string_split(x, ' '))"
 _LETTERS = "regexp_replace(x, ':+$', '')"
 _HEADER = rf"""{_WORDS} <= 8 AND NOT regexp_matches(x, '[.!?]$') AND ((ends_with(x, ':') AND {_WORDS} <= 4) OR (regexp_matches(x, '{pages.PAGE_HEADER}') AND {_WORDS} <= 5)
   OR ({_LETTERS} = upper({_LETTERS}) AND {_LETTERS} <> lower({_LETTERS})))"""
-_LOUD = "CASE WHEN length({0}) < 60 THEN upper({0}) ELSE {0} END"
+_UPPER = "upper(replace({0}, 'ß', 'SS'))"
+_LOUD = f"CASE WHEN length({{0}}) < 60 THEN {_UPPER} ELSE {{0}} END"
 
 
 @query(rf"""WITH t AS (SELECT page_id, {_HTML} AS t FROM pages),
 l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x NOT IN ('', '-', '#')) AS ls FROM t),
 f AS (SELECT page_id, flatten(list_transform(ls, lambda x: CASE WHEN starts_with(x, '# ') THEN ['', {_LOUD.format('substr(x, 3)')}, ''] WHEN starts_with(x, '- ') THEN [x]
-  WHEN {_HEADER} THEN ['', CASE WHEN length(x) < 60 THEN upper({_LETTERS}) ELSE x END, ''] ELSE [x] END)) AS f FROM l)
+  WHEN {_HEADER} THEN ['', CASE WHEN length(x) < 60 THEN {_UPPER.format(_LETTERS)} ELSE x END, ''] ELSE [x] END)) AS f FROM l)
 SELECT page_id, regexp_replace(array_to_string(list_transform(list_filter(range(1, len(f) + 1), lambda i: i = 1 OR f[i - 1] <> f[i]), lambda i: f[i]), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM f""")
 def src_html(spark, d):
     return fx.table(spark, d, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
