@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.llm.common import pieces as small
+
 #: Fixed value: how byte-level vocabularies of this family cut a text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 40)
@@ -136,7 +138,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared.value.counter = getattr(shared.value, "counter", None) or Counter(shared.value)  # lives as long as the worker
-        for batch in pieces(batches):
+        for batch in small(batches):
             texts = batch.column(1)
             size = pa.compute.binary_length(texts).cast(pa.int64())
             n = np.array(counter.texts(texts.to_pylist()), np.int64)
