@@ -43,14 +43,15 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, rows: int = 1_000) -> DataFrame:
+def stored(df: DataFrame, rows: int = 1_000, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor
     costs a re-read of a file rather than a re-run. The files live under ``attest-<application>`` and can
-    go once the application has ended."""
+    go once the application has ended. ``by``: a column whose values get folders of their own, so that a filter on it
+    reads no others."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attest-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     with small_batches(spark, rows):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

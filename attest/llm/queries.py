@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, urlfilter
+from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, trie, urlfilter
 from attest.llm.common import remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,7 +69,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity, op13_prefix_trie)}
 
 #: Null-safe host and path of a url, in DuckDB.
 _URL = """SELECT page_id,
@@ -107,4 +111,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(block) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM t),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 1, 2, 3, 4, 5, 6, 7] AS BIGINT[])), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h FROM c),
+s AS (SELECT h.conv_id, 1 AS part, pos, role, text FROM h JOIN t ON t.conv_id = base AND pos <= h UNION ALL SELECT h.conv_id, 2, pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND pos > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM s),
+p AS (SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS node, '' AS above, 0 AS words FROM c
+  UNION ALL SELECT r.conv_id, r.depth, sha256(p.node || '|' || length(role) || ':' || role || text), p.node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM p JOIN r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+n AS (SELECT depth, node, above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved FROM p GROUP BY depth, node, above),
+k AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+u AS (SELECT p.depth, p.node, CAST(count(*) FILTER (f.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(f.saved) AS BIGINT) AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.node),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT p.depth, p.node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM l JOIN p USING (conv_id, depth) GROUP BY p.depth, p.node)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM f JOIN u ON u.depth = f.depth AND u.node = f.node LEFT JOIN e ON e.depth = f.depth AND e.node = f.node LEFT JOIN f g ON g.depth = f.depth - 1 AND g.node = f.above""",
 }
