@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, toxicity, trie, urlfilter
-from attest.llm.common import remainder, table
+from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, topk, toxicity, trie, urlfilter
+from attest.llm.common import remainder, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The rules of the url query.
@@ -69,11 +69,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = stored(topk.whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    found = topk.top_k(every.filter("vec_id % 50 = 0"), every)
+    return found.select(F.col("vec_id").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity, op12_topk_search, op13_prefix_trie)}
 
 #: Null-safe host and path of a url, in DuckDB.
 _URL = """SELECT page_id,
@@ -111,6 +117,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(block) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
     "op13_prefix_trie": r"""
 WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM t),
