@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import chat, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, topk, toxicity, trie, urlfilter
+from attest.llm import chat, collocation, decontam, exactdedup, jaccard, langid, mixing, sharding, tokens, topk, toxicity, trie, urlfilter
 from attest.llm.common import remainder, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, "doc_id", "text", (remainder(F.col("doc_id")) == 2).alias("held_out"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = stored(topk.whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     found = topk.top_k(every.filter("vec_id % 50 = 0"), every)
@@ -79,7 +83,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity, op12_topk_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_url_filter, op3_mixing, op4_exact_dedup, op5_chat_format, op6_decontaminate, op7_token_counts, op8_ngram_jaccard, op9_sharding, op10_toxicity, op11_collocations, op12_topk_search, op13_prefix_trie)}
 
 #: Null-safe host and path of a url, in DuckDB.
 _URL = """SELECT page_id,
@@ -117,6 +121,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(block) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_collocations": r"""
+WITH p AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM p)),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k >= 2), d AS (SELECT DISTINCT lang, k - 1 AS k, a, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) AS phrase FROM c WHERE k > 2),
+s AS (SELECT c.*, n, cut, x.a AS l, y.a AS r, CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM c ANTI JOIN d ON d.lang = c.lang AND d.k = c.k AND d.a = c.a AND d.phrase = c.phrase JOIN t ON t.lang = c.lang, range(1, 5) AS z(cut), f x, f y
+  WHERE cut < c.k AND x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AND y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:c.k], ' ')),
+o AS (SELECT lang, phrase, a, n, x[1] AS score, x[3] AS l, x[4] AS r FROM (SELECT lang, phrase, a, n, min([score, cut, l, r]) AS x FROM s GROUP BY lang, phrase, a, n))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o) WHERE rank <= 2000""",
     "op12_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
