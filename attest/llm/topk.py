@@ -4,9 +4,9 @@ Vectors become whole numbers, floor(256 * x). Candidates are grouped by length i
 a threshold t (its k-th best product so far) can only find something in a bucket if the cosine reaches
 t / (|q| * longest of the bucket): the local threshold. Above 1 the bucket is left out and the query doesn't travel
 there. Else the bucket is pruned for the query, by length (|p| >= t / |q|, a prefix of the bucket sorted by
-length) or by a coordinate (the cosine bounds a candidate's share along each coordinate of the query from both sides; of
-the query's three largest the one that leaves fewest), whichever leaves fewer, and what is left is verified by exact
-products. Queries that prune little are multiplied with the whole bucket at once.
+length) or by coordinates (the cosine bounds a candidate's share along each coordinate of the query; of the query's
+three largest the one that leaves fewest, then all eight largest together with what the rest can add), whichever leaves
+fewer, and what is left is verified by exact products. Queries that prune little are multiplied with the whole bucket at once.
 
 *Thresholds* come from the probes: the longest vectors and some drawn by hash, ``probes`` in all, which go to every task;
 their products are exact, so the k-th best of them is a true lower bound. Bounds are slack by 1e-9 and a threshold is
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from attest.llm.common import stored
 
 SLACK = 1e-9
+WIDEST = (1 << 63) - 1
 FOUND = "row long, vec_id long, found long, score long"
 
 
@@ -51,7 +52,8 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where every sum of products is exact in them, else in integers."""
+    """Exact inner products: in doubles where every sum of products is exact in them, else in integers. Beyond 64 bits they
+    stop at ``WIDEST``."""
     top = lambda m: int(np.abs(m).max(initial=0)) if not (m == np.iinfo(np.int64).min).any() else 1 << 63
     most = top(q) * top(p) * max(1, q.shape[-1])
     if most < 1 << 53:
@@ -59,9 +61,7 @@ def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     if most < 1 << 63:
         return q @ p.T
     exact = q.astype(object) @ p.astype(object).T
-    if exact.size and max(abs(int(x)) for x in exact.ravel()) >= 1 << 63:
-        raise OverflowError("a score is beyond 64 bits")
-    return exact.astype(np.int64)
+    return np.clip(exact, -WIDEST, WIDEST).astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
@@ -88,7 +88,7 @@ class Bucket:
             self.sorted[f] = order, self.unit[order, f]
         return self.sorted[f]
 
-    def left(self, q: np.ndarray, norm: float, threshold: float, focus: int = 3) -> np.ndarray | None:
+    def left(self, q: np.ndarray, norm: float, threshold: float, focus: int = 8) -> np.ndarray | None:
         """Places that the local cosine threshold leaves; None for all."""
         if norm == 0 or not len(self.norm) or self.norm[0] == 0:
             return None if threshold <= 0 else np.zeros(0, int)
@@ -99,16 +99,23 @@ class Bucket:
             return None
         prefix = int(np.searchsorted(-self.norm, -(threshold / norm * (1 - SLACK)), side="right"))
         share, few = q / norm, None
-        for f in np.argsort(-np.abs(share))[:focus]:
+        main = np.argsort(-np.abs(share))[:focus]
+        for f in main[:3]:
             order, value = self.coordinate(int(f))
             spread = np.sqrt(max(0.0, (1 - local * local) * (1 - share[f] ** 2))) + SLACK
             a = np.searchsorted(value, share[f] * local - spread) if share[f] > 0 else 0
             b = len(value) if share[f] > 0 else np.searchsorted(value, share[f] * local + spread, side="right")
             if few is None or b - a < few[1] - few[0]:
                 few = a, b, order
-        if few and few[1] - few[0] < prefix:
-            return few[2][few[0] : few[1]]
-        return np.arange(prefix) if prefix < len(self.norm) else None
+        if few is None or few[1] - few[0] >= prefix:
+            return np.arange(prefix) if prefix < len(self.norm) else None
+        places = few[2][few[0] : few[1]]
+        if 2 * len(places) > len(self.norm):
+            return places
+        # The main coordinates' products, and what the others can add at most.
+        own = self.unit[places][:, main]
+        most = own @ share[main] + np.sqrt(np.maximum(0, 1 - (own * own).sum(axis=1))) * np.sqrt(max(0.0, 1 - float((share[main] ** 2).sum())))
+        return places[(most + SLACK) * self.norm[places] * norm >= threshold * (1 - SLACK)]
 
 
 def search(q_rows: np.ndarray, q: np.ndarray, thresholds: np.ndarray, bucket: Bucket, k: int, dense: float = 0.25, together: int = 256) -> tuple[list, list, list, dict]:
@@ -119,6 +126,8 @@ def search(q_rows: np.ndarray, q: np.ndarray, thresholds: np.ndarray, bucket: Bu
     def keep(i: int, places: np.ndarray, score: np.ndarray) -> None:
         good = np.flatnonzero((score >= thresholds[i]) & (bucket.rows[places] != q_rows[i]))
         top = good[best(score[good], bucket.ids[places[good]], bucket.rows[places[good]], k)]
+        if len(top) and (np.abs(score[top]) == WIDEST).any():
+            raise OverflowError("a score is beyond 64 bits")
         at.extend([i] * len(top))
         where.extend(places[top])
         scores.extend(score[top])
