@@ -1,8 +1,8 @@
 """Keyword evidence: how a text supports a keyword that it doesn't state, what to offer, what a rewrite added.
 
 Keywords (job_id, ord, keyword); units (doc_id, job_id, unit_no, section, text), each reviewed against one job.
-Implications (keyword, term) are a parameter: a curated table of what a named thing entails. All meetings of texts
-and terms are equi-joins on tokens or stems, verified afterwards."""
+Implications (keyword, term) are a parameter: a curated table of what a named thing entails. Texts meet terms in an
+automaton that reads each text once, and keywords in other words on the forms of their rarest word."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from attest.functions import lexicon as lx
 from attest.functions.text import let
 from attest.operators.keywords import lookup_keys
+from attest.operators.terms import find_terms
+from attest.sources.shared import stored
 
 TOKEN = r"([a-z0-9+#][a-z0-9+#/.]*)"
 
@@ -64,13 +66,6 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")), F.lit("-"), F.lit(" ")), F.lit(TOKEN), 1)
 
 
-def _heads(text: Column) -> Column:
-    """What a term may begin with: runs of letters and digits, with and without the + and # after them."""
-    runs = F.filter(F.split(F.lower(text), r"[^a-z0-9+#]+"), lambda t: t != "")
-    pieces = F.flatten(F.transform(runs, lambda t: F.concat(F.array(t, F.regexp_replace(t, "[+#]+$", "")), F.split(t, "[+#]+"))))
-    return F.array_distinct(F.filter(pieces, lambda t: t != ""))
-
-
 def terms_of(keywords: DataFrame, implications: DataFrame, near) -> DataFrame:
     """(job_id, ord, keyword, via, prio, key_no, term_no, term): what counts as evidence, in order of preference."""
     keyed = keywords.select("job_id", "ord", "keyword", F.posexplode(lookup_keys(F.col("keyword"))).alias("key_no", "key"))
@@ -84,27 +79,40 @@ def terms_of(keywords: DataFrame, implications: DataFrame, near) -> DataFrame:
 
 def _named(texts: DataFrame, id_cols: list[str], terms: DataFrame, near) -> DataFrame:
     """texts(*id_cols, job_id, text) that hold a term of their job: all columns of the terms and the evidence."""
-    head = F.element_at(F.filter(F.split(F.lower("term"), r"[^a-z0-9+#]+"), lambda t: t != ""), 1)
-    held = texts.select(*id_cols, "job_id", F.explode(_heads(F.col("text"))).alias("head"))
-    met = held.join(near(terms.withColumn("head", head)), ["job_id", "head"]).drop("head").distinct()
-    return met.join(texts.select(*id_cols, "text"), id_cols).withColumn("evidence", find(F.col("term"), F.col("text"))).filter("evidence is not null").drop("text")
+    held = find_terms(texts, [*id_cols, "job_id"], terms.select("term", _exact(F.col("term")).alias("exact")))
+    return held.join(near(terms), ["job_id", "term"])
 
 
-def reworded(texts: DataFrame, id_cols: list[str], keywords: DataFrame, strict: bool, near) -> DataFrame:
+def reworded(texts: DataFrame, id_cols: list[str], keywords: DataFrame, strict: bool, few: int = 100_000) -> DataFrame:
     """(*id_cols, job_id, ord, keyword, evidence): every content word of the keyword shares a stem with a word of
-    the text; the text's own words, in its order. Strict: lower-case keywords only."""
+    the text; the text's own words, in its order. Strict: lower-case keywords only.
+
+    Stems are taken once of each distinct word. A keyword meets texts on the forms of its rarest word alone; its other
+    words are tested against the text's."""
     words = F.filter(_tokens(F.col("keyword")), lambda w: ~w.isin(lx.STOPWORDS))
     wanted = keywords.withColumn("words", words).filter(F.size("words") > 0)
-    wanted = wanted.filter((F.size("words") > 1) | ~(F.col("words")[0].isin(lx.WORDLIKE_NAMES) | (F.length(F.col("words")[0]) < 5)))
+    wanted = wanted.filter((F.size("words") > 1) | ~(F.get("words", F.lit(0)).isin(lx.WORDLIKE_NAMES) | (F.length(F.get("words", F.lit(0))) < 5)))
     if strict:
         wanted = wanted.filter(F.col("keyword") == F.lower("keyword"))
-    wanted = wanted.select("job_id", "ord", "keyword", F.size("words").alias("n"), F.posexplode("words").alias("word_no", "word"))
-    wanted = wanted.select("job_id", "ord", "keyword", "n", "word_no", F.explode(stems(F.col("word"))).alias("stem"))
-    tokens = texts.select(*id_cols, "job_id", F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))
-    first = tokens.groupBy(*id_cols, "job_id", "token").agg(F.min("pos").alias("pos")).withColumn("stem", F.explode(stems(F.col("token"))))
-    hits = first.join(near(wanted), ["job_id", "stem"]).groupBy(*id_cols, "job_id", "ord", "keyword", "n", "word_no").agg(F.min(F.struct("pos", "token")).alias("hit"))
-    whole = hits.groupBy(*id_cols, "job_id", "ord", "keyword", "n").agg(F.count("*").alias("found"), F.array_sort(F.collect_set("hit")).alias("hits")).filter("found = n")
-    return whole.select(*id_cols, "job_id", "ord", "keyword", F.array_join(F.transform("hits", lambda h: h["token"]), " ").alias("evidence"))
+    wanted = wanted.select("job_id", "ord", "keyword", F.array_distinct("words").alias("words"))
+    own = texts.select(*id_cols, "job_id", F.array_distinct(_tokens(F.col("text"))).alias("tokens"))
+    counted = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    forms = counted.withColumn("stem", F.explode(stems(F.col("token"))))
+    asked = wanted.select(F.explode("words").alias("word")).distinct().withColumn("stem", F.explode(stems(F.col("word"))))
+    alike = asked.join(forms, "stem").select("word", "token", "n").distinct().groupBy("word").agg(F.collect_list("token").alias("forms"), F.sum("n").alias("n"))
+    known = wanted.select("job_id", "ord", "keyword", F.size("words").alias("size"), F.explode("words").alias("word")).join(alike, "word")
+    each = known.groupBy("job_id", "ord", "keyword", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word", "forms"))).alias("each")).filter(F.size("each") == F.col("size"))
+    rules = stored(each.select("job_id", "ord", "keyword", F.get("each", F.lit(0))["forms"].alias("rarest"), F.transform("each", lambda x: x["forms"]).alias("all")))
+    met_on = rules.withColumn("token", F.explode("rarest"))
+    if met_on.count() <= few:
+        met = own.withColumn("token", F.explode("tokens")).join(F.broadcast(met_on), ["job_id", "token"])
+    else:
+        keys = own.select(*id_cols, "job_id", F.explode("tokens").alias("token")).join(met_on.select("job_id", "token", "ord", "keyword"), ["job_id", "token"])
+        met = keys.join(own, [*id_cols, "job_id"]).join(rules, ["job_id", "ord", "keyword"])
+    first = lambda forms: F.get(F.filter("tokens", lambda t: F.array_contains(forms, t)), F.lit(0))
+    whole = met.filter(F.forall("all", lambda forms: F.arrays_overlap(forms, F.col("tokens")))).filter(F.col("token") == first(F.col("rarest")))
+    used = let(F.transform("all", first), lambda u: F.array_join(F.filter("tokens", lambda t: F.array_contains(u, t)), " "))
+    return whole.select(*id_cols, "job_id", "ord", "keyword", used.alias("evidence"))
 
 
 def _near(few: int):
@@ -115,10 +123,22 @@ def support(units: DataFrame, keywords: DataFrame, implications: DataFrame, cont
     """(doc_id, unit_no, job_id, ord, keyword, via, evidence) of the keywords that a unit supports, by the best of:
     an acronym's other number, another name, what a named thing implies, the same in other words, and, for units of
     the section SUMMARY, the rest of the document (contexts(doc_id, job_id, text))."""
+    columns = ["doc_id", "unit_no", "job_id", "section", "text"]
+    return _support(stored(units.select(*columns)), stored(keywords.select("job_id", "ord", "keyword")), implications, contexts, strict, few)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The most preferred evidence of each keyword and unit; a job's ``ord`` stands for its keyword."""
+    best = F.min_by(F.struct("keyword", "via", "evidence"), F.struct("prio", "key_no", "term_no"))
+    out = found.groupBy("doc_id", "unit_no", "job_id", "ord").agg(best.alias("x"))
+    return out.select("doc_id", "unit_no", "job_id", "ord", "x.keyword", "x.via", "x.evidence")
+
+
+def _support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None, strict: bool, few: int) -> DataFrame:
     near, ids = _near(few), ["doc_id", "unit_no"]
-    terms = terms_of(keywords, implications, near)
+    terms = stored(terms_of(keywords, implications, near))
     found = _named(units, ids, terms, near).select(*ids, "job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "evidence")
-    worded = reworded(units, ids, keywords, strict, near)
+    worded = reworded(units, ids, keywords, strict, few)
     found = found.unionByName(worded.select(*ids, "job_id", "ord", "keyword", F.lit("reworded").alias("via"), F.lit(3).alias("prio"), F.lit(0).alias("key_no"), F.lit(0).alias("term_no"), "evidence"))
     if contexts is not None:
         own = keywords.select("job_id", "ord", "keyword", F.lit("resume").alias("via"), F.lit(4).alias("prio"), F.lit(0).alias("key_no"), F.lit(0).alias("term_no"), F.col("keyword").alias("term"))
@@ -126,17 +146,17 @@ def support(units: DataFrame, keywords: DataFrame, implications: DataFrame, cont
         stated = _named(contexts, ["doc_id"], own.withColumn("term", F.lower("term")), near).withColumn("evidence", F.col("keyword"))
         around = stated.unionByName(_named(contexts, ["doc_id"], other, near)).join(units.filter("section = 'SUMMARY'").select("doc_id", "unit_no"), "doc_id")
         found = found.unionByName(around.select(*ids, "job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "evidence"))
-    best = F.min_by(F.struct("via", "evidence"), F.struct("prio", "key_no", "term_no"))
-    return found.groupBy(*ids, "job_id", "ord", "keyword").agg(best.alias("x")).select(*ids, "job_id", "ord", "keyword", "x.via", "x.evidence")
+    return _best(found)
 
 
 def offers(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame, per_unit: int = 2, per_keyword: int = 2, few: int = 100_000) -> DataFrame:
     """(doc_id, unit_no, keyword, via, evidence): keywords that a unit may work in. In the order of units, those that
     the document lacks first: at most ``per_unit`` a unit and ``per_keyword`` a keyword (the caps are the rule), none
     that the unit states, and only the first unit of a repeated text."""
-    first = units.groupBy("doc_id", "text").agg(F.min("unit_no").alias("unit_no")).select("doc_id", "unit_no")
-    own = units.join(first, ["doc_id", "unit_no"], "left_semi")
-    found = support(own, keywords, implications, contexts, True, few).join(own.select("doc_id", "unit_no", "text"), ["doc_id", "unit_no"])
+    first = units.groupBy("doc_id", "text").agg(F.min_by(F.struct("unit_no", "job_id", "section"), "unit_no").alias("x"))
+    own = stored(first.select("doc_id", "x.unit_no", "x.job_id", "x.section", "text"))
+    contexts, keywords = stored(contexts), stored(keywords.select("job_id", "ord", "keyword"))
+    found = _support(own, keywords, implications, contexts, True, few).join(own.select("doc_id", "unit_no", "text"), ["doc_id", "unit_no"])
     found = found.filter(~states(F.col("keyword"), F.col("text"))).drop("text")
     named = _named(contexts, ["doc_id"], keywords.select("job_id", "ord", F.lower("keyword").alias("term")), _near(few)).select("doc_id", "job_id", "ord").distinct().withColumn("present", F.lit(1))
     found = found.join(named, ["doc_id", "job_id", "ord"], "left").withColumn("present", F.coalesce("present", F.lit(0)))
@@ -172,8 +192,20 @@ def check(pairs: DataFrame, keywords: DataFrame, implications: DataFrame, few: i
     return out.select(*ids, "job_id", "ord", "keyword", F.col("via").isNotNull().alias("supported"), "via", "evidence")
 
 
-def spot_vocabulary(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, keywords, company) of texts(doc_id, text): the terms of a short vocabulary that a text states, in the
-    vocabulary's order, and the name after ``at``, ``join`` or ``About``."""
-    found = F.filter(F.array(*[F.when(states(F.lit(t), F.col("text")), F.lit(t)) for t in vocabulary]), lambda t: t.isNotNull())
-    return texts.select("doc_id", found.alias("keywords"), F.regexp_extract("text", lx.COMPANY, 1).alias("company"))
+def named(units: DataFrame, keywords: DataFrame, implications: DataFrame, few: int = 100_000) -> DataFrame:
+    """(doc_id, unit_no, job_id, ord, keyword, via, evidence) of the keywords that a unit supports by a name alone: an
+    acronym's other number, another name, or what a named thing implies, the first of these."""
+    near = _near(few)
+    found = _named(units, ["doc_id", "unit_no"], stored(terms_of(keywords, implications, near)), near)
+    return _best(found)
+
+
+def spot_vocabulary(texts: DataFrame, vocabulary: DataFrame, few: int = 100_000) -> DataFrame:
+    """(doc_id, keywords, company) of texts(doc_id, text): the terms of vocabulary(ord, term) that a text states in any
+    case, in the vocabulary's order, and the name after ``at``, ``join`` or ``About``. The terms are read off in one
+    pass, however many; texts of one doc_id are one document for the terms."""
+    held = find_terms(texts, ["doc_id"], vocabulary.select("term", F.lit(False).alias("exact")), few).select("doc_id", "term").distinct()
+    hits = held.join(_near(few)(vocabulary), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("hits"))
+    company = texts.select("doc_id", F.regexp_extract("text", lx.COMPANY, 1).alias("company"))
+    keywords = F.coalesce(F.transform("hits", lambda h: h["term"]), F.array().cast("array<string>"))
+    return company.join(hits, "doc_id", "left").select("doc_id", keywords.alias("keywords"), "company")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attest.operators import evidence as ev
 from attest.operators import plug, retrieve, review
+from attest.operators.terms import find_terms
 from attest.plans import evidence as plans
 from attest.plans import extra
 from attest.sources import layout, records
@@ -64,13 +66,13 @@ def test_offers_against_a_greedy_loop(spark):
     found = defaultdict(dict)
     for r in ev.support(units, keywords, plans._implications(spark, SMALL), contexts).collect():
         found[r["doc_id"], r["unit_no"]][r["ord"]] = (r["keyword"], r["via"], r["evidence"])
-    text = {r["doc_id"]: f" {r['text']} ".replace("\n", " ") for r in contexts.collect()}
+    text = {r["doc_id"]: f" {r['text']} ".replace("\n", " ").lower() for r in contexts.collect()}
     want, given, seen = set(), defaultdict(int), set()
     for u in sorted(units.collect(), key=lambda u: (u["doc_id"], u["unit_no"])):
         if (u["doc_id"], u["text"]) in seen:
             continue
         seen.add((u["doc_id"], u["text"]))
-        rows = sorted((f" {k} " in text[u["doc_id"]], o, k, v, e) for o, (k, v, e) in found[u["doc_id"], u["unit_no"]].items() if f" {k} " not in f" {u['text']} ")
+        rows = sorted((f" {k.lower()} " in text[u["doc_id"]], o, k, v, e) for o, (k, v, e) in found[u["doc_id"], u["unit_no"]].items() if f" {k.lower()} " not in f" {u['text'].lower()} ")
         picked = 0
         for _, _, k, v, e in rows:
             if picked < 2 and given[u["doc_id"], k] < 2:
@@ -80,6 +82,36 @@ def test_offers_against_a_greedy_loop(spark):
     assert {tuple(r) for r in ev.offers(units, keywords, plans._implications(spark, SMALL), contexts).collect()} == want and want
 
 
+def test_terms_against_patterns(spark):
+    """The automaton finds what a pattern per term finds, in one part or many; blanks and nulls are nowhere."""
+    rng = random.Random(4)
+    words = ["C++", "c", "C#", "node.js", "node", "LED", "led", "a b", "b", "İ", "straße", "K", "x+y", ".net", "ab", "AB"]
+    texts = [(i, rng.choice([None, "", "".join(rng.choice([*words, " ", " ", "-", "1", "+"]) for _ in range(rng.randint(0, 12)))])) for i in range(400)]
+    terms = [(w, w in ("LED", "AB", "led")) for w in words] + [("", False), (None, False), ("b", False)]
+    want = set()
+    for i, text in texts:
+        for term, exact in terms:
+            m = term and re.search(("" if exact else "(?i)") + "(?<![A-Za-z0-9])" + re.escape(term) + "(?![A-Za-z0-9+#])", text or "", re.ASCII)
+            if m:
+                want.add((i, term, m[0]))
+    df, listed = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term string, exact boolean")
+    for bound in (100_000, 5, 1):
+        got = [tuple(r) for r in find_terms(df, ["id"], listed, bound).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert find_terms(df, ["id"], listed.limit(0)).count() == 0
+
+
+def test_reworded_by_the_rarest_word(spark):
+    """Met by a broadcast or a shuffle, the rows are the same, and so are those of a loop over all pairs."""
+    units, keywords = plans._units(spark, SMALL).filter("doc_id < 200"), plans._keywords(spark, SMALL)
+    near = {tuple(r) for r in ev.reworded(units, ["doc_id", "unit_no"], keywords, True).collect()}
+    assert {tuple(r) for r in ev.reworded(units, ["doc_id", "unit_no"], keywords, True, few=0).collect()} == near and near
+    more = spark.createDataFrame([(1, 0, "tested tests of the cluster clusters"), (2, 0, None), (3, 0, "clusters")], "doc_id long, job_id int, text string")
+    asked = spark.createDataFrame([(0, 0, "cluster testing"), (0, 1, "testing testing cluster"), (0, 2, "of the"), (0, 3, "unmet cluster")], "job_id int, ord int, keyword string")
+    got = {tuple(r) for r in ev.reworded(more, ["doc_id"], asked, True).collect()}
+    assert got == {(1, 0, 0, "cluster testing", "tested cluster"), (1, 0, 1, "testing testing cluster", "tested cluster")}
+
+
 def test_check(spark, implied):
     pairs = spark.createDataFrame([(1, 0, 0, "Wrote it in Flask", "Wrote it in Python on AWS"), (2, 0, 0, "Ran Python", "Runs Python"), (3, 0, 0, None, "python")], "doc_id long, job_id int, unit_no int, original string, rewritten string")
     keywords = spark.createDataFrame([(0, 0, "Python"), (0, 1, "AWS")], "job_id int, ord int, keyword string")
