@@ -13,6 +13,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     """Trimmed, every run of white space one space."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

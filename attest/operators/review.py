@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.functions.text import strip
 
-def resolve_lines(lines: DataFrame, suggestions: DataFrame, decisions: DataFrame, overrides: DataFrame, replacements: DataFrame | None = None) -> DataFrame:
+
+def resolve_lines(lines: DataFrame, suggestions: DataFrame, decisions: DataFrame, overrides: DataFrame, replacements: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
     """(doc_id, section, idx, line, via) after review. lines(doc_id, section, idx, line); suggestions(doc_id, section,
     id, first, last, original, rewritten, framework) cover lines first to last; decisions(doc_id, id, accepted);
     overrides(doc_id, id, text): a mentor's accepted text. Override, then accepted, then dismissed (the original);
     the lines that a settled suggestion covers go. Other lines are as they are, or as ``replacements``(doc_id, line,
-    text) say. A suggestion that begins inside a settled one is passed over, hence a fold over the settled ones."""
+    text) say. A suggestion that begins inside a settled one is passed over, hence a fold over the settled ones. A whole
+    section that a mentor has rewritten, sections(doc_id, section, text), takes the place of all that: its lines that
+    aren't blank, numbered from 0."""
+    if sections is not None:
+        whole = sections.filter("text is not null").select("doc_id", "section", F.col("text").alias("body"))
+        written = F.filter(F.split("body", r"\r\n|[\n\r]"), lambda x: strip(x) != "")
+        new = whole.join(lines.select("doc_id", "section").distinct(), ["doc_id", "section"], "left_semi").select("doc_id", "section", F.posexplode(written).alias("idx", "line"), F.lit("section").alias("via"))
+        rest = resolve_lines(lines.join(whole, ["doc_id", "section"], "left_anti"), suggestions, decisions, overrides, replacements)
+        return rest.unionByName(new.withColumn("idx", F.col("idx").cast(lines.schema["idx"].dataType)))
     usable = suggestions.filter("framework not in ('none', 'error')").join(decisions, ["doc_id", "id"], "left").join(overrides.withColumnRenamed("text", "override"), ["doc_id", "id"], "left")
     via = F.when(F.coalesce("override", F.lit("")) != "", "override").when(F.col("accepted"), "accepted").when(~F.col("accepted"), "dismissed")
     text = F.when(via == "override", F.col("override")).when(via == "accepted", F.coalesce("rewritten", "original")).otherwise(F.col("original"))
@@ -69,7 +79,7 @@ def refresh_profile(attempts: DataFrame, reads: DataFrame, fields: dict[str, Col
     the given blank values where the new job text is blank. reads(analysis_id, job_text, *fields)."""
     new = reads.select("analysis_id", F.col("job_text"), F.lit(True).alias("read"), *[F.col(f).alias(f"new_{f}") for f in fields])
     joined = attempts.join(new, "analysis_id", "left")
-    wiped = F.col("read").isNotNull() & (F.trim(F.coalesce("job_text", F.lit(""))) == "")
+    wiped = F.col("read").isNotNull() & (strip(F.coalesce("job_text", F.lit(""))) == "")
     values = {f: F.when(wiped, blank).otherwise(F.coalesce(F.col(f"new_{f}"), F.col(f))) for f, blank in fields.items()}
     return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in attempts.columns])
 

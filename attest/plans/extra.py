@@ -66,23 +66,24 @@ def src_profile(spark, d):
 
 def _pages_of_boxes(spark, d):
     """Two order lines in three moved to a right-hand column, so that some pages have a gutter; every seventh box is
-    a date, every tenth a lone list mark."""
+    a date, every tenth a lone list mark, every other fifth nothing but a line end; lines end in tabs and line ends."""
     b = fx.boxes(spark, d)
     right = F.col("box") % 3 != 0
-    text = F.when(F.col("box") % 7 == 0, "Jan 2019 - present").when(F.col("box") % 10 == 0, "-").otherwise(F.concat("text", F.lit("\n  and more ")))
+    text = F.when(F.col("box") % 7 == 0, "\tJan 2019 - present\n").when(F.col("box") % 10 == 0, "-\n").when(F.col("box") % 5 == 0, "\n").otherwise(F.concat(F.lit("\t"), "text", F.lit("\t\n  and more \n")))
     return b.select("page", "box", F.when(right, F.col("x0") % 100 + 350).otherwise(F.col("x0") % 100).alias("x0"), "y0", F.when(right, F.col("x0") % 100 + 450).otherwise(F.col("x0") % 100 + 150).alias("x1"), "y1", text.alias("text"))
 
 
-_DATE = r"(?i)^[\s(]*(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*)?(?:19|20)\d{2}(?:\s*(?:[-–—]|to)\s*(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*)?(?:(?:19|20)\d{2}|present|current|now))?[\s)]*$"
+_DATE = layout.DATE_BLOCK
+_BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _LAYOUT = rf"""{fx.BOXES}, bx AS (SELECT page, box, CASE WHEN box % 3 <> 0 THEN x0 % 100 + 350 ELSE x0 % 100 END AS x0, y0, CASE WHEN box % 3 <> 0 THEN x0 % 100 + 450 ELSE x0 % 100 + 150 END AS x1, y1,
-  CASE WHEN box % 7 = 0 THEN 'Jan 2019 - present' WHEN box % 10 = 0 THEN '-' ELSE text || chr(10) || '  and more ' END AS text FROM boxes),
+  CASE WHEN box % 7 = 0 THEN chr(9) || 'Jan 2019 - present' || chr(10) WHEN box % 10 = 0 THEN '-' || chr(10) ELSE chr(9) || text || chr(9) || chr(10) || '  and more ' || chr(10) END AS text FROM boxes WHERE box % 7 = 0 OR box % 10 = 0 OR box % 5 <> 0),
 pr AS (SELECT * FROM bx a WHERE EXISTS (SELECT 1 FROM bx b WHERE a.page = b.page AND a.box <> b.box AND a.y0 < b.y1 AND b.y0 < a.y1 AND (a.x1 <= b.x0 OR b.x1 <= a.x0))),
 pm AS (SELECT * FROM pr WHERE page IN (SELECT page FROM pr GROUP BY page HAVING count(*) >= 4)),
 fr AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page ORDER BY x0, x1, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM pm),
 kk AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x0, x1, box ROWS UNBOUNDED PRECEDING) AS k FROM fr), mg AS (SELECT page, k, min(x0) AS x0, max(x1) AS x1 FROM kk GROUP BY page, k),
 gp AS (SELECT page, x1, lead(x0) OVER (PARTITION BY page ORDER BY x0) - x1 AS gap FROM mg),
 gw AS (SELECT page, arg_max(x1 + gap / 2, (gap, -x1)) AS gutter FROM gp WHERE gap >= 6 AND x1 + gap / 2 BETWEEN 612 * 0.2 AND 612 * 0.8 GROUP BY page),
-sd AS (SELECT page, gutter, x1 <= gutter AS l, x0 >= gutter AS r, regexp_matches(trim(text), '{_DATE}') AS dt, length(trim(text)) AS n FROM bx JOIN gw USING (page)),
+sd AS (SELECT page, gutter, x1 <= gutter AS l, x0 >= gutter AS r, regexp_matches({_BARE}, '{_DATE}') AS dt, length({_BARE}) AS n FROM bx JOIN gw USING (page)),
 gt AS (SELECT page, gutter FROM sd GROUP BY page, gutter HAVING count(*) FILTER (l) >= 2 AND count(*) FILTER (r) >= 2 AND 2 * count(*) FILTER (l AND dt) < count(*) FILTER (l) AND 2 * count(*) FILTER (r AND dt) < count(*) FILTER (r)
   AND least(coalesce(sum(n) FILTER (l), 0), coalesce(sum(n) FILTER (r), 0)) >= 0.15 * (coalesce(sum(n) FILTER (l), 0) + coalesce(sum(n) FILTER (r), 0))),
 ro AS (SELECT bx.*, gutter, coalesce(bx.x0 < gutter AND gutter < bx.x1, false) AS span FROM bx LEFT JOIN gt USING (page)),
@@ -96,7 +97,7 @@ def layout_order(spark, d):
     return layout.reading_order(_pages_of_boxes(spark, d)).select("page", "box", "gutter", "line_no")
 
 
-@query(f"""WITH {_LAYOUT}, ln AS (SELECT page, line_no AS spot, i, trim(string_split(text, chr(10))[i]) AS line FROM ordered, range(1, 3) AS r(i) WHERE i <= len(string_split(text, chr(10))))
+@query(rf"""WITH {_LAYOUT}, ln AS (SELECT page, line_no AS spot, i, regexp_replace(string_split(text, chr(10))[i], '^\s+|\s+$', '', 'g') AS line FROM ordered, range(1, 4) AS r(i) WHERE i <= len(string_split(text, chr(10))))
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY spot, i) - 1 AS line_no, line FROM ln WHERE line NOT IN ('', '-')""")
 def src_layout_lines(spark, d):
     return layout.layout_lines(_pages_of_boxes(spark, d))
@@ -148,10 +149,11 @@ def pred_feedback_valid(spark, d):
 @query(f"""WITH {fx.PLAIN_LINES}, n AS (SELECT doc_id, 'S' || (line_no % 2) AS section, line_no // 2 AS idx, line FROM plain_lines), h AS (SELECT doc_id, section, idx, line, (doc_id + idx // 3) % 5 AS k FROM n WHERE idx % 3 = 0),
 x AS (SELECT n.*, h.k, h.line AS original, h.idx AS first FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.section = n.section AND n.idx BETWEEN h.idx AND h.idx + 1 AND h.k < 3)
 SELECT doc_id, section, idx, CASE WHEN k IS NULL THEN line WHEN k = 0 THEN 'now ' || original WHEN k = 1 THEN original ELSE 'override ' || idx END AS line, CASE WHEN k IS NULL THEN 'as is' WHEN k = 0 THEN 'accepted' WHEN k = 1 THEN 'dismissed' ELSE 'override' END AS via
-FROM x WHERE first IS NULL OR first = idx""")
+FROM x WHERE (first IS NULL OR first = idx) AND NOT (doc_id % 4 = 0 AND section = 'S1')
+UNION ALL SELECT DISTINCT doc_id, section, unnest([0, 1]), unnest(['all', 'new ' || doc_id]), 'section' FROM n WHERE doc_id % 4 = 0 AND section = 'S1'""")
 def join_resolve(spark, d):
     """Every third line of a section, with the one after it, has a suggestion: accepted, dismissed, overridden,
-    undecided, or none at all."""
+    undecided, or none at all. In every fourth document a mentor has rewritten one section."""
     n = fx.plain_lines(spark, d).select("doc_id", F.concat(F.lit("S"), (F.col("line_no") % 2).cast("string")).alias("section"), F.floor(F.col("line_no") / 2).cast("int").alias("idx"), "line")
     ident = F.concat_ws(":", "section", F.col("idx").cast("string"))
     h = n.filter("idx % 3 = 0").withColumn("k", (F.col("doc_id") + F.floor(F.col("idx") / 3)) % 5).withColumn("id", ident)
@@ -159,7 +161,8 @@ def join_resolve(spark, d):
     suggestions = h.select("doc_id", "section", "id", F.col("idx").alias("first"), (F.col("idx") + 1).alias("last"), F.col("line").alias("original"), F.concat(F.lit("now "), "line").alias("rewritten"), framework.alias("framework"))
     decisions = h.filter("k in (0, 1, 4)").select("doc_id", "id", (F.col("k") != 1).alias("accepted"))
     overrides = h.filter("k = 2").select("doc_id", "id", F.concat(F.lit("override "), F.col("idx").cast("string")).alias("text"))
-    return review.resolve_lines(n, suggestions, decisions, overrides)
+    sections = n.filter("doc_id % 4 = 0").select("doc_id").distinct().select("doc_id", F.lit("S1").alias("section"), F.concat(F.lit("all\r\n \nnew "), F.col("doc_id").cast("string")).alias("text"))
+    return review.resolve_lines(n, suggestions, decisions, overrides, sections=sections)
 
 
 @query()

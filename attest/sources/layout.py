@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.functions.text import strip
 from attest.sources.pages import merge_intervals
 
 #: A block that is only a date or a range of dates, and a line that is only a list mark.
@@ -35,7 +36,7 @@ def gutters(boxes: DataFrame, width: float) -> DataFrame:
     gap = merge_intervals(beside.join(many, "page", "left_semi")).withColumn("middle", F.col("x1") + F.col("gap") / 2)
     wide = gap.filter((F.col("gap") >= 6) & F.col("middle").between(width * 0.2, width * 0.8))
     widest = wide.groupBy("page").agg(F.max_by("middle", F.struct("gap", -F.col("x1"))).alias("gutter"))
-    text = F.trim("text")
+    text = strip(F.col("text"))
     left, right = F.col("x1") <= F.col("gutter"), F.col("x0") >= F.col("gutter")
     aggs = []
     for name, side in (("l", left), ("r", right)):
@@ -48,7 +49,8 @@ def gutters(boxes: DataFrame, width: float) -> DataFrame:
 def reading_order(boxes: DataFrame, width: float = 612.0) -> DataFrame:
     """The boxes with ``line_no``, their place on the page. One column: row by row. Two columns: each from top to
     bottom; a box across the gutter keeps its place and starts a new band."""
-    shown = boxes.filter("trim(text) <> ''").join(gutters(boxes.filter("trim(text) <> ''"), width), "page", "left")
+    filled = boxes.filter(strip(F.col("text")) != "")
+    shown = filled.join(gutters(filled, width), "page", "left")
     crosses = (F.col("x0") < F.col("gutter")) & (F.col("gutter") < F.col("x1"))
     page = Window.partitionBy("page")
     above = F.count(F.when(F.col("span"), 1)).over(page.orderBy("y0").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -64,5 +66,5 @@ def reading_order(boxes: DataFrame, width: float = 612.0) -> DataFrame:
 def layout_lines(boxes: DataFrame, width: float = 612.0) -> DataFrame:
     """(page, line_no, line): the lines of the boxes in reading order, without blank ones and lone list marks."""
     ordered = reading_order(boxes, width).select("page", F.col("line_no").alias("at"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    lines = ordered.withColumn("line", F.trim("raw")).filter((F.col("line") != "") & ~F.col("line").rlike(EMPTY_BULLET))
+    lines = ordered.withColumn("line", strip(F.col("raw"))).filter((F.col("line") != "") & ~F.col("line").rlike(EMPTY_BULLET))
     return lines.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("at", "i")) - 1).alias("line_no"), "line")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.functions.text import strip
+
 
 def _parts(*columns: str) -> Column:
     """What isn't blank, trimmed, joined by `` | ``."""
-    return F.concat_ws(" | ", *[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns])
+    return F.concat_ws(" | ", *[F.nullif(strip(F.col(c)), F.lit("")) for c in columns])
 
 
 def profile_import(profile: DataFrame, positions: DataFrame, education: DataFrame, skills: DataFrame) -> DataFrame:
@@ -16,17 +18,17 @@ def profile_import(profile: DataFrame, positions: DataFrame, education: DataFram
     profile(owner_id, first, last); positions(owner_id, ord, title, company, started, finished, description): a head,
     then the lines of the description; education(owner_id, ord, degree, school, notes); skills(owner_id, ord, name):
     one line. Owners without a line are left out."""
-    times = positions.withColumn("times", F.concat_ws(" - ", *[F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("started", "finished")]))
+    times = positions.withColumn("times", F.concat_ws(" - ", *[F.nullif(strip(F.col(c)), F.lit("")) for c in ("started", "finished")]))
     heads = times.select("owner_id", "ord", F.lit(0).alias("i"), _parts("title", "company", "times").alias("line"))
     text = positions.select("owner_id", "ord", F.posexplode(F.split(F.coalesce("description", F.lit("")), r"\R")).alias("i", "line"))
     jobs = heads.unionByName(text.withColumn("i", F.col("i") + 1)).withColumn("section", F.lit("EXPERIENCE"))
     schools = education.select("owner_id", "ord", F.lit(0).alias("i"), _parts("degree", "school", "notes").alias("line"), F.lit("EDUCATION").alias("section"))
-    named = skills.withColumn("name", F.trim("name")).filter("name <> ''").groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("s"))
+    named = skills.withColumn("name", strip(F.col("name"))).filter("name <> ''").groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("s"))
     can = named.select("owner_id", F.lit(0).cast("long").alias("ord"), F.lit(0).alias("i"), F.array_join(F.transform("s", lambda x: x["name"]), ", ").alias("line"), F.lit("SKILLS").alias("section"))
-    rows = jobs.unionByName(schools).unionByName(can).withColumn("line", F.trim("line")).filter("line <> ''")
+    rows = jobs.unionByName(schools).unionByName(can).withColumn("line", strip(F.col("line"))).filter("line <> ''")
     listed = rows.groupBy("owner_id", "section").agg(F.array_sort(F.collect_list(F.struct("ord", "i", "line"))).alias("lines"))
     out = listed.select("owner_id", "section", F.posexplode(F.transform("lines", lambda x: x["line"])).alias("line_no", "line"))
-    name = F.concat_ws(" ", F.nullif(F.trim("first"), F.lit("")), F.nullif(F.trim("last"), F.lit("")))
+    name = F.concat_ws(" ", F.nullif(strip(F.col("first")), F.lit("")), F.nullif(strip(F.col("last")), F.lit("")))
     return out.join(profile.select("owner_id", name.alias("name")), "owner_id", "left").select("owner_id", "name", "section", "line_no", "line")
 
 
@@ -81,7 +83,7 @@ def score_components(scores: DataFrame) -> DataFrame:
 def feedback_valid(feedback: DataFrame, owned: DataFrame) -> DataFrame:
     """feedback(id, candidate_id, analysis_id, feedback_type, section, suggested_text, comment) with its type settled
     and the first reason against it (null: valid). owned(analysis_id, candidate_id): whose analysis it is."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
     typed = feedback.withColumn("feedback_type", F.when(F.col("feedback_type").isin("edit", "section_edit"), F.col("feedback_type")).otherwise("comment"))
     known = typed.join(owned.select("analysis_id", "candidate_id", F.lit(True).alias("own")).distinct(), ["analysis_id", "candidate_id"], "left")
     edit = F.col("feedback_type") != "comment"
