@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.text import let
+from attest.operators import cells
 from attest.sources.shared import stored
 
 
@@ -24,10 +25,6 @@ def normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-#: Vectors per block; a block of guides and one of queries meet in one product.
-BLOCK = 4_096
-
-
 def _nearest(q_id: np.ndarray, q: np.ndarray, g_id: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query, guide, score to 3 places) of the k best guides of each query; ties by id. Rows of zeros score 0."""
     score = q @ g.T
@@ -43,15 +40,15 @@ def _matrix(vectors) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1) if len(m) else m
 
 
-def topk(queries: DataFrame, guides: DataFrame, k: int = 3, few: int = 10_000) -> DataFrame:
+def topk(queries: DataFrame, guides: DataFrame, k: int = 3, few: int = 10_000, compared: Accumulator | None = None) -> DataFrame:
     """The k nearest guides of each query by cosine, best first, ties by id: (vec_id, rank, guide_id, score).
 
-    Up to ``few`` guides are sent to every task; more are met in blocks, each pair of blocks one product that keeps
-    its own k best, of which the k best stay."""
+    Up to ``few`` guides are sent to every task. More are put in cells around pivots: a query looks in its nearest cells
+    first, and then only where a guide could still reach its k-th score. ``compared`` counts the products."""
     spark, schema = queries.sparkSession, "vec_id long, guide_id long, score double"
     q, g = (t.filter("embedding is not null").select("vec_id", "embedding") for t in (queries, guides))
-    some = g.limit(few + 1).collect()
-    if len(some) <= few:
+    if g.count() <= few:
+        some = g.collect()
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), _matrix([r["embedding"] for r in some])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,55 +60,76 @@ def topk(queries: DataFrame, guides: DataFrame, k: int = 3, few: int = 10_000) -
 
         hits = q.mapInArrow(run, schema)
     else:
-        blocks = lambda t: F.lit(max(1, -(-t.count() // BLOCK)))
-        n, m = blocks(q), blocks(g)
-        left = q.select("*", F.pmod(F.xxhash64("vec_id"), n).alias("i"), F.explode(F.sequence(F.lit(0), m - 1)).alias("j"))
-        right = g.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), F.pmod(F.xxhash64("vec_id"), m).alias("j"))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"vec_id": [], "guide_id": [], "score": []})
-            return pd.DataFrame(dict(zip(("vec_id", "guide_id", "score"), _nearest(a["vec_id"].to_numpy(), _matrix(a["embedding"]), b["vec_id"].to_numpy(), _matrix(b["embedding"]), k), strict=True)))
-
-        hits = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
+        hits = _near_cells(q, g, k, compared)
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "guide_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "rank", "guide_id", "score")
 
 
-def _all_blocks(vectors: DataFrame, meet, schema: str) -> DataFrame:
-    """``meet(a, b)`` of every pair of blocks of unit vectors (vec_id, v), each pair in one task."""
-    v = vectors.filter("embedding is not null").select("vec_id", normalise(F.col("embedding")).alias("v")).filter("v is not null")
-    n = F.lit(max(1, -(-v.count() // BLOCK)))
-    own = stored(v.withColumn("i", F.pmod(F.xxhash64("vec_id"), n)))
-    left = own.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
-    right = own.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
-
-
-def _products(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, ids, products) for each length of vectors; those of different lengths have nothing in common."""
-    wide, narrow = a["v"].map(len), b["v"].map(len)
-    for width in sorted(set(wide) & set(narrow)):
-        x, y = a[wide == width], b[narrow == width].sort_values("vec_id")
-        yield x["vec_id"].to_numpy(), y["vec_id"].to_numpy(), np.stack(x["v"].to_list()) @ np.stack(y["v"].to_list()).T
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+def _near_cells(queries: DataFrame, guides: DataFrame, k: int, compared: Accumulator | None, first: int = 2) -> DataFrame:
+    """(vec_id, guide_id, score to 3 places): at least the k best guides of each query."""
+    zero = lambda v: F.coalesce(normalise(v), F.transform(v, lambda _: F.lit(0.0)))
+    q, g = (stored(t.select(F.col("vec_id").alias("id"), zero(F.col("embedding")).alias("v"))) for t in (queries, guides))
+    around = cells.draw(g, g.count())
+    members = cells.placed(g, around)
+
+    def nearest(_, angles, least, sizes):
+        """The nearest cells, until they hold k guides."""
+        order = np.argsort(np.where(sizes > 0, angles, np.inf), axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        taken = np.zeros(angles.shape, bool)
+        np.put_along_axis(taken, order, (np.arange(angles.shape[1]) < first) | (held - sizes[order] < k), axis=1)
+        return taken, np.full(len(angles), np.inf)
+
+    def further(limit, angles, least, sizes):
+        """The other cells in which a guide could score as much as the k-th so far; scores are rounded to 3 places."""
+        seen, _ = nearest(limit, angles, least, sizes)
+        floor = limit - 0.0005 - 1e-9
+        reach = np.where(np.isfinite(floor), np.arccos(np.clip(floor, -1, 1)), np.inf)
+        return ~seen & (least <= reach[:, None]), reach
+
+    def best(score, _, g_id):
+        score[:] = np.sign(score) * np.floor(np.abs(score) * 1000 + 0.5) / 1000
+        order = np.lexsort((np.broadcast_to(g_id, score.shape), -score), axis=1)[:, :k]
+        return np.repeat(np.arange(len(score)), order.shape[1]), order.ravel()
+
+    early = stored(cells.meet(members, stored(cells.visits(q.withColumn("limit", F.lit(0.0)), around, nearest)), best, compared))
+    at = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    limits = early.withColumn("at", at).filter(F.col("at") == k).select("id", F.col("score").alias("limit"))
+    open_ = q.join(limits.dropDuplicates(["id"]), "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("-inf"))))
+    late = cells.meet(members, stored(cells.visits(open_, around, further)), best, compared)
+    return early.unionByName(late).select(F.col("id").alias("vec_id"), F.col("other").alias("guide_id"), "score")
+
+
+def _units(vectors: DataFrame, key: str) -> DataFrame:
+    """(id, v): one unit vector for each distinct vector, under the first ``key`` that has it; zero ones have none."""
+    first = vectors.filter("embedding is not null").groupBy("embedding").agg(F.min(key).alias("id"))
+    return first.select("id", normalise(F.col("embedding")).alias("v")).filter("v is not null")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, compared: Accumulator | None = None) -> DataFrame:
     """(vec_id, other_id, score) of the best other vector whose cosine is at least ``threshold``, ties by id. A zero
-    vector has no other."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"vec_id": [], "other_id": [], "score": []})]
-        for x, y, score in _products(a, b):
-            score[x[:, None] == y[None, :]] = -2
-            at = score.argmax(axis=1)
-            out.append(pd.DataFrame({"vec_id": x, "other_id": y[at], "score": score[np.arange(len(x)), at]}))
-        found = pd.concat(out)
-        return found[found["score"] >= threshold]
-
-    first = F.max_by(F.struct("other_id", "score"), F.struct("score", -F.col("other_id")))
-    met = _all_blocks(vectors, best, "vec_id long, other_id long, score double")
-    return met.groupBy("vec_id").agg(first.alias("x")).select("vec_id", "x.other_id", "x.score")
+    vector has no other. Vectors are compared once for all their copies, and only where pivots don't tell that they are
+    further apart; ``compared`` counts the products."""
+    rows = vectors.filter("embedding is not null").select("vec_id", "embedding")
+    two = rows.withColumn("k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter("k <= 2")
+    classes = two.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.max("vec_id").alias("second"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("v", normalise(F.col("embedding"))).filter("v is not null"))
+
+    def best(score, x, y):
+        score[x[:, None] == y[None, :]] = -2
+        top = score.max(axis=1, initial=-2)
+        at = np.where(score == top[:, None], y[None, :], np.iinfo(np.int64).max).argmin(axis=1)
+        i = np.flatnonzero(top >= threshold)
+        return i, at[i]
+
+    met = cells.within(classes.select("id", "v"), float(np.arccos(min(1.0, threshold))), best, compared)
+    first = F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("x")
+    other = met.groupBy("id").agg(first).select("id", "x.other", "x.score")
+    known = classes.select("embedding", "id", "second", "copies", dot(F.col("v"), F.col("v")).alias("self")).join(other, "id", "left")
+    copy = F.when((F.col("copies") > 1) & (F.col("self") >= threshold), F.struct(F.col("self").alias("score"), (-F.when(F.col("vec_id") == F.col("id"), F.col("second")).otherwise(F.col("id"))).alias("o")))
+    far = F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("other")).alias("o")))
+    found = rows.join(known, "embedding").select("vec_id", F.greatest(copy, far).alias("x")).filter("x is not null")
+    return found.select("vec_id", (-F.col("x.o")).alias("other_id"), "x.score")
 
 
 def cache_profile(queries: DataFrame, threshold: float = 0.93, rounds: int = 1_000) -> DataFrame:
@@ -119,20 +137,19 @@ def cache_profile(queries: DataFrame, threshold: float = 0.93, rounds: int = 1_0
     query whose key is an entry is an exact hit, one with a vector close to an earlier entry's a semantic hit; any other
     is a miss and becomes an entry.
 
-    Which first queries of a key become entries depends on earlier ones: each round decides those without an
-    undecided earlier neighbour."""
+    A later copy of a vector never becomes one: it is as close as the first to whatever that hit, or to the first itself.
+    Which of the others do depends on earlier ones: each round decides those without an undecided earlier neighbour."""
     keys = stored(queries.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
     firsts = queries.join(keys.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    units = stored(_units(firsts, "vec_id"))
 
-    def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"earlier": [], "id": []})]
-        for x, y, score in _products(a, b):
-            i, j = np.nonzero((score >= threshold) & (x[:, None] < y[None, :]))
-            out.append(pd.DataFrame({"earlier": x[i], "id": y[j]}))
-        return pd.concat(out)
+    def close(score, x, y):
+        return np.nonzero((score >= threshold) & (y[None, :] < x[:, None]))
 
-    links = stored(_all_blocks(firsts, close, "earlier long, id long"))
-    decided = keys.join(links, "id", "left_anti").select("id", F.lit(True).alias("entry"))
+    links = stored(cells.within(units, float(np.arccos(min(1.0, threshold))), close).select(F.col("other").alias("earlier"), "id"))
+    apart = firsts.select(F.col("vec_id").alias("id"), normalise(F.col("embedding")).isNotNull().alias("has"))
+    copies = apart.filter("has").join(units.select("id"), "id", "left_anti").select("id", F.lit(False).alias("entry"))
+    decided = keys.join(links, "id", "left_anti").join(copies, "id", "left_anti").select("id", F.lit(True).alias("entry")).unionByName(copies)
     for _ in range(rounds):
         decided = stored(decided)
         open_ = links.join(decided.select("id"), "id", "left_anti").join(decided.withColumnRenamed("id", "earlier"), "earlier", "left")

@@ -5,11 +5,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attest.operators import evidence as ev
-from attest.operators import plug, retrieve, review
+from attest.operators import cells, plug, retrieve, review
 from attest.operators.terms import find_terms
 from attest.plans import evidence as plans
 from attest.plans import extra
@@ -171,13 +173,87 @@ def test_two_columns(spark):
     assert got[2] == ["Engineer", "Jan 2020 - now"] * 5
 
 
-def test_vectors_in_blocks(spark, monkeypatch):
+def clustered(n, seed, width=24):
+    """Vectors around centres, some of them copies, some zero."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(60, width))
+    v = centre[rng.integers(0, 60, n)] + 0.15 * rng.normal(size=(n, width))
+    v[rng.integers(0, n, n // 20)] = v[0]
+    v[rng.integers(0, n, 3)] = 0
+    return v
+
+
+def as_table(spark, v):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+
+
+def unit(v):
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
+
+
+@pytest.mark.parametrize("block", [4_096, 300])
+def test_nearest_of_many_guides(spark, monkeypatch, block):
+    """50,000 guides in cells give the rows of the whole product, from a small part of its comparisons."""
+    monkeypatch.setattr(cells, "BLOCK", block)
+    n = 50_000 if block == 4_096 else 4_000
+    g, q = clustered(n, 1), clustered(500, 1)[:400]
+    compared = spark.sparkContext.accumulator(0)
+    got = defaultdict(list)
+    for r in retrieve.topk(as_table(spark, q), as_table(spark, g), 3, few=1_000, compared=compared).collect():
+        got[r["vec_id"]].append((r["rank"], r["guide_id"], r["score"]))
+    score = unit(q) @ unit(g).T
+    score = np.sign(score) * np.floor(np.abs(score) * 1000 + 0.5) / 1000
+    for i in range(len(q)):
+        order = np.lexsort((np.arange(n), -score[i]))[:3]
+        assert sorted(got[i]) == [(k + 1, j, score[i, j]) for k, j in enumerate(order)]
+    assert 0 < compared.value < (0.2 if n == 50_000 else 0.6) * len(q) * n
+
+
+@pytest.mark.parametrize("block", [4_096, 100])
+def test_near_vectors_in_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(cells, "BLOCK", block)
+    v = clustered(3_000, 2)
+    compared = spark.sparkContext.accumulator(0)
+    got = {r["vec_id"]: (r["other_id"], r["score"]) for r in retrieve.near_duplicates(as_table(spark, v), 0.95, compared).collect()}
+    u = unit(v)
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    top = score.max(axis=1)
+    assert set(got) == set(np.flatnonzero(top >= 0.95))
+    for i, (other, s) in got.items():
+        assert abs(s - top[i]) < 1e-9 and abs(score[i, other] - top[i]) < 1e-9
+    hot = np.flatnonzero((v == v[0]).all(axis=1))
+    assert {got[i][0] for i in hot[1:]} == {hot[0]} and got[hot[0]][0] == hot[1]
+    assert 0 < compared.value < 0.4 * len(v) ** 2
+
+
+def test_cache_of_copies(spark):
+    """Against a loop over the log, with many copies under keys of their own."""
+    v = clustered(600, 3)
+    v[::7] = v[0]
+    u, keys = unit(v), [i % 400 for i in range(600)]
+    entries, counts = {}, [0, 0, 0]
+    for i, k in enumerate(keys):
+        first = keys.index(k)
+        if k in entries:
+            counts[0] += 1
+        elif any(u[first] @ u[e] >= 0.93 for e in entries.values()):
+            counts[1] += 1
+        else:
+            entries[k] = first
+            counts[2] += 1
+    df = as_table(spark, v).join(spark.createDataFrame(list(enumerate(keys)), "vec_id long, key long"), "vec_id")
+    assert tuple(retrieve.cache_profile(df).first()) == (*counts, len(entries))
+
+
+def test_odd_vectors(spark):
     v = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     few = {tuple(r) for r in retrieve.topk(v, v, 3).collect()}
-    monkeypatch.setattr(retrieve, "BLOCK", 50)
     assert {tuple(r) for r in retrieve.topk(v, v, 3, few=0).collect()} == few and len(few) == 3 * v.count()
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None)], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in retrieve.near_duplicates(odd).collect()} == {(1, 2, 1.0), (2, 1, 1.0)}
+    assert retrieve.near_duplicates(odd.limit(0)).count() == 0 and retrieve.topk(v, v.limit(0)).count() == 0
 
 
 def test_read_cases(spark, tmp_path):
