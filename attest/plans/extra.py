@@ -249,15 +249,47 @@ def st_snapshots(spark, d):
     return streams.run_available(stateful.snapshots(streams.read_events(spark, d), 5), "append").groupBy("user_id").agg(F.count("*").alias("snapshots"))
 
 
+def _last(feed, action):
+    """(event_id, user_id) of the rows of which the feed says nothing after ``action``."""
+    gone = feed.filter(F.col("action") != action).select("event_id")
+    return feed.filter(F.col("action") == action).join(gone, "event_id", "left_anti").select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE NOT (user_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR)")
+def st_retention(spark, d):
+    """Guests' rows drop out of the stream's state a day after they came."""
+    rows = streams.read_events(spark, d).select("event_id", "user_id", "ts", (F.col("user_id") % 10 == 0).alias("guest"))
+    return _last(streams.run_available(stateful.retention(rows, 24), "append", timers=True), "kept")
+
+
+@query(f"""WITH {L}, r AS (SELECT user_id, item, ts FROM log WHERE kind = 'mark_read'), e AS (SELECT user_id, max(ts) AS ts FROM r WHERE item % 5 = 0 GROUP BY user_id), i AS (SELECT user_id, item, max(ts) AS ts FROM r WHERE item % 5 <> 0 GROUP BY user_id, item)
+SELECT event_id, log.user_id FROM log LEFT JOIN e ON e.user_id = log.user_id LEFT JOIN i ON i.user_id = log.user_id AND i.item = log.item WHERE kind <> 'mark_read' AND (e.ts IS NULL OR log.ts > e.ts) AND (i.ts IS NULL OR log.ts > i.ts)""")
+def st_unread(spark, d):
+    """What is unread at the end of the log, from a stream of news and readings; every fifth item's reading is one of all."""
+    e = streams.read_events(spark, d)
+    item = F.get_json_object("props", "$.k").cast("int")
+    what = F.when(F.col("event_type") != "view", "news").when(item % 5 == 0, "all").otherwise("item")
+    rows = e.select("event_id", "user_id", "ts", item.alias("item"), what.alias("what"))
+    return _last(streams.run_available(stateful.inbox(rows), "append"), "unread")
+
+
+@query("""WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'), m AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) AS mark)
+SELECT c.event_id, p.event_id AS news_id FROM c CROSS JOIN m LEFT JOIN p ON p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 120 MINUTE WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 120 MINUTE < mark""")
+def st_enrich(spark, d):
+    """Clicks with the purchases of the two hours after them; without any once these are over."""
+    e = streams.read_events(spark, d)
+    return streams.run_available(streams.enrich(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), 120), "append", timers=True)
+
+
 @query("""WITH m AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS half, max(ts) - INTERVAL 1 HOUR AS mark FROM events), w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, ts FROM events, m WHERE ts > half)
-SELECT start, count(*) AS n FROM w, m WHERE start + INTERVAL 15 MINUTE <= mark GROUP BY start""")
+SELECT start, count(*) AS n, (SELECT count(*) FROM events, m WHERE ts <= half) AS late FROM w, m WHERE start + INTERVAL 15 MINUTE <= mark GROUP BY start""")
 def st_late(spark, d):
-    """The newer half of the events comes first; by then the older half is too late and is dropped."""
+    """The newer half of the events comes first; by then the older half is too late, is dropped and counted."""
     events = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     half = F.timestamp_micros(F.lit(events.agg(F.expr("(unix_micros(min(ts)) + unix_micros(max(ts))) div 2")).first()[0]))  # one moment
     folder = f"{shared_dir(spark)}/attest-late-{uuid.uuid4().hex}"
     for part in (events.filter(F.col("ts") > half), events.limit(0), events.filter(F.col("ts") <= half)):  # a batch in between, as late rows are told by the mark of the batch before
         part.coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = streams.run_available(streams.closed_windows(stream, "15 minutes", "1 hour"), "append", timers=True)
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out, late = streams.run_counted(streams.closed_windows(stream, "15 minutes", "1 hour"), "append", timers=True)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.lit(late).cast("long").alias("late"))

@@ -238,14 +238,6 @@ def join_once(spark, d):
     return wanted.join(fx.members(spark, d).filter("mentor_id < 10"), ["session_id", "user_id"], "left_anti")
 
 
-@query(f"WITH {L} SELECT event_id, user_id, kind FROM (SELECT *, max(ts) FILTER (kind = 'mark_read') OVER (PARTITION BY user_id) AS r FROM log) WHERE kind <> 'mark_read' AND (r IS NULL OR ts > r)")
-def st_unread(spark, d):
-    """A stream keeps each reader's last moment; what came after it is unread."""
-    reads = streams.run_available(streams.last_reads(streams.read_events(spark, d)), "complete")
-    rows = fx.log(spark, d).filter("kind <> 'mark_read'").join(reads, "user_id", "left")
-    return rows.filter(F.col("read").isNull() | (F.col("ts").cast("timestamp") > F.col("read"))).select("event_id", "user_id", "kind")
-
-
 @query("WITH m AS (SELECT user_id, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last_ts < (SELECT max(ts) FROM events) - INTERVAL 720 MINUTE THEN 'failed' ELSE 'rerun' END AS action FROM m WHERE state <> 'purchase'")
 def st_stalled(spark, d):
     e = fx.table(spark, d, "events")
@@ -254,14 +246,6 @@ def st_stalled(spark, d):
     return last.join(F.broadcast(now)).select("user_id", F.when(F.col("ts") < F.col("now") - F.expr("interval 720 minutes"), "failed").otherwise("rerun").alias("action"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE NOT (user_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR)")
-def st_retention(spark, d):
-    """Guests' rows drop out after a day."""
-    e = fx.table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now"))  # one row
-    return e.join(F.broadcast(now)).filter(~((F.col("user_id") % 10 == 0) & (F.col("ts") < F.col("now") - F.expr("interval 24 hours")))).select("event_id", "user_id")
-
-
 @query("SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 def st_rate(spark, d):
     return _naive(streams.run_available(streams.rate_windows(streams.read_events(spark, d), "15 minutes", 1), "complete"))

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from attest.sources.shared import shared_dir
 
 
+#: State on disk, which lists and maps need and many keys want; and Spark's default.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+
+
 def read_events(spark: SparkSession, d: str) -> DataFrame:
     """The event table as a stream; its time cast to one that watermarks accept."""
     path = f"{d}/events.parquet"
@@ -25,7 +30,12 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def run_available(df: DataFrame, mode: str, timers: bool = False) -> DataFrame:
-    """Work off what is there; the result is a table in the shared folder. Each batch has a folder of its own, so one
+    """The table of ``run_counted``."""
+    return run_counted(df, mode, timers)[0]
+
+
+def run_counted(df: DataFrame, mode: str, timers: bool = False) -> tuple[DataFrame, int]:
+    """The table, and how many rows came too late for the first stateful operator. Work off what is there; the result is a table in the shared folder. Each batch has a folder of its own, so one
     that is done again replaces itself; in complete mode the last one counts. ``timers``: start again once all has been
     read, so that the batch without data that fires the timers runs."""
     spark = df.sparkSession
@@ -35,10 +45,17 @@ def run_available(df: DataFrame, mode: str, timers: bool = False) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table/batch={0 if mode == 'complete' else number}")
 
+    late, before = 0, spark.conf.get(*STORE)
     for _ in range(2 if timers else 1):
-        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        spark.conf.set(STORE[0], ROCKS)
+        try:
+            q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(STORE[0], before)  # a query keeps the settings that it started with
         q.awaitTermination()
-    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/table").drop("batch")
+        # Operators are listed from the last to the first.
+        late += sum(p["stateOperators"][-1]["numRowsDroppedByWatermark"] for p in q.recentProgress if p["stateOperators"])
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/table").drop("batch"), late
 
 
 def rate_windows(events: DataFrame, width: str, limit: int) -> DataFrame:
@@ -61,14 +78,18 @@ def sliding(events: DataFrame, width: str, step: str) -> DataFrame:
 
 def closed_windows(events: DataFrame, width: str, late: str) -> DataFrame:
     """Activity in windows, each given out once when it is over; rows more than ``late`` behind the newest are
-    dropped, and counted by the query's progress (numRowsDroppedByWatermark)."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
+    dropped, one by one, where repeated events are (before rows are summed), so the progress counts them."""
+    w = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), "n")
 
 
-def last_reads(events: DataFrame) -> DataFrame:
-    """Each user's last moment of reading."""
-    return events.filter("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("read"))
+def enrich(rows: DataFrame, news: DataFrame, minutes: int) -> DataFrame:
+    """(event_id, news_id): rows with the news of the same user that comes at most ``minutes`` later, or null once it can't come
+    any more. A join of two streams, both (event_id, user_id, ts); what waits is held no longer than the bound."""
+    r = rows.withWatermark("ts", "0 seconds").select("event_id", "user_id", "ts")
+    n = news.withWatermark("ts", "0 seconds").select(F.col("event_id").alias("news_id"), F.col("user_id").alias("about"), F.col("ts").alias("came"))
+    soon = (F.col("user_id") == F.col("about")) & (F.col("came") >= F.col("ts")) & (F.col("came") <= F.col("ts") + F.expr(f"interval {minutes} minutes"))
+    return r.join(n, soon, "leftOuter").select("event_id", "news_id")
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Streams with state of their own per key: stalled jobs, frames cut over chunks, snapshots with a fixed anchor.
+"""Streams with state of their own per key: stalled jobs, frames cut over chunks, snapshots with a fixed anchor, rows that
+expire, inboxes.
 
-State is one small row per key: a time, a tail of text or an anchor. Each function gets a stream and works off the
-rows of a batch in order."""
+State is one small row per key (a time, a tail of text or an anchor) or, for rows that expire and inboxes, the rows still
+open in a state store on disk. Each function gets a stream and works off the rows of a batch in order."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 
 def _gather(parts: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
@@ -74,3 +76,103 @@ def snapshots(events: DataFrame, minutes: int) -> DataFrame:
             yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(made), dtype="int64"), "anchor": pd.Series(made, dtype="datetime64[ns]")})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, anchor timestamp", "anchor long", "append", GroupStateTimeout.NoTimeout)
+
+
+_FEED = "event_id long, user_id long, action string"
+
+
+def _feed(ids, user: int, action) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "user_id": user, "action": action}).astype({"user_id": "int64"})
+
+
+class _Retention(StatefulProcessor):
+    """A list of the rows that a guest still has; a timer for the oldest."""
+
+    def __init__(self, millis: int):
+        self.millis = millis
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "event_id long, millis long")
+
+    def _settle(self, key, held: list[tuple], now: int) -> pd.DataFrame:
+        """Put back what is young enough; give out the rest as expired."""
+        old = [r for r in held if r[1] + self.millis < now]
+        kept = [r for r in held if r[1] + self.millis >= now]
+        if kept:
+            self.rows.put(kept)
+            self.handle.registerTimer(max(min(r[1] for r in kept) + self.millis + 1, now + 1))
+        elif held:
+            self.rows.clear()
+        return _feed([r[0] for r in old], key[0], "expired")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        millis = (new["ts"].astype("int64") // (10**6 if new["ts"].dtype == "datetime64[ns]" else 10**3)).tolist()
+        yield _feed(new["event_id"].tolist(), key[0], "kept")
+        new, millis = new[new["guest"]], [m for m, guest in zip(millis, new["guest"], strict=True) if guest]
+        if not len(new):
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        yield self._settle(key, [*(tuple(r) for r in self.rows.get()), *zip(new["event_id"].tolist(), millis, strict=True)], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, [tuple(r) for r in self.rows.get()], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def retention(events: DataFrame, hours: int) -> DataFrame:
+    """(event_id, user_id, action): ``kept`` when a row comes, ``expired`` once the newest row is more than ``hours`` younger.
+    A row without ``guest`` never expires and leaves no state. Expiry goes by event time (timers), as a store's time to live
+    knows the clock of the machine only. events(event_id, user_id, ts, guest)."""
+    rows = events.withWatermark("ts", "0 seconds").groupBy("user_id")
+    return rows.transformWithStateInPandas(_Retention(hours * 3_600_000), _FEED, "Append", "EventTime")
+
+
+class _Inbox(StatefulProcessor):
+    """Last reads by item in a map, the last reading of all, and the rows that are still unread."""
+
+    def init(self, handle) -> None:
+        self.reads = handle.getMapState("reads", "item int", "micros long")
+        self.all = handle.getValueState("all", "micros long")
+        self.open = handle.getListState("open", "event_id long, item int, micros long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new["micros"] = new["ts"].astype("int64") // (1_000 if new["ts"].dtype == "datetime64[ns]" else 1)
+        read = new[new["what"] != "news"]
+        every = read.loc[read["what"] == "all", "micros"].max()
+        floor = max([x for x in ((self.all.get() or (None,))[0] if self.all.exists() else None, None if pd.isna(every) else int(every)) if x is not None], default=None)
+        if not pd.isna(every):
+            self.all.update((floor,))
+        for item, micros in read[(read["what"] == "item") & read["item"].notna()].groupby("item")["micros"].max().items():
+            known = self.reads.getValue((int(item),)) if self.reads.containsKey((int(item),)) else None
+            if known is None or known[0] < micros:
+                self.reads.updateValue((int(item),), (int(micros),))
+        news = new[new["what"] == "news"]
+        before = pd.DataFrame([tuple(r) for r in self.open.get()], columns=["event_id", "item", "micros"])
+        held = pd.concat([before.assign(fresh=False), news[["event_id", "item", "micros"]].assign(fresh=True)]) if len(before) or len(news) else before.assign(fresh=False)
+        # One look at the map for each item that has open rows.
+        marks = {i: self.reads.getValue((int(i),))[0] for i in held["item"].dropna().unique() if self.reads.containsKey((int(i),))}
+        seen = held["item"].map(marks)
+        gone = (held["micros"] <= seen) | (held["micros"] <= floor if floor is not None else False)
+        yield _feed(held.loc[~gone & held["fresh"].astype(bool), "event_id"].tolist(), key[0], "unread")
+        yield _feed(held.loc[gone & ~held["fresh"].astype(bool), "event_id"].tolist(), key[0], "read")
+        left = [(int(r.event_id), None if pd.isna(r.item) else int(r.item), int(r.micros)) for r in held[~gone].itertuples()]
+        if left:
+            self.open.put(left)
+        elif len(before):
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def inbox(rows: DataFrame) -> DataFrame:
+    """(event_id, user_id, action): ``unread`` when news comes that its user hasn't read yet, ``read`` when a later reading of
+    its item, or of all, covers it. rows(event_id, user_id, ts, item, what): ``news``, or a reading of ``item`` or ``all``. In
+    whatever order they come, news no later than a reading counts as read."""
+    return rows.groupBy("user_id").transformWithStateInPandas(_Inbox(), _FEED, "Append", "None")
