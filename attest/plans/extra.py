@@ -16,30 +16,36 @@ from attest.streaming import stateful
 
 A, L = fx.ATTEMPTS, fx.LOG
 
-_HTML = "coalesce(html, '')"
-for _pattern, _to in (
-    (r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<nav\b.*?</nav>|<head\b.*?</head>|<!--.*?-->|<!doctype[^>]*>", " "),
-    (r"\s+", " "), (r"(?i)<li\b[^>]*>", "\\n- "), (r"(?i)<h[1-6]\b[^>]*>", "\\n# "),
-    (rf"(?i)</?(?:{pages.BLOCKS})\b[^>]*>|</(?:li|h[1-6])>", "\\n"), (r"<[^>]*>", " "),
-):
-    _HTML = f"regexp_replace({_HTML}, '{_pattern}', {'chr(10)' if _to == chr(92) + 'n' else repr(_to) if not _to.startswith(chr(92)) else 'chr(10) || ' + repr(_to[2:])}, 'g')"
-for _code, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_code}', '{_sign}')"
-_WORDS = "len(string_split(x, ' '))"
-_LETTERS = "regexp_replace(x, ':+$', '')"
-_HEADER = rf"""{_WORDS} <= 8 AND NOT regexp_matches(x, '[.!?]$') AND ((ends_with(x, ':') AND {_WORDS} <= 4) OR (regexp_matches(x, '{pages.PAGE_HEADER}') AND {_WORDS} <= 5)
-  OR ({_LETTERS} = upper({_LETTERS}) AND {_LETTERS} <> lower({_LETTERS})))"""
-_UPPER = "upper(replace({0}, 'ß', 'SS'))"
-_LOUD = f"CASE WHEN length({{0}}) < 60 THEN {_UPPER} ELSE {{0}} END"
-
-
-@query(rf"""WITH t AS (SELECT page_id, {_HTML} AS t FROM pages),
-l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x NOT IN ('', '-', '#')) AS ls FROM t),
-f AS (SELECT page_id, flatten(list_transform(ls, lambda x: CASE WHEN starts_with(x, '# ') THEN ['', {_LOUD.format('substr(x, 3)')}, ''] WHEN starts_with(x, '- ') THEN [x]
-  WHEN {_HEADER} THEN ['', CASE WHEN length(x) < 60 THEN {_UPPER.format(_LETTERS)} ELSE x END, ''] ELSE [x] END)) AS f FROM l)
-SELECT page_id, regexp_replace(array_to_string(list_transform(list_filter(range(1, len(f) + 1), lambda i: i = 1 OR f[i - 1] <> f[i]), lambda i: f[i]), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM f""")
+_HEADER = rf"""len(string_split(x, ' ')) <= 8 AND NOT regexp_matches(x, '[.!?]$') AND ((ends_with(x, ':') AND len(string_split(x, ' ')) <= 4) OR (regexp_matches(x, '{pages.PAGE_HEADER}') AND len(string_split(x, ' ')) <= 5)
+  OR (regexp_replace(x, ':+$', '') = upper(regexp_replace(x, ':+$', '')) AND x <> lower(x)))"""
+_LOUD = "CASE WHEN length(x) < 60 THEN upper(replace({0}, 'ß', 'SS')) ELSE x END"
+_NAMES = {k: ", ".join(f"'{n}'" for n in getattr(pages, k)) for k in ("SKIPPED", "HEADINGS", "LINES", "STRUCTURED", "VOID")}
+#: What is put into every page: text beside and inside structured elements, unclosed ones, ends without a beginning.
+NESTED = "<div>beside <b>bold</b><ul><li>an <i>item</i> of it<li>open item</ul>tail</div></section><div><span>Who you are</span><br>one <em>line</em></div><p>Perks:</p><section>LOUD WORDS<table><tr><td>in a cell</td></tr></table></section><div><p>and</p>un<b>closed</div>"
+
+
+def _pages_nested(spark, d):
+    return fx.table(spark, d, "pages").select("page_id", F.replace("html", F.lit("<article>"), F.lit(f"{NESTED}<article>")).alias("html"))
+
+
+@query(rf"""WITH RECURSIVE h AS (SELECT page_id, regexp_replace(replace(html, '<article>', '{NESTED}<article>'), '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', ' ', 'g') AS t FROM pages),
+k AS (SELECT page_id, i, ts[i] AS t FROM (SELECT page_id, regexp_extract_all(t, '(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z][^>]*>|[^<]+|<') AS ts FROM h), unnest(range(1, len(ts) + 1)) AS r(i)),
+n AS (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z][^\s/>]*)', 1)) AS name, CASE WHEN regexp_matches(t, '^<[!?]') THEN 'none' WHEN regexp_matches(t, '^</[A-Za-z]') THEN 'end' WHEN regexp_matches(t, '^<[A-Za-z]') THEN 'begin' ELSE 'text' END AS kind FROM k),
+f AS (SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS path FROM h
+  UNION ALL SELECT f.page_id, n.i, CASE WHEN kind = 'begin' AND name NOT IN ({_NAMES["VOID"]}) THEN list_append(ids, n.i) WHEN kind = 'end' AND list_contains(names, name) THEN ids[1:len(ids) - list_position(list_reverse(names), name)] ELSE ids END,
+    CASE WHEN kind = 'begin' AND name NOT IN ({_NAMES["VOID"]}) THEN list_append(names, name) WHEN kind = 'end' AND list_contains(names, name) THEN names[1:len(names) - list_position(list_reverse(names), name)] ELSE names END, ids
+  FROM f JOIN n ON n.page_id = f.page_id AND n.i = f.i + 1),
+p AS (SELECT n.*, path FROM f JOIN n USING (page_id, i)), s AS (SELECT DISTINCT page_id, path[-1] AS i FROM p WHERE kind = 'begin' AND name IN ({_NAMES["STRUCTURED"]}) AND len(path) > 0),
+w AS (SELECT page_id, i, name FROM p WHERE kind = 'begin' AND (name IN ('li', {_NAMES["SKIPPED"]}, {_NAMES["HEADINGS"]}) OR (name IN ({_NAMES["LINES"]}) AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = p.page_id AND s.i = p.i)))),
+a AS (SELECT page_id, i, t, unnest(path) AS e FROM p WHERE kind = 'text'), c AS (SELECT a.page_id, a.i, min(a.e) AS e FROM a JOIN w ON w.page_id = a.page_id AND w.i = a.e GROUP BY a.page_id, a.i),
+g AS (SELECT p.page_id, coalesce(c.e, p.i) AS spot, coalesce(max(w.name), '') AS kind, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(string_agg(p.t, ' ' ORDER BY p.i), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS x
+  FROM p LEFT JOIN c ON c.page_id = p.page_id AND c.i = p.i LEFT JOIN w ON w.page_id = c.page_id AND w.i = c.e WHERE p.kind = 'text' GROUP BY p.page_id, coalesce(c.e, p.i)),
+o AS (SELECT page_id, flatten(list(CASE WHEN kind IN ({_NAMES["HEADINGS"]}) THEN ['', {_LOUD.format('x')}, ''] WHEN kind = 'li' THEN ['- ' || x] WHEN kind <> '' AND {_HEADER} THEN ['', {_LOUD.format("regexp_replace(x, ':+$', '')")}, ''] ELSE [x] END ORDER BY spot)) AS f
+  FROM g WHERE x <> '' AND kind NOT IN ({_NAMES["SKIPPED"]}) GROUP BY page_id)
+SELECT page_id, regexp_replace(array_to_string(list_transform(list_filter(range(1, len(f) + 1), lambda i: i = 1 OR f[i - 1] <> f[i]), lambda i: f[i]), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM o""")
 def src_html(spark, d):
-    return fx.table(spark, d, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
+    """Pages with nested, unclosed and stray elements put in before the article."""
+    return pages.html_text(_pages_nested(spark, d), ["page_id"])
 
 
 @query("""WITH p AS (SELECT o_custkey AS owner_id, o_orderkey AS ord, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'Org ' || o_orderstatus END AS company, strftime(o_orderdate, '%Y') AS started, o_orderkey % 4 AS k FROM orders),

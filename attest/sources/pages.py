@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,33 +46,98 @@ PAGE_HEADER = (
     r"preferred|minimum|required skills|role|the role|your (role|impact|team)|"
     r"compensation|salary|what we offer|why join|our (team|culture|mission))\b"
 )
-BLOCKS = "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|header|html|main|ol|p|pre|section|table|tbody|td|th|thead|tr|ul"
-
-
-def html_text(html: Column) -> Column:
-    """Text of a page with its structure: list items as ``- item``, headings in capitals between blank lines, other
-    blocks a line each, a short line that reads like a heading taken as one. Neither scripts nor navigation; equal
-    neighbours and runs of blank lines once."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|nav|head)\b.*?</(?:script|style|noscript|nav|head)>|<!--.*?-->|<!doctype[^>]*>", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)<h[1-6]\b[^>]*>", "\n# ")
-    t = F.regexp_replace(F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>|</(?:li|h[1-6])>", "\n"), r"<[^>]*>", " ")
-    for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.replace(t, F.lit(code), F.lit(sign))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~x.isin("", "-", "#"))
-
-    def shape(x: Column) -> Column:
-        n = F.size(F.split(x, " "))
-        letters = F.regexp_replace(x, ":+$", "")
-        capitals = (letters == F.upper(letters)) & (letters != F.lower(letters))
-        header = (n <= 8) & ~x.rlike(r"[.!?]$") & ((x.endswith(":") & (n <= 4)) | (x.rlike(PAGE_HEADER) & (n <= 5)) | capitals)
-        loud = lambda c: F.when(F.length(c) < 60, F.upper(c)).otherwise(c)
-        headed = lambda c: F.array(F.lit(""), c, F.lit(""))
-        return F.when(x.startswith("# "), headed(loud(F.substr(x, F.lit(3))))).when(x.startswith("- "), F.array(x)).when(header, headed(F.when(F.length(x) < 60, F.upper(letters)).otherwise(x))).otherwise(F.array(x))
-
-    flat = F.flatten(F.transform(lines, shape))
-    once = F.filter(flat, lambda x, i: (i == 0) | (F.coalesce(F.get(flat, i - 1), F.lit("")) != x))
-    return F.regexp_replace(F.array_join(once, "\n"), r"^\s+|\s+$", "")
+#: Elements by what they do to the text in them.
+SKIPPED = ("script", "style", "nav", "noscript", "head")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A line of their own, unless one of the structured ones is right inside.
+LINES = ("p", "div", "section", "span", "strong", "b")
+STRUCTURED = ("p", "div", "ul", "ol", "li", "section", *HEADINGS)
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_RAW = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|[^<]+|<""", re.S)
+
+
+def _pieces(page: str) -> list[tuple[str, str]]:
+    """(kind of line, its text) in order: of each text the outermost element that makes one line of all in it, or none.
+
+    A stack of open elements goes over the tags: an end tag closes the last element of its name and what is open in it,
+    one without such an element is passed over, and what is never closed ends with the page."""
+    names, parents, structured, stack, texts = [], [], [], [], []
+    for m in _TOKEN.finditer(_RAW.sub(" ", page)):
+        name = (m[2] or "").lower()
+        if not name:
+            if not m[0].startswith(("<!", "<?")):
+                texts.append((stack[-1] if stack else -1, m[0]))
+        elif m[1]:
+            for at in range(len(stack) - 1, -1, -1):
+                if names[stack[at]] == name:
+                    del stack[at:]
+                    break
+        else:
+            parent = stack[-1] if stack else -1
+            if parent >= 0 and name in STRUCTURED:
+                structured[parent] = True
+            if name not in VOID and not m[3].rstrip().endswith("/"):
+                stack.append(len(names))
+            names.append(name)
+            parents.append(parent)
+            structured.append(False)
+    claims: list[int] = []
+    for i, (name, parent) in enumerate(zip(names, parents, strict=True)):
+        above = claims[parent] if parent >= 0 else -1
+        whole = name in SKIPPED or name in HEADINGS or name == "li" or (name in LINES and not structured[i])
+        claims.append(above if above >= 0 else i if whole else -1)
+    out: list[tuple[int, str, list[str]]] = []
+    for parent, text in texts:
+        claim = claims[parent] if parent >= 0 else -1
+        if claim >= 0 and names[claim] in SKIPPED:
+            continue
+        if claim < 0 or not out or out[-1][0] != claim:
+            out.append((claim, "" if claim < 0 else names[claim], []))
+        out[-1][2].append(unescape(text))
+    lines = [(kind, " ".join(" ".join(parts).split())) for _, kind, parts in out]
+    return [(kind, text) for kind, text in lines if text]
+
+
+def _reads_like_heading(text: str) -> bool:
+    words = text.split()
+    if len(words) > 8 or text[-1] in ".!?":
+        return False
+    return (text.endswith(":") and len(words) <= 4) or bool(re.match(PAGE_HEADER, text) and len(words) <= 5) or text.rstrip(":").isupper()
+
+
+def page_lines(page: str | None) -> str:
+    """The text of one page, see ``html_text``."""
+    out = [""]
+    for kind, text in _pieces(page or ""):
+        loud = lambda t: t.upper() if len(text) < 60 else text  # noqa: E731, B023
+        if kind in HEADINGS:
+            lines = ["", loud(text), ""]
+        elif kind == "li":
+            lines = [f"- {text}"]
+        elif kind and _reads_like_heading(text):
+            lines = ["", loud(text.rstrip(":")), ""]
+        else:
+            lines = [text]
+        for line in lines:
+            if line != out[-1]:
+                out.append(line)
+    return "\n".join(out).strip()
+
+
+def html_text(pages: DataFrame, id_cols: list[str], html_col: str = "html") -> DataFrame:
+    """(*id_cols, text): the text of pages by their structure. List items become ``- item``, headings capitals between blank
+    lines, an element of running text one line with all that is in it, a short one that reads like a heading a heading;
+    text beside structured elements is a line of its own. Neither scripts nor navigation; equal neighbours and runs of blank
+    lines once. A null page has an empty text. Trees are read in Arrow batches, a page at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([page_lines(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*id_cols, "text"])
+
+    rows = pages.select(*id_cols, html_col)
+    return rows.mapInArrow(run, rows.drop(html_col).schema.add("text", "string"))
 
 
 def page_meta(html: Column) -> tuple[Column, Column]:
@@ -95,12 +165,31 @@ def salvage_json(text: Column) -> Column:
 
 
 def frames(chunks: DataFrame) -> DataFrame:
-    """(stream_id, frame, data): frames put together from chunks cut anywhere, split at blank lines; their
-    data lines joined; frames whose data isn't JSON are dropped."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: c["chunk"]), "").alias("text"))
-    parts = whole.select("stream_id", F.posexplode(F.split("text", "\n\n")).alias("frame", "raw"))
+    """(stream_id, frame, data): frames put together from chunks(stream_id, chunk_no, chunk) cut anywhere, split at blank
+    lines; their data lines joined; frames whose data isn't JSON are dropped.
+
+    No stream is gathered: line ends that a chunk begins with are handed to the chunk with text before it, so that no blank line
+    lies across a border; a running count of blank lines numbers the pieces, and only the pieces of a frame come together."""
+    along = Window.partitionBy("stream_id").orderBy("chunk_no")
+    filled = chunks.filter(F.col("chunk") != "")
+    # A run of line ends parts frames pairwise from its start, so it belongs to the chunk where it starts: leading ones move back.
+    own = filled.withColumn("lead", F.length(F.regexp_extract("chunk", r"^\n*", 0)))
+    own = own.withColumn("blank", F.col("lead") == F.length("chunk"))
+    # Line ends that follow a chunk's text: its own and those that chunks of nothing else and the next text begin with.
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.sum(F.when(F.col("blank"), 0).otherwise(1)).over(upto)
+    own = own.withColumn("text_no", part)
+    gaps = own.groupBy("stream_id", (F.col("text_no") - F.when(F.col("blank"), 0).otherwise(1)).alias("text_no")).agg(F.sum("lead").alias("after"))
+    texts = own.filter(~F.col("blank")).select("stream_id", "chunk_no", "text_no", "lead", F.substr("chunk", F.col("lead") + 1, F.length("chunk") - F.col("lead")).alias("chunk"))
+    opening = gaps.filter("text_no = 0").select("stream_id", F.col("after").alias("before"))
+    whole = texts.join(gaps, ["stream_id", "text_no"], "left").withColumn("chunk", F.concat("chunk", F.repeat(F.lit("\n"), F.coalesce("after", F.lit(0)).cast("int"))))
+    first = whole.join(opening, "stream_id", "left").withColumn("chunk", F.when(F.col("text_no") == 1, F.concat(F.repeat(F.lit("\n"), F.coalesce("before", F.lit(0)).cast("int")), "chunk")).otherwise(F.col("chunk")))
+    cut = first.select("stream_id", "text_no", F.split("chunk", "\n\n").alias("cut"))
+    began = F.coalesce(F.sum(F.size("cut") - 1).over(Window.partitionBy("stream_id").orderBy("text_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = cut.withColumn("began", began).select("stream_id", "text_no", "began", F.posexplode("cut").alias("at", "piece")).withColumn("frame", (F.col("began") + F.col("at")).cast("int"))
+    whole_frames = pieces.groupBy("stream_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_no", "piece"))), lambda x: x["piece"]), "").alias("raw"))
     data = F.array_join(F.transform(F.filter(F.split("raw", "\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substr(x, F.lit(6)))), "\n")
-    return parts.select("stream_id", "frame", data.alias("data")).filter(F.col("data") != "").filter(F.try_parse_json("data").isNotNull())
+    return whole_frames.select("stream_id", "frame", data.alias("data")).filter(F.col("data") != "").filter(F.try_parse_json("data").isNotNull())
 
 
 def route(name: Column) -> tuple[Column, Column]:
