@@ -14,6 +14,17 @@ def findings(pairs: DataFrame) -> DataFrame:
     return found.withColumn("clean", (F.size("new_claims") == 0) & F.col("escalation").isNull())
 
 
+def finalise(rewrites: DataFrame) -> DataFrame:
+    """Rewrites with their severity settled (lower-cased; yellow where it is missing or none of red, yellow and green) and
+    findings of their own: what a model or an earlier round said of new figures and escalation is dropped. A blank rewrite
+    counts as the original. rewrites(doc_id, unit_no, original, rewritten, severity, ...)."""
+    severity = F.lower("severity")
+    settled = rewrites.drop("new_claims", "escalation", "clean").withColumn("severity", F.when(severity.isin("red", "yellow", "green"), severity).otherwise("yellow"))
+    text = F.coalesce(F.nullif("said", F.lit("")), "original")
+    judged = findings(settled.withColumnRenamed("rewritten", "said").withColumn("rewritten", text))
+    return judged.drop("rewritten").withColumnRenamed("said", "rewritten")
+
+
 def critic(pairs: DataFrame, verdicts: DataFrame, repairs: DataFrame) -> DataFrame:
     """Status and final text of each pair: skipped without new figures; unavailable without a verdict; passed;
     repaired by a clean repair; else failed, and the text goes back to the original."""

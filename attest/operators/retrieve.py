@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,6 +171,50 @@ def exact_key(text: Column, version: str) -> Column:
     return F.sha2(F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), F.lit(f"|{version}")), 256)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (set_id, name, entry, n) with a set's neighbours in a batch comma-joined under the first one's name."""
+    for batch in batches:
+        sets, names, entries = (batch.column(i).to_pylist() for i in range(3))
+        cuts = [i for i in range(len(sets)) if i == 0 or sets[i] != sets[i - 1]]
+        ends = [*cuts[1:], len(sets)]
+        joined = pa.array([",".join(entries[a:b]) for a, b in zip(cuts, ends, strict=False)], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(cuts, pa.int64())) for i in (0, 1)), joined, pa.array([b - a for a, b in zip(cuts, ends, strict=False)], pa.int64())], ["set_id", "name", "entry", "n"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set's joined entries in order -> its digest; what is held is one digest's state."""
+    now, sha, n, out = None, None, 0, []
+    for batch in batches:
+        for key, entry, count in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if sha is None or key != now:
+                if sha is not None:
+                    out.append((now, sha.hexdigest(), n))
+                now, sha, n = key, hashlib.sha256(entry.encode()), count
+            else:
+                sha.update(b"," + entry.encode())
+                n += count
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((batch.schema.types[0], pa.string(), pa.int64()))], ["set_id", "digest", "names"])
+            kind, out = batch.schema.types[0], []
+    if sha is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], ["set_id", "digest", "names"])
+
+
+def registry(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digests, conflicts) of entries(set_id, name, text): (set_id, digest, names), the digest of each set's ``name:digest of
+    its text`` in the order of names, comma-joined; and the (set_id, name) that have several texts, which count with the least
+    digest. Sets are sorted in range partitions and joined piece by piece, then digested in one stream a set: no set is
+    gathered, however large."""
+    short = F.substring(F.sha2("text", 256), 1, 12)
+    each = entries.groupBy("set_id", "name").agg(F.min(short).alias("digest"), (F.max(short) != F.min(short)).alias("several"))
+    each = stored(each)
+    rows = each.select("set_id", "name", F.concat_ws(":", F.col("name").cast("string"), "digest").alias("entry"), F.lit(1).cast("long").alias("n"))
+    pieces = rows.repartitionByRange("set_id", "name").sortWithinPartitions("set_id", "name").mapInArrow(_joined, rows.schema)
+    kind = rows.select("set_id").schema.add("digest", "string").add("names", "long")
+    digests = pieces.repartition("set_id").sortWithinPartitions("set_id", "name").mapInArrow(_digested, kind)
+    return digests, each.filter("several").select("set_id", "name")
+
+
 def first_of_each(rows: DataFrame, owner: str, key: str, id_col: str) -> DataFrame:
     """Which row each row can reuse: the first of the same owner and key."""
     first = rows.groupBy(owner, key).agg(F.min(id_col).alias("first_id"))

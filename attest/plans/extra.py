@@ -126,6 +126,22 @@ def sink_summary(spark, d):
     return records.backfill(_results(spark, d)).drop("results")
 
 
+@query("""WITH x AS (SELECT o_orderkey AS analysis_id, o_orderstatus AS attempt_type, o_orderkey % 7 + 1 AS n, o_orderkey AS k, o_orderpriority AS p, CAST(trunc(o_totalprice) AS BIGINT) % 101 AS t FROM orders)
+SELECT analysis_id, attempt_type, CASE WHEN k % 5 = 0 THEN 'kept' WHEN k % 6 = 1 AND attempt_type = 'F' THEN 'later' ELSE 'Org ' || p END AS company, CAST(CASE WHEN k % 4 <> 0 THEN floor((n - least(n, 2)) / n * 100 + 0.5) WHEN k % 8 = 0 THEN 55 END AS INTEGER) AS match_pct, '{"total":' || t || '}' AS score_json FROM x""")
+def sink_saved(spark, d):
+    """Result documents saved by type: all without summaries, those of one type that come again twice, then a backfill, twice."""
+    rows = _results(spark, d).join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.col("o_orderstatus").alias("attempt_type")), "analysis_id")
+    path = f"{shared_dir(spark)}/attest-saved-{uuid.uuid4().hex}"
+    poor = rows.withColumns({"match_pct": F.lit(None).cast("int"), "score_json": F.lit(None).cast("string"), "timing_json": F.lit(None).cast("string")})
+    poor.write.partitionBy("attempt_type").parquet(path)  # as a version without summaries left them
+    again = rows.filter("analysis_id % 6 = 1 and attempt_type = 'F'").withColumn("company", F.coalesce("company", F.lit("later")))
+    for _ in range(2):
+        records.save_analyses(again, path)
+    for _ in range(2):
+        records.backfill_saved(spark, path)
+    return spark.read.parquet(path).select("analysis_id", "attempt_type", "company", "match_pct", "score_json")
+
+
 @query(f"""WITH {A}, x AS (SELECT analysis_id, score AS s, analysis_id % 3 AS k FROM attempts),
 c AS (SELECT analysis_id, unnest(CASE WHEN k = 0 THEN ['base', 'sections', 'keywords', 'bullet_quality', 'action_verbs', 'warnings', 'total'] ELSE ['quantification', 'action_verbs', 'structure', 'total'] END) AS component,
   unnest(CASE WHEN k = 0 THEN [s // 2, 5, 0, 0, 0, -1, s] ELSE [s // 3, s // 4, 0, s] END) AS points, unnest(CASE WHEN k = 0 THEN [NULL, NULL, NULL, NULL, NULL, NULL, 100] WHEN k = 1 THEN [40, 30, 30, 100] ELSE [50, 30, 20, 100] END) AS most FROM x)
@@ -171,11 +187,20 @@ def join_resolve(spark, d):
     return review.resolve_lines(n, suggestions, decisions, overrides, sections=sections)
 
 
-@query()
+_DOCUMENT = "# CV\n## A\nalpha\n## B\nbeta"
+
+
+@query(f"""WITH RECURSIVE {L}, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, item, kind, event_id) AS i, item AS id, kind, item % 3 = 0 AS whole, CASE WHEN item % 2 = 0 THEN '## A' ELSE '## B' END AS head, CASE WHEN item % 3 = 0 THEN '## A' || chr(10) || 'whole ' || item ELSE 'part ' || item END AS text FROM log WHERE kind IN ('accepted', 'dismissed')),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, content VARCHAR)[]) AS kept FROM e GROUP BY user_id
+  UNION ALL SELECT user_id, i, CASE WHEN kind = 'dismissed' THEN list_filter(kept, lambda x: x.id <> CAST(id AS BIGINT)) WHEN whole THEN list_append(kept, {{'id': CAST(id AS BIGINT), 'content': text}})
+    WHEN spot > 0 THEN list_append(kept, {{'id': CAST(id AS BIGINT), 'content': left(now, spot + 3) || chr(10) || text || chr(10) || CASE WHEN strpos(substr(now, spot + 4), chr(10) || '## ') > 0 THEN substr(substr(now, spot + 4), strpos(substr(now, spot + 4), chr(10) || '## ')) ELSE '' END}}) ELSE kept END
+  FROM (SELECT *, strpos(now, head) AS spot FROM (SELECT e.*, kept, coalesce(kept[-1].content, replace('# CV|## A|alpha|## B|beta', '|', chr(10))) AS now FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))),
+l AS (SELECT user_id, arg_max(kept, i) AS kept FROM f GROUP BY user_id)
+SELECT user_id AS analysis_id, CAST(r - 1 AS INTEGER) AS revision, kept[r].id AS feedback_id, kept[r].content AS content FROM l, unnest(range(1, len(kept) + 1)) AS t(r)""")
 def join_apply_feedback(spark, d):
-    """Every user's log as decisions on edits of one document; the tests hold it against a loop."""
+    """Every user's log as decisions on edits of one document; the tests hold it against a loop too."""
     log = fx.log(spark, d).filter("kind in ('accepted', 'dismissed')")
-    documents = log.select(F.col("user_id").alias("analysis_id")).distinct().withColumn("content", F.lit("# CV\n## A\nalpha\n## B\nbeta"))
+    documents = log.select(F.col("user_id").alias("analysis_id")).distinct().withColumn("content", F.lit(_DOCUMENT))
     item = F.col("item").cast("string")
     rows = log.select(F.col("user_id").alias("analysis_id"), "ts", F.col("item").alias("feedback_id"), F.col("kind").alias("status"), F.when(F.col("item") % 3 == 0, "edit").otherwise("section_edit").alias("feedback_type"),
                       F.when(F.col("item") % 2 == 0, "A").otherwise("B").alias("section"), F.when(F.col("item") % 3 == 0, F.concat(F.lit("## A\nwhole "), item)).otherwise(F.concat(F.lit("part "), item)).alias("text"))

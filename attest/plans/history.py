@@ -174,6 +174,13 @@ def top_history(spark, d):
     return fx.attempts(spark, d).orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(50).select("analysis_id", "user_id", "score")
 
 
+@query(f"WITH {A} SELECT user_id, analysis_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, analysis_id DESC) AS position FROM attempts")
+def top_lists(spark, d):
+    """All rows of every user, newest first."""
+    place = F.row_number().over(fx.Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("analysis_id")))
+    return fx.attempts(spark, d).select("user_id", "analysis_id", place.alias("position"))
+
+
 @query(f"""WITH {L}, {A}, u AS (SELECT user_id, created_at AS moment, 'attempt' AS kind, analysis_id AS id FROM attempts UNION ALL SELECT user_id, ts, kind, event_id FROM log)
 SELECT user_id, kind, id, row_number() OVER (PARTITION BY user_id ORDER BY moment, kind, id) AS position FROM u""")
 def set_timeline(spark, d):

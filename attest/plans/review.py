@@ -100,6 +100,14 @@ judged AS (SELECT *, CASE WHEN len(new_claims) = 0 THEN 'skipped' WHEN (doc_id +
 final AS (SELECT *, CASE status WHEN 'repaired' THEN regexp_replace(rewritten, '\\s(for|by|saving)\\s\\S*[0-9].*$', '') WHEN 'failed' THEN original ELSE rewritten END AS final FROM judged)"""
 
 
+@query(f"""WITH {_FOUND} SELECT doc_id, unit_no, CASE (doc_id + unit_no) % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'yellow' END AS severity, new_claims, escalated AS escalation FROM found""")
+def rw_finalise(spark, d):
+    """Rewrites whose severities are in any case, unknown or missing, and that carry findings of an earlier round."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ("RED", "Green", " yellow", "blue", None)]), ((F.col("doc_id") + F.col("unit_no")) % 5 + 1).cast("int"))
+    stale = fx.pairs(spark, d).withColumns({"severity": said, "new_claims": F.array(F.lit("stale")), "escalation": F.lit("stale")})
+    return pair_ops.finalise(stale).select("doc_id", "unit_no", "severity", "new_claims", F.col("escalation").isNotNull().alias("escalation"))
+
+
 @query(f"WITH {_CRITIC} SELECT doc_id, unit_no, status, final FROM final")
 def claim_critic(spark, d):
     return pair_ops.critic(*_verdicts(spark, d)).select("doc_id", "unit_no", "status", "final")

@@ -110,11 +110,15 @@ def hash_dups(spark, d):
     return retrieve.first_of_each(rows, "lang", "key", "doc_id")
 
 
-@query("WITH v AS (SELECT item_id, left(sha256(text), 12) AS digest FROM benchmark) SELECT item_id % 10 AS set_id, sha256(string_agg(item_id || ':' || digest, ',' ORDER BY item_id)) AS digest, count(*) AS names FROM v GROUP BY 1")
+@query("""WITH v AS (SELECT item_id % 10 AS set_id, item_id AS name, text FROM benchmark UNION ALL SELECT doc_id // 50, doc_id // 2, coalesce(text, '') FROM documents),
+d AS (SELECT set_id, name, min(left(sha256(text), 12)) AS digest, count(DISTINCT left(sha256(text), 12)) > 1 AS several FROM v GROUP BY set_id, name)
+SELECT set_id, sha256(string_agg(name || ':' || digest, ',' ORDER BY name)) AS digest, count(*) AS names, count(*) FILTER (several) AS conflicts FROM d GROUP BY set_id""")
 def hash_registry(spark, d):
-    v = fx.table(spark, d, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 12).alias("digest"))
-    entries = F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws(":", F.col("item_id").cast("string"), "digest").alias("e"))))
-    return v.groupBy((F.col("item_id") % 10).alias("set_id")).agg(F.sha2(F.array_join(F.transform(entries, lambda x: x["e"]), ","), 256).alias("digest"), F.count("*").alias("names"))
+    """Ten sets of benchmark items, which grow, and a set of every fifty documents, whose names have two texts each."""
+    items = fx.table(spark, d, "benchmark").select((F.col("item_id") % 10).alias("set_id"), F.col("item_id").alias("name"), "text")
+    docs = fx.table(spark, d, "documents").select(F.expr("doc_id div 50").alias("set_id"), F.expr("doc_id div 2").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    digests, conflicts = retrieve.registry(items.unionByName(docs))
+    return digests.join(conflicts.groupBy("set_id").agg(F.count("*").alias("conflicts")), "set_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),

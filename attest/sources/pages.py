@@ -63,7 +63,7 @@ def _pieces(page: str) -> list[tuple[str, str]]:
     A stack of open elements goes over the tags: an end tag closes the last element of its name and what is open in it,
     one without such an element is passed over, and what is never closed ends with the page."""
     names, parents, structured, stack, texts = [], [], [], [], []
-    for m in _TOKEN.finditer(_RAW.sub(" ", page)):
+    for m in _TOKEN.finditer(_RAW.sub("<!---->", page)):
         name = (m[2] or "").lower()
         if not name:
             if not m[0].startswith(("<!", "<?")):

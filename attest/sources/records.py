@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.functions.text import strip
+from attest.sources.shared import stored
 
 
 def _parts(*columns: str) -> Column:
@@ -67,6 +70,43 @@ def backfill(rows: DataFrame, results: str = "results") -> DataFrame:
     return out
 
 
+SUMMARY = ("company", "match_pct", "score_json", "timing_json")
+
+
+def save_analyses(rows: DataFrame, path: str) -> None:
+    """Save rows(analysis_id, attempt_type, results, ...) with their summary columns in a table partitioned by attempt_type. A row
+    takes the place of the saved one of its id and type; partitions that it isn't in are left alone, so saving again changes
+    nothing."""
+    new = backfill(rows)
+    types = new.select("attempt_type").distinct()
+    if _saved(rows.sparkSession, path):
+        old = rows.sparkSession.read.parquet(path).join(types, "attempt_type", "left_semi").join(new.select("analysis_id", "attempt_type"), ["analysis_id", "attempt_type"], "left_anti")
+        new = new.unionByName(old, allowMissingColumns=True)
+    _overwrite(new, path)
+
+
+def backfill_saved(spark: SparkSession, path: str) -> int:
+    """Fill summary columns that saved rows lack, from their result documents; only partitions with such rows are written. The
+    number of rows filled: 0 the second time."""
+    saved = spark.read.parquet(path)
+    lacking = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in SUMMARY if c != "match_pct"])
+    poor = saved.filter(lacking).groupBy("attempt_type").agg(F.count("*").alias("n"))
+    n = poor.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if n:
+        _overwrite(backfill(saved.join(poor.select("attempt_type"), "attempt_type", "left_semi")), path)
+    return n
+
+
+def _saved(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _overwrite(rows: DataFrame, path: str) -> None:
+    """Each partition of the rows anew, no other. The rows may be read from the same table, so they are stored first."""
+    stored(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt_type").parquet(path)
+
+
 def score_components(scores: DataFrame) -> DataFrame:
     """(analysis_id, component, points, most) of score documents (analysis_id, score JSON), in the layout of today and
     in the one before; a missing part counts 0."""
