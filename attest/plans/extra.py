@@ -270,7 +270,7 @@ def st_frames(spark, d):
     n = F.ceil(F.length("frame") / 7).cast("int")
     cut = e.select("stream_id", "event_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col("frame"), i * 7 + 1, F.lit(7)))).alias("i", "chunk"))
     chunks = cut.select("stream_id", (F.col("event_id") * 1000 + F.col("i")).alias("chunk_no"), "chunk")
-    return streams.run_available(stateful.frames(chunks), "append").filter(F.try_parse_json("data").isNotNull())
+    return streams.run_available(stateful.frames(chunks), "append").filter(pages.is_json(F.col("data")))
 
 
 @query("""WITH RECURSIVE t AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

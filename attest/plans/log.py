@@ -12,12 +12,12 @@ from attest.plans.registry import query
 L, A = fx.LOG, fx.ATTEMPTS
 
 
-@query(f"WITH {L} SELECT event_id, user_id, c_name AS author, row_number() OVER (PARTITION BY item ORDER BY ts, event_id) AS position FROM log JOIN customer ON c_custkey = user_id WHERE kind = 'mentor_feedback'")
+@query(f"WITH {L} SELECT event_id, user_id, c_name AS author, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS position FROM log JOIN customer ON c_custkey = user_id WHERE kind = 'mentor_feedback'")
 def join_comments(spark, d):
-    """Comments of each item with their authors, in time order."""
+    """Comments of each user's items with their authors, in time order."""
     people = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("author"))
     rows = fx.log(spark, d).filter("kind = 'mentor_feedback'").join(people, "user_id")
-    return rows.select("event_id", "user_id", "author", F.row_number().over(Window.partitionBy("item").orderBy("ts", "event_id")).alias("position"))
+    return rows.select("event_id", "user_id", "author", F.row_number().over(Window.partitionBy("user_id", "item").orderBy("ts", "event_id")).alias("position"))
 
 
 @query(f"WITH {L} SELECT event_id, item FROM log WHERE item IN (SELECT item FROM log WHERE kind = 'new_attempt') AND kind = 'mentor_feedback'")

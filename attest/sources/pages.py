@@ -154,13 +154,20 @@ def page_body(html: Column, limit: int = 8000) -> Column:
     return F.substring(F.coalesce(*[F.when(F.length(c) > 100, c) for c in choices], choices[-1]), 1, limit)
 
 
+def is_json(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing besides; Spark's parsers pass over what follows a value, so it is parsed
+    inside an array and inside an object."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def salvage_json(text: Column) -> Column:
     """The JSON inside a noisy answer: without thought blocks and fences; the whole, else the first object or
     array up to its last closing sign; null if nothing parses."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", ""), r"(?s)^\s*```(?:json)?|```\s*$", "")
     bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
     inner = F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
-    ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    ok = lambda c: F.when(is_json(c), c)
     return F.coalesce(ok(F.when(bare != "", bare)), ok(F.when(inner != "", inner)))
 
 
@@ -189,7 +196,7 @@ def frames(chunks: DataFrame) -> DataFrame:
     pieces = cut.withColumn("began", began).select("stream_id", "text_no", "began", F.posexplode("cut").alias("at", "piece")).withColumn("frame", (F.col("began") + F.col("at")).cast("int"))
     whole_frames = pieces.groupBy("stream_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_no", "piece"))), lambda x: x["piece"]), "").alias("raw"))
     data = F.array_join(F.transform(F.filter(F.split("raw", "\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substr(x, F.lit(6)))), "\n")
-    return whole_frames.select("stream_id", "frame", data.alias("data")).filter(F.col("data") != "").filter(F.try_parse_json("data").isNotNull())
+    return whole_frames.select("stream_id", "frame", data.alias("data")).filter(is_json(F.col("data")))
 
 
 def route(name: Column) -> tuple[Column, Column]:

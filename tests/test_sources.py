@@ -6,6 +6,8 @@ import random
 from collections import defaultdict
 from html.parser import HTMLParser
 
+from pyspark.sql import functions as F
+
 from attest.operators import retrieve
 from attest.sources import pages, records
 
@@ -111,6 +113,12 @@ def test_frames_cut_anywhere(spark):
     assert set(got) == want and len(got) == len(want) and want
 
 
+def test_salvage_takes_nothing_besides(spark):
+    rows = [('{"a": 1} - done', '{"a": 1}'), ("1 2", None), ('so: [1, 2] it is', "[1, 2]"), ("<think>{}</think>{", None), ("", None), (None, None), ("7", "7")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, t string").select("id", pages.salvage_json(F.col("t")).alias("j")).orderBy("id").collect()
+    assert [r["j"] for r in got] == [w for _, w in rows]
+
+
 def test_saving_twice(spark, tmp_path):
     path = str(tmp_path / "saved")
     rows = lambda *r: spark.createDataFrame(r, "analysis_id long, attempt_type string, results string")
