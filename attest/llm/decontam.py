@@ -52,23 +52,31 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + GRAM]) for i in range(max(1, len(tokens) - GRAM + 1))} if tokens else set()
 
 
-def parts_of(text: str) -> tuple[list[str], list[str]]:
-    """(question, answer); both are the whole of a text with one sentence."""
-    pieces = [p for p in SENTENCE.split(text) if words(p)]
-    if len(pieces) < 2:
-        return words(text), words(text)
-    return words(" ".join(pieces[:-1])), words(pieces[-1])
+def sentences(texts: list[str]) -> list[list[list[str]]]:
+    """The words of each sentence of each text, sentences without words left out; all are lowered in one call."""
+    cut = [SENTENCE.split(t) for t in texts]
+    low = iter(lowered([s for own in cut for s in own]).to_pylist())
+    return [[found for _ in own if (found := WORD.findall(next(low)))] for own in cut]
+
+
+def parts_of(parts: list[list[str]]) -> tuple[list[str], list[str]]:
+    """(question, answer) of a text's sentences; both are the whole of a text with one."""
+    whole = [w for s in parts for w in s]
+    return ([w for s in parts[:-1] for w in s], parts[-1]) if len(parts) > 1 else (whole, whole)
 
 
 class Index:
     def __init__(self, items: list[tuple], threshold: float):
         """items: (item_id, text)."""
         self.threshold = threshold
-        self.items = [(i, t) for i, t in items if words(t)]
-        self.facts = [(grams(words(t)), grams(parts_of(t)[0]), set(parts_of(t)[1])) for _, t in self.items]
+        cut = sentences([t or "" for _, t in items])
+        self.items = [item for item, parts in zip(items, cut, strict=True) if parts]
+        cut = [parts for parts in cut if parts]
+        tokens = [[w for s in parts for w in s] for parts in cut]
+        halves = [parts_of(parts) for parts in cut]
+        self.facts = [(grams(w), grams(question), set(answer)) for w, (question, answer) in zip(tokens, halves, strict=True)]
         units: list[tuple[int, Counter]] = []
-        for n, (_, text) in enumerate(self.items):
-            w = words(text)
+        for n, w in enumerate(tokens):
             units += [(n, Counter(w[at : at + CELL])) for at in range(0, max(1, len(w) - CELL // 2), CELL // 2)] if len(w) > CELL else [(n, Counter(w))]
         self.unit_item = np.array([n for n, _ in units], np.int64)
         df = Counter(t for _, c in units for t in c)
@@ -160,7 +168,8 @@ class Index:
                 own.append(i)
                 size += len(texts[i] or "")
                 i += 1
-            ids, cuts = self.ids(lowered([texts[k] for k in own]))
+            low = lowered([texts[k] for k in own])
+            ids, cuts = self.ids(low)
             counts = np.diff(cuts)
             cells = counts // CELL + 2  # one stays empty between texts
             first = np.cumsum(cells) - cells
@@ -174,7 +183,7 @@ class Index:
                     n = int(self.unit_item[u])
                     found[own[k]][n] = max(score, found[own[k]].get(n, 0.0))
             for place in sorted(found):
-                tokens = words(texts[place])
+                tokens = WORD.findall(low[place - own[0]].as_py())
                 held, vocabulary = grams(tokens), set(tokens)
                 text = " " + " ".join(tokens) + " "
                 for n, score in sorted(found[place].items()):

@@ -66,18 +66,21 @@ def normal(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
 
-#: Bits of a fingerprint that are exchanged. Two texts agree in them by chance once in 2^40; suspects are verified.
-BITS = 40
+#: Bits of a fingerprint that are exchanged, at least. More rows take more, so that at most about one in ``CHANCE`` rows is a
+#: suspect by chance; suspects are verified.
+BITS, CHANCE = 40, 128
+#: Rows for each owner, whose fingerprints meet in one task.
+OWNED = 5_000_000
 #: Documents of a chunk.
 CHUNK = 1 << 16
 #: Rows of documents (owner and place of the fingerprint, ``again``: the chunk holds it twice) and of blocks.
 ROWS = "chunk long, owner int, place int, again boolean, print long, sha binary, block binary"
 
 
-def _chunk(chunk: int, ids: list[pa.Array], prints: np.ndarray, shas: list[bytes], owners: int, kind: pa.DataType) -> pa.RecordBatch:
+def _chunk(chunk: int, ids: list[pa.Array], prints: np.ndarray, shas: list[bytes], owners: int, bits: int, kind: pa.DataType) -> pa.RecordBatch:
     """The rows of a chunk's documents, then those of its blocks."""
-    values, at, count = np.unique(prints >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
-    width = np.uint64(-(-(1 << BITS) // owners))
+    values, at, count = np.unique(prints >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    width = np.uint64(-(-(1 << bits) // owners))
     owner = (values // width).astype(np.int32)
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
     place = np.arange(len(values)) - np.repeat(cuts, np.diff(np.append(cuts, len(values))))
@@ -93,7 +96,7 @@ def _chunk(chunk: int, ids: list[pa.Array], prints: np.ndarray, shas: list[bytes
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
+def _fingerprints(rows: DataFrame, owners: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
@@ -107,10 +110,10 @@ def _fingerprints(rows: DataFrame, owners: int) -> DataFrame:
             prints += [xxhash.xxh3_64_intdigest(t) for t in texts]
             shas += [hashlib.sha256(t).digest() for t in texts]
             if len(prints) >= CHUNK:
-                yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, kind)
+                yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, bits, kind)
                 ids, prints, shas, chunk = [], [], [], chunk + 1
         if prints:
-            yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, kind)
+            yield _chunk(chunk, ids, np.array(prints, np.uint64), shas, owners, bits, kind)
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {ROWS}")
 
@@ -137,15 +140,17 @@ def suspects(prints: DataFrame, few_bytes: int) -> DataFrame:
     return marked.select("id", "print", "sha", (F.col("again") | (F.getbit(bits, F.expr("place % 8")) == 1)).alias("suspect"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int = 64, few: int = 1_000_000, few_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None, few: int = 1_000_000, few_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     ``few``: up to so many suspect fingerprints (8 bytes each) the second reading drops other texts before any
-    shuffle; beyond it, a shuffled semi-join does. Owners should grow with the corpus, so that an owner's blocks fit a
-    task: one for every hundred million documents or so at least."""
+    shuffle; beyond it, a shuffled semi-join does. ``owners`` are 64, or as many as give each ``OWNED`` rows at most."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    marked = stored(suspects(stored(_fingerprints(rows, owners)), few_bytes))
+    total = rows.count()
+    owners = owners or max(64, -(-total // OWNED))
+    bits = min(64, max(BITS, (total * CHANCE).bit_length()))
+    marked = stored(suspects(stored(_fingerprints(rows, owners, bits)), few_bytes))
     wanted = marked.filter("suspect").select("print").distinct()
     n = wanted.count()
 

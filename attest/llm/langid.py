@@ -126,7 +126,9 @@ class Model:
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", buckets: int = 1 << 15, per_label: int = 1500, smoothing: float = 0.1) -> Model:
-    """Learn from ``rows`` (already only those that may be learned from)."""
+    """Learn from ``rows`` (already only those that may be learned from), about ``per_label`` of each label, drawn by a hash of
+    id and text, so that rows of one id, or without any, are drawn like others. More than ``MAX_LABELS`` labels are an
+    error."""
     assert buckets & (buckets - 1) == 0, "buckets must be a power of two"
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()}
@@ -137,7 +139,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, sample_fraction(n, per_label)).otherwise(share)
-    picked = rows.filter("label is not null and text is not null").filter(hash_unit(F.col("id").cast("string")) < share)
+    picked = rows.filter("label is not null and text is not null").filter(hash_unit(F.col("id").cast("string"), F.col("text")) < share)
     labels = sorted(sizes)
     at = {label: i for i, label in enumerate(labels)}
 

@@ -112,13 +112,13 @@ def copies_by_cell(cells: DataFrame, solved: DataFrame, cap: float) -> DataFrame
     free = ((F.col("copies") + step).between(0, F.col("most"))).cast("long") * F.abs(step)
     state = state.withColumn("step", step * free).withColumn("moved", F.sum(free * F.col("size")).over(down))
     state = stored(state.withColumn("copies", F.col("copies") + F.when(F.col("moved") <= F.abs("miss"), F.col("step")).otherwise(0)).drop("miss", "step", "moved"))
-    for _ in range(3):
-        lacks = state.groupBy("skey").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
+    own = Window.partitionBy("skey")
+    for _ in range(3):  # windows over one partitioning: no row is read twice
+        lacks = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(own)
         more = F.greatest(-F.col("copies"), F.least(F.round(F.col("miss") / F.col("size")).cast("long"), F.col("most") - F.col("copies")))
-        tried = state.join(lacks, "skey").withColumn("more", more)
-        best = tried.groupBy("skey").agg(F.min_by(F.struct("size", "more"), F.struct(F.abs(F.col("miss") - F.col("more") * F.col("size")), "size")).alias("best"))
-        best = best.select("skey", F.col("best.size").alias("size"), F.col("best.more").alias("more"))
-        state = state.join(best, ["skey", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+        tried = state.withColumn("miss", lacks).withColumn("more", more)
+        best = F.min_by("size", F.struct(F.abs(F.col("miss") - F.col("more") * F.col("size")), F.col("size"))).over(own)
+        state = tried.withColumn("best", best).withColumn("copies", F.col("copies") + F.when(F.col("size") == F.col("best"), F.col("more")).otherwise(0)).drop("miss", "more", "best")
     return state.select("skey", "size", "n", "copies").unionByName(cells.filter("size = 0").select("skey", "size", "n", F.col("n").alias("copies")))
 
 
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     chosen = stored(copies_by_cell(cells, solved, cap).join(solved.select("skey", "source_size", "target"), "skey"))
     most = chosen.agg(F.max("n")).first()[0] or 1
     salts = int(-(-most // group_rows))
-    salt = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("salt")), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(F.col("id").cast("string"), "mark", F.lit("salt")), F.lit(salts)).cast("int")
     salted = sizes.withColumn("salt", salt)
     along = Window.partitionBy("skey", "size").orderBy("salt")
     shares = salted.groupBy("skey", "size", "salt").agg(F.count("*").alias("own")).withColumn("upto", F.sum("own").over(along.rowsBetween(Window.unboundedPreceding, 0))) if salts > 1 else chosen.select("skey", "size", F.lit(0).alias("salt"), F.col("n").alias("own"), F.col("n").alias("upto"))

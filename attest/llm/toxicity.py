@@ -232,8 +232,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         rate = sizes.get(1, 0) / n if n else 0.0
         return Scorer([], [], [], np.array([math.log((rate + 1e-3) / (1 - rate + 1e-3))] + [0.0] * FEATURES))
     fraction = class_fractions(sizes[0], sizes[1], bound)
-    drawn = hash_unit(F.col("id")) < F.when(F.col("y") == 1, fraction[1]).otherwise(fraction[0])
-    picked = rows.withColumn("fit", drawn & (F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(3)) == 0))
+    drawn = hash_unit(F.col("id"), F.col("text")) < F.when(F.col("y") == 1, fraction[1]).otherwise(fraction[0])
+    picked = rows.withColumn("fit", drawn & (F.pmod(F.xxhash64("id", "text", F.lit("fit")), F.lit(3)) == 0))
 
     def rows_of(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
         names = sorted(counts[1].keys() | counts[0].keys())
