@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, else the warehouse; a temporary folder only where all of Spark runs on this machine."""
+    """``spark.checkpoint.dir``, else the warehouse; a temporary folder only where all of Spark runs on this machine.
+    A warehouse on a local disk is an error elsewhere: executors would write what nobody else reads."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.split("[")[0] == "local":
         folder = tempfile.mkdtemp(prefix="attest-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith(("file:", "/")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {folder} is local to each machine")
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ import os
 import random
 from collections import defaultdict
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from attest.operators import retrieve
 from attest.sources import pages, records
+from attest.sources.shared import shared_dir
 
 
 class Tree(HTMLParser):
@@ -144,3 +147,12 @@ def test_ordered_digests(spark):
     assert {r["set_id"]: r["digest"] for r in digests.collect()} == want
     assert [tuple(r) for r in conflicts.collect()] == [(3, 10_001)]
     assert {r["set_id"]: r["names"] for r in digests.collect()} == {s: len(v) for s, v in sets.items()}
+
+
+def test_shared_folder_of_a_cluster():
+    """The folder that is named, else the warehouse if it isn't on a local disk."""
+    cluster = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    assert shared_dir(cluster(spark_checkpoint_dir="file:///shared/x/", spark_sql_warehouse_dir="file:/home/w")) == "file:///shared/x"
+    assert shared_dir(cluster(spark_sql_warehouse_dir="hdfs://w/")) == "hdfs://w"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster(spark_sql_warehouse_dir="file:/home/w"))
