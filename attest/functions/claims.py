@@ -10,13 +10,14 @@ from attest.functions.text import let, lookup, opener
 
 _N = r"\d[\d,]*(?:\.\d+)?"
 _SCALE = "k|m|bn?|thousand|million|billion"
+# A look at the next character or two comes first, so that no other place pays for what must stand before a figure.
 FIGURE = (
-    rf"(?i)(?<![\w.])(\$\s?{_N}\s*(?:{_SCALE})?|{_N}\s*(?:{lx.UNITS})|{_N}\s*%|{_N}\s*(?:{_SCALE})(?!\w)|{_N}x(?!\w)|{_N})(?!\w)"
+    rf"(?i)(?=[$\d])(?<![\w.])(\$\s?{_N}\s*(?:{_SCALE})?|{_N}\s*(?:{lx.UNITS})|{_N}\s*%|{_N}\s*(?:{_SCALE})(?!\w)|{_N}x(?!\w)|{_N})(?!\w)"
 )
 _YEAR = rf"(?<![\w.$])(?<!\$\s)(?:19|20)\d\d,*(?!\w|\.\d|\s*%|\s*(?:{_SCALE})(?!\w)|\s*(?:{lx.UNITS})(?!\w))"
 DATED = (
-    rf"(?i)(?:(?<=\b(?:{lx.DATE_WORDS})\s{{0,9}})|(?<=\b(?:{lx.MONTHS})[a-z]{{0,9}}\.?\s{{0,9}})|(?<=(?:19|20)\d\d\s{{0,9}}(?:to|[-–—])\s{{0,9}})){_YEAR}"
-    rf"|(?i){_YEAR}(?=\s*(?:to|[-–—])\s*(?:19|20)\d\d\b)"
+    rf"(?i)(?=(?:19|20)\d\d)(?:(?<=\b(?:{lx.DATE_WORDS})\s{{0,9}})|(?<=\b(?:{lx.MONTHS})[a-z]{{0,9}}\.?\s{{0,9}})|(?<=(?:19|20)\d\d\s{{0,9}}(?:to|[-–—])\s{{0,9}})){_YEAR}"
+    rf"|(?i)(?=(?:19|20)\d\d){_YEAR}(?=\s*(?:to|[-–—])\s*(?:19|20)\d\d\b)"
 )
 
 

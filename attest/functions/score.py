@@ -13,6 +13,12 @@ from attest.functions.text import let, lookup, word_count
 VERSION = r"(?<=\s)([A-Z][A-Za-z+#.]*)\s+v?\d+(?:\.\d+)*(?![\w%.])"
 
 
+def _phrases(alternatives: str) -> str:
+    """Any of the alternatives as whole words; a letter that begins none is passed over before borders of words are sought."""
+    begins = "".join(sorted({a[0] for a in alternatives.split("|")}))
+    return rf"(?iU)(?=[{begins}])\b(?:{alternatives})\b"
+
+
 def is_quantified(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     return F.when(whole.rlike("[0-9]"), F.size(claims.claim_tokens(F.regexp_replace(whole, VERSION, "$1"))) > 0).otherwise(False)
@@ -56,8 +62,8 @@ def structure_checks(text: Column) -> Column:
 
     def of(clean: Column) -> Column:
         length = let(word_count(clean), lambda n: F.when(n.between(8, 30), 1.0).when(n.between(5, 40), 0.5).otherwise(0.0))
-        first = clean.rlike(rf"(?iU)\b(?:{lx.FIRST_PERSON})\b") | clean.rlike(r"(?U)\bus\b")
-        return F.struct(length.alias("length"), (~first).alias("no_first_person"), (~clean.rlike(rf"(?iU)\b(?:{lx.FILLER})\b")).alias("no_filler"))
+        first = clean.rlike(_phrases(lx.FIRST_PERSON)) | clean.rlike(r"(?U)(?=us)\bus\b")
+        return F.struct(length.alias("length"), (~first).alias("no_first_person"), (~clean.rlike(_phrases(lx.FILLER))).alias("no_filler"))
 
     return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(?:i\.e|e\.g)\.?|\bi/o\b", " "), of)
 

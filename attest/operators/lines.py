@@ -10,6 +10,8 @@ from attest.functions import score
 from attest.functions.text import ends_sentence, has_bullet, let, lookup, squeeze, strip_bullet, word_count, words
 
 _MARKS = r"[\*_#`]+"
+#: Seven words, and one of two letters or more, so that these are no letters set apart: too long for a heading.
+_RUNNING_TEXT = r"^(?=.*[\p{L}\p{N}]{2})(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]\S*+\s++){6}[^\p{L}\p{N}]*+[\p{L}\p{N}]"
 _DECO = "[\\s​﻿ │|▌►▶◆■□●○]+"
 
 
@@ -72,7 +74,7 @@ def match_section(line: Column) -> Column:
         return F.coalesce(_section_of(clean), F.when(one, let(F.struct(clean.alias("clean"), camel.alias("camel")), glued)))
 
     label = F.regexp_replace(F.coalesce(line, F.lit("")), _MARKS, "").rlike(lx.INLINE_LABEL)
-    return F.when(~label & (F.length(F.coalesce(line, F.lit(""))) <= 400), let(clean_heading(line), of))
+    return F.when(~label & (F.length(F.coalesce(line, F.lit(""))) <= 400) & ~F.coalesce(line, F.lit("")).rlike(_RUNNING_TEXT), let(clean_heading(line), of))
 
 
 def heading_fragment(line: Column) -> Column:
