@@ -4,8 +4,9 @@
 labelled rows one may learn from (counts of documents, one distributed aggregation).
 *Matching.* The trie of the lexicon and the Levenshtein automaton of each entry are walked together; the
 product is made deterministic as far as words ask for it, so a word costs one table step per character.
-Entries of ``FUZZY_LENGTH`` letters or more match within one edit (a swap of neighbours counts as one).
-*Context.* A hit between quotation marks, or within ``WINDOW`` words after a reporting word, counts as
+Entries of ``FUZZY_LENGTH`` letters or more match within one edit (a swap of neighbours counts as one), but for words
+that clean documents know in their own right and toxic ones do not prefer: those are no misspellings.
+*Context.* A hit inside a quotation of any length, or within ``WINDOW`` words after a reporting word, counts as
 quoted; the classifier has a weight of its own for those, learned from the labels.
 *Score.* Logistic regression over a handful of sums of term weights.
 
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 from attest.llm.common import hash_unit, pieces, sample_fraction, stored
 
-FUZZY_LENGTH, WINDOW, STEMS = 5, 4, (4, 5, 6, 7)
+FUZZY_LENGTH, WINDOW, STEMS = 4, 4, (4, 5, 6, 7)
 #: Words that announce someone else's words.
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes reported reports word words term".split())
-OPEN, CLOSE = "\"“„«‘", "\"”“»’"
+#: Marks that open a quotation, each with those that close it.
+MARKS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+CLOSING = frozenset("".join(MARKS.values()))
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 FEATURES = 7
@@ -42,6 +45,21 @@ def bare(token: str) -> str:
     return EDGE.sub("", token.lower())
 
 
+def quotations(tokens: list[str]) -> bytearray:
+    """1 for every token of a quotation, however long: from a word that begins with an opening mark to the next that ends
+    with its closing one. A quotation that is opened anew before it is closed begins there; one never closed is none."""
+    inside, opened, closers = bytearray(len(tokens)), -1, ""
+    for i, t in enumerate(tokens):
+        if t[0] in MARKS and len(t) > 1 and (opened < 0 or MARKS[t[0]] == closers):
+            opened, closers = i, MARKS[t[0]]
+        if opened >= 0 and (t[-1] in CLOSING or t[-1] in ".,;:!?"):
+            end = t.rstrip(".,;:!?")
+            if len(end) > 1 and end[-1] in closers:
+                inside[opened : i + 1] = b"\1" * (i + 1 - opened)
+                opened = -1
+    return inside
+
+
 class Matcher:
     """Deterministic product of the lexicon's trie and Levenshtein automata of one edit, built lazily.
 
@@ -144,33 +162,34 @@ class Matcher:
 
 
 class Scorer:
-    def __init__(self, words: list[str], stems: list[str], weights: list[float], beta: np.ndarray | None = None, room: int = 500_000):
-        self.words, self.stems, self.weights, self.beta, self.room = words, stems, weights, beta, room
+    def __init__(self, words: list[str], stems: list[str], weights: list[float], beta: np.ndarray | None = None, known: frozenset[str] = frozenset(), room: int = 500_000):
+        self.words, self.stems, self.weights, self.beta, self.known, self.room = words, stems, weights, beta, known, room
         self.matcher, self.seen = Matcher(words, stems), {}
 
     def __reduce__(self):
-        return Scorer, (self.words, self.stems, self.weights, self.beta, self.room)
+        return Scorer, (self.words, self.stems, self.weights, self.beta, self.known, self.room)
 
     def hits(self, token: str) -> tuple:
-        """Entries that a token matches; the strongest word entry alone if several words match by edits."""
+        """Entries that a token matches and the edits it takes; a known word is no misspelling of another."""
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) > self.room:
                 self.seen.clear()
             word = bare(token)
-            got = self.seen[token] = tuple(self.matcher.match(word)) if word else ()
+            got = self.seen[token] = tuple((e, k) for e, k in self.matcher.match(word) if not k or word not in self.known) if word else ()
         return got
 
     def features(self, text: str) -> list[float]:
         tokens = WORDS.findall(text)
         lookup, seen = self.hits, self.seen
         found = [i for i, t in enumerate(tokens) if (seen[t] if t in seen else lookup(t))]
+        between = quotations(tokens) if found else b""
         plain: dict[int, float] = {}
         loose: dict[int, float] = {}
         quoted: dict[int, float] = {}
         stems: dict[int, float] = {}
         for i in found:
-            said = self.in_quotation(tokens, i)
+            said = between[i] or self.reported(tokens, i)
             for entry, edits in lookup(tokens[i]):
                 kind = stems if entry >= len(self.words) else quoted if said else loose if edits else plain
                 kind[entry] = self.weights[entry]
@@ -179,12 +198,9 @@ class Scorer:
         return [sum(plain.values()), sum(loose.values()), sum(quoted.values()), sum(stems.values()), max(every, default=0.0), len(plain) + len(stems), length * bool(every)]
 
     @staticmethod
-    def in_quotation(tokens: list[str], i: int) -> bool:
-        """Between an opening and a closing mark at most WINDOW words away, or shortly after a reporting word."""
-        before, after = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
-        opened = any(t[0] in OPEN and len(t) > 1 for t in before)
-        closed = any(t[-1] in CLOSE and len(t) > 1 for t in (x.rstrip(".,;:!?") for x in after) if t)
-        return opened and closed or any(bare(t) in REPORTING for t in before[:-1])
+    def reported(tokens: list[str], i: int) -> bool:
+        """At most WINDOW words after a reporting word."""
+        return any(bare(t) in REPORTING for t in tokens[max(0, i - WINDOW) : i])
 
     def score(self, text: str | None) -> float:
         z = self.beta[0] + float(np.dot(self.beta[1:], self.features(text or "")))
@@ -220,11 +236,20 @@ def class_fractions(clean: int, toxic: int, bound: int) -> tuple[float, float]:
     return sample_fraction(clean, drawn[0]), sample_fraction(toxic, drawn[1])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 12_000, least: int = 4, entries: int = 2_000) -> Scorer:
+def bounded(rows: DataFrame, bound: int) -> list:
+    """All rows, or an error where there are more than ``bound``."""
+    found = rows.limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} terms: raise the bound or ask more of a term")
+    return found
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 12_000, least: int = 4, entries: int = 1_000_000) -> Scorer:
     """Learn lexicon and classifier from ``labelled`` (already only rows that may be learned from).
 
     A third of a sample of ``bound`` rows fits the classifier, all other rows the lexicon, so that the weights are
-    judged on documents that did not choose the entries. ``entries`` bounds the lexicon (strongest first)."""
+    judged on documents that did not choose the entries. Every term that is sure enough enters the lexicon; more than
+    ``entries`` of them, or of known words one edit from one, are refused with an error, never cut."""
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
@@ -251,7 +276,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         yield rows_of(counts)
 
     counted = picked.filter("not fit").select("text", "y").mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = stored(counted.filter((F.col("term") == "d") | (F.col("toxic") >= least)))
+    counted = stored(counted.filter((F.col("term") == "d") | (F.col("toxic") >= least) | (F.col("term").startswith("w") & (F.col("clean") >= least))))
     base = counted.filter("term = 'd'").select(F.col("toxic").alias("toxic_docs"), F.col("clean").alias("clean_docs"))
     head = base.first()
     toxic_docs, clean_docs = (head["toxic_docs"], head["clean_docs"]) if head else (0, 0)
@@ -259,7 +284,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     strongest = counted.filter((F.col("term") != "d") & (F.col("toxic") >= least)).withColumn("weight", weight)
     # Lower end of the weight's interval: seldom seen terms must be purer.
     sure = F.col("weight") - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = strongest.filter(sure > 1.0).orderBy(F.desc(sure), "term").limit(entries).collect()
+    chosen = bounded(strongest.filter(sure > 1.0).select("term", "weight", "toxic"), entries)
     kept: dict[str, tuple[float, int]] = {}
     for r in chosen:
         kept[r["term"]] = (r["weight"], r["toxic"])
@@ -270,7 +295,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         if max(covered, longer) >= 0.9 * kept[name][1]:
             del kept[name]
     words, stems = sorted(t[1:] for t in kept if t[0] == "w"), sorted(t[1:] for t in kept if t[0] == "s")
-    scorer = Scorer(words, stems, [kept["w" + w][0] for w in words] + [kept["s" + s][0] for s in stems])
+    weights = [kept["w" + w][0] for w in words] + [kept["s" + s][0] for s in stems]
+    matching = picked.sparkSession.sparkContext.broadcast(Scorer(words, stems, weights))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if any(k for _, k in matching.value.hits(w))], pa.string())], ["word"])
+
+    clean_words = counted.filter(F.col("term").startswith("w") & (F.col("clean") >= least) & (weight <= 0)).select(F.expr("substring(term, 2)").alias("word"))
+    known = frozenset(r["word"] for r in bounded(clean_words.mapInArrow(near, "word string"), entries))
+    scorer = Scorer(words, stems, weights, None, known)
     shared = picked.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

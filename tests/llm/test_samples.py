@@ -102,3 +102,49 @@ def test_exchange_over_any_owners(spark, monkeypatch, owners, owned):
     for i, t in enumerate(texts):
         groups[t.lower()].append(i)
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in out} == {(i, max(g), len(g)) for g in groups.values() for i in g} and len(out) == len(texts)
+
+
+def plain_quotations(tokens):
+    """Every pair of an opening and the next closing mark of its kind with no other opening of that kind between."""
+    pair = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+    opens = lambda t: t[0] if t[0] in pair and len(t) > 1 else None
+    closes = lambda t, kinds: len(t.rstrip(".,;:!?")) > 1 and t.rstrip(".,;:!?")[-1] in kinds
+    out, i = [0] * len(tokens), 0
+    while i < len(tokens):
+        mark = opens(tokens[i])
+        end = next((j for j in range(i, len(tokens)) if closes(tokens[j], pair[mark])), None) if mark else None
+        if end is not None and any(opens(tokens[k]) and pair[tokens[k][0]] == pair[mark] for k in range(i + 1, end + 1)):
+            end = None  # opened anew: the later one counts
+        elif mark and end is None and not any(opens(tokens[k]) and pair[tokens[k][0]] == pair[mark] for k in range(i + 1, len(tokens))):
+            break  # open to the end: nothing after it is read as a quotation of another kind
+        if end is None:
+            i += 1
+            if mark:  # marks of other kinds inside an open quotation are its text
+                i = next(k for k in range(i, len(tokens)) if opens(tokens[k]) and pair[tokens[k][0]] == pair[mark])
+            continue
+        out[i : end + 1] = [1] * (end + 1 - i)
+        i = end + 1
+    return out
+
+
+def test_quotations():
+    rng = random.Random(8)
+    kinds = ["a", "b.", '"a', 'a"', '"a"', '"', "“a", "a”", "„a", "a“", "«a", "a»,", "‘a", "a’", "a’.", '"a".', ".", "”"]
+    for _ in range(3_000):
+        tokens = rng.choices(kinds, k=rng.randint(0, 14))
+        assert list(toxicity.quotations(tokens)) == plain_quotations(tokens), tokens
+    far = ['"so'] + ["word"] * 500 + ["it", 'is"', "after"]
+    assert sum(toxicity.quotations(far)) == 503 and not toxicity.quotations(far)[-1]
+
+
+def test_misspellings_and_known_words(spark):
+    """A word of its own is no misspelling of a toxic one, a word nobody knows is, four letters suffice; nothing is cut."""
+    rows = [(i, f"a {w} now", "en", y) for i in range(1_200) for w, y in [[("jerk", 1), ("perk", 0), ("clerk", 0), ("plain", 0)][i % 4]]]
+    df = spark.createDataFrame(rows, ROWS)
+    scorer = toxicity.train(df)
+    assert "jerk" in scorer.words and "perk" in scorer.known and "plain" not in scorer.known
+    jerk = scorer.words.index("jerk")
+    assert (jerk, 1) in scorer.hits("jork") and (jerk, 1) in scorer.hits("jekr") and not scorer.hits("perk") and not scorer.hits("plain")
+    assert scorer.features(" ".join(['"you', *["are"] * 30, "jerk", *["so"] * 30, 'there"']))[2] > 0
+    with pytest.raises(ValueError, match="more than"):
+        toxicity.train(df, entries=0)
