@@ -13,14 +13,21 @@ from attest.operators import lines as line_ops
 from attest.operators import pairs as pair_ops
 from attest.operators import units as unit_ops
 from attest.plans import fixtures as fx
-from attest.plans import sql
+from attest.plans import sql, text
 from attest.plans.registry import query
 
 SCORED = f"WITH {fx.UNITS}, {sql.signals('units')}"
 STRONG = "quantified AND action_verb = 1 AND structure = 1"
 
 
-@query()
+_IN, _UN = sql.items(lx.SCORED_SECTIONS), sql.items(lx.UNGRADED_SECTIONS)
+_PART = "CAST(round_even(round(coalesce(CASE WHEN count(*) FILTER (section IN ({i})) > 0 THEN avg({v}) FILTER (section IN ({i})) ELSE avg({v}) FILTER (section NOT IN ({u})) END, 0) * {w}, 9), 0) AS INTEGER)"
+_PARTS = {k: _PART.format(i=_IN, u=_UN, v=v, w=w) for k, v, w in (("quantification", "CAST(quantified AS DOUBLE)", 40), ("action_verbs", "action_verb", 30), ("structure", "form", 30))}
+_DOC_SCORES = f"SELECT doc_id, count(*) FILTER (section IN ({_IN})) AS n_scored, count(*) AS n_units, {', '.join(f'{v} AS {k}' for k, v in _PARTS.items())} FROM scored GROUP BY doc_id"
+
+
+@query(f"""WITH {text.GATHERED}, chosen AS (SELECT doc_id, section, unit_no, text FROM f WHERE {text.ELIGIBLE}), {sql.signals('chosen')}, totals AS ({_DOC_SCORES})
+SELECT *, quantification + action_verbs + structure AS total FROM totals ORDER BY total DESC, doc_id LIMIT 50""")
 def doc_review(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: documents to lines to units to scores, the best fifty (a top-k report)."""
     found = line_ops.units(line_ops.sections(fx.headed_lines(spark, d)))
@@ -173,13 +180,7 @@ def score_strong(spark, d):
     return unit_ops.scored(fx.units(spark, d)).select("doc_id", "unit_no", score.is_strong(F.col("signals")).alias("strong"))
 
 
-_IN, _UN = sql.items(lx.SCORED_SECTIONS), sql.items(lx.UNGRADED_SECTIONS)
-_PART = "CAST(round_even(round(coalesce(CASE WHEN count(*) FILTER (section IN ({i})) > 0 THEN avg({v}) FILTER (section IN ({i})) ELSE avg({v}) FILTER (section NOT IN ({u})) END, 0) * {w}, 9), 0) AS INTEGER)"
-_PARTS = {k: _PART.format(i=_IN, u=_UN, v=v, w=w) for k, v, w in (("quantification", "CAST(quantified AS DOUBLE)", 40), ("action_verbs", "action_verb", 30), ("structure", "form", 30))}
-
-
-@query(f"""{SCORED}, d AS (SELECT doc_id, count(*) FILTER (section IN ({_IN})) AS n_scored, count(*) AS n_units, {', '.join(f'{v} AS {k}' for k, v in _PARTS.items())} FROM scored GROUP BY doc_id)
-SELECT *, quantification + action_verbs + structure AS total FROM d""")
+@query(f"{SCORED}, d AS ({_DOC_SCORES}) SELECT *, quantification + action_verbs + structure AS total FROM d")
 def agg_doc_score(spark, d):
     return unit_ops.document_scores(fx.units(spark, d))
 

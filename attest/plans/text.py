@@ -122,13 +122,16 @@ def _listed() -> str:
   AND {sql.strength('lead', 'tier')} = 0)"""
 
 
-_GATHERED = f"""{UNIT_ROWS}, e AS (SELECT doc_id, section, unit_no, {_UNIT_TEXT} AS text, bool_or(header) AS header, bool_or(cand) AS any_cand FROM numbered GROUP BY doc_id, section, unit_no),
+GATHERED = f"""{UNIT_ROWS}, e AS (SELECT doc_id, section, unit_no, {_UNIT_TEXT} AS text, bool_or(header) AS header, bool_or(cand) AS any_cand FROM numbered GROUP BY doc_id, section, unit_no),
 th AS (SELECT *, {header_sql('text', 'section')} AS th, {_parts('text')} AS parts, {sql.opener('text')} AS clean FROM e), tl AS (SELECT *, {sql.lead_form('clean')} AS lead FROM th), tt AS (SELECT *, {sql.lead_tier('lead')} AS tier FROM tl),
 f AS (SELECT *, NOT header AND any_cand AND {candidate_sql('text', 'section', 'th')} AS fits, {_listed()} AS listed, len(list_filter(regexp_split_to_array(text, ' '), lambda w: w <> '')) AS n FROM tt)"""
 
 
-@query(f"""WITH {_GATHERED} SELECT doc_id, section, unit_no, CASE WHEN section = 'HEADER' THEN false WHEN section IN ({sql.items(lx.PRIMARY_SECTIONS)}) THEN fits AND NOT th AND NOT listed
-  ELSE section NOT IN ({sql.items(lx.LIST_SECTIONS)}) AND (fits OR n >= 4) AND NOT th AND NOT listed END AS eligible FROM f""")
+ELIGIBLE = f"""CASE WHEN section = 'HEADER' THEN false WHEN section IN ({sql.items(lx.PRIMARY_SECTIONS)}) THEN fits AND NOT th AND NOT listed
+  ELSE section NOT IN ({sql.items(lx.LIST_SECTIONS)}) AND (fits OR n >= 4) AND NOT th AND NOT listed END"""
+
+
+@query(f"WITH {GATHERED} SELECT doc_id, section, unit_no, {ELIGIBLE} AS eligible FROM f")
 def pred_eligible(spark, d):
     return ops.units(ops.sections(fx.headed_lines(spark, d))).select("doc_id", "section", "unit_no", "eligible")
 
