@@ -26,7 +26,7 @@ _PARTS = {k: _PART.format(i=_IN, u=_UN, v=v, w=w) for k, v, w in (("quantificati
 _DOC_SCORES = f"SELECT doc_id, count(*) FILTER (section IN ({_IN})) AS n_scored, count(*) AS n_units, {', '.join(f'{v} AS {k}' for k, v in _PARTS.items())} FROM scored GROUP BY doc_id"
 
 
-@query(f"""WITH {text.GATHERED}, chosen AS (SELECT doc_id, section, unit_no, text FROM f WHERE {text.ELIGIBLE}), {sql.signals('chosen')}, totals AS ({_DOC_SCORES})
+@query(f"""WITH {text.GATHERED}, chosen AS (SELECT doc_id, section, unit_no, text FROM f WHERE {text.ELIGIBLE}), {sql.signals('chosen', sql.figure('text'))}, totals AS ({_DOC_SCORES})
 SELECT *, quantification + action_verbs + structure AS total FROM totals ORDER BY total DESC, doc_id LIMIT 50""")
 def doc_review(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: documents to lines to units to scores, the best fifty (a top-k report)."""

@@ -71,11 +71,21 @@ def key(t: str) -> str:
     return f"CASE WHEN {t} LIKE '$%' OR {t} LIKE '%\\%' ESCAPE '\\' THEN {t} ELSE regexp_extract({t}, '[0-9]+') END"
 
 
-def signals(source: str) -> str:
+def figure(text: str) -> str:
+    """Whether any figure stands in a text that dates nothing: versions behind capitalised words go first (white space is
+    doubled meanwhile, so that two versions can share it), then what is in brackets."""
+    bare = rf"regexp_replace(regexp_replace({text}, '(\s)', '\1\1', 'g'), '(\s)([A-Z][A-Za-z+#.]*)\s+v?\d+(?:\.\d+)*($|[^\w%.])', '\1\2\3', 'g')"
+    bare = rf"regexp_replace(replace({bare}, '  ', ' '), '\[[^\]]*\]', ' ', 'g')"
+    n, scale = r"\d[\d,]*(?:\.\d+)?", "k|m|bn?|thousand|million|billion"
+    body = rf"\$\s?{n}\s*(?:{scale})?|{n}\s*(?:{lx.UNITS})|{n}\s*%|{n}\s*(?:{scale})|{n}x|{n}".replace("'", "''")
+    return rf"regexp_matches({bare}, '(?i)(?:^|[^\w.])(?:{body})(?:$|[^\w])')"
+
+
+def signals(source: str, quantified: str = "regexp_matches(text, '[0-9]')") -> str:
     """CTEs ``scored`` over ``source`` with quantified, action_verb, form (exact structure), structure, score."""
     length, person, filler = structure_parts("text")
     return f"""opened AS (SELECT *, {opener('text')} AS clean FROM {source}), led AS (SELECT *, {lead_form('clean')} AS lead FROM opened),
 tiered AS (SELECT *, {lead_tier('lead')} AS tier FROM led),
-raw AS (SELECT *, regexp_matches(text, '[0-9]') AS quantified, CAST({strength('lead', 'tier')} AS DOUBLE) AS action_verb,
+raw AS (SELECT *, {quantified} AS quantified, CAST({strength('lead', 'tier')} AS DOUBLE) AS action_verb,
   ({length} + CAST({person} AS DOUBLE) + CAST({filler} AS DOUBLE)) / 3 AS form FROM tiered),
 scored AS (SELECT *, round_even(form, 2) AS structure, CAST(round_even(40 * CAST(quantified AS DOUBLE) + 30 * action_verb + 30 * form, 0) AS INTEGER) AS score FROM raw)"""
