@@ -6,7 +6,9 @@ query's distance to its own pivot; inside the cell only among members whose angl
 at most t. What is left out can't be near enough: the results are exact.
 
 Pivots are drawn by hash, the square root of the number of vectors, at most ``MOST``; they and their radii go to every
-task. A cell of many members or visitors is cut into blocks that meet pairwise, so no task gathers more than two blocks. Vectors
+task. Neighbouring cells are packed into groups of a block of members, a larger cell is cut over several; a query is
+copied once for each group that it looks into, with a bit for each cell, so where pivots tell nothing it is copied as often as
+there are blocks, not cells. Groups meet blocks of queries pairwise, so no task gathers more than two blocks. Vectors
 of different lengths, and zero vectors, are cells apart."""
 
 from __future__ import annotations
@@ -21,24 +23,68 @@ from pyspark.sql import functions as F
 
 from attest.sources.shared import stored
 
-#: Vectors of a block, and pivots at most.
-BLOCK, MOST = 4_096, 1_024
+#: Vectors of a block, numbers in a block, and pivots at most.
+BLOCK, NUMBERS, MOST = 16_384, 1 << 20, 1_024
 #: Angles are known to about 1e-8.
 SLACK = 1e-6
-ROWS = "id long, v array<double>, width int, cell int, angle double, reach double"
+ROWS = "id long, v array<double>, width int, cell int, angle double"
+VISITS = "id long, v array<double>, width int, grp int, block int, cells binary, reach double"
 
 
 def as_rows(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
+#: (limits, angles, least angles, sizes of cells) -> (chosen cells, reach), see ``meet``.
+Choice = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 
 class Cells:
-    """Pivots by width, and once the vectors have been placed the radius and size of each cell."""
+    """Pivots by width, and once the vectors have been placed the radius and size of each cell and the cells of each group."""
 
     def __init__(self, pivots: dict[int, np.ndarray]):
         self.pivots = pivots
         self.radius: dict[int, np.ndarray] = {}
         self.size: dict[int, np.ndarray] = {}
+        self.groups: dict[int, list[np.ndarray]] = {}
+
+    def block(self, width: int) -> int:
+        """Rows of a block: small tables are cut too, for the sake of more tasks."""
+        n = int(self.size[width].sum())
+        return max(1, min(BLOCK, NUMBERS // max(width, 1), max(1_024, -(-n // 8))))
+
+    def _chain(self, width: int) -> list[int]:
+        """Cells in an order in which neighbours follow one another."""
+        p = self.pivots.get(width)
+        if p is None:
+            return [0]
+        near, at, order = p @ p.T, 0, [0]
+        near[:, 0] = -np.inf
+        for _ in range(len(p) - 1):
+            at = int(near[at].argmax())
+            near[:, at] = -np.inf
+            order.append(at)
+        return [*order, len(p)]
+
+    def pack(self) -> list[tuple[int, int, int, int]]:
+        """(width, cell, its first group, its groups) of each cell that isn't empty."""
+        out = []
+        for width, size in self.size.items():
+            block, groups, room = self.block(width), [], 0
+            for cell in self._chain(width):
+                n = int(size[cell])
+                if n > block:
+                    out.append((width, cell, len(groups), -(-n // block)))
+                    groups += [[cell]] * -(-n // block)
+                    room = 0
+                elif n:
+                    if n > room:
+                        groups.append([])
+                        room = block
+                    groups[-1].append(cell)
+                    room -= n
+                    out.append((width, cell, len(groups) - 1, 1))
+            self.groups[width] = [np.array(g) for g in groups]
+        return out
 
     def angles(self, v: np.ndarray) -> np.ndarray:
         """To each pivot; the last column is the cell of vectors without an angle."""
@@ -84,92 +130,151 @@ def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
-    """(id, v) in its cell; ``cells`` learns radii and sizes."""
-    sent = vectors.sparkSession.sparkContext.broadcast(cells)
+    """(id, v) in its cell and group; ``cells`` learns radii, sizes and groups."""
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, v in _by_width(batch):
                 cell, angle = sent.value.nearest(v)
                 own = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(at), v.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(np.zeros(len(at)))], ["id", "v", "width", "cell", "angle", "reach"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(at), v.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle)], ["id", "v", "width", "cell", "angle"])
 
     rows = stored(vectors.select("id", "v").mapInArrow(run, ROWS))
     for r in rows.groupBy("width", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toLocalIterator():
         many = len(cells.pivots.get(r["width"], ())) + 1
         cells.radius.setdefault(r["width"], np.zeros(many))[r["cell"]] = r["radius"]
         cells.size.setdefault(r["width"], np.zeros(many))[r["cell"]] = r["n"]
-    return rows
+    packed = spark.createDataFrame(cells.pack(), "width int, cell int, first int, groups int")  # a row a cell, MOST a width
+    group = F.col("first") + F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
+    return rows.join(F.broadcast(packed), ["width", "cell"]).withColumn("grp", group).drop("first", "groups")
 
 
-def visits(queries: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """A row for each query (id, v, limit) and cell that it visits. choose(limits, angles, least angles, sizes): which cells,
-    and how far each query reaches in them."""
-    sent = queries.sparkSession.sparkContext.broadcast(cells)
+def _visits(queries: DataFrame, cells: Cells, choose: Choice, blocks: dict[tuple[int, int], int] | None) -> DataFrame:
+    """A row for each query and group that it looks into, or without ``blocks`` the number of those of each group.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A few queries at a time: what a task holds doesn't grow with the number of cells that they visit."""
+    sent = queries.sparkSession.sparkContext.broadcast((cells, blocks))
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        known = sent.value[0]
         for batch in batches:
-            for at, v in _by_width(batch):
-                own, known = batch.take(pa.array(at)), sent.value
-                angle, least = known.bounds(v)
-                chosen, reach = choose(own.column(2).to_numpy(zero_copy_only=False), angle, least, known.size.get(v.shape[1], np.zeros(angle.shape[1])))
-                row, cell = np.nonzero(chosen & np.isfinite(least))
-                picked = own.take(pa.array(row))
-                # Zero vectors, and the cell of such, know no window of angles.
-                wide = (cell == angle.shape[1] - 1) | ~(v[row] != 0).any(axis=1)
-                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(np.full(len(row), v.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle[row, cell]), pa.array(np.where(wide, np.inf, reach[row]))], ["id", "v", "width", "cell", "angle", "reach"])
-
-    return queries.select("id", "v", "limit").mapInArrow(run, ROWS)
-
-
-def _sides(members: DataFrame, visitors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both in blocks (width, cell, part, block) of about ``BLOCK`` rows that meet pairwise."""
-    count = lambda df, name: df.groupBy("width", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    cut = stored(count(members, "parts").join(count(visitors, "blocks"), ["width", "cell"]))  # a row a cell, MOST a width
-    one = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = members.join(F.broadcast(cut), ["width", "cell"]).withColumn("part", one("parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
-    other = visitors.join(F.broadcast(cut), ["width", "cell"]).withColumn("block", one("blocks")).withColumn("part", every("parts")).drop("parts", "blocks")
-    return own.toDF(*own.columns), other.toDF(*other.columns)
-
-
-def meet(members: DataFrame, visitors: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], compared: Accumulator | None = None, together: int = 256) -> DataFrame:
-    """(id, other, score) of the members that ``pick``(products, visitor ids, member ids) chooses, from those within reach."""
+            for places, vectors in _by_width(batch):
+                width = vectors.shape[1]
+                for s in range(0, len(places) if known.groups.get(width) else 0, 256):
+                    own, v = batch.take(pa.array(places[s : s + 256])), vectors[s : s + 256]
+                    angle, least = known.bounds(v)
+                    chosen, reach = choose(own.column(2).to_numpy(zero_copy_only=False), angle, least, known.size[width])
+                    chosen = chosen & np.isfinite(least)
+                    for g, held in enumerate(known.groups[width]):
+                        cut = chosen[:, held]
+                        row = np.flatnonzero(cut.any(axis=1))
+                        if len(row):
+                            yield own, width, g, row, cut, reach
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for _, width, g, row, _, _ in looked(batches):
+            found[width, g] = found.get((width, g), 0) + len(row)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int32()), pa.array([g for _, g in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["width", "grp", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, width, g, row, cut, reach in looked(batches):
+            picked = own.take(pa.array(row))
+            mixed = picked.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            block = (mixed >> np.uint64(33)).astype(np.int64) % sent.value[1][width, g]
+            bits = [x.tobytes() for x in np.packbits(cut[row], axis=1)]
+            same = lambda x: pa.array(np.full(len(row), x, np.int32))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), same(width), same(g), pa.array(block.astype(np.int32)), pa.array(bits, pa.binary()), pa.array(reach[row])], ["id", "v", "width", "grp", "block", "cells", "reach"])
+
+    rows = queries.select("id", "v", "limit")
+    return rows.mapInArrow(count, "width int, grp int, n long") if blocks is None else rows.mapInArrow(run, VISITS)
+
+
+def _first(i: np.ndarray, other: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
+    """Places of the ``top`` rows of each i, by score, ties by id."""
+    order = np.lexsort((other, -score, i))
+    i = i[order]
+    began = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    at = np.arange(len(i)) - np.repeat(began, np.diff(np.r_[began, len(i)]))
+    return order[at < top]
+
+
+def meet(members: DataFrame, queries: DataFrame, cells: Cells, choose: Choice, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], top: int, compared: Accumulator | None = None, together: int = 256) -> DataFrame:
+    """(id, other, score) of the members that ``pick``(products, query ids, member ids) chooses for queries (id, v, limit), from
+    those within reach; of each query and pair of blocks the ``top`` best, ties by id. choose(limits, angles, least angles,
+    sizes): which cells, and how far each query reaches in them."""
+    spark = queries.sparkSession
+    counts = _visits(queries, cells, choose, None).groupBy("width", "grp").agg(F.sum("n").alias("n")).collect()  # a row a group
+    blocks = {(r["width"], r["grp"]): -(-r["n"] // cells.block(r["width"])) for r in counts}
+    cut = spark.createDataFrame([(*k, n) for k, n in blocks.items()], "width int, grp int, blocks int")
+    own = members.join(F.broadcast(cut), ["width", "grp"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    other = _visits(queries, cells, choose, blocks)
     kind = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
+    sent = spark.sparkContext.broadcast(cells)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return kind.empty_table()
-        a, b, w = a.sort_by("angle").combine_chunks(), b.sort_by("angle").combine_chunks(), a["width"][0].as_py()
+        a, b, w = a.combine_chunks(), b.sort_by([("cell", "ascending"), ("angle", "ascending")]).combine_chunks(), a["width"][0].as_py()
         read = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        q_id, q, q_angle, reach = read(a, "id"), as_rows(a["v"].combine_chunks(), w), read(a, "angle"), read(a, "reach")
-        m_id, m, m_angle = read(b, "id"), as_rows(b["v"].combine_chunks(), w), read(b, "angle")
+        q_id, q, reach = read(a, "id"), as_rows(a["v"].combine_chunks(), w), read(a, "reach")
+        m_id, m, m_cell, m_angle = read(b, "id"), as_rows(b["v"].combine_chunks(), w), read(b, "cell"), read(b, "angle")
+        held = sent.value.groups[w][a["grp"][0].as_py()]
+        bits = np.frombuffer(b"".join(a["cells"].to_pylist()), np.uint8).reshape(len(q_id), -1)
+        pivots = sent.value.pivots.get(w)
+        apart = 0 if pivots is None else len(pivots)
+        flat = ~(q != 0).any(axis=1)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for s in range(0, len(q_id), together):
-            t = slice(s, s + together)
-            lo = int(np.searchsorted(m_angle, (q_angle[t] - reach[t]).min() - SLACK))
-            hi = int(np.searchsorted(m_angle, (q_angle[t] + reach[t]).max() + SLACK, side="right"))
-            if lo < hi:
-                score = q[t] @ m[lo:hi].T
-                if compared is not None:
-                    compared.add(score.size)
-                i, j = pick(score, q_id[t], m_id[lo:hi])
-                out.append((q_id[t][i], m_id[lo:hi][j], score[i, j]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
-
-    own, other = _sides(members, visitors)
-    keys = ["width", "cell", "part", "block"]
+        some = 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i, o, score = (np.concatenate(c) for c in zip(*out, strict=True))
+            kept = _first(i, o, score, top)
+            return i[kept], o[kept], score[kept]
+
+        for k, cell in enumerate(held):
+            lo, hi = np.searchsorted(m_cell, [cell, cell + 1])
+            visitors = np.flatnonzero(bits[:, k // 8] >> (7 - k % 8) & 1)
+            if lo == hi or not len(visitors):
+                continue
+            # Zero vectors, and the cell of such, know no window of angles.
+            angle = np.full(len(visitors), np.pi / 2) if cell == apart else np.arccos(np.clip(q[visitors] @ pivots[cell], -1, 1))
+            far = np.where(flat[visitors] | (cell == apart), np.inf, reach[visitors])
+            order = np.argsort(angle, kind="stable")
+            for s in range(0, len(order), together):
+                t = order[s : s + together]
+                x = lo + int(np.searchsorted(m_angle[lo:hi], (angle[t] - far[t]).min() - SLACK))
+                y = lo + int(np.searchsorted(m_angle[lo:hi], (angle[t] + far[t]).max() + SLACK, side="right"))
+                for z in range(x, y, 4_096):
+                    e = min(y, z + 4_096)
+                    score = q[visitors[t]] @ m[z:e].T
+                    if compared is not None:
+                        compared.add(score.size)
+                    i, j = pick(score, q_id[visitors[t]], m_id[z:e])
+                    out.append((visitors[t][i], m_id[z:e][j], score[i, j]))
+                    some += len(i)
+                    if some > 1_000_000:
+                        out = [best()]
+                        some = 0
+        if not out:
+            return kind.empty_table()
+        i, o, score = best()
+        return pa.Table.from_arrays([pa.array(q_id[i], pa.int64()), pa.array(o, pa.int64()), pa.array(score, pa.float64())], schema=kind)
+
+    keys = ["width", "grp", "block"]
     return other.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, "id long, other long, score double")
 
 
-def within(vectors: DataFrame, angle: float, pick, compared: Accumulator | None = None) -> DataFrame:
-    """``meet`` of unit vectors (id, v) with one another, at most ``angle`` apart."""
-    own = stored(vectors.select("id", "v"))
+def within(vectors: DataFrame, angle: float, pick, top: int, compared: Accumulator | None = None, of: DataFrame | None = None) -> DataFrame:
+    """``meet`` of stored unit vectors (id, v) with one another, or of those with the vectors ``of``, at most ``angle`` apart."""
+    own = vectors if of is None else of
     cells = draw(own, own.count())
     members = placed(own, cells)
 
     def choose(_, angles, least, sizes):
         return least <= angle, np.full(len(angles), angle)
 
-    return meet(members, stored(visits(own.withColumn("limit", F.lit(0.0)), cells, choose)), pick, compared)
+    return meet(members, vectors.withColumn("limit", F.lit(0.0)), cells, choose, pick, top, compared)

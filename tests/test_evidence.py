@@ -247,6 +247,38 @@ def test_cache_of_copies(spark):
     assert tuple(retrieve.cache_profile(df).first()) == (*counts, len(entries))
 
 
+def test_vectors_that_pivots_do_not_part(spark):
+    """Every vector may be near any other: it is copied once a group of cells, never once a cell, and in small batches."""
+    v = np.random.default_rng(4).normal(size=(5_000, 24))
+    rows = as_table(spark, unit(v)).toDF("id", "v").withColumn("limit", F.lit(0.0))
+    around = cells.draw(rows, len(v))
+    cells.placed(rows, around)
+    groups = len(around.groups[24])
+    everywhere = lambda limits, angles, least, sizes: (np.isfinite(least), np.full(len(limits), np.pi))
+    visits = cells._visits(rows, around, everywhere, {(24, g): 2 for g in range(groups)})
+    assert len(around.pivots[24]) == 71 and groups <= 8 and visits.count() == groups * len(v)
+    got = {r["vec_id"]: r["other_id"] for r in retrieve.near_duplicates(as_table(spark, v), 0.2).collect()}
+    score = unit(v) @ unit(v).T
+    np.fill_diagonal(score, -2)
+    assert got == {i: j for i, j in enumerate(score.argmax(axis=1)) if score[i, j] >= 0.2}
+
+
+@pytest.mark.parametrize(("first", "listed"), [(4_096, 64), (100, 3), (40, 1)])
+def test_cache_in_stretches(spark, first, listed):
+    """However the log is cut and however few close vectors are listed, entries are those of a loop over it."""
+    v = np.vstack([clustered(400, 5, 6), np.random.default_rng(6).normal(size=(400, 6))])
+    v[400:500] = v[400] + 0.01 * v[400:500]  # a new cluster, all in one stretch
+    u = unit(v)
+    entries, hits = [], 0
+    for i in range(len(v)):
+        if any(u[i] @ u[e] >= 0.8 for e in entries):
+            hits += 1
+        else:
+            entries.append(i)
+    log = as_table(spark, v).withColumn("key", F.col("vec_id"))
+    assert tuple(retrieve.cache_profile(log, 0.8, first=first, listed=listed).first()) == (0, hits, len(entries), len(entries))
+
+
 def test_odd_vectors(spark):
     v = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     few = {tuple(r) for r in retrieve.topk(v, v, 3).collect()}
