@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attest.functions import lexicon as lx
 from attest.functions.text import let
 from attest.operators.keywords import lookup_keys
-from attest.operators.terms import find_terms
+from attest.operators.terms import best_terms, find_terms
 from attest.sources.shared import stored
 
 TOKEN = r"([a-z0-9+#][a-z0-9+#/.]*)"
@@ -95,7 +95,7 @@ def reworded(texts: DataFrame, id_cols: list[str], keywords: DataFrame, strict:
     if strict:
         wanted = wanted.filter(F.col("keyword") == F.lower("keyword"))
     wanted = wanted.select("job_id", "ord", "keyword", F.array_distinct("words").alias("words"))
-    own = texts.select(*id_cols, "job_id", F.array_distinct(_tokens(F.col("text"))).alias("tokens"))
+    own = stored(texts.select(*id_cols, "job_id", F.array_distinct(_tokens(F.col("text"))).alias("tokens")))
     counted = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     forms = counted.withColumn("stem", F.explode(stems(F.col("token"))))
     asked = wanted.select(F.explode("words").alias("word")).distinct().withColumn("stem", F.explode(stems(F.col("word"))))
@@ -134,17 +134,56 @@ def _best(found: DataFrame) -> DataFrame:
     return out.select("doc_id", "unit_no", "job_id", "ord", "x.keyword", "x.via", "x.evidence")
 
 
-def _support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None, strict: bool, few: int) -> DataFrame:
+def _ruled(terms: DataFrame, fixed: Column | None = None) -> DataFrame:
+    return terms.withColumn("exact", _exact(F.col("term"))).withColumn("fixed", F.lit(None).cast("string") if fixed is None else fixed)
+
+
+def _stated(keywords: DataFrame) -> DataFrame:
+    """The keywords themselves as terms, in any case."""
+    return keywords.select("job_id", "ord", "keyword", F.lit("resume").alias("via"), F.lit(4).alias("prio"), F.lit(0).alias("key_no"), F.lit(0).alias("term_no"), F.lower("keyword").alias("term"))
+
+
+def _around(terms: DataFrame) -> DataFrame:
+    """Terms as the rest of a document may hold them."""
+    return terms.filter("prio > 0").withColumn("via", F.lit("resume")).withColumn("term_no", F.col("prio") * 1000 + F.col("term_no")).withColumn("prio", F.lit(5))
+
+
+def _support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None, strict: bool, few: int, silent: bool = False) -> DataFrame:
+    """See ``support``; units are one row a (doc_id, unit_no). ``silent`` leaves out keywords that the unit states.
+
+    Named evidence is settled inside a unit's row, and other words are only asked for keywords that it didn't settle; rows
+    are shuffled for units of the section SUMMARY alone. Lists of more than ``few`` terms are settled in a shuffle."""
+    ids, out = ["doc_id", "unit_no"], ["doc_id", "unit_no", "job_id", "ord", "keyword", "via", "evidence"]
+    terms = stored(terms_of(keywords, implications, _near(few)))
+    kept = lambda df: (df.filter(~states(F.col("keyword"), F.col("text"))) if silent else df).select(*out)
+    if terms.count() + keywords.count() > few:
+        found = _support_of_many(units, keywords, terms, contexts, strict, few)
+        return kept(found.join(units.select(*ids, "text"), ids)) if silent else found
+    held = stored(best_terms(units, _ruled(terms)))
+    named = kept(held.select(*ids, "job_id", "text", F.inline("hits")))
+    known = F.transform("hits", lambda h: h["ord"])
+    worded = reworded(held.withColumn("known", known), [*ids, "section", *(["text"] if silent else []), "known"], keywords, strict, few)
+    worded = worded.filter(~F.array_contains("known", F.col("ord"))).withColumn("via", F.lit("reworded"))
+    if contexts is None:
+        return named.unionByName(kept(worded))
+    worded = stored(worded.drop("known"))
+    rules = _ruled(_stated(keywords), F.col("keyword")).unionByName(_ruled(_around(terms)))
+    near_by = best_terms(contexts.select("doc_id", "job_id", "text"), rules).filter(F.size("hits") > 0).select("doc_id", "job_id", "hits")
+    asked = held.filter("section = 'SUMMARY'").select(*ids, "text", known.alias("known"), F.col("job_id").alias("own"))
+    around = asked.join(near_by, "doc_id").select(*ids, "job_id", "own", "known", "text", F.inline("hits"))
+    around = kept(around.filter(~(F.col("job_id").eqNullSafe(F.col("own")) & F.array_contains("known", F.col("ord")))))
+    around = around.join(worded.filter("section = 'SUMMARY'").select(*ids, "job_id", "ord"), [*ids, "job_id", "ord"], "left_anti")
+    return named.unionByName(kept(worded)).unionByName(around)
+
+
+def _support_of_many(units: DataFrame, keywords: DataFrame, terms: DataFrame, contexts: DataFrame | None, strict: bool, few: int) -> DataFrame:
     near, ids = _near(few), ["doc_id", "unit_no"]
-    terms = stored(terms_of(keywords, implications, near))
     found = _named(units, ids, terms, near).select(*ids, "job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "evidence")
     worded = reworded(units, ids, keywords, strict, few)
     found = found.unionByName(worded.select(*ids, "job_id", "ord", "keyword", F.lit("reworded").alias("via"), F.lit(3).alias("prio"), F.lit(0).alias("key_no"), F.lit(0).alias("term_no"), "evidence"))
     if contexts is not None:
-        own = keywords.select("job_id", "ord", "keyword", F.lit("resume").alias("via"), F.lit(4).alias("prio"), F.lit(0).alias("key_no"), F.lit(0).alias("term_no"), F.col("keyword").alias("term"))
-        other = terms.filter("prio > 0").withColumn("via", F.lit("resume")).withColumn("term_no", F.col("prio") * 1000 + F.col("term_no")).withColumn("prio", F.lit(5))
-        stated = _named(contexts, ["doc_id"], own.withColumn("term", F.lower("term")), near).withColumn("evidence", F.col("keyword"))
-        around = stated.unionByName(_named(contexts, ["doc_id"], other, near)).join(units.filter("section = 'SUMMARY'").select("doc_id", "unit_no"), "doc_id")
+        stated = _named(contexts, ["doc_id"], _stated(keywords), near).withColumn("evidence", F.col("keyword"))
+        around = stated.unionByName(_named(contexts, ["doc_id"], _around(terms), near)).join(units.filter("section = 'SUMMARY'").select("doc_id", "unit_no"), "doc_id")
         found = found.unionByName(around.select(*ids, "job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "evidence"))
     return _best(found)
 
@@ -156,13 +195,18 @@ def offers(units: DataFrame, keywords: DataFrame, implications: DataFrame, conte
     first = units.groupBy("doc_id", "text").agg(F.min_by(F.struct("unit_no", "job_id", "section"), "unit_no").alias("x"))
     own = stored(first.select("doc_id", "x.unit_no", "x.job_id", "x.section", "text"))
     contexts, keywords = stored(contexts), stored(keywords.select("job_id", "ord", "keyword"))
-    found = _support(own, keywords, implications, contexts, True, few).join(own.select("doc_id", "unit_no", "text"), ["doc_id", "unit_no"])
-    found = found.filter(~states(F.col("keyword"), F.col("text"))).drop("text")
-    named = _named(contexts, ["doc_id"], keywords.select("job_id", "ord", F.lower("keyword").alias("term")), _near(few)).select("doc_id", "job_id", "ord").distinct().withColumn("present", F.lit(1))
-    found = found.join(named, ["doc_id", "job_id", "ord"], "left").withColumn("present", F.coalesce("present", F.lit(0)))
-    norm = F.lower(F.regexp_replace(F.trim("keyword"), r"\s+", " "))
-    row = F.struct("unit_no", "present", "ord", norm.alias("name"), "keyword", "via", "evidence")
-    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    found = _support(own, keywords, implications, contexts, True, few, silent=True)
+    if keywords.count() <= few:
+        named = best_terms(contexts.select("doc_id", "job_id", "text"), _ruled(_stated(keywords))).select("doc_id", "job_id", F.explode(F.transform("hits", lambda h: h["ord"])).alias("ord"))
+    else:
+        named = _named(contexts, ["doc_id"], _stated(keywords), _near(few)).select("doc_id", "job_id", "ord").distinct()
+    said = named.groupBy("doc_id").agg(F.collect_list(F.struct("job_id", "ord")).alias("said"))
+    row = F.struct("unit_no", "job_id", "ord", "keyword", "via", "evidence")
+    lists = found.groupBy("doc_id").agg(F.collect_list(row).alias("found")).join(said, "doc_id", "left")
+    present = lambda x: F.coalesce(F.array_contains("said", F.struct(x["job_id"], x["ord"])), F.lit(False)).cast("int")
+    norm = lambda x: F.lower(F.regexp_replace(F.trim(x["keyword"]), r"\s+", " "))
+    full = lambda x: F.struct(x["unit_no"].alias("unit_no"), present(x).alias("present"), x["ord"].alias("ord"), norm(x).alias("name"), x["keyword"].alias("keyword"), x["via"].alias("via"), x["evidence"].alias("evidence"))
+    lists = lists.select("doc_id", F.array_sort(F.transform("found", full)).alias("rows"))
     kind = "struct<given:map<string,int>,unit:int,n:int,picked:array<int>>"
     start = F.struct(F.create_map().cast("map<string,int>").alias("given"), F.lit(-1).alias("unit"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("picked"))
 
@@ -184,9 +228,14 @@ def check(pairs: DataFrame, keywords: DataFrame, implications: DataFrame, few: i
     """(doc_id, unit_no, job_id, ord, keyword, supported, via, evidence) of the keywords that a rewrite states and its
     original doesn't, from pairs(doc_id, job_id, unit_no, original, rewritten). Support is lenient here."""
     near, ids = _near(few), ["doc_id", "unit_no"]
-    own = keywords.select("job_id", "ord", "keyword", F.lower("keyword").alias("term"))
-    said = lambda side: _named(pairs.select(*ids, "job_id", F.col(side).alias("text")), ids, own, near).select(*ids, "job_id", "ord", "keyword").distinct()
-    fresh = said("rewritten").join(said("original"), [*ids, "job_id", "ord", "keyword"], "left_anti")
+    pairs, keywords = stored(pairs.select(*ids, "job_id", "original", "rewritten")), stored(keywords.select("job_id", "ord", "keyword"))
+    if keywords.count() <= few:
+        rules = _ruled(_stated(keywords))
+        had = best_terms(pairs.withColumnRenamed("original", "text"), rules).select(*ids, "job_id", F.col("rewritten").alias("text"), F.transform("hits", lambda h: h["ord"]).alias("had"))
+        fresh = best_terms(had, rules).select(*ids, "job_id", F.inline(F.filter("hits", lambda h: ~F.array_contains("had", h["ord"])))).drop("via", "evidence")
+    else:
+        said = lambda side: _named(pairs.select(*ids, "job_id", F.col(side).alias("text")), ids, _stated(keywords), near).select(*ids, "job_id", "ord", "keyword").distinct()
+        fresh = said("rewritten").join(said("original"), [*ids, "job_id", "ord", "keyword"], "left_anti")
     known = support(pairs.select(*ids, "job_id", F.lit("").alias("section"), F.col("original").alias("text")), keywords, implications, None, False, few)
     out = fresh.join(known, [*ids, "job_id", "ord", "keyword"], "left")
     return out.select(*ids, "job_id", "ord", "keyword", F.col("via").isNotNull().alias("supported"), "via", "evidence")
@@ -195,9 +244,10 @@ def check(pairs: DataFrame, keywords: DataFrame, implications: DataFrame, few: i
 def named(units: DataFrame, keywords: DataFrame, implications: DataFrame, few: int = 100_000) -> DataFrame:
     """(doc_id, unit_no, job_id, ord, keyword, via, evidence) of the keywords that a unit supports by a name alone: an
     acronym's other number, another name, or what a named thing implies, the first of these."""
-    near = _near(few)
-    found = _named(units, ["doc_id", "unit_no"], stored(terms_of(keywords, implications, near)), near)
-    return _best(found)
+    ids, terms = ["doc_id", "unit_no"], stored(terms_of(keywords, implications, _near(few)))
+    if terms.count() <= few:
+        return best_terms(units.select(*ids, "job_id", "text"), _ruled(terms)).select(*ids, "job_id", F.inline("hits"))
+    return _best(_named(units, ids, terms, _near(few)))
 
 
 def spot_vocabulary(texts: DataFrame, vocabulary: DataFrame, few: int = 100_000) -> DataFrame:

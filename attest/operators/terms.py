@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
 _BEFORE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _AFTER = _BEFORE | {"+", "#"}
 #: Automata of this worker, by list; a worker serves many tasks.
 _built: dict[str, Automaton] = {}
+_ruled: dict[str, Rules] = {}
 
 
 class Automaton:
@@ -82,3 +85,53 @@ def find_terms(texts: DataFrame, id_cols: list[str], terms: DataFrame, bound: in
         hits = rows.mapInArrow(run, kind)
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+class Rules:
+    """What counts as evidence by job, and of a text and job the best evidence of each keyword."""
+
+    def __init__(self, rules: list[tuple]):
+        self.automaton = Automaton(sorted({(r[6], r[7]) for r in rules}))
+        number = {t: i for i, t in enumerate(self.automaton.terms)}
+        self.of: dict[tuple, list[tuple]] = {}
+        for job, ord_, keyword, via, rank, fixed, term, exact in rules:
+            self.of.setdefault((job, number[term, exact]), []).append((ord_, (*rank, term), keyword, via, fixed))
+        self.best = lru_cache(maxsize=65_536)(self._best)
+
+    def _best(self, job, text: str) -> list[tuple]:
+        found: dict = {}
+        for number, written in self.automaton.first(text).items():
+            for ord_, rank, keyword, via, fixed in self.of.get((job, number), ()):
+                if ord_ not in found or rank < found[ord_][0]:
+                    found[ord_] = (rank, keyword, via, written if fixed is None else fixed)
+        return [(o, keyword, via, evidence) for o, (_, keyword, via, evidence) in found.items()]
+
+
+def best_terms(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """texts(job_id, text, ...) with ``hits``: an array of (ord, keyword, via, evidence), for each keyword of the job whose term
+    the text holds the best rule by (prio, key_no, term_no). Rules(job_id, ord, keyword, via, prio, key_no, term_no, fixed,
+    term, exact) go to every task; ``fixed`` is evidence in place of what the text writes. No rows are shuffled."""
+    listed = rules.filter("term <> ''").select("job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "fixed", "term", "exact").distinct()
+    own = [(r[0], r[1], r[2], r[3], (r[4], r[5], r[6]), r[7], r[8], r[9]) for r in listed.collect()]
+    sent, name = texts.sparkSession.sparkContext.broadcast(own), uuid.uuid4().hex
+    number = rules.schema["ord"].dataType.typeName()
+    hit = T.StructType([T.StructField("ord", rules.schema["ord"].dataType), *[T.StructField(c, T.StringType()) for c in ("keyword", "via", "evidence")]])
+    columns, kind = texts.columns, T.StructType([*texts.schema.fields, T.StructField("hits", T.ArrayType(hit))])
+    types = [pa.int32() if number == "integer" else pa.int64(), *[pa.string()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ruled:
+            while len(_ruled) >= 4:
+                del _ruled[next(iter(_ruled))]
+            _ruled[name] = Rules(sent.value)
+        best = _ruled[name].best
+        for batch in batches:
+            ends, hits = [0], []
+            for job, text in zip(batch.column(columns.index("job_id")).to_pylist(), batch.column(columns.index("text")).to_pylist(), strict=True):
+                if text is not None:
+                    hits += best(job, text)
+                ends.append(len(hits))
+            flat = pa.StructArray.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate(types)], ["ord", "keyword", "via", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*columns, "hits"])
+
+    return texts.mapInArrow(run, kind)

@@ -9,6 +9,7 @@ from attest.operators import evidence as ev
 from attest.plans import fixtures as fx
 from attest.plans import sql
 from attest.plans.registry import query
+from attest.sources.shared import stored
 
 NOUN = "split_part(p_name, ' ', 2)"
 
@@ -76,7 +77,7 @@ def kw_reworded(spark, d):
 
 @query(f"WITH {_KEYED} SELECT * FROM best")
 def kw_support(spark, d):
-    units = _units(spark, d)
+    units = stored(_units(spark, d))
     return ev.support(units, _keywords(spark, d), _implications(spark, d), _contexts(units))
 
 
@@ -91,7 +92,7 @@ f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS unit_no, 0 AS
 SELECT doc_id, unit_no, keyword, via, evidence FROM f JOIN rows USING (doc_id, i, unit_no) WHERE taken""")
 def kw_offers(spark, d):
     """What units may work in, under two caps; the tests hold it against a greedy loop too."""
-    units = _units(spark, d)
+    units = stored(_units(spark, d))
     return ev.offers(units, _keywords(spark, d), _implications(spark, d), _contexts(units))
 
 
@@ -101,7 +102,7 @@ f AS (SELECT doc_id, unit_no, ord, keyword, keyword = 'people' AND list_contains
 SELECT doc_id, unit_no, 0 AS job_id, CAST(ord AS INTEGER) AS ord, keyword, supported, CASE WHEN supported THEN 'implied' END AS via, CASE WHEN supported THEN 'users' END AS evidence FROM f""")
 def kw_check(spark, d):
     """Keywords that a rewrite adds, out of all longer words of the rewrites, and whether its original supports them."""
-    pairs = fx.pairs(spark, d).withColumn("job_id", F.lit(0))
+    pairs = stored(fx.pairs(spark, d).withColumn("job_id", F.lit(0)))
     words = pairs.select(F.explode(F.regexp_extract_all(F.lower("rewritten"), F.lit("[a-z]{5,}"), 0)).alias("keyword")).distinct()
     keywords = words.select(F.lit(0).alias("job_id"), F.row_number().over(fx.Window.partitionBy(F.lit(0)).orderBy("keyword")).alias("ord"), "keyword")
     return ev.check(pairs, keywords, spark.createDataFrame([("people", "users", 0)], "keyword string, term string, term_no int"))
@@ -118,14 +119,18 @@ _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 
 
 @query(rf"""WITH {fx.JOB_KEYWORDS}, v AS (SELECT term, {_LOW.format('term')} AS low, row_number() OVER (ORDER BY term) AS ord FROM (SELECT keyword AS term FROM job_keywords UNION SELECT regexp_extract(text, '^[^ 	
-]+ [^ 	
-]+') FROM benchmark) WHERE term <> ''),
+
+]+ [^ 	
+
+]+') FROM benchmark) WHERE term <> ''),
 t AS (SELECT doc_id, '|' || {_LOW.format('text')} || '|' AS low FROM documents),
 h AS (SELECT doc_id, list(term ORDER BY ord) AS keywords FROM t JOIN v ON contains(t.low, v.low) WHERE regexp_matches(t.low, '[^a-z0-9]' || regexp_escape(v.low) || '[^a-z0-9+#]') GROUP BY doc_id)
 SELECT doc_id, coalesce(keywords, []) AS keywords,
 coalesce(regexp_extract(text, '(?:^|[^\pL\pN_])(?:at|join|About)[ 	
-]+([A-Z][\pL\pN_&.''-]*(?:[ 	
-]+[A-Z][\pL\pN_&.''-]*){{0,3}})', 1), '') AS company FROM documents LEFT JOIN h USING (doc_id) WHERE text IS NOT NULL""")
+
+]+([A-Z][\pL\pN_&.''-]*(?:[ 	
+
+]+[A-Z][\pL\pN_&.''-]*){{0,3}})', 1), '') AS company FROM documents LEFT JOIN h USING (doc_id) WHERE text IS NOT NULL""")
 def kw_vocab(spark, d):
     """The terms of a vocabulary, and the company, of every document."""
     return ev.spot_vocabulary(fx.table(spark, d, "documents").filter("text is not null"), _vocabulary(spark, d))

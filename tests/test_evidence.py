@@ -173,6 +173,21 @@ def test_two_columns(spark):
     assert got[2] == ["Engineer", "Jan 2020 - now"] * 5
 
 
+def test_evidence_without_a_shuffle(spark, implied):
+    """Names are settled inside a text's row; both ways, by short and by long lists, agree."""
+    units = spark.createDataFrame([(1, 0, 1, "SUMMARY", "Led teams"), (1, 1, 1, "EXPERIENCE", "Wrote Flask and pandas code"), (1, 2, 1, "EXPERIENCE", None), (2, 0, 2, "SUMMARY", "eks and pandas"), (2, 1, 2, "SUMMARY", "")], "doc_id long, unit_no int, job_id int, section string, text string")
+    words = spark.createDataFrame([(1, 1, "Python"), (1, 2, "leadership"), (1, 3, "team leads"), (2, 1, "AWS"), (2, 2, "python"), (2, 3, "wrote")], "job_id int, ord int, keyword string")
+    contexts = spark.createDataFrame([(1, 1, "Led teams\nWrote Flask and pandas code\nPython"), (2, 2, "eks and pandas\nwrote")], "doc_id long, job_id int, text string")
+    short, long = ({tuple(r) for r in ev.support(units, words, implied, contexts, few=few).collect()} for few in (100_000, 0))
+    assert short == long and (1, 0, 1, 1, "Python", "resume", "Python") in short and (1, 1, 1, 1, "Python", "implied", "Flask") in short
+    assert len(ev.support(units, words, implied, contexts).collect()) == len(short)
+    short, long = ({tuple(r) for r in ev.offers(units, words, implied, contexts, few=few).collect()} for few in (100_000, 0))
+    assert short == long and short
+    by_name = ev.named(units, words, implied)
+    assert {tuple(r) for r in by_name.collect()} == {tuple(r) for r in ev.named(units, words, implied, few=0).collect()}
+    assert "Exchange" not in by_name._jdf.queryExecution().executedPlan().toString()
+
+
 def clustered(n, seed, width=24):
     """Vectors around centres, some of them copies, some zero."""
     rng = np.random.default_rng(seed)
