@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attest.functions import lexicon as lx
-from attest.functions.text import let, lookup, opener
+from attest.functions.text import grade, let, lookup, opener
 
 _N = r"\d[\d,]*(?:\.\d+)?"
 _SCALE = "k|m|bn?|thousand|million|billion"
@@ -21,13 +21,23 @@ DATED = (
 )
 
 
+#: Numbers in words; as with figures, a letter that begins none is passed over first.
+_NAMED = rf"(?i)(?=[{''.join(sorted({w[0] for w in lx.NUMBER_WORDS}))}])\b({'|'.join(sorted(lx.NUMBER_WORDS, key=len, reverse=True))})\b"
+_NONE = "array<string>"
+
+
+def _figures(text: Column) -> Column:
+    """Figures of a text that has digits, as they stand in it."""
+    bare = F.when(text.contains("["), F.regexp_replace(text, r"\[[^\]]*\]", " ")).otherwise(text)
+    masked = let(bare, lambda t: F.when(t.contains("19") | t.contains("20"), F.regexp_replace(t, DATED, " ")).otherwise(t))
+    found = F.regexp_extract_all(masked, F.lit(FIGURE), F.lit(1))
+    return F.transform(found, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))
+
+
 def claim_tokens(text: Column) -> Column:
     """Distinct figures of a text, lower-cased and sorted; not placeholders in brackets, not years that date. Most texts
     have no digit, and cost no more than that look."""
-    masked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\]]*\]", " "), DATED, " ")
-    found = F.regexp_extract_all(masked, F.lit(FIGURE), F.lit(1))
-    tokens = F.array_sort(F.array_distinct(F.transform(found, lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")))))
-    return F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), tokens).otherwise(F.array().cast("array<string>"))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike("[0-9]"), F.sort_array(F.array_distinct(_figures(t)))).otherwise(F.array().cast(_NONE)))
 
 
 def claim_key(token: Column) -> Column:
@@ -48,24 +58,37 @@ def claim_key(token: Column) -> Column:
 
 
 def claim_keys(tokens: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(tokens, claim_key)))
+    return F.sort_array(F.array_distinct(F.transform(tokens, claim_key)))
+
+
+def _known(original: Column) -> Column:
+    """Keys of the original's figures and of its numbers in words, in any order."""
+
+    def of(text: Column) -> Column:
+        named = F.transform(F.regexp_extract_all(text, F.lit(_NAMED), F.lit(1)), lambda w: lookup({k: str(v) for k, v in lx.NUMBER_WORDS.items()}, F.lower(w)))
+        figures = F.when(text.rlike("[0-9]"), F.transform(_figures(text), claim_key)).otherwise(F.array().cast(_NONE))
+        return F.concat(figures, named)
+
+    return let(F.coalesce(original, F.lit("")), of)
 
 
 def supported_keys(original: Column) -> Column:
     """Keys of the original's figures and of its numbers in words."""
-    pattern = r"(?i)\b(" + "|".join(sorted(lx.NUMBER_WORDS, key=len, reverse=True)) + r")\b"
-    named = F.transform(F.regexp_extract_all(F.coalesce(original, F.lit("")), F.lit(pattern), F.lit(1)), lambda w: lookup({k: str(v) for k, v in lx.NUMBER_WORDS.items()}, F.lower(w)))
-    return F.array_sort(F.array_distinct(F.concat(claim_keys(claim_tokens(original)), named)))
+    return F.sort_array(F.array_distinct(_known(original)))
 
 
 def new_claims(original: Column, rewritten: Column) -> Column:
-    """Figures of the rewrite that the original doesn't support."""
-    tokens = claim_tokens(rewritten)
-    return let(supported_keys(original), lambda known: F.filter(tokens, lambda t: ~F.array_contains(known, claim_key(t))))
+    """Figures of the rewrite that the original doesn't support; the original is read only for a rewrite with figures."""
 
+    def of(p: Column) -> Column:
+        new = let(_known(p["original"]), lambda known: F.filter(p["tokens"], lambda t: ~F.array_contains(known, claim_key(t))))
+        return F.when(F.size(p["tokens"]) == 0, p["tokens"]).otherwise(new)
 
-def leading_verb(text: Column) -> Column:
-    """struct(form, tier): the opening phrase or word; tier is null where it isn't graded."""
+    return let(F.struct(claim_tokens(rewritten).alias("tokens"), original.alias("original")), of)
+
+
+def _lead(clean: Column) -> Column:
+    """``leading_verb`` of an opener."""
     phrases = sorted(lx.PHRASE_TIER, key=len, reverse=True)
 
     def of(clean: Column) -> Column:
@@ -74,32 +97,41 @@ def leading_verb(text: Column) -> Column:
         return F.struct(phrase.alias("phrase"), word.alias("word"))
 
     def graded(p: Column) -> Column:
-        tier = F.when(p["phrase"].isNotNull(), lookup(lx.PHRASE_TIER, p["phrase"])).otherwise(lookup(lx.VERB_TIER, p["word"]))
+        tier = F.when(p["phrase"].isNotNull(), grade(lx.PHRASE_TIER, p["phrase"])).otherwise(grade(lx.VERB_TIER, p["word"]))
         return F.struct(F.coalesce(p["phrase"], p["word"]).alias("form"), tier.alias("tier"))
 
-    return let(let(F.concat(opener(text), F.lit(" ")), of), graded)
+    return let(let(F.concat(clean, F.lit(" ")), of), graded)
 
 
-def max_tier(text: Column) -> Column:
-    """Highest tier that any phrase (as a plain substring) or word of the text claims; -1 without any."""
+def _highest(clean: Column) -> Column:
+    """``max_tier`` of an opener."""
+    words = F.array_max(F.transform(F.regexp_extract_all(clean, F.lit("([a-z]+)"), F.lit(1)), lambda w: F.coalesce(grade(lx.VERB_TIER, w), F.lit(-1))))
+    phrases = [F.when(clean.contains(p), t).otherwise(-1) for p, t in lx.PHRASE_TIER.items()]
+    return F.greatest(F.coalesce(words, F.lit(-1)), *phrases)
 
-    def of(clean: Column) -> Column:
-        words = F.array_max(F.transform(F.regexp_extract_all(clean, F.lit("([a-z]+)"), F.lit(1)), lambda w: F.coalesce(lookup(lx.VERB_TIER, w), F.lit(-1))))
-        phrases = [F.when(clean.contains(p), t).otherwise(-1) for p, t in lx.PHRASE_TIER.items()]
-        return F.greatest(F.coalesce(words, F.lit(-1)), *phrases)
 
-    return let(opener(text), of)
+def leading_verb(text: Column) -> Column:
+    """struct(form, tier): the opening phrase or word; tier is null where it isn't graded."""
+    return _lead(opener(text))
+
+
+def max_tier(text: Column) -> Column:
+    """Highest tier that any phrase (as a plain substring) or word of the text claims; -1 without any."""
+    return let(opener(text), _highest)
 
 
 def escalation(original: Column, rewritten: Column) -> Column:
     """struct(from_verb, to_verb, from_tier, to_tier) where the rewrite claims a higher role than any word of
-    the original does; null otherwise."""
-    facts = F.struct(leading_verb(original).alias("a"), leading_verb(rewritten).alias("b"), original.alias("original"))
+    the original does; null otherwise. The original is read only for a rewrite that claims more than the lowest role."""
     name = lambda t: F.element_at(F.array(*map(F.lit, lx.TIER_NAMES)), t + 1)
 
-    def of(p: Column) -> Column:
+    def compared(p: Column) -> Column:
         a, b = p["a"], p["b"]
         found = F.struct(a["form"].alias("from_verb"), b["form"].alias("to_verb"), name(a["tier"]).alias("from_tier"), name(b["tier"]).alias("to_tier"))
-        return F.when((b["tier"] > a["tier"]) & (max_tier(p["original"]) < b["tier"]), found)
+        return F.when(F.coalesce(b["tier"] > a["tier"], F.lit(False)), F.when(_highest(p["clean"]) < b["tier"], found))
+
+    def read(p: Column) -> Column:
+        facts = lambda clean: F.struct(_lead(clean).alias("a"), p["b"].alias("b"), clean.alias("clean"))
+        return F.when(p["b"]["tier"] > lx.PARTICIPATION, let(let(opener(p["original"]), facts), compared))
 
-    return let(facts, of)
+    return let(F.struct(leading_verb(rewritten).alias("b"), original.alias("original")), read)

@@ -43,7 +43,7 @@ def verb_strength(text: Column) -> Column:
 
     def of(lead: Column) -> Column:
         form, tier = lead["form"], lead["tier"]
-        graded = F.exists(past_forms(form), lambda f: F.coalesce(lookup(lx.VERB_TIER, f) >= lx.EXECUTION, F.lit(False)))
+        graded = F.exists(past_forms(form), lambda f: f.isin([v for v, t in lx.VERB_TIER.items() if t >= lx.EXECUTION]))
         unlisted = form.isin(lx.IRREGULAR_PAST) | (form.endswith("ed") & (F.length(form) >= 5) & ~form.endswith("eed"))
         return (
             F.when(form.isNull(), 0.0)

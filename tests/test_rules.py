@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from attest.functions import claims, score
+from attest.functions import lexicon as lx
+from attest.functions.text import opener, squeeze
 from attest.operators import lines as ops
+from attest.operators import pairs as pair_ops
 from attest.operators import units as unit_ops
 from attest.sources import pages
 
@@ -91,3 +94,24 @@ def test_native_plans(spark):
     for name in ("agg_doc_score", "claim_findings", "seg_sections", "kw_freqs", "join_asof"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def _once(df, mark):
+    """How often the optimised plan works out ``mark``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(mark)
+
+
+def test_confusion_asks_a_detector_once(spark):
+    cases = spark.createDataFrame([("a1", True), ("b", True), ("c2", False), (None, False)], "rewritten string, truth boolean")
+    said = {"digit": F.soundex("rewritten") == "C000", "long": F.length("rewritten") > 1}
+    out = pair_ops.confusion(cases, said, {"digit": F.col("truth"), "long": F.col("truth")})
+    assert _once(out, "soundex(") == 1
+    assert {r["detector"]: tuple(r)[1:5] for r in out.collect()} == {"digit": (0, 1, 2, 0), "long": (1, 1, 1, 0), "any": (1, 1, 1, 0)}
+    assert pair_ops.confusion(cases.limit(0), said, {"digit": F.col("truth"), "long": F.col("truth")}).count() == 0
+
+
+@pytest.mark.parametrize("text", ["- Led  the\tteam", "Led the team ", "led the team\n", "a) led the team", "É led the team", "Led", "L", "", None, " Led the team", "Led the team"])
+def test_opener(spark, text):
+    row = spark.createDataFrame([(text,)], "t string")
+    plain = squeeze(F.lower(F.regexp_replace(F.trim(F.coalesce("t", F.lit(""))), lx.BULLET, "")))
+    assert row.select(opener(F.col("t")) == plain).first()[0]
