@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from attest.functions import lexicon as lx
 from attest.functions import score
-from attest.functions.text import ends_sentence, has_bullet, let, lookup, squeeze, strip_bullet, word_count, words
+from attest.functions.text import ends_sentence, let, lookup, spaced_words, squeeze, strip_bullet, word_count, words
 
 _MARKS = r"[\*_#`]+"
 #: Seven words, and one of two letters or more, so that these are no letters set apart: too long for a heading.
-_RUNNING_TEXT = r"^(?=.*[\p{L}\p{N}]{2})(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]\S*+\s++){6}[^\p{L}\p{N}]*+[\p{L}\p{N}]"
+_RUNNING_TEXT = r"^(?=.*?[\p{L}\p{N}]{2})(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]\S*+\s++){6}[^\p{L}\p{N}]*+[\p{L}\p{N}]"
 _DECO = "[\\s​﻿ │|▌►▶◆■□●○]+"
 
 
@@ -74,14 +74,15 @@ def match_section(line: Column) -> Column:
         return F.coalesce(_section_of(clean), F.when(one, let(F.struct(clean.alias("clean"), camel.alias("camel")), glued)))
 
     label = F.regexp_replace(F.coalesce(line, F.lit("")), _MARKS, "").rlike(lx.INLINE_LABEL)
-    return F.when(~label & (F.length(F.coalesce(line, F.lit(""))) <= 400) & ~F.coalesce(line, F.lit("")).rlike(_RUNNING_TEXT), let(clean_heading(line), of))
+    return F.when((F.length(F.coalesce(line, F.lit(""))) <= 400) & ~F.coalesce(line, F.lit("")).rlike(_RUNNING_TEXT) & ~label, let(clean_heading(line), of))
 
 
 def heading_fragment(line: Column) -> Column:
     """One stylised word that begins some heading: perhaps the first half of a wrapped one."""
     clean = clean_heading(line)
     starters = sorted({a.split()[0] for a in lx.ALIASES if " " not in a} | set("work professional employment career technical core key academic personal side selected notable relevant volunteer community extracurricular".split()))
-    return clean.rlike(r"^(?:\p{Lu}+|\p{Lu}\p{Ll}*)$") & F.lower(clean).isin(starters)
+    whole = let(clean, lambda c: F.lower(c).isin(starters) & c.rlike(r"^(?:\p{Lu}+|\p{Lu}\p{Ll}*)$"))
+    return ~F.coalesce(line, F.lit("")).rlike(_RUNNING_TEXT) & whole
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -99,12 +100,13 @@ def sections(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, section, line) of the content lines, each under the last heading before it.
 
     Only lines that could open a section enter the fold that settles the rules that depend on the current
-    section; all other lines take the section by a forward fill."""
+    section; they come back with their text, and all other lines take the section by a forward fill."""
     found = headings(lines).filter("not skipped")
     bare = F.regexp_replace("line", _MARKS, "")
-    label = F.when(F.col("heading").isNull(), lookup(lx.ALIASES, F.lower(F.trim(F.regexp_extract(bare, lx.INLINE_LABEL, 1)))))
-    found = found.withColumn("label", label).withColumn("value", F.trim(F.regexp_extract(bare, lx.INLINE_LABEL, 2)))
-    sparse = found.filter("heading is not null or label is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "heading", "label", F.col("line").rlike(lx.SUBLABEL).alias("sub")))).alias("events"))
+    label = F.when(F.col("heading").isNull() & F.col("line").contains(":"), lookup(lx.ALIASES, F.lower(F.trim(F.regexp_extract(bare, lx.INLINE_LABEL, 1)))))
+    found = found.withColumn("label", label).select("doc_id", "line_no", "line", "heading", "label")
+    event = F.struct("line_no", "line", "heading", "label", F.col("line").rlike(lx.SUBLABEL).alias("sub"), F.trim(F.regexp_extract(bare, lx.INLINE_LABEL, 2)).alias("value"))
+    sparse = found.filter("heading is not null or label is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
     row = "struct<line_no:int,opened:string,kept:boolean,inline:boolean>"
     start = F.struct(F.lit("HEADER").alias("now"), F.array().cast(f"array<{row}>").alias("done"))
 
@@ -117,50 +119,68 @@ def sections(lines: DataFrame) -> DataFrame:
         done = F.struct(e["line_no"].alias("line_no"), F.when(opens | inline, section).alias("opened"), (~opens).alias("kept"), inline.alias("inline"))
         return F.struct(section.alias("now"), F.concat(acc["done"], F.array(done)).alias("done"))
 
-    events = sparse.select("doc_id", F.inline(F.aggregate("events", start, step)["done"]))
-    joined = found.join(events, ["doc_id", "line_no"], "left")
+    folded = sparse.select("doc_id", F.explode(F.arrays_zip("events", F.aggregate("events", start, step)["done"].alias("done"))).alias("x"))
+    events = folded.select("doc_id", "x.events.line_no", "x.events.line", "x.events.value", "x.done.opened", "x.done.kept", "x.done.inline")
+    rest = found.filter("heading is null and label is null").select("doc_id", "line_no", "line", *[F.lit(None).cast(k).alias(c) for c, k in (("value", "string"), ("opened", "string"), ("kept", "boolean"), ("inline", "boolean"))])
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = joined.withColumn("section", F.coalesce(F.last("opened", ignorenulls=True).over(order), F.lit("HEADER")))
+    filled = rest.unionByName(events).withColumn("section", F.coalesce(F.last("opened", ignorenulls=True).over(order), F.lit("HEADER")))
     return filled.filter("kept is null or kept").select("doc_id", "line_no", "section", F.when(F.col("inline"), F.col("value")).otherwise(F.col("line")).alias("line"))
 
 
-def _titled(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: w.rlike(r"^\p{Lu}") | (w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")))) / F.greatest(word_count(text), F.lit(1))
+def _titled(p: Column) -> Column:
+    named = F.filter(F.split(p["clean"], " "), lambda w: w.rlike(r"^\p{Lu}") | (w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")))
+    return F.size(named) / F.greatest(p["n"], F.lit(1))
 
 
-def _first_word(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"(?U)^[^\w]*([A-Za-z]+)", 1))
+def _action(p: Column) -> Column:
+    return F.lower(F.regexp_extract(p["clean"], r"(?U)^[^\w]*([A-Za-z]+)", 1)).isin(lx.OPENERS)
 
 
 def _facts(line: Column, section: Column) -> Column:
-    """What the rules for lines ask for, computed once."""
+    """What the rules for lines ask for more than once; what takes a text apart they ask for themselves, of short texts."""
 
-    def of(clean: Column) -> Column:
-        return F.struct(
-            clean.alias("clean"), section.alias("section"), has_bullet(line).alias("bullet"), word_count(clean).alias("n"),
-            (~ends_sentence(clean)).alias("open_end"), _first_word(clean).isin(lx.OPENERS).alias("action"), _titled(clean).alias("titled"),
-        )
+    def bare(tidy: Column) -> Column:
+        return F.struct(F.trim(F.regexp_replace(tidy, lx.BULLET, "")).alias("clean"), tidy.rlike(lx.BULLET).alias("bullet"))
+
+    def of(p: Column) -> Column:
+        open_end = ~F.right(p["clean"], F.lit(3)).rlike(r"[.!?]\s*$")  # a squeezed text ends in no more than one space and a line's end
+        return F.struct(p["clean"].alias("clean"), section.alias("section"), p["bullet"].alias("bullet"), spaced_words(p["clean"]).alias("n"), open_end.alias("open_end"))
 
-    return let(strip_bullet(line), of)
+    return let(let(squeeze(line), bare), of)
 
 
 def _header(p: Column) -> Column:
-    clean, section, n, open_end, action, titled = (p[k] for k in ("clean", "section", "n", "open_end", "action", "titled"))
-    project = (clean.rlike(r"[|–—]") & (n <= 12) & ~action) | ((n <= 5) & ~action & open_end & (titled >= 0.6))
+    clean, section, n, open_end = (p[k] for k in ("clean", "section", "n", "open_end"))
+    project = ((n <= 12) & clean.rlike(r"[|–—]") & ~_action(p)) | ((n <= 5) & open_end & ~_action(p) & (_titled(p) >= 0.6))
+    dated = clean.contains("19") | clean.contains("20")
     return (
         F.when(p["bullet"], False)
         .when(n == 0, True)
         .when((n <= 3) & clean.endswith(":"), True)
         .when(~section.isin(lx.RELAXED_HEADER) & (n <= 4) & open_end, True)
-        .when(clean.rlike(lx.DATE_RANGE) & (n <= 20) & open_end, True)
-        .when(clean.rlike(lx.DATE) & (n <= 14) & open_end, True)
-        .when(clean.rlike(lx.JOB_TITLE) & open_end, True)
+        .when((n <= 20) & open_end & dated & clean.rlike(lx.DATE_RANGE), True)
+        .when((n <= 14) & open_end & clean.rlike(lx.DATE), True)
+        .when(open_end & dated & clean.rlike(lx.JOB_TITLE), True)
         .when(section == "SKILLS", False)
         .when(section == "PROJECTS", project)
-        .otherwise((titled >= 0.75) & (n <= 14) & ~action & open_end)
+        .otherwise((n <= 14) & open_end & ~_action(p) & (_titled(p) >= 0.75))
     )
 
 
+def _judged(line: Column, section: Column) -> Column:
+    """struct(clean, header, cand, bullet, n): whether a line heads an entry, and whether it is long and plain enough to be a unit."""
+
+    def of(p: Column) -> Column:
+        clean, n = p["clean"], p["n"]
+        relaxed = p["section"].isin(lx.RELAXED_UNIT)
+        long_enough = (n >= F.when(relaxed, 3).otherwise(6)) & (F.length(clean) >= F.when(relaxed, 20).otherwise(35))
+        shaped = p["bullet"] | (n >= F.when(relaxed, 3).otherwise(7)) | ((p["section"] == "PROJECTS") & _action(p))
+        cand = long_enough & shaped & ~p["header"] & ~clean.rlike(lx.LINK)
+        return F.struct(clean.alias("clean"), p["header"].alias("header"), cand.alias("cand"), p["bullet"].alias("bullet"), n.alias("n"))
+
+    return let(let(_facts(line, section), lambda p: F.struct(*[p[k].alias(k) for k in ("clean", "section", "bullet", "n")], _header(p).alias("header"))), of)
+
+
 def is_header(line: Column, section: Column) -> Column:
     """Whether a line under ``section`` heads an entry rather than being content."""
     return let(_facts(line, section), _header)
@@ -168,22 +188,14 @@ def is_header(line: Column, section: Column) -> Column:
 
 def is_candidate(line: Column, section: Column) -> Column:
     """Whether a line is long and plain enough to be a unit of its own."""
-
-    def of(p: Column) -> Column:
-        clean, n = p["clean"], p["n"]
-        relaxed = p["section"].isin(lx.RELAXED_UNIT)
-        long_enough = (F.length(clean) >= F.when(relaxed, 20).otherwise(35)) & (n >= F.when(relaxed, 3).otherwise(6))
-        shaped = ((p["section"] == "PROJECTS") & p["action"]) | p["bullet"] | (n >= F.when(relaxed, 3).otherwise(7))
-        return long_enough & shaped & ~clean.rlike(lx.LINK) & ~_header(p)
-
-    return let(_facts(line, section), of)
+    return _judged(line, section)["cand"]
 
 
 def looks_like_list(text: Column) -> Column:
     body = F.when(F.instr(F.substring(text, 1, 40), ":") > 0, F.substr(text, F.instr(text, ":") + 1)).otherwise(text)
     parts = F.filter(F.transform(F.split(body, r"[,;|•·]"), lambda p: F.trim(p)), lambda p: p != "")
-    total = F.aggregate(parts, F.lit(0), lambda n, p: n + word_count(p))
-    return (F.size(parts) >= 3) & (total / F.greatest(F.size(parts), F.lit(1)) <= 3) & (score.verb_strength(text) == 0)
+    short = lambda p: (F.size(p) >= 3) & (F.aggregate(p, F.lit(0), lambda n, x: n + word_count(x)) / F.greatest(F.size(p), F.lit(1)) <= 3)
+    return let(parts, short) & (score.verb_strength(text) == 0)
 
 
 def units(content: DataFrame) -> DataFrame:
@@ -191,21 +203,26 @@ def units(content: DataFrame) -> DataFrame:
 
     (doc_id, section, unit_no, unit_id, text, line_indices, eligible)"""
     order = Window.partitionBy("doc_id", "section").orderBy("line_no")
-    rows = content.withColumn("idx", F.row_number().over(order) - 1).withColumn("text", strip_bullet(F.col("line"))).filter("text <> ''")
-    rows = rows.withColumn("header", is_header(F.col("line"), F.col("section"))).withColumn("cand", is_candidate(F.col("line"), F.col("section")))
+    rows = content.withColumn("idx", F.row_number().over(order) - 1).filter(strip_bullet(F.col("line")) != "")
+    rows = rows.withColumn("j", _judged(F.col("line"), F.col("section"))).select("*", F.col("j.clean").alias("text"), "j.header", "j.cand", "j.bullet").drop("j")
     before = F.lag("header").over(order)
-    starts = F.col("header") | F.coalesce(before, F.lit(True)) | has_bullet(F.col("line")) | (F.lag(ends_sentence(F.col("line"))).over(order) & F.col("cand"))
+    starts = F.col("header") | F.coalesce(before, F.lit(True)) | F.col("bullet") | (F.lag(ends_sentence(F.col("line"))).over(order) & F.col("cand"))
     numbered = rows.withColumn("starts", starts).withColumn("unit_no", F.sum(F.col("starts").cast("int")).over(order))
     parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
     grouped = numbered.groupBy("doc_id", "section", "unit_no").agg(parts.alias("parts"), F.bool_or("header").alias("header"), F.bool_or("cand").alias("any_cand"))
     text = squeeze(F.array_join(F.transform("parts", lambda p: p["text"]), " "))
     built = grouped.select("doc_id", "section", "unit_no", text.alias("text"), F.transform("parts", lambda p: p["idx"]).alias("line_indices"), "header", "any_cand")
     unit_id = F.concat_ws(":", "section", F.element_at("line_indices", 1).cast("string"), F.substring(F.sha1("text"), 1, 10))
-    own = is_candidate(F.col("text"), F.col("section"))
-    fits = ~F.col("header") & F.col("any_cand") & own
-    listed = looks_like_list(F.col("text"))
-    other = ~F.col("section").isin(lx.LIST_SECTIONS) & (fits | (word_count(F.col("text")) >= 4)) & ~is_header(F.col("text"), F.col("section")) & ~listed
-    eligible = F.when(F.col("section") == "HEADER", False).when(F.col("section").isin(lx.PRIMARY_SECTIONS), fits & ~is_header(F.col("text"), F.col("section")) & ~listed).otherwise(other)
+    usable = ~F.col("header") & F.col("any_cand")
+
+    def by_rules(j: Column) -> Column:
+        fits = usable & j["cand"]  # no header then
+        other = ~F.col("section").isin(lx.LIST_SECTIONS) & (fits | (j["n"] >= 4)) & ~j["header"]
+        return F.when(F.col("section").isin(lx.PRIMARY_SECTIONS), fits).otherwise(other) & ~looks_like_list(F.col("text"))
+
+    judged = let(_judged(F.col("text"), F.col("section")), by_rules)
+    never = (F.col("section") == "HEADER") | (F.col("section").isin(lx.PRIMARY_SECTIONS) & ~usable) | F.col("section").isin(lx.LIST_SECTIONS)
+    eligible = F.when(never, False).otherwise(judged)
     return built.select("doc_id", "section", "unit_no", unit_id.alias("unit_id"), "text", "line_indices", eligible.alias("eligible"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attest.functions import claims, score
 from attest.functions import lexicon as lx
-from attest.functions.text import opener, squeeze
+from attest.functions.text import opener, squeeze, word_count, words
 from attest.operators import lines as ops
 from attest.operators import pairs as pair_ops
 from attest.operators import units as unit_ops
@@ -115,3 +115,18 @@ def test_opener(spark, text):
     row = spark.createDataFrame([(text,)], "t string")
     plain = squeeze(F.lower(F.regexp_replace(F.trim(F.coalesce("t", F.lit(""))), lx.BULLET, "")))
     assert row.select(opener(F.col("t")) == plain).first()[0]
+
+
+def test_sections_meet_lines_without_a_join(spark):
+    rows = [(1, 0, "Jane Doe"), (1, 1, "Languages: Python"), (1, 2, "WORK"), (1, 3, "HISTORY"), (1, 4, "Built it"), (1, 5, "Skills: Go"), (1, 6, "Skills"), (1, 7, "Languages: Rust"), (2, 0, "Led it")]
+    out = ops.sections(spark.createDataFrame(rows, "doc_id long, line_no int, line string"))
+    assert _once(out, "Join") == 0
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 0, "HEADER", "Jane Doe"), (1, 1, "LANGUAGES", "Python"), (1, 4, "EXPERIENCE", "Built it"), (1, 5, "EXPERIENCE", "Skills: Go"), (1, 7, "SKILLS", "Languages: Rust"), (2, 0, "HEADER", "Led it")]
+
+
+@pytest.mark.parametrize("text", ["", "  ", "one", " two  words\t", "a\nb c", None, "word " * 50_000])
+def test_word_count(spark, text):
+    row = spark.createDataFrame([(text,)], "t string")
+    assert row.select(word_count(F.col("t")), F.size(words(F.col("t")))).first() == (len((text or "").split()),) * 2
+    assert row.select(opener(F.col("t"))).first()[0] == " ".join((text or "").split())
