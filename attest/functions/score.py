@@ -65,7 +65,7 @@ def structure_checks(text: Column) -> Column:
         first = clean.rlike(_phrases(lx.FIRST_PERSON)) | clean.rlike(r"(?U)(?=us)\bus\b")
         return F.struct(length.alias("length"), (~first).alias("no_first_person"), (~clean.rlike(_phrases(lx.FILLER))).alias("no_filler"))
 
-    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(?:i\.e|e\.g)\.?|\bi/o\b", " "), of)
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)(?=[ie])(?:\b(?:i\.e|e\.g)\.?|\bi/o\b)", " "), of)
 
 
 def structure(text: Column) -> Column:
@@ -84,6 +84,11 @@ def signals(text: Column) -> Column:
     return let(parts, of)
 
 
+def strong(text: Column) -> Column:
+    """``is_strong`` of a text's signals; what the first no settles isn't worked out."""
+    return is_quantified(text) & (verb_strength(text) == 1.0) & (F.bround(structure(text), 2) == 1.0)
+
+
 def is_strong(s: Column) -> Column:
     """Nothing a rewrite should add."""
     return s["quantified"] & (s["action_verb"] == 1.0) & (s["structure"] == 1.0)

@@ -9,6 +9,7 @@ from attest.functions.text import opener, squeeze, word_count, words
 from attest.operators import lines as ops
 from attest.operators import pairs as pair_ops
 from attest.operators import units as unit_ops
+from attest.plans import registry, review  # noqa: F401
 from attest.sources import pages
 
 
@@ -130,3 +131,15 @@ def test_word_count(spark, text):
     row = spark.createDataFrame([(text,)], "t string")
     assert row.select(word_count(F.col("t")), F.size(words(F.col("t")))).first() == (len((text or "").split()),) * 2
     assert row.select(opener(F.col("t"))).first()[0] == " ".join((text or "").split())
+
+
+def test_units_are_scored_in_one_pass(spark):
+    plan = registry.QUERIES["rw_assemble"](spark, "/root/testdata/sf0.001")
+    assert _once(plan, "Join ") == 1  # the names of parts; no second copy of the units
+
+
+def test_strong_is_what_the_signals_say(spark):
+    texts = ["Built the API for 12 users, i.e. a service that answers quickly", "Built it for 12 users", "Helped with 3 reports for the whole team this month", "I built the API for 12 users at the new office", "Led nine people", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(score.strong(F.col("t")), score.is_strong(score.signals(F.col("t")))).collect()
+    assert [a for a, _ in found] == [b for _, b in found] and True in [a for a, _ in found]
