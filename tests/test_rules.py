@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from attest.functions import claims, score
 from attest.functions import lexicon as lx
 from attest.functions.text import opener, squeeze, word_count, words
+from attest.operators import keywords as kw
 from attest.operators import lines as ops
 from attest.operators import pairs as pair_ops
 from attest.operators import units as unit_ops
@@ -143,3 +144,11 @@ def test_strong_is_what_the_signals_say(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     found = rows.select(score.strong(F.col("t")), score.is_strong(score.signals(F.col("t")))).collect()
     assert [a for a, _ in found] == [b for _, b in found] and True in [a for a, _ in found]
+
+
+def test_job_fit_searches_no_list_for_each_keyword(spark):
+    texts = spark.createDataFrame([(1, "C++ and go, f#x; SQL sql"), (2, "none")], "doc_id long, text string")
+    words_ = spark.createDataFrame([(7, 5, "SQL"), (7, 2, "c++"), (7, 9, "rust"), (7, 3, "—"), (8, 1, "x")], "job_id int, ord int, keyword string")
+    fit = kw.job_fit(texts, words_)
+    assert _once(fit, "array_contains") == 0
+    assert sorted(map(tuple, fit.collect())) == [(1, 7, ["c++", "SQL"], ["—", "rust"], 50), (1, 8, ["x"], [], 100)]
