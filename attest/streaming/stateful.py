@@ -1,7 +1,7 @@
 """Streams with state of their own per key: stalled jobs, frames cut over chunks, snapshots with a fixed anchor, rows that
 expire, inboxes.
 
-State is one small row per key (a time, a tail of text or an anchor) or, for rows that expire and inboxes, the rows still
+State is one row per key (a time, a tail of text, an anchor or an inbox) or, for rows that expire, a list of the rows still
 open in a state store on disk. Each function gets a stream and works off the rows of a batch in order."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -132,47 +133,37 @@ def retention(events: DataFrame, hours: int) -> DataFrame:
     return rows.transformWithStateInPandas(_Retention(hours * 3_600_000), _FEED, "Append", "EventTime")
 
 
-class _Inbox(StatefulProcessor):
-    """Last reads by item in a map, the last reading of all, and the rows that are still unread."""
-
-    def init(self, handle) -> None:
-        self.reads = handle.getMapState("reads", "item int", "micros long")
-        self.all = handle.getValueState("all", "micros long")
-        self.open = handle.getListState("open", "event_id long, item int, micros long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        new["micros"] = new["ts"].astype("int64") // (1_000 if new["ts"].dtype == "datetime64[ns]" else 1)
-        read = new[new["what"] != "news"]
-        every = read.loc[read["what"] == "all", "micros"].max()
-        floor = max([x for x in ((self.all.get() or (None,))[0] if self.all.exists() else None, None if pd.isna(every) else int(every)) if x is not None], default=None)
-        if not pd.isna(every):
-            self.all.update((floor,))
-        for item, micros in read[(read["what"] == "item") & read["item"].notna()].groupby("item")["micros"].max().items():
-            known = self.reads.getValue((int(item),)) if self.reads.containsKey((int(item),)) else None
-            if known is None or known[0] < micros:
-                self.reads.updateValue((int(item),), (int(micros),))
-        news = new[new["what"] == "news"]
-        before = pd.DataFrame([tuple(r) for r in self.open.get()], columns=["event_id", "item", "micros"])
-        held = pd.concat([before.assign(fresh=False), news[["event_id", "item", "micros"]].assign(fresh=True)]) if len(before) or len(news) else before.assign(fresh=False)
-        # One look at the map for each item that has open rows.
-        marks = {i: self.reads.getValue((int(i),))[0] for i in held["item"].dropna().unique() if self.reads.containsKey((int(i),))}
-        seen = held["item"].map(marks)
-        gone = (held["micros"] <= seen) | (held["micros"] <= floor if floor is not None else False)
-        yield _feed(held.loc[~gone & held["fresh"].astype(bool), "event_id"].tolist(), key[0], "unread")
-        yield _feed(held.loc[gone & ~held["fresh"].astype(bool), "event_id"].tolist(), key[0], "read")
-        left = [(int(r.event_id), None if pd.isna(r.item) else int(r.item), int(r.micros)) for r in held[~gone].itertuples()]
-        if left:
-            self.open.put(left)
-        elif len(before):
-            self.open.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def inbox(rows: DataFrame) -> DataFrame:
     """(event_id, user_id, action): ``unread`` when news comes that its user hasn't read yet, ``read`` when a later reading of
     its item, or of all, covers it. rows(event_id, user_id, ts, item, what): ``news``, or a reading of ``item`` or ``all``. In
-    whatever order they come, news no later than a reading counts as read."""
-    return rows.groupBy("user_id").transformWithStateInPandas(_Inbox(), _FEED, "Append", "None")
+    whatever order they come, news no later than a reading counts as read.
+
+    A user's state is one row, which comes and goes with the user's rows; asking a store for each part of it costs more than
+    all else. It holds the last reading of all, later ones by item, and the news still unread."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (floor, *held) = state.get if state.exists else (None, [], [], [], [], [])
+        marks, fresh = dict(zip(*held[:2], strict=True)), []
+        for part in parts:
+            for event, item, what, micros in zip(*(part[c].tolist() for c in ("event_id", "item", "what", "micros")), strict=True):
+                if what == "news":
+                    fresh.append((event, None if item != item else item, micros))
+                elif what == "all":
+                    floor = micros if floor is None else max(floor, micros)
+                elif item == item:  # a reading of no item covers nothing
+                    marks[item] = max(marks.get(item, micros), micros)
+        marks = {i: m for i, m in marks.items() if floor is None or m > floor}
+        before = list(zip(*held[2:], strict=True))
+        covered = lambda r: (floor is not None and r[2] <= floor) or (r[1] in marks and r[2] <= marks[r[1]])
+        unread, gone = [r for r in fresh if not covered(r)], [r[0] for r in before if covered(r)]
+        left = [*(r for r in before if not covered(r)), *unread]
+        if floor is not None or marks or left:
+            state.update((floor, list(marks), list(marks.values()), *([r[i] for r in left] for i in range(3))))
+        if unread or gone:
+            yield _feed([*(r[0] for r in unread), *gone], key[0], ["unread"] * len(unread) + ["read"] * len(gone))
+
+    # Without a time, news is older than any reading, and a reading covers nothing. Items are doubles, as pandas makes them where one is null.
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
+    came = rows.filter("what = 'news' or ts is not null").select("event_id", "user_id", F.col("item").cast("double").alias("item"), "what", micros.alias("micros"))
+    kept = "floor long, items array<double>, marks array<long>, ids array<long>, of array<double>, times array<long>"
+    return came.groupBy("user_id").applyInPandasWithState(step, _FEED, kept, "append", GroupStateTimeout.NoTimeout)

@@ -36,6 +36,24 @@ def test_inbox(spark, tmp_path, ordered):
     assert feed.filter("action = 'read'").count() > 0
 
 
+def test_inbox_is_one_row_of_state_a_user(spark, tmp_path):
+    """Whatever it holds; each part that a user's rows must ask a store for is a round trip."""
+    rows = [(100 * u + i, u, START + timedelta(seconds=i), i % 7, "news" if i % 2 else "all" if i == 20 else "item") for u in range(50) for i in range(40)]
+    rows += [(9000, 3, None, 1, "news"), (9001, 60, None, 1, "all"), (9002, 60, START, None, "news"), (9003, 61, None, 1, "news")]
+    stream = streamed(spark, tmp_path, [rows[::2], rows[1::2]], "event_id long, user_id long, ts timestamp, item int, what string")
+    spark.conf.set(ops.STORE[0], ops.ROCKS)
+    try:
+        folder = str(tmp_path / "out")
+        q = stateful.inbox(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(folder)
+    finally:
+        spark.conf.set(*ops.STORE)
+    q.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]][-1] == 52
+    got = {r["event_id"] for r in extra._last(spark.read.parquet(folder), "unread").collect()}
+    last = {u: {x: t for _, v, t, x, w in sorted((r for r in rows if r[2] and r[4] == "item"), key=lambda r: r[2]) if v == u} for u in range(50)}
+    assert got == {i for i, u, t, x, w in rows[:2000] if w == "news" and t > START + timedelta(seconds=20) and not (x in last[u] and t <= last[u][x])} | {9002, 9003}
+
+
 def test_retention_over_batches(spark, tmp_path):
     """Each batch pushes the oldest guests' rows out; rows of others stay, and leave no state."""
     rows = [(i, i % 3, START + timedelta(hours=i), i % 3 > 0) for i in range(100)]
