@@ -16,10 +16,10 @@ from attest.sources.shared import shared_dir
 BLOCK = 200  # documents a file
 
 
-def _files(spark: SparkSession, blocks: DataFrame) -> str:
+def _files(spark: SparkSession, blocks: DataFrame, compression: str = "none") -> str:
     """Folder with one text file for each row of ``value``."""
     path = f"{shared_dir(spark)}/attest-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    blocks.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    blocks.select("value").write.option("maxRecordsPerFile", 1).text(path, compression=compression)
     return path
 
 
@@ -53,8 +53,8 @@ def plug_files(spark, d):
 
 @query(f"""WITH {fx.PAIRS} SELECT doc_id || ':' || unit_no AS id, original, rewritten, unit_no % 2 = 0 AS invented_metric, unit_no % 3 = 0 AS role_escalation FROM pairs""")
 def src_cases(spark, d):
-    """Labelled cases, written as JSON objects that hold a list each and read again."""
+    """Labelled cases, written as JSON objects that hold a list each, packed, and read again."""
     labels = F.struct((F.col("unit_no") % 2 == 0).alias("invented_metric"), (F.col("unit_no") % 3 == 0).alias("role_escalation"))
     case = F.struct(F.concat_ws(":", "doc_id", "unit_no").alias("id"), "original", "rewritten", labels.alias("labels"), F.lit("").alias("note"))
     blocks = fx.pairs(spark, d).groupBy(F.floor(F.col("doc_id") / BLOCK)).agg(F.to_json(F.struct(F.collect_list(case).alias("cases"))).alias("value"))
-    return records.read_cases(spark, _files(spark, blocks)).select("id", "original", "rewritten", "labels.*")
+    return records.read_cases(spark, _files(spark, blocks, "snappy")).select("id", "original", "rewritten", "labels.*")

@@ -40,7 +40,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     an error."""
     fields = "id string, original string, rewritten string, labels struct<invented_metric:boolean,role_escalation:boolean>, note string"
     raw = spark.read.option("multiLine", True).schema(f"{fields}, cases array<struct<{fields}>>").json(path)
-    cases = raw.filter("cases is null and id is not null").drop("cases").unionByName(raw.filter("cases is not null").select(F.inline("cases")))
+    alone = F.when(F.col("id").isNotNull(), F.array(F.struct(*[c for c in raw.columns if c != "cases"])))
+    cases = raw.select(F.inline(F.coalesce("cases", alone)))  # one pass for both forms
     if not cases.take(1):
         raise ValueError(f"no cases in {path}")
     return cases

@@ -4,6 +4,7 @@ import json
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from attest.operators import evidence as ev
 from attest.operators import cells, plug, retrieve, review
 from attest.operators.terms import find_terms
 from attest.plans import evidence as plans
-from attest.plans import extra
+from attest.plans import extra, plugs
 from attest.sources import layout, records
+from attest.sources.shared import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 IMPLIED = [("python", "Flask", 0), ("python", "pandas", 1), ("aws", "eks", 0), ("leadership", "Led", 0), ("etl", "dbt", 0), ("sql", "postgresql", 0)]
@@ -313,6 +315,16 @@ def test_read_cases(spark, tmp_path):
         records.read_cases(spark, f"{tmp_path}/none.json")
 
 
+def test_cases_are_written_packed(spark):
+    """src_cases writes fewer bytes than the texts of its cases have letters."""
+    folder = Path(shared_dir(spark).removeprefix("file:"), f"attest-{spark.sparkContext.applicationId}")
+    before = set(folder.rglob("part-*"))
+    cases = plugs.src_cases(spark, "/root/testdata/sf0.001")
+    size = sum(p.stat().st_size for p in set(folder.rglob("part-*")) - before)
+    letters = cases.select(F.sum(F.length("original") + F.length("rewritten"))).first()[0]
+    assert 0 < size < letters
+
+
 def test_plug_ins(spark, tmp_path):
     texts = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in plug.embed(texts, lambda ts: [[float(len(t))] for t in ts]).collect()}
