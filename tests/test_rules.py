@@ -85,6 +85,34 @@ def test_align_modes(spark):
     assert got[0, 0] == ("position", "a") and got[1, 0] == ("index", "a") and got[2, 0] == ("partial", None) and got[3, 1] == ("length", None)
 
 
+def test_align_odd_batches_meet_once(spark):
+    """Against a loop: copies of places and indexes, gaps, nothing sent, nothing asked, null batches and places; one shuffle."""
+    asked = [(b, p, f"o{b}{p}") for b in range(12) for p in range(3)] + [(0, 1, "again"), (12, None, "nowhere"), (None, 0, "none"), (13, 0, "unanswered")]
+    came = {0: [(0, None), (1, None), (1, None), (2, None)], 1: [(0, 1), (1, 1), (2, 2)], 2: [(0, 0), (1, 2), (2, 4)], 3: [(0, 2), (1, 3), (2, 4)], 4: [(0, 3), (1, 2), (2, 1)], 5: [(0, 2), (1, 0), (2, 1)],
+            6: [(0, None), (1, 0), (2, 1)], 7: [(0, 0), (1, 1)], 8: [(0, None), (None, None), (7, None)], 9: [(0, 0), (1, 0), (2, 2)], 10: [(0, None), (0, None), (0, None)], 11: [(0, -1), (1, 0), (2, 1)], 12: [(None, None)], None: [(0, None)], 99: [(0, None)]}
+    answers = [(b, p, i, None if p == 2 and b == 5 else f"r{b}{p}{i}{k}") for b, rows in came.items() for k, (p, i) in enumerate(rows)]
+    out = unit_ops.align(spark.createDataFrame(asked, "batch_id int, pos int, original string"), spark.createDataFrame(answers, "batch_id int, pos long, idx int, rewritten string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = []
+    for b, p, text in asked:
+        sent = [a for a in answers if a[0] == b]
+        known = [a[2] for a in sent if a[2] is not None]
+        n = sum(x == b for x, *_ in asked)
+        mode = "length" if len(sent) != n else "position" if not known else "partial" if len(known) < n else "index" if sorted(known) in (list(range(n)), list(range(1, n + 1))) else "not a permutation"
+        place = lambda a: a[1] if mode == "position" else a[2] - min(known) if mode == "index" else None  # noqa: E731, B023
+        if b is not None:
+            want += [(b, p, text, mode, r) for r in [a[3] for a in sent if p is not None and place(a) == p] or [None]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want)) and {w[3] for w in want} == {"length", "position", "partial", "index", "not a permutation"}
+
+
+def test_lines_are_moved_once_by_order(spark):
+    """rw_align's requests and answers are made of the same numbered lines, which lie by batch already."""
+    from attest.plans import review
+
+    plan = review.rw_align(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one for each side, the same, so that Spark does it once
+
+
 def test_public_url(spark):
     assert value(spark, pages.public_url, "https://example.org/a") is True
     assert not value(spark, pages.public_url, "https://192.168.0.1/") and not value(spark, pages.public_url, "http://example.org") and not value(spark, pages.public_url, None)
