@@ -18,22 +18,22 @@ EMPTY_BULLET = r"^\s*[•‣▪▫◦●○\-*]\s*[\x{200B}\x{FEFF}]*\s*$"
 
 
 def paired(boxes: DataFrame, step: float = 20.0) -> DataFrame:
-    """Boxes that share a row with another box they don't overlap sideways. Boxes meet in strips of ``step``."""
+    """Boxes that share a row with another box they don't overlap sideways. Boxes meet in strips of ``step``, each a list, so
+    that boxes which lie by page stay where they are."""
     strip = F.explode(F.sequence(F.floor(F.col("y0") / step), F.floor(F.col("y1") / step))).alias("strip")
-    a = boxes.select("page", "box", "x0", "y0", "x1", "y1", strip)
-    b = a.select("page", "strip", *[F.col(c).alias(f"b_{c}") for c in ("box", "x0", "y0", "x1", "y1")])
-    row = (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1"))
-    apart = (F.col("x1") <= F.col("b_x0")) | (F.col("b_x1") <= F.col("x0"))
-    same = (a["page"] == b["page"]) & (a["strip"] == b["strip"]) & (F.col("box") != F.col("b_box"))
-    return a.join(b, same & row & apart, "left_semi").drop("strip").distinct()
+    strips = boxes.select("page", F.struct("box", "x0", "y0", "x1", "y1").alias("b"), strip).groupBy("page", "strip").agg(F.collect_list("b").alias("bs"), F.max("b.x0").alias("last"), F.min("b.x1").alias("first"))
+    row = lambda a, b: (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+    apart = lambda a, b: (a["x1"] <= b["x0"]) | (b["x1"] <= a["x0"])
+    # Boxes that all overlap sideways need no look at one another.
+    beside = F.filter("bs", lambda a: ((a["x1"] <= F.col("last")) | (F.col("first") <= a["x0"])) & F.exists("bs", lambda b: (a["box"] != b["box"]) & row(a, b) & apart(a, b)))
+    return strips.filter("first <= last").select("page", F.inline(beside)).distinct()
 
 
 def gutters(boxes: DataFrame, width: float) -> DataFrame:
     """(page, gutter) of the pages with two columns of text: the middle of the widest gap between boxes that stand
     side by side, if it lies in the middle of the page and neither side is too little or mostly dates."""
-    beside = paired(boxes)
-    many = beside.groupBy("page").agg(F.count("*").alias("n")).filter("n >= 4").select("page")
-    gap = merge_intervals(beside.join(many, "page", "left_semi")).withColumn("middle", F.col("x1") + F.col("gap") / 2)
+    many = paired(boxes).withColumn("n", F.count("*").over(Window.partitionBy("page"))).filter("n >= 4")
+    gap = merge_intervals(many.drop("n")).withColumn("middle", F.col("x1") + F.col("gap") / 2)
     wide = gap.filter((F.col("gap") >= 6) & F.col("middle").between(width * 0.2, width * 0.8))
     widest = wide.groupBy("page").agg(F.max_by("middle", F.struct("gap", -F.col("x1"))).alias("gutter"))
     text = strip(F.col("text"))

@@ -305,6 +305,20 @@ def test_odd_vectors(spark):
     assert retrieve.near_duplicates(odd.limit(0)).count() == 0 and retrieve.topk(v, v.limit(0)).count() == 0
 
 
+def test_paired_boxes_stay_on_their_page(spark):
+    """Against all pairs; nothing is moved by strip, and src_layout_lines moves lines by page alone."""
+    rng = random.Random(4)
+    rows = [(p, b, float(rng.randint(0, 60)), float(rng.randint(0, 200)), float(rng.randint(0, 60)), float(rng.randint(1, 90))) for p in range(20) for b in range(p)]
+    rows = [(p, b, x, y, x + w, y + h) for p, b, x, y, w, h in rows] + [(30, 0, None, 1.0, 5.0, 9.0), (30, 1, 50.0, 1.0, 60.0, 9.0), (30, 2, 70.0, None, 80.0, 9.0), (30, 3, 80.0, 1.0, 80.0, 9.0), (31, 0, 5.0, 1.0, 5.0, 2.0)]
+    meet = lambda a, b: None not in a + b and a[0] == b[0] and a[1] != b[1] and a[3] < b[5] and b[3] < a[5] and (a[4] <= b[2] or b[4] <= a[2])
+    boxes = spark.createDataFrame(rows, "page int, box int, x0 double, y0 double, x1 double, y1 double")
+    got = [tuple(r) for r in layout.paired(boxes.repartition(4, "page")).collect()]
+    want = [a for a in rows if any(meet(a, b) for b in rows) or a[:2] in {(30, 0), (30, 1)}]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 50
+    plan = extra.src_layout_lines(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\w+, \d+\)", plan) == ["page"] * 3 and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_read_cases(spark, tmp_path):
     case = {"id": "a", "original": "o", "rewritten": "r", "labels": {"invented_metric": True, "role_escalation": False}, "note": ""}
     for name, value in (("list", [case, case]), ("object", {"cases": [case]}), ("none", [])):
