@@ -6,15 +6,18 @@ automaton that reads each text once, and keywords in other words on the forms of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions import lexicon as lx
 from attest.functions.text import let
+from attest.operators import within as within_
 from attest.operators.keywords import lookup_keys
 from attest.operators.terms import best_terms, find_terms
 from attest.sources.shared import stored
 
+#: Bytes of texts, and of lists of evidence, that go to every task.
+SENT = 64 << 20
 TOKEN = r"([a-z0-9+#][a-z0-9+#/.]*)"
 
 
@@ -119,12 +122,27 @@ def _near(few: int):
     return lambda df: F.broadcast(df) if df.count() <= few else df
 
 
-def support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None = None, strict: bool = True, few: int = 100_000) -> DataFrame:
+def support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None = None, strict: bool = True, few: int = 100_000, within: bool = False) -> DataFrame:
     """(doc_id, unit_no, job_id, ord, keyword, via, evidence) of the keywords that a unit supports, by the best of:
     an acronym's other number, another name, what a named thing implies, the same in other words, and, for units of
-    the section SUMMARY, the rest of the document (contexts(doc_id, job_id, text))."""
-    columns = ["doc_id", "unit_no", "job_id", "section", "text"]
-    return _support(stored(units.select(*columns)), stored(keywords.select("job_id", "ord", "keyword")), implications, contexts, strict, few)
+    the section SUMMARY, the rest of the document: contexts(doc_id, job_id, text), or ``within``, all units as its lines."""
+    keywords, terms = stored(keywords.select("job_id", "ord", "keyword")), stored(terms_of(keywords, implications, _near(few)))
+    units = units.select("doc_id", "unit_no", "job_id", "section", "text")
+    if terms.count() + keywords.count() > min(few, within_.LISTED):
+        units = stored(units)
+        return _support_of_many(units, keywords, terms, whole_texts(units) if within else contexts, strict, few)
+    out = ["doc_id", "unit_no", "job_id", "ord", "keyword", "via", "evidence"]
+    if contexts is None and not within:
+        met, pieces = _settled(units, keywords, terms, False, strict, few)
+        return met.select("doc_id", "unit_no", "list").join(pieces.filter("code < 0"), "list").select("doc_id", "unit_no", F.inline("hits")).select(*out)
+    met, pieces = _settled(_lines(units, None if within else contexts), keywords, terms, True, strict, few)
+    return within_.supported(met).join(pieces, ["list", "code"]).select("doc_id", "unit_no", F.inline("hits")).select(*out)
+
+
+def whole_texts(units: DataFrame) -> DataFrame:
+    """(doc_id, job_id, text): the whole text of each document, its units as lines."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda x: x["text"]), "\n")
+    return units.groupBy("doc_id", "job_id").agg(texts.alias("text"))
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -148,32 +166,75 @@ def _around(terms: DataFrame) -> DataFrame:
     return terms.filter("prio > 0").withColumn("via", F.lit("resume")).withColumn("term_no", F.col("prio") * 1000 + F.col("term_no")).withColumn("prio", F.lit(5))
 
 
-def _support(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None, strict: bool, few: int, silent: bool = False) -> DataFrame:
-    """See ``support``; units are one row a (doc_id, unit_no). ``silent`` leaves out keywords that the unit states.
-
-    Named evidence is settled inside a unit's row, and other words are only asked for keywords that it didn't settle; rows
-    are shuffled for units of the section SUMMARY alone. Lists of more than ``few`` terms are settled in a shuffle."""
-    ids, out = ["doc_id", "unit_no"], ["doc_id", "unit_no", "job_id", "ord", "keyword", "via", "evidence"]
-    terms = stored(terms_of(keywords, implications, _near(few)))
-    kept = lambda df: (df.filter(~states(F.col("keyword"), F.col("text"))) if silent else df).select(*out)
-    if terms.count() + keywords.count() > few:
-        found = _support_of_many(units, keywords, terms, contexts, strict, few)
-        return kept(found.join(units.select(*ids, "text"), ids)) if silent else found
-    held = stored(best_terms(units, _ruled(terms)))
-    named = kept(held.select(*ids, "job_id", "text", F.inline("hits")))
-    known = F.transform("hits", lambda h: h["ord"])
-    worded = reworded(held.withColumn("known", known), [*ids, "section", *(["text"] if silent else []), "known"], keywords, strict, few)
+def _name(keyword: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(keyword), r"\s+", " "))
+
+
+def _judged(texts: DataFrame, keywords: DataFrame, terms: DataFrame, lends: bool, strict: bool, few: int, silent: bool) -> DataFrame:
+    """texts(job_id, text) with ``own``, what a text supports itself, ``near``, what it lends to the summary of its document,
+    and ``mute``, the keywords that it states, if they are to be left out. Other words are only asked for keywords that a
+    name didn't settle.
+
+    Each hit has a code (see ``within``): the place of its keyword in the order of offers, a number of the keyword's name, and
+    its place in the order of preference; 0 stands for that of own hits."""
+    at, hit = ["job_id", "text"], ["job_id", "ord", "keyword", "via", "evidence"]
+    one = keywords.groupBy("job_id", "ord").agg(F.min("keyword").alias("keyword")).withColumn("name", _name(F.col("keyword")))
+    order = Window.partitionBy(F.lit(0))  # a list of keywords that goes to every task
+    numbers = stored(one.select("job_id", "ord", "keyword", (F.row_number().over(order.orderBy("ord", "name", "keyword", "job_id")) - 1).cast("long").alias("kw"), (F.dense_rank().over(order.orderBy("name")) - 1).cast("long").alias("nm")))
+    coded = lambda df, rank: df.join(F.broadcast(numbers.drop("keyword")), ["job_id", "ord"]).withColumn("code", F.shiftleft("kw", 42) + F.shiftleft("nm", 22) + rank)
+    listed = lambda df, c: df.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("code", *hit))).alias(c))
+    none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    held = stored(best_terms(texts, _ruled(terms)))
+    worded = reworded(held.withColumn("known", F.transform("hits", lambda h: h["ord"])), ["text", "known"], keywords, strict, few)
     worded = worded.filter(~F.array_contains("known", F.col("ord"))).withColumn("via", F.lit("reworded"))
+    found = held.select(*at, F.inline("hits")).unionByName(worded.drop("known"))
+    if silent:
+        found = found.filter(~states(F.col("keyword"), F.col("text")))
+    own = listed(coded(found, F.lit(0)), "own")
+    out = texts.join(own, at, "left").select(*at, none(own, "own"))
+    if lends:
+        rules = _ruled(_stated(keywords), F.col("keyword")).unionByName(_ruled(_around(terms)))
+        around = best_terms(texts, rules, ranked=True).select(*at, F.inline("hits"))
+        near = listed(coded(around, 2 * F.col("rank") + F.when(F.col("prio") == 4, 2).otherwise(3)), "near")
+        out = out.join(near, at, "left").select(*out.columns, none(near, "near"))
+    if silent:
+        said = find_terms(texts.select(F.col("text").alias("by"), "text").distinct(), ["by"], keywords.select(F.col("keyword").alias("term"), F.lit(False).alias("exact")), few)
+        mute = said.join(F.broadcast(numbers.select(F.col("keyword").alias("term"), "kw")), "term").groupBy(F.col("by").alias("text")).agg(F.sort_array(F.collect_set("kw")).alias("mute"))
+        out = out.join(mute, "text", "left").select(*out.columns, none(mute, "mute"))
+    return out
+
+
+def _settled(rows: DataFrame, keywords: DataFrame, terms: DataFrame, lends: bool, strict: bool, few: int, silent: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows(job_id, text, ...) with the codes of ``_judged`` and the number of their list, null where the job or the text is;
+    and pieces(list, code, hits): the hit of a code, all own hits under -1.
+
+    Each distinct text is judged once, and texts that support the same things in the same way share a list. Texts and
+    lists go to every task up to SENT bytes or so, beyond that the rows meet them in a shuffle."""
+    at, lists = ["job_id", "text"], ["own", *(["near"] if lends else []), *(["mute"] if silent else [])]
+    texts = stored(rows.select(*at).dropna().distinct())
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-n // 50_000))
+    judged = stored(_judged(texts.repartition(tasks), keywords, terms, lends, strict, few, silent))
+    shared = stored(judged.select(*lists).distinct().withColumn("list", F.monotonically_increasing_id()))
+    small = (shared.agg(F.sum(128 * (1 + sum(F.size(c) for c in lists)))).first()[0] or 0) <= SENT
+    near_by = F.broadcast if small else lambda df: df
+    codes = shared.select("list", *[(F.transform(c, lambda h: h["code"]) if c != "mute" else F.col(c)).alias(c) for c in lists])
+    numbered = judged.join(near_by(shared), lists).select(*at, "list")
+    numbered = numbered if small else numbered.join(codes, "list")
+    met = rows.join(F.broadcast(numbered) if size <= SENT and small else numbered, at, "left").drop("text")
+    met = met.join(F.broadcast(codes), "list", "left") if small else met
+    hits = lambda c: F.transform(c, lambda h: F.struct(*[h[f].alias(f) for f in ("job_id", "ord", "keyword", "via", "evidence")]))
+    each = shared.select("list", F.explode(F.concat(*lists[: 1 + lends])).alias("h")).select("list", "h.code", hits(F.array("h")).alias("hits"))
+    return met, near_by(each.unionByName(shared.select("list", F.lit(-1).cast("long").alias("code"), hits("own").alias("hits"))))
+
+
+def _lines(units: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    """Units, and the lines that make up their documents: the units themselves, or else the texts of ``contexts``."""
+    units = units.withColumn("summary", F.coalesce(F.col("section") == "SUMMARY", F.lit(False))).drop("section")
     if contexts is None:
-        return named.unionByName(kept(worded))
-    worded = stored(worded.drop("known"))
-    rules = _ruled(_stated(keywords), F.col("keyword")).unionByName(_ruled(_around(terms)))
-    near_by = best_terms(contexts.select("doc_id", "job_id", "text"), rules).filter(F.size("hits") > 0).select("doc_id", "job_id", "hits")
-    asked = held.filter("section = 'SUMMARY'").select(*ids, "text", known.alias("known"), F.col("job_id").alias("own"))
-    around = asked.join(near_by, "doc_id").select(*ids, "job_id", "own", "known", "text", F.inline("hits"))
-    around = kept(around.filter(~(F.col("job_id").eqNullSafe(F.col("own")) & F.array_contains("known", F.col("ord")))))
-    around = around.join(worded.filter("section = 'SUMMARY'").select(*ids, "job_id", "ord"), [*ids, "job_id", "ord"], "left_anti")
-    return named.unionByName(kept(worded)).unionByName(around)
+        return units.withColumn("line", F.col("unit_no"))
+    told = contexts.select("doc_id", "job_id", "text", F.lit(0).cast(units.schema["unit_no"].dataType).alias("line"))
+    return units.unionByName(told, allowMissingColumns=True)
 
 
 def _support_of_many(units: DataFrame, keywords: DataFrame, terms: DataFrame, contexts: DataFrame | None, strict: bool, few: int) -> DataFrame:
@@ -188,40 +249,55 @@ def _support_of_many(units: DataFrame, keywords: DataFrame, terms: DataFrame, co
     return _best(found)
 
 
-def offers(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame, per_unit: int = 2, per_keyword: int = 2, few: int = 100_000) -> DataFrame:
+def offers(units: DataFrame, keywords: DataFrame, implications: DataFrame, contexts: DataFrame | None = None, per_unit: int = 2, per_keyword: int = 2, few: int = 100_000) -> DataFrame:
     """(doc_id, unit_no, keyword, via, evidence): keywords that a unit may work in. In the order of units, those that
     the document lacks first: at most ``per_unit`` a unit and ``per_keyword`` a keyword (the caps are the rule), none
-    that the unit states, and only the first unit of a repeated text."""
+    that the unit states, and only the first unit of a repeated text. A document is contexts(doc_id, job_id, text), or
+    all units as its lines."""
+    keywords, terms = stored(keywords.select("job_id", "ord", "keyword")), stored(terms_of(keywords, implications, _near(few)))
+    units = units.select("doc_id", "unit_no", "job_id", "section", "text")
+    if terms.count() + keywords.count() > min(few, within_.LISTED):
+        lists = _candidates_of_many(units, keywords, terms, whole_texts(units) if contexts is None else contexts, few)
+        chosen = lists.select("doc_id", F.explode(_given(lists, per_unit, per_keyword)).alias("x"))
+        return chosen.select("doc_id", "x.unit_no", "x.hit.*")
+    first = F.col("text").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("unit_no")) == 1)
+    met, pieces = _settled(_lines(units.withColumn("first", first), contexts), keywords, terms, True, True, few, silent=True)
+    chosen = within_.offered(met, per_unit, per_keyword).join(pieces, ["list", "code"])
+    return chosen.select("doc_id", "unit_no", F.inline("hits")).select("doc_id", "unit_no", "keyword", "via", "evidence")
+
+
+def _given(lists: DataFrame, per_unit: int, per_keyword: int) -> Column:
+    """Of ``units``, in order, each with its rows(name, hit), the (unit_no, hit) that are taken under both caps."""
+    hit, number = (lists.schema["units"].dataType.elementType[c].dataType for c in ("rows", "unit_no"))
+    hit = hit.elementType["hit"].dataType.simpleString()
+    kind = f"struct<given:array<string>,n:int,taken:array<struct<unit_no:{number.simpleString()},hit:{hit}>>>"
+    empty = F.struct(F.array().alias("given"), F.lit(0).alias("n"), F.array().alias("taken")).cast(kind)
+
+    def step(unit: Column):
+        def take(acc: Column, x: Column) -> Column:
+            spent = F.size(F.filter(acc["given"], lambda g: g == x["name"])) >= per_keyword
+            more = F.struct(F.array_append(acc["given"], x["name"]).alias("given"), (acc["n"] + 1).alias("n"), F.array_append(acc["taken"], F.struct(unit["unit_no"].alias("unit_no"), x["hit"].alias("hit"))).alias("taken"))
+            return F.when((acc["n"] >= per_unit) | spent, acc).otherwise(more.cast(kind))
+
+        return take
+
+    begun = lambda acc: F.struct(acc["given"].alias("given"), F.lit(0).alias("n"), acc["taken"].alias("taken")).cast(kind)
+    return F.aggregate("units", empty, lambda acc, u: F.aggregate(u["rows"], begun(acc), step(u)))["taken"]
+
+
+def _candidates_of_many(units: DataFrame, keywords: DataFrame, terms: DataFrame, contexts: DataFrame, few: int) -> DataFrame:
+    ids, contexts = ["doc_id", "unit_no"], stored(contexts)
     first = units.groupBy("doc_id", "text").agg(F.min_by(F.struct("unit_no", "job_id", "section"), "unit_no").alias("x"))
     own = stored(first.select("doc_id", "x.unit_no", "x.job_id", "x.section", "text"))
-    contexts, keywords = stored(contexts), stored(keywords.select("job_id", "ord", "keyword"))
-    found = _support(own, keywords, implications, contexts, True, few, silent=True)
-    if keywords.count() <= few:
-        named = best_terms(contexts.select("doc_id", "job_id", "text"), _ruled(_stated(keywords))).select("doc_id", "job_id", F.explode(F.transform("hits", lambda h: h["ord"])).alias("ord"))
-    else:
-        named = _named(contexts, ["doc_id"], _stated(keywords), _near(few)).select("doc_id", "job_id", "ord").distinct()
+    found = _support_of_many(own, keywords, terms, contexts, True, few).join(own.select(*ids, "text"), ids)
+    found = found.filter(~states(F.col("keyword"), F.col("text")))
+    named = _named(contexts, ["doc_id"], _stated(keywords), _near(few)).select("doc_id", "job_id", "ord").distinct()
     said = named.groupBy("doc_id").agg(F.collect_list(F.struct("job_id", "ord")).alias("said"))
-    row = F.struct("unit_no", "job_id", "ord", "keyword", "via", "evidence")
-    lists = found.groupBy("doc_id").agg(F.collect_list(row).alias("found")).join(said, "doc_id", "left")
-    present = lambda x: F.coalesce(F.array_contains("said", F.struct(x["job_id"], x["ord"])), F.lit(False)).cast("int")
-    norm = lambda x: F.lower(F.regexp_replace(F.trim(x["keyword"]), r"\s+", " "))
-    full = lambda x: F.struct(x["unit_no"].alias("unit_no"), present(x).alias("present"), x["ord"].alias("ord"), norm(x).alias("name"), x["keyword"].alias("keyword"), x["via"].alias("via"), x["evidence"].alias("evidence"))
-    lists = lists.select("doc_id", F.array_sort(F.transform("found", full)).alias("rows"))
-    kind = "struct<given:map<string,int>,unit:int,n:int,picked:array<int>>"
-    start = F.struct(F.create_map().cast("map<string,int>").alias("given"), F.lit(-1).alias("unit"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("picked"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["unit"] == x["r"]["unit_no"], acc["n"]).otherwise(0)
-        used = F.coalesce(F.try_element_at(acc["given"], x["r"]["name"]), F.lit(0))
-        take = (n < per_unit) & (used < per_keyword)
-        given = F.when(take, F.map_concat(F.map_filter(acc["given"], lambda k, _: k != x["r"]["name"]), F.create_map(x["r"]["name"], used + 1))).otherwise(acc["given"])
-        picked = F.when(take, F.array_append(acc["picked"], x["i"])).otherwise(acc["picked"])
-        return F.struct(given.alias("given"), x["r"]["unit_no"].cast("int").alias("unit"), (n + take.cast("int")).alias("n"), picked.alias("picked")).cast(kind)
-
-    numbered = F.transform("rows", lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    taken = lists.select("doc_id", "rows", F.aggregate(numbered, start.cast(kind), step)["picked"].alias("picked"))
-    chosen = taken.select("doc_id", F.explode(F.transform("picked", lambda i: F.col("rows")[i])).alias("x"))
-    return chosen.select("doc_id", "x.unit_no", "x.keyword", "x.via", "x.evidence")
+    lists = found.join(said, "doc_id", "left")
+    present = F.coalesce(F.array_contains("said", F.struct("job_id", "ord")), F.lit(False))
+    row = F.struct(present.alias("present"), "ord", _name(F.col("keyword")).alias("name"), F.struct("keyword", "via", "evidence").alias("hit"))
+    units = lists.groupBy("doc_id", "unit_no").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return units.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "rows"))).alias("units"))
 
 
 def check(pairs: DataFrame, keywords: DataFrame, implications: DataFrame, few: int = 100_000) -> DataFrame:

@@ -96,6 +96,7 @@ class Rules:
         self.of: dict[tuple, list[tuple]] = {}
         for job, ord_, keyword, via, rank, fixed, term, exact in rules:
             self.of.setdefault((job, number[term, exact]), []).append((ord_, (*rank, term), keyword, via, fixed))
+        self.place = {rank: i for i, rank in enumerate(sorted({(*r[4], r[6]) for r in rules}))}
         self.best = lru_cache(maxsize=65_536)(self._best)
 
     def _best(self, job, text: str) -> list[tuple]:
@@ -104,20 +105,22 @@ class Rules:
             for ord_, rank, keyword, via, fixed in self.of.get((job, number), ()):
                 if ord_ not in found or rank < found[ord_][0]:
                     found[ord_] = (rank, keyword, via, written if fixed is None else fixed)
-        return [(o, keyword, via, evidence) for o, (_, keyword, via, evidence) in found.items()]
+        return [(o, keyword, via, evidence, rank[0], self.place[rank]) for o, (rank, keyword, via, evidence) in found.items()]
 
 
-def best_terms(texts: DataFrame, rules: DataFrame) -> DataFrame:
+def best_terms(texts: DataFrame, rules: DataFrame, ranked: bool = False) -> DataFrame:
     """texts(job_id, text, ...) with ``hits``: an array of (ord, keyword, via, evidence), for each keyword of the job whose term
     the text holds the best rule by (prio, key_no, term_no). Rules(job_id, ord, keyword, via, prio, key_no, term_no, fixed,
-    term, exact) go to every task; ``fixed`` is evidence in place of what the text writes. No rows are shuffled."""
+    term, exact) go to every task; ``fixed`` is evidence in place of what the text writes. No rows are shuffled.
+    ``ranked`` adds each hit's prio and its place in the order of preference."""
     listed = rules.filter("term <> ''").select("job_id", "ord", "keyword", "via", "prio", "key_no", "term_no", "fixed", "term", "exact").distinct()
     own = [(r[0], r[1], r[2], r[3], (r[4], r[5], r[6]), r[7], r[8], r[9]) for r in listed.collect()]
     sent, name = texts.sparkSession.sparkContext.broadcast(own), uuid.uuid4().hex
     number = rules.schema["ord"].dataType.typeName()
-    hit = T.StructType([T.StructField("ord", rules.schema["ord"].dataType), *[T.StructField(c, T.StringType()) for c in ("keyword", "via", "evidence")]])
+    names = ["ord", "keyword", "via", "evidence", *(["prio", "rank"] if ranked else [])]
+    hit = T.StructType([T.StructField("ord", rules.schema["ord"].dataType), *[T.StructField(c, T.StringType() if i < 3 else T.IntegerType()) for i, c in enumerate(names[1:])]])
     columns, kind = texts.columns, T.StructType([*texts.schema.fields, T.StructField("hits", T.ArrayType(hit))])
-    types = [pa.int32() if number == "integer" else pa.int64(), *[pa.string()] * 3]
+    types = [pa.int32() if number == "integer" else pa.int64(), *[pa.string()] * 3, *[pa.int32()] * (len(names) - 4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ruled:
@@ -131,7 +134,7 @@ def best_terms(texts: DataFrame, rules: DataFrame) -> DataFrame:
                 if text is not None:
                     hits += best(job, text)
                 ends.append(len(hits))
-            flat = pa.StructArray.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate(types)], ["ord", "keyword", "via", "evidence"])
+            flat = pa.StructArray.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate(types)], names)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*columns, "hits"])
 
     return texts.mapInArrow(run, kind)

@@ -43,8 +43,7 @@ def _implications(spark, d):
 
 def _contexts(units):
     """The whole text of each document."""
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda x: x["text"]), "\n")
-    return units.groupBy("doc_id", "job_id").agg(texts.alias("text"))
+    return ev.whole_texts(units)
 
 
 _KEYED = f"""{fx.UNITS}, u AS (SELECT doc_id, unit_no, section, text || coalesce(([{sql.items(SAYINGS)}])[(doc_id + unit_no) % 11 + 1], '') AS text, CAST(doc_id % 3 AS INTEGER) AS job_id FROM units),
@@ -77,8 +76,7 @@ def kw_reworded(spark, d):
 
 @query(f"WITH {_KEYED} SELECT * FROM best")
 def kw_support(spark, d):
-    units = stored(_units(spark, d))
-    return ev.support(units, _keywords(spark, d), _implications(spark, d), _contexts(units))
+    return ev.support(_units(spark, d), _keywords(spark, d), _implications(spark, d), within=True)
 
 
 @query(f"""WITH RECURSIVE {_KEYED}, one AS (SELECT doc_id, min(unit_no) AS unit_no FROM u GROUP BY doc_id, text),

@@ -350,3 +350,25 @@ def test_plug_ins(spark, tmp_path):
     counted, seen = plug.observed(texts, "progress", named=F.col("text").isNotNull())
     counted.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 3, "named": 2}
+
+
+def test_a_repeated_text_is_judged_once(spark, implied, monkeypatch):
+    """Texts and lists sent to tasks or met in a shuffle, documents cut by small batches: the rows of a settling in a shuffle."""
+    judged, found = [], ev.best_terms
+    monkeypatch.setattr(ev, "best_terms", lambda texts, rules, **more: judged.append(texts.count()) or found(texts, rules, **more))
+    rng = random.Random(5)
+    said = ["Led teams", "Wrote Flask code", "pandas and eks", "Python", "wrote in flask", "", None, "É team lead", "Postgres"]
+    rows = [(d if d else None, u, rng.choice([1, 2]) if d % 5 == 0 else d % 2 + 1, rng.choice(["SUMMARY", "EXPERIENCE", None]), rng.choice(said)) for d in range(60) for u in range(d % 9)]
+    units = spark.createDataFrame(rows, "doc_id long, unit_no int, job_id int, section string, text string")
+    words = [(1, 1, "Python"), (1, 2, "leadership"), (1, 3, "team leads"), (1, 4, "PYTHON "), (2, 1, "AWS"), (2, 2, "python"), (2, 3, "wrote"), (2, 4, "É"), (2, 5, "SQL")]
+    words = spark.createDataFrame(words, "job_id int, ord int, keyword string")
+    every, offered = (lambda few=100_000: sorted(map(str, ev.support(units, words, implied, within=True, few=few).collect()))), (lambda few=100_000: sorted(map(str, ev.offers(units, words, implied, few=few).collect())))
+    wanted, taken = every(0), offered(0)
+    assert "resume" in str(wanted) and taken
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert every() == wanted and judged == [2 * (len(said) - 1)] * 2
+        monkeypatch.setattr(ev, "SENT", 0)
+        assert offered() == taken
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
