@@ -90,8 +90,7 @@ f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS unit_no, 0 AS
 SELECT doc_id, unit_no, keyword, via, evidence FROM f JOIN rows USING (doc_id, i, unit_no) WHERE taken""")
 def kw_offers(spark, d):
     """What units may work in, under two caps; the tests hold it against a greedy loop too."""
-    units = stored(_units(spark, d))
-    return ev.offers(units, _keywords(spark, d), _implications(spark, d), _contexts(units))
+    return ev.offers(_units(spark, d), _keywords(spark, d), _implications(spark, d))
 
 
 @query(f"""WITH {fx.PAIRS}, k AS (SELECT keyword, row_number() OVER (ORDER BY keyword) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(rewritten), '[a-z]{{5,}}')) AS keyword FROM pairs)),
