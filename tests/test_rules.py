@@ -180,3 +180,14 @@ def test_job_fit_searches_no_list_for_each_keyword(spark):
     fit = kw.job_fit(texts, words_)
     assert _once(fit, "array_contains") == 0
     assert sorted(map(tuple, fit.collect())) == [(1, 7, ["c++", "SQL"], ["—", "rust"], 50), (1, 8, ["x"], [], 100)]
+
+
+def test_align_refuses_misplaced_answers(spark):
+    """Swapped answers are told by their words, whatever their index; a share of 0.3 or of one's own request is no fault."""
+    texts = ["Built the payment gateway", "Trained the support team", "Moved logs into Kafka"]
+    requests = spark.createDataFrame([(b, p, t) for b in range(4) for p, t in enumerate(texts)], "batch_id int, pos int, original string")
+    said = {0: ["Led the payment gateway", "Coached the support team", "Moved all logs"], 1: ["Coached the support team", "Led the payment gateway", "Moved all logs"], 2: ["", None, "that was for the"], 3: ["Built the payment gateway and trained the support team", "Team", "Kafka"]}
+    answers = spark.createDataFrame([(b, p, p + 1 if b % 2 else None, t) for b, rows in said.items() for p, t in enumerate(rows)], "batch_id int, pos int, idx int, rewritten string")
+    got = {(r["batch_id"], r["pos"]): (r["mode"], r["rewritten"]) for r in unit_ops.align(requests, answers).collect()}
+    modes = ["position", "misplaced", "position", "index"]
+    assert got == {(b, p): (modes[b], None if b == 1 else t) for b, rows in said.items() for p, t in enumerate(rows)}
