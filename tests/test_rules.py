@@ -191,3 +191,14 @@ def test_align_refuses_misplaced_answers(spark):
     got = {(r["batch_id"], r["pos"]): (r["mode"], r["rewritten"]) for r in unit_ops.align(requests, answers).collect()}
     modes = ["position", "misplaced", "position", "index"]
     assert got == {(b, p): (modes[b], None if b == 1 else t) for b, rows in said.items() for p, t in enumerate(rows)}
+
+
+def test_coverage_after_accepted_rewrites(spark):
+    """Missing keywords that accepted rewrites work in, each once; dismissed and open ones, held and unlisted keywords don't count."""
+    keywords = spark.createDataFrame([(0, i, k) for i, k in enumerate(["sql", "c++", "kafka", "go", "aws", "etl", "k8s", "dbt"])], "job_id int, ord int, keyword string")
+    texts = spark.createDataFrame([(1, "SQL and C++ in Go"), (2, "none of them")], "doc_id long, text string")
+    added = [(1, "a", "kafka"), (1, "b", "kafka"), (1, "a", "sql"), (1, "a", "rust"), (1, "c", "aws"), (1, "d", "etl"), (1, "b", "dbt"), (2, "a", "go")]
+    added = spark.createDataFrame([(d, i, 0, k) for d, i, k in added], "doc_id long, item string, job_id int, keyword string")
+    decisions = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", False), (1, "d", None), (2, "a", True), (2, "a", True)], "doc_id long, item string, accepted boolean")
+    got = kw.coverage_after(kw.frequencies(texts, keywords), keywords, added, decisions)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, 2, 38, 63), (2, 0, 0, 1, 0, 13)]
